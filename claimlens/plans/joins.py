@@ -1,0 +1,25 @@
+"""Join helpers with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_count(df: DataFrame, limit: int) -> int:
+    """Row count of ``df`` capped at ``limit + 1`` (a bounded job: the scan
+    stops once ``limit + 1`` rows were seen)."""
+    return df.limit(limit + 1).count()
+
+
+def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows,
+    else ``df`` unchanged (Catalyst/AQE then choose a shuffle join, or a
+    broadcast if the runtime size turns out small).
+
+    The frame is cached first so the check and the join share one
+    computation."""
+    df = df.cache()
+    if bounded_count(df, max_rows) <= max_rows:
+        return F.broadcast(df)
+    return df
