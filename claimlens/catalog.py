@@ -46,10 +46,28 @@ def stg(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     return staging.stg_claims(fixture.raw_claims(spark, sf_dir), keep=keep)
 
 
+def wh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouse-form claims (payer_id + status + the staged columns)."""
+    return stg(spark, sf_dir, keep=["payer_id"])
+
+
+def seed(spark: SparkSession) -> DataFrame:
+    return recovery.appeal_rates(spark)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.claim_records(spark, sf_dir)
+
+
+from claimlens.operators import aging, demo, denials, quality, recovery, reports, scorecard, tenant  # noqa: E402
+
+A = PARAMS.as_of
+TENANT_USER = 1  # the user whose scoped reads are reported
+
 # ---------------------------------------------------------------------------
 # G1 staging
 
-@product("stg_claims", "G1 S8 P3 P4", O.with_claims(f"""
+@product("stg_claims", "G1 S8 S9 P3 P4 K1", O.with_claims("""
 SELECT claim_id, claim_date, claim_month, payer, specialty,
        CAST(billed_amount AS DOUBLE) AS billed_amount, CAST(paid_amount AS DOUBLE) AS paid_amount,
        status, denial_code, denial_reason, days_to_resolve,
@@ -59,7 +77,71 @@ def q_stg_claims(spark, sf_dir):
     return staging.report_view(stg(spark, sf_dir))
 
 
-# G7 monthly trend (mart form)
+# ---------------------------------------------------------------------------
+# warehouse-form queries
+
+@product("denial_rate_by_payer_12m", "G2 F1 A1 A2 J1 J2 A7 P6 O1", O.with_claims(f"""
+SELECT p.payer_name,
+       CAST(sum(s.n) AS BIGINT) AS total_claims,
+       CAST(sum(s.d) AS BIGINT) AS denied_claims,
+       {O.r("100.0 * sum(s.d) / sum(s.n)")} AS denial_rate_pct
+FROM (SELECT payer_id, count(*) AS n, sum(CASE WHEN status = 'Denied' THEN 1 ELSE 0 END) AS d
+      FROM claims WHERE claim_date >= {O.AS_OF} - INTERVAL 12 MONTH GROUP BY payer_id) s
+JOIN payers p ON s.payer_id = p.payer_id
+GROUP BY p.payer_name"""))
+def q_denial_rate_by_payer_12m(spark, sf_dir):
+    return denials.denial_rate_by_payer(wh(spark, sf_dir), fixture.payers(spark, sf_dir), A, PARAMS.trailing_months)
+
+
+@product("ar_aging_claims", "G3 F3 X3 B1", O.with_claims(f"""
+SELECT claim_id, payer_id, CAST(billed_amount AS DOUBLE) AS billed_amount,
+       CAST(date_diff('day', claim_date, {O.AS_OF}) AS INTEGER) AS days_outstanding,
+       {O.BUCKET_CASE.format(d=f"date_diff('day', claim_date, {O.AS_OF})")} AS aging_bucket
+FROM claims WHERE status IN ('Pending', 'Denied')"""))
+def q_ar_aging_claims(spark, sf_dir):
+    return aging.ar_aging_claims(wh(spark, sf_dir), A)
+
+
+@product("ar_aging_submission", "G4 J1 A10 O2", O.with_claims(f"""
+SELECT p.payer_name, b.aging_bucket, CAST(count(*) AS BIGINT) AS claim_count,
+       CAST(round(sum(b.billed_amount), 2) AS DOUBLE) AS billed_in_bucket
+FROM (SELECT payer_id, billed_amount,
+             {O.BUCKET_CASE.format(d=f"date_diff('day', claim_date, {O.AS_OF})")} AS aging_bucket
+      FROM claims WHERE status IN ('Pending', 'Denied')) b
+JOIN payers p ON b.payer_id = p.payer_id
+GROUP BY p.payer_name, b.aging_bucket"""))
+def q_ar_aging_submission(spark, sf_dir):
+    return aging.ar_aging_by_payer(wh(spark, sf_dir), fixture.payers(spark, sf_dir), A)
+
+
+@product("underpayment_detection", "G5 J3 J4 J5 F5 X8", O.with_claims("""
+SELECT c.claim_id, c.payer_id, CAST(c.billed_amount AS DOUBLE) AS billed_amount,
+       CAST(c.paid_amount AS DOUBLE) AS paid_amount, CAST(er.expected_rate AS DOUBLE) AS expected_rate,
+       CAST(round(c.billed_amount * er.expected_rate - c.paid_amount, 2) AS DOUBLE) AS underpayment_gap
+FROM claims c
+JOIN (SELECT DISTINCT payer_id, specialty, expected_rate FROM claims) er
+  ON er.payer_id = c.payer_id AND er.specialty = c.specialty
+WHERE c.status LIKE 'Paid%' AND c.paid_amount < (er.expected_rate * c.billed_amount) * 0.95"""))
+def q_underpayment_detection(spark, sf_dir):
+    claims = fixture.raw_claims(spark, sf_dir)
+    return recovery.underpayment_detection(claims, fixture.expected_rates(spark, sf_dir), PARAMS.underpayment_tolerance)
+
+
+@product("monthly_trend_raw", "G6 A11 A2 W1", O.with_claims(f"""
+SELECT claim_month, CAST(total_claims AS BIGINT) AS total_claims, CAST(denied_claims AS BIGINT) AS denied_claims,
+       {O.r("denied_claims * 100.0 / total_claims")} AS denial_rate_pct,
+       {O.r("denied_claims * 100.0 / total_claims - lag(denied_claims * 100.0 / total_claims) OVER (ORDER BY claim_month)")}
+         AS pct_change_vs_prior_month
+FROM (SELECT CAST(date_trunc('month', claim_date) AS DATE) AS claim_month, count(*) AS total_claims,
+             sum(CASE WHEN status = 'Denied' THEN 1 ELSE 0 END) AS denied_claims
+      FROM claims GROUP BY 1)"""))
+def q_monthly_trend_raw(spark, sf_dir):
+    return denials.monthly_trend_raw(stg(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# marts (G7-G10)
+
 @product("monthly_denial_trend", "G7 A3 A7 W2", O.with_claims(f"""
 SELECT claim_month,
        CAST(n AS BIGINT) AS claims_submitted,
@@ -70,8 +152,312 @@ SELECT claim_month,
 FROM (
   SELECT claim_month, n, d, {O.rd("100.0 * d / n")} AS rate
   FROM (SELECT claim_month, count(*) AS n, count(*) FILTER (WHERE is_denied) AS d FROM stg GROUP BY claim_month)
-)""", ))
+)"""))
 def q_monthly_denial_trend(spark, sf_dir):
-    from claimlens.operators.denials import monthly_denial_trend
+    return denials.monthly_denial_trend(stg(spark, sf_dir))
+
+
+@product("ar_aging_decision", "G8 F4 X6 X3 X1 B1 B2 A10", O.with_claims("""
+SELECT payer, aging_bucket,
+       CASE aging_bucket WHEN '0-30' THEN 1 WHEN '31-60' THEN 2 WHEN '61-90' THEN 3 ELSE 4 END AS bucket_order,
+       CAST(count(*) AS BIGINT) AS claim_count,
+       CAST(round(sum(billed_amount), 2) AS DOUBLE) AS billed_in_bucket
+FROM oarb GROUP BY payer, aging_bucket""", O.OPEN_AR))
+def q_ar_aging_decision(spark, sf_dir):
+    return aging.fct_ar_aging(stg(spark, sf_dir), A, "decision")
+
+
+@product("payer_scorecard", "G9 N1 W3 W4 B3 A3 A6 J8", O.with_claims("SELECT * FROM scorecard", O.SCORE))
+def q_payer_scorecard(spark, sf_dir):
+    return scorecard.payer_scorecard(stg(spark, sf_dir), A)
+
+
+@product("recovery_opportunities", "G10 U1 J9 F6 B4 W5 P5", O.with_claims("""
+SELECT CAST(row_number() OVER (ORDER BY recovery_potential DESC NULLS LAST, claim_id) AS BIGINT) AS opportunity_rank,
+       claim_id, claim_date, payer, specialty, category, reason,
+       CAST(billed_amount AS DOUBLE) AS billed_amount, CAST(paid_amount AS DOUBLE) AS paid_amount,
+       CAST(recovery_potential AS DOUBLE) AS recovery_potential, recovery_confidence, recommended_action
+FROM opp""", O.OPP))
+def q_recovery_opportunities(spark, sf_dir):
+    return recovery.recovery_opportunities(stg(spark, sf_dir), seed(spark))
+
+
+# ---------------------------------------------------------------------------
+# report products
+
+@product("kpi_denial", "G11 A9", O.with_claims(f"""
+SELECT CAST(count(*) AS BIGINT) AS total_claims,
+       CAST(coalesce(round(sum(billed_amount), 2), 0) AS DOUBLE) AS total_billed,
+       CAST(coalesce(round(sum(paid_amount), 2), 0) AS DOUBLE) AS total_paid,
+       {O.r("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS denial_rate,
+       {O.r("100.0 * count(*) FILTER (WHERE is_underpaid) / count(*)")} AS underpay_rate,
+       (SELECT CAST(coalesce(round(sum(recovery_potential), 2), 0) AS DOUBLE) FROM opp) AS total_recoverable,
+       {O.r("avg(days_to_resolve)")} AS avg_days_to_resolve
+FROM stg""", O.OPP))
+def q_kpi_denial(spark, sf_dir):
+    return denials.kpi_denial(recovery.with_recovery(stg(spark, sf_dir), seed(spark)))
+
+
+def _breakdown_sql(key: str, with_paid: bool, extra: str = "") -> str:
+    paid = "CAST(round(sum(paid_amount), 2) AS DOUBLE) AS paid," if with_paid else ""
+    return O.with_claims(f"""
+SELECT {key}, CAST(total_claims AS BIGINT) AS total_claims, CAST(denied AS BIGINT) AS denied,
+       underpaid_amt, billed, {"paid," if with_paid else ""} denial_rate_pct {extra}
+FROM (
+  SELECT {key}, count(*) AS total_claims, count(*) FILTER (WHERE is_denied) AS denied,
+         CAST(coalesce(round(sum(underpayment_gap) FILTER (WHERE is_underpaid), 2), 0) AS DOUBLE) AS underpaid_amt,
+         CAST(round(sum(billed_amount), 2) AS DOUBLE) AS billed, {paid}
+         {O.r("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS denial_rate_pct
+  FROM stg GROUP BY {key})""")
+
+
+@product("monthly_breakdown", "G12 A11 A4 A5", _breakdown_sql("claim_month", False))
+def q_monthly_breakdown(spark, sf_dir):
+    return denials.monthly_breakdown(stg(spark, sf_dir))
+
+
+@product("payer_breakdown", "G13 A3 A5 A7 B6 O8", _breakdown_sql("payer", True, ", denial_rate_pct >= 18 AS flagged"))
+def q_payer_breakdown(spark, sf_dir):
+    b = denials.payer_breakdown(stg(spark, sf_dir))
+    return b.withColumn("flagged", reports.bands.payer_flag("denial_rate_pct"))
+
+
+@product("specialty_breakdown", "G15 B5", _breakdown_sql(
+    "specialty", False,
+    ", CASE WHEN denial_rate_pct >= 19 THEN 'high' WHEN denial_rate_pct >= 17 THEN 'mid' ELSE 'low' END AS severity"))
+def q_specialty_breakdown(spark, sf_dir):
+    return denials.specialty_breakdown(stg(spark, sf_dir))
+
+
+@product("reason_breakdown", "G14 F4 J9 A1 A5", O.with_claims("""
+SELECT d.denial_code, CAST(d.n AS BIGINT) AS claim_count, CAST(round(d.lost, 2) AS DOUBLE) AS billed_lost,
+       s.denial_reason_label AS label
+FROM (SELECT denial_code, count(*) AS n, sum(billed_amount) AS lost FROM stg WHERE is_denied GROUP BY denial_code) d
+LEFT JOIN seed s ON s.denial_code = d.denial_code"""))
+def q_reason_breakdown(spark, sf_dir):
+    return denials.reason_breakdown(stg(spark, sf_dir), seed(spark))
+
+
+@product("ar_summary", "G16 A9 A16 O7", O.with_claims(f"""
+SELECT CAST(coalesce(round((SELECT sum(billed_amount) FROM oarb), 2), 0) AS DOUBLE) AS total_ar_outstanding,
+       CAST(coalesce(round((SELECT sum(billed_amount) FROM oarb WHERE aging_bucket = '90+'), 2), 0) AS DOUBLE)
+         AS ar_90plus,
+       {O.r("100.0 * (SELECT sum(billed_amount) FROM oarb WHERE aging_bucket = '90+') / nullif((SELECT sum(billed_amount) FROM oarb), 0)")}
+         AS ar_90plus_pct,
+       CAST(count(*) AS BIGINT) AS n_payers,
+       arg_min(payer, payer_rank) AS best_payer,
+       arg_max(payer, payer_rank) AS worst_payer
+FROM scorecard""", O.SCORE + "," + O.OPEN_AR))
+def q_ar_summary(spark, sf_dir):
+    return aging.ar_summary(scorecard.scorecard_frame(stg(spark, sf_dir), A))
+
+
+@product("ar_aging_matrix", "G17 A15 A14 N3 J12", O.with_claims(f"""
+SELECT payer,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '0-30'), 0), 2) AS DOUBLE) AS bucket_0_30,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '31-60'), 0), 2) AS DOUBLE) AS bucket_31_60,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '61-90'), 0), 2) AS DOUBLE) AS bucket_61_90,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '90+'), 0), 2) AS DOUBLE) AS bucket_90_plus,
+       CAST(round(sum(billed_amount), 2) AS DOUBLE) AS total,
+       {O.r("100.0 * coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '90+'), 0) / nullif(sum(billed_amount), 0)")}
+         AS pct_90plus
+FROM oarb GROUP BY payer""", O.OPEN_AR))
+def q_ar_aging_matrix(spark, sf_dir):
+    return aging.ar_aging_matrix(stg(spark, sf_dir), A)
+
+
+@product("recovery_summary", "G18 A4 A9 N5", O.with_claims("""
+SELECT CAST(coalesce(round(sum(recovery_potential), 0), 0) AS DOUBLE) AS total_recovery_potential,
+       CAST(coalesce(round(sum(recovery_potential) FILTER (WHERE recovery_confidence = 'High'), 0), 0) AS DOUBLE)
+         AS high_confidence_recovery,
+       CAST(coalesce(round(sum(recovery_potential) FILTER (WHERE category = 'Underpayment'), 0), 0) AS DOUBLE)
+         AS underpayment_recovery,
+       CAST(coalesce(round(sum(recovery_potential) FILTER (WHERE category = 'Denial appeal'), 0), 0) AS DOUBLE)
+         AS appeal_recovery,
+       CAST(count(*) AS BIGINT) AS n_opportunities,
+       (SELECT CAST(coalesce(round(sum(billed_amount), 0), 0) AS DOUBLE) FROM stg) AS total_billed_universe
+FROM opp""", O.OPP))
+def q_recovery_summary(spark, sf_dir):
+    return recovery.recovery_summary(stg(spark, sf_dir), seed(spark))
+
 
-    return monthly_denial_trend(stg(spark, sf_dir))
+def _recovery_by_sql(keys: str) -> str:
+    return O.with_claims(f"""
+SELECT {keys}, CAST(round(sum(recovery_potential), 2) AS DOUBLE) AS recovery_potential,
+       CAST(count(*) AS BIGINT) AS claim_count
+FROM opp GROUP BY {keys}""", O.OPP)
+
+
+@product("recovery_by_payer", "G19 A5 O8", _recovery_by_sql("payer"))
+def q_recovery_by_payer(spark, sf_dir):
+    return recovery.recovery_by(stg(spark, sf_dir), seed(spark), ["payer"])
+
+
+@product("recovery_by_specialty", "G19 A5 O8", _recovery_by_sql("specialty"))
+def q_recovery_by_specialty(spark, sf_dir):
+    return recovery.recovery_by(stg(spark, sf_dir), seed(spark), ["specialty"])
+
+
+@product("recovery_by_reason", "G19 A5 O8 T14", _recovery_by_sql("category, reason"))
+def q_recovery_by_reason(spark, sf_dir):
+    return recovery.recovery_by(stg(spark, sf_dir), seed(spark), ["category", "reason"])
+
+
+@product("top25_recovery", "G20 O5", O.with_claims("""
+SELECT claim_id, claim_date, payer, specialty, category, reason,
+       CAST(billed_amount AS DOUBLE) AS billed, CAST(paid_amount AS DOUBLE) AS current_paid,
+       CAST(recovery_potential AS DOUBLE) AS recovery_potential, recovery_confidence,
+       recommended_action AS action, CAST(rank AS BIGINT) AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY recovery_potential DESC NULLS LAST, claim_id) AS rank FROM opp)
+WHERE rank <= 25""", O.OPP))
+def q_top25_recovery(spark, sf_dir):
+    return recovery.top_opportunities(stg(spark, sf_dir), seed(spark), PARAMS.top_k)
+
+
+# ---------------------------------------------------------------------------
+# demo-app products (G21-G24) over tenant claim records
+
+def _decided_rate_sql(key_expr: str, key: str, where: str) -> str:
+    return O.with_claims(f"""
+SELECT {key_expr} AS {key},
+       {O.r("100.0 * count(*) FILTER (WHERE record_status = 'denied') / count(*)", 2)} AS denial_rate_pct
+FROM records WHERE record_status IN ('paid', 'denied') AND {where}
+GROUP BY 1""", O.TENANT)
+
+
+@product("insurer_denial_rate", "G21 F3 A8 O4 D2", _decided_rate_sql("insurer_name", "insurer_name", "insurer_name IS NOT NULL"))
+def q_insurer_denial_rate(spark, sf_dir):
+    return demo.insurer_denial_rate(records(spark, sf_dir))
+
+
+@product("monthly_denial_decided", "G22 F3 A8 A11 P7", _decided_rate_sql(
+    "CAST(date_trunc('month', service_date) AS DATE)", "month", "service_date IS NOT NULL"))
+def q_monthly_denial_decided(spark, sf_dir):
+    return demo.monthly_denial_decided(records(spark, sf_dir))
+
+
+@product("charged_vs_remitted", "G23 A12", O.with_claims("""
+SELECT CAST(date_trunc('month', service_date) AS DATE) AS month,
+       CAST(round(sum(charge_amount), 2) AS DOUBLE) AS charge_amount,
+       CAST(round(sum(remit_amount), 2) AS DOUBLE) AS remit_amount
+FROM records WHERE service_date IS NOT NULL GROUP BY 1""", O.TENANT))
+def q_charged_vs_remitted(spark, sf_dir):
+    return demo.charged_vs_remitted(records(spark, sf_dir))
+
+
+@product("demo_kpi", "G24 A9 T22", O.with_claims(f"""
+SELECT CAST(count(*) AS BIGINT) AS claims,
+       CAST(coalesce(round(sum(charge_amount), 2), 0) AS DOUBLE) AS charged,
+       CAST(coalesce(round(sum(remit_amount), 2), 0) AS DOUBLE) AS remitted,
+       coalesce({O.r("100.0 * count(*) FILTER (WHERE record_status = 'denied') / nullif(count(*) FILTER (WHERE record_status IN ('paid', 'denied')), 0)", 2)}, 0.0)
+         AS denial_pct
+FROM records""", O.TENANT))
+def q_demo_kpi(spark, sf_dir):
+    return demo.demo_kpi(records(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# report shaping (F9, N2-N4, B5-B8, labels)
+
+SLICE_SPECIALTY = "AUTOMOBILE"
+SLICE_PERIOD = ("1997-01-01", "2000-01-01")
+
+
+@product("sliced_trend", "F9 G7", O.with_claims(f"""
+SELECT claim_month,
+       CAST(n AS BIGINT) AS claims_submitted,
+       CAST(d AS BIGINT) AS denied_claims,
+       CAST(rate AS DOUBLE) AS denial_rate_pct,
+       CAST(lag(rate) OVER (ORDER BY claim_month) AS DOUBLE) AS prior_month_rate_pct,
+       {O.r("rate - lag(rate) OVER (ORDER BY claim_month)")} AS mom_change_pts
+FROM (
+  SELECT claim_month, n, d, {O.rd("100.0 * d / n")} AS rate
+  FROM (SELECT claim_month, count(*) AS n, count(*) FILTER (WHERE is_denied) AS d FROM stg
+        WHERE specialty = '{SLICE_SPECIALTY}'
+          AND claim_date >= DATE '{SLICE_PERIOD[0]}' AND claim_date < DATE '{SLICE_PERIOD[1]}'
+        GROUP BY claim_month)
+)"""))
+def q_sliced_trend(spark, sf_dir):
+    import datetime as dt
+
+    period = tuple(dt.date.fromisoformat(d) for d in SLICE_PERIOD)
+    s = denials.slice_claims(stg(spark, sf_dir), specialty=SLICE_SPECIALTY, period=period)
+    return denials.monthly_denial_trend(s)
+
+
+@product("radar_axes", "N4", O.with_claims("""
+SELECT payer_rank, payer,
+       CAST(100 - 4 * CAST(denial_rate_pct AS DECIMAL(10,1)) AS DOUBLE) AS axis_denial,
+       CAST(100 - 4 * CAST(underpay_rate_pct AS DECIMAL(10,1)) AS DOUBLE) AS axis_underpay,
+       CAST(100 - 10 * (CAST(avg_days_to_resolve AS DECIMAL(10,1)) - 15) AS DOUBLE) AS axis_speed,
+       CAST(100 - 2 * CAST(pct_ar_90plus AS DECIMAL(10,1)) AS DOUBLE) AS axis_aging
+FROM scorecard WHERE payer_rank <= 4""", O.SCORE))
+def q_radar_axes(spark, sf_dir):
+    return scorecard.radar_axes(scorecard.payer_scorecard(stg(spark, sf_dir), A))
+
+
+_MATRIX_CTE = O.OPEN_AR + f""",
+matrix AS (
+  SELECT payer,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '0-30'), 0), 2) AS DOUBLE) AS bucket_0_30,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '31-60'), 0), 2) AS DOUBLE) AS bucket_31_60,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '61-90'), 0), 2) AS DOUBLE) AS bucket_61_90,
+       CAST(round(coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '90+'), 0), 2) AS DOUBLE) AS bucket_90_plus,
+       CAST(round(sum(billed_amount), 2) AS DOUBLE) AS total,
+       {O.r("100.0 * coalesce(sum(billed_amount) FILTER (WHERE aging_bucket = '90+'), 0) / nullif(sum(billed_amount), 0)")}
+         AS pct_90plus
+  FROM oarb GROUP BY payer
+)"""
+
+
+def _share(c: str) -> str:
+    return O.r(f"CAST({c} AS DECIMAL(24,6)) * 100 / CAST(total AS DECIMAL(24,6))")
+
+
+@product("aging_share", "N3 A14", O.with_claims(f"""
+SELECT payer, {_share('bucket_0_30')} AS share_0_30, {_share('bucket_31_60')} AS share_31_60,
+       {_share('bucket_61_90')} AS share_61_90, {_share('bucket_90_plus')} AS share_90_plus
+FROM matrix WHERE total <> 0""", _MATRIX_CTE))
+def q_aging_share(spark, sf_dir):
+    return aging.aging_share(aging.ar_aging_matrix(stg(spark, sf_dir), A))
+
+
+@product("bar_scale", "N2 A13", O.with_claims(f"""
+SELECT payer, denial_rate_pct,
+       {O.r("CAST(denial_rate_pct AS DECIMAL(24,6)) * 100 / CAST(nullif(max(denial_rate_pct) OVER (), 0) AS DECIMAL(24,6))")}
+         AS bar_pct
+FROM (SELECT payer, {O.r("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS denial_rate_pct
+      FROM stg GROUP BY payer)"""))
+def q_bar_scale(spark, sf_dir):
+    b = denials.payer_breakdown(stg(spark, sf_dir)).select("payer", "denial_rate_pct")
+    return reports.bar_scale(b, "denial_rate_pct")
+
+
+@product("report_bands", "B7 B8 J12", O.with_claims("""
+SELECT s.payer,
+       CASE WHEN s.composite_score >= 80 THEN 'A' WHEN s.composite_score >= 65 THEN 'B'
+            WHEN s.composite_score >= 50 THEN 'C' WHEN s.composite_score >= 35 THEN 'D' ELSE 'F' END AS score_band,
+       s.pct_ar_90plus >= 20 AS heat_rate,
+       coalesce(m.pct_90plus, 0.0) / 100 >= 0.20 AS heat_share
+FROM scorecard s LEFT JOIN matrix m ON m.payer = s.payer""", O.SCORE + "," + _MATRIX_CTE))
+def q_report_bands(spark, sf_dir):
+    s = stg(spark, sf_dir)
+    return reports.scorecard_bands(scorecard.payer_scorecard(s, A), aging.ar_aging_matrix(s, A))
+
+
+@product("report_labels", "X15 X16 X17 X19", O.with_claims(f"""
+SELECT claim_month,
+       strftime(claim_month, '%b %y') AS month_label,
+       strftime(claim_month, '%Y-%m') AS month_key,
+       CAST(strptime(strftime(claim_month, '%Y-%m'), '%Y-%m') AS DATE) AS month_parsed,
+       '$' || format('{{:,}}', CAST(round(CAST(billed AS DECIMAL(24,6)), 0) AS BIGINT)) AS money_text,
+       '$' || CAST(CAST(round(CAST(billed AS DECIMAL(24,6)) / 1000, 0) AS BIGINT) AS VARCHAR) || 'K' AS money_k_text,
+       printf('%.1f', CAST(round(CAST(rate AS DECIMAL(24,6)), 1) AS DOUBLE)) || '%' AS pct_text
+FROM (SELECT claim_month, sum(billed_amount) AS billed,
+             {O.r("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS rate
+      FROM stg GROUP BY claim_month)"""))
+def q_report_labels(spark, sf_dir):
+    m = denials.monthly_breakdown(stg(spark, sf_dir))
+    labels = reports.month_labels(m)
+    money = reports.money_labels(m, "claim_month", "billed", "denial_rate_pct")
+    return labels.join(money, "claim_month")

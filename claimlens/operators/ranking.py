@@ -6,17 +6,17 @@ into one task. Instead:
 1. range-partition the rows on the full sort key into ``n`` partitions
    (Spark samples the key to choose balanced boundaries; because the key
    ends with a unique tie-breaker, no single value can overload a
-   partition, even one value held by a third of all rows);
-2. sort within each partition and take each row's position from
+   partition, even one value held by a third of all rows), sort within each
+   partition, and ``checkpoint()`` the result to the shared checkpoint
+   folder. The checkpoint fixes which row sits in which partition and in
+   what order: both uses below read the same files, and a lost executor
+   re-reads them instead of re-sampling new boundaries;
+2. each row's position inside its partition comes from
    ``monotonically_increasing_id()`` (partition index in the upper bits,
-   position in the lower 33 bits) — deterministic, because the order inside a
-   partition is total;
+   position in the lower 33 bits);
 3. count rows per partition (``n`` rows), turn the counts into running
    offsets, and broadcast that n-row table (its size is fixed by ``n``);
 4. rank = offset of the partition + position + 1.
-
-The range exchange has an explicit partition count, so AQE keeps it as is
-and both uses of it (counts and numbering) read the same shuffle output.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.session import ensure_checkpoint_dir
+
 _POS_BITS = 33
 
 
@@ -36,11 +38,12 @@ def distributed_row_number(
     """Append ``name`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end with a unique column); otherwise
-    ties are numbered in an unspecified but stable-per-run order.
+    ties are numbered in an unspecified order.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
     ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

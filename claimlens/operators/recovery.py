@@ -107,7 +107,9 @@ def opportunities_union(stg: DataFrame, seed: DataFrame) -> DataFrame:
     return under.unionByName(den)
 
 
-RANK_ORDER = [F.desc_nulls_last("recovery_potential"), F.asc("claim_id")]
+def rank_order():
+    """Largest recovery first; ties by claim id (a total order)."""
+    return [F.desc_nulls_last("recovery_potential"), F.asc("claim_id")]
 
 
 def _report(df: DataFrame) -> DataFrame:
@@ -119,17 +121,17 @@ def _report(df: DataFrame) -> DataFrame:
 
 def recovery_opportunities(stg: DataFrame, seed: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Every opportunity with its global rank (ties: claim_id)."""
-    ranked = distributed_row_number(opportunities(stg, seed), RANK_ORDER, "opportunity_rank", num_partitions)
+    ranked = distributed_row_number(opportunities(stg, seed), rank_order(), "opportunity_rank", num_partitions)
     return _report(ranked.select(F.col("opportunity_rank").cast("bigint"), *OPPORTUNITY_COLUMNS))
 
 
 def top_opportunities(stg: DataFrame, seed: DataFrame, k: int = 25) -> DataFrame:
     """The k largest opportunities in the published top-list shape."""
-    top = opportunities(stg, seed).orderBy(*RANK_ORDER).limit(k)
+    top = opportunities(stg, seed).orderBy(*rank_order()).limit(k)
     # rank within k rows: a k-row window, after the distributed top-k
     from pyspark.sql import Window
 
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*RANK_ORDER)).cast("bigint"))
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())).cast("bigint"))
     return ranked.select(
         "claim_id",
         "claim_date",

@@ -102,3 +102,103 @@ def r(expr: str, n: int = 1) -> str:
 def rd(expr: str, n: int = 1) -> str:
     """Rounding via DECIMAL(24,6), kept DECIMAL."""
     return f"round(CAST({expr} AS DECIMAL(24,6)), {n})"
+
+
+# --- shared CTE fragments -------------------------------------------------------
+
+BUCKET_CASE = """CASE WHEN {d} <= 30 THEN '0-30' WHEN {d} <= 60 THEN '31-60'
+            WHEN {d} <= 90 THEN '61-90' ELSE '90+' END"""
+
+OPEN_AR = f"""
+oar AS (
+  SELECT claim_id, payer, billed_amount,
+         CAST(coalesce(days_to_resolve, date_diff('day', claim_date, {AS_OF})) AS INTEGER) AS days_outstanding
+  FROM stg WHERE is_open_ar
+),
+oarb AS (
+  SELECT *, {BUCKET_CASE.format(d='days_outstanding')} AS aging_bucket FROM oar
+)"""
+
+OPP = """
+opp AS (
+  SELECT claim_id, claim_date, payer, specialty, 'Underpayment' AS category,
+         'Exceeds contracted rate' AS reason, billed_amount, paid_amount,
+         round(underpayment_gap, 2) AS recovery_potential, 'High' AS recovery_confidence,
+         'Resubmit for rate correction' AS recommended_action
+  FROM stg WHERE is_underpaid
+  UNION ALL
+  SELECT c.claim_id, c.claim_date, c.payer, c.specialty, 'Denial appeal', r.denial_reason_label,
+         c.billed_amount, c.paid_amount,
+         round(c.billed_amount * CAST(r.appeal_success_rate AS DECIMAL(6,4)), 2),
+         CASE WHEN r.appeal_success_rate >= 0.50 THEN 'High'
+              WHEN r.appeal_success_rate >= 0.25 THEN 'Medium' ELSE 'Low' END,
+         'File appeal'
+  FROM stg c JOIN seed r ON r.denial_code = c.denial_code
+  WHERE c.is_denied AND r.appeal_success_rate > 0
+)"""
+
+
+def _norm_term(w: str, m: str) -> str:
+    return (f"{w} * (max({m}) OVER () - {m}) "
+            f"/ nullif(max({m}) OVER () - min({m}) OVER (), 0)")
+
+
+SCORE = f"""
+ar AS (
+  SELECT payer, count(*) AS ar_claims,
+         count(*) FILTER (WHERE coalesce(days_to_resolve, date_diff('day', claim_date, {AS_OF})) > 90)
+           AS ar_claims_90plus
+  FROM stg WHERE is_open_ar GROUP BY payer
+),
+per_payer AS (
+  SELECT c.payer, count(*) AS total_claims,
+         round(sum(c.billed_amount), 0) AS total_billed,
+         round(sum(c.paid_amount), 0) AS total_paid,
+         {rd("100.0 * count(*) FILTER (WHERE c.is_denied) / count(*)")} AS denial_rate_pct,
+         {rd("100.0 * count(*) FILTER (WHERE c.is_underpaid) / count(*)")} AS underpay_rate_pct,
+         {rd("avg(c.days_to_resolve)")} AS avg_days_to_resolve,
+         {rd("100.0 * ar.ar_claims_90plus / ar.ar_claims")} AS pct_ar_90plus
+  FROM stg c JOIN ar ON ar.payer = c.payer
+  GROUP BY c.payer, ar.ar_claims_90plus, ar.ar_claims
+),
+scored AS (
+  SELECT *, {rd("100 * (" + " + ".join([
+      _norm_term("0.35", "denial_rate_pct"), _norm_term("0.25", "underpay_rate_pct"),
+      _norm_term("0.20", "avg_days_to_resolve"), _norm_term("0.20", "pct_ar_90plus")]) + ")")} AS score
+  FROM per_payer
+),
+scorecard AS (
+  SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, denial_rate_pct ASC NULLS LAST, payer ASC)
+              AS BIGINT) AS payer_rank,
+         payer,
+         CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade,
+         CAST(score AS DOUBLE) AS composite_score,
+         CAST(denial_rate_pct AS DOUBLE) AS denial_rate_pct,
+         CAST(underpay_rate_pct AS DOUBLE) AS underpay_rate_pct,
+         CAST(avg_days_to_resolve AS DOUBLE) AS avg_days_to_resolve,
+         CAST(pct_ar_90plus AS DOUBLE) AS pct_ar_90plus,
+         CAST(total_claims AS BIGINT) AS total_claims,
+         CAST(total_billed AS DOUBLE) AS total_billed,
+         CAST(total_paid AS DOUBLE) AS total_paid
+  FROM scored
+)"""
+
+TENANT = """
+records AS (
+  SELECT CAST(payer_id % 5 AS INTEGER) AS org_id, claim_id AS external_ref, claim_date AS service_date,
+         concat('9000', CAST(1 + length(claim_id || specialty) % 4 AS VARCHAR)) AS procedure_code,
+         payer AS insurer_name, billed_amount AS charge_amount, paid_amount AS remit_amount,
+         CASE WHEN status IN ('Paid', 'Paid - Underpaid') THEN 'paid' WHEN status = 'Denied' THEN 'denied'
+              ELSE 'pending' END AS record_status,
+         submitted_by
+  FROM claims
+),
+users AS (
+  SELECT c_custkey AS user_id, CAST(c_custkey % 5 AS INTEGER) AS org_id,
+         lower(replace(c_name, '#', '.')) || '@example.org' AS email,
+         CASE c_custkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'analyst' ELSE 'viewer' END AS user_role
+  FROM customer
+),
+orgs AS (
+  SELECT CAST(r_regionkey AS INTEGER) AS org_id, r_name AS org_name FROM region
+)"""
