@@ -461,3 +461,304 @@ def q_report_labels(spark, sf_dir):
     labels = reports.month_labels(m)
     money = reports.money_labels(m, "claim_month", "billed", "denial_rate_pct")
     return labels.join(money, "claim_month")
+
+
+# ---------------------------------------------------------------------------
+# tenant operators (RL1-RL4)
+
+RECORD_COLUMNS = ["org_id", "external_ref", "service_date", "procedure_code", "insurer_name",
+                  "charge_amount", "remit_amount", "record_status"]
+_RECORD_SQL_COLUMNS = """org_id, external_ref, service_date, procedure_code, insurer_name,
+       CAST(charge_amount AS DOUBLE) AS charge_amount, CAST(remit_amount AS DOUBLE) AS remit_amount, record_status"""
+
+
+def _records_report(df: DataFrame, extra=()) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.col(c).cast("double").alias(c) if c.endswith("_amount") else F.col(c)
+                       for c in RECORD_COLUMNS + list(extra)])
+
+
+@product("tenant_read", "RL1 RL2 J7 F8 D1", O.with_claims(f"""
+SELECT {_RECORD_SQL_COLUMNS}
+FROM records WHERE org_id IN (SELECT org_id FROM users WHERE user_id = {TENANT_USER})""", O.TENANT))
+def q_tenant_read(spark, sf_dir):
+    users = fixture.app_users(spark, sf_dir)
+    return _records_report(tenant.scoped_read(records(spark, sf_dir), users, TENANT_USER))
+
+
+@product("tenant_profile", "RL3", O.with_claims(f"""
+SELECT user_id, org_id, email, user_role FROM users WHERE user_id = {TENANT_USER}""", O.TENANT))
+def q_tenant_profile(spark, sf_dir):
+    return tenant.own_profile(fixture.app_users(spark, sf_dir), TENANT_USER)
+
+
+@product("tenant_visibility", "RL2", O.with_claims("""
+SELECT u.user_id, CAST(coalesce(p.n, 0) AS BIGINT) AS visible_records,
+       CAST(coalesce(round(p.c, 2), 0) AS DOUBLE) AS visible_charges
+FROM users u LEFT JOIN (SELECT org_id, count(*) AS n, sum(charge_amount) AS c FROM records GROUP BY org_id) p
+  ON p.org_id = u.org_id""", O.TENANT))
+def q_tenant_visibility(spark, sf_dir):
+    return tenant.visibility_summary(records(spark, sf_dir), fixture.app_users(spark, sf_dir))
+
+
+_APPEND_SQL = """
+SELECT {cols}, submitted_by
+FROM records r
+WHERE {neg} EXISTS (SELECT 1 FROM users u WHERE u.user_id = r.submitted_by AND u.org_id = r.org_id
+                      AND u.user_role IN ('admin', 'analyst'))"""
+
+
+@product("tenant_append_accepted", "RL4 K6", O.with_claims(
+    _APPEND_SQL.format(cols=_RECORD_SQL_COLUMNS, neg=""), O.TENANT))
+def q_tenant_append_accepted(spark, sf_dir):
+    return _records_report(tenant.append_accepted(records(spark, sf_dir), fixture.app_users(spark, sf_dir)),
+                           ["submitted_by"])
+
+
+@product("tenant_append_rejected", "RL4 RL5", O.with_claims(
+    _APPEND_SQL.format(cols=_RECORD_SQL_COLUMNS, neg="NOT"), O.TENANT))
+def q_tenant_append_rejected(spark, sf_dir):
+    return _records_report(tenant.append_rejected(records(spark, sf_dir), fixture.app_users(spark, sf_dir)),
+                           ["submitted_by"])
+
+
+# ---------------------------------------------------------------------------
+# data-quality checks (Q1-Q5) and mart schema tests
+
+def _dq_specs():
+    from claimlens import params as P
+
+    return {
+        "claims": dict(not_null=["claim_id", "status", "billed_amount", "payer"],
+                       accepted={"status": P.STATUSES}, non_negative=["billed_amount", "paid_amount"]),
+        "claim_records": dict(not_null=["org_id", "external_ref", "service_date", "procedure_code", "insurer_name",
+                                        "charge_amount", "remit_amount", "record_status"],
+                              accepted={"record_status": P.RECORD_STATUSES},
+                              non_negative=["charge_amount", "remit_amount"]),
+        "app_users": dict(not_null=["user_id", "org_id", "email", "user_role"], accepted={"user_role": P.ROLES},
+                          non_negative=[]),
+    }
+
+
+_DQ_SQL_SOURCE = {"claims": "stg", "claim_records": "records", "app_users": "users"}
+
+
+def _dq_sql(check: str) -> str:
+    parts = []
+    for table, spec in _dq_specs().items():
+        src = _DQ_SQL_SOURCE[table]
+        if check == "not_null":
+            for c in spec["not_null"]:
+                parts.append(f"SELECT '{table}' AS table_name, 'not_null' AS \"check\", '{c}' AS column_name, "
+                             f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS failures FROM {src}")
+        elif check == "accepted_values":
+            for c, vals in spec["accepted"].items():
+                lst = ", ".join(f"'{v}'" for v in vals)
+                parts.append(f"SELECT '{table}' AS table_name, 'accepted_values' AS \"check\", '{c}' AS column_name, "
+                             f"CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({lst})) AS BIGINT) AS failures "
+                             f"FROM {src}")
+        else:
+            for c in spec["non_negative"]:
+                parts.append(f"SELECT '{table}' AS table_name, 'non_negative' AS \"check\", '{c}' AS column_name, "
+                             f"CAST(count(*) FILTER (WHERE {c} < 0) AS BIGINT) AS failures FROM {src}")
+    return O.with_claims("\nUNION ALL\n".join(parts), O.TENANT)
+
+
+def _dq_spark(spark, sf_dir, check: str) -> DataFrame:
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    frames = {"claims": stg(spark, sf_dir), "claim_records": records(spark, sf_dir),
+              "app_users": fixture.app_users(spark, sf_dir)}
+    outs = [quality.summary(t, frames[t], **spec) for t, spec in _dq_specs().items()]
+    return reduce(DataFrame.unionByName, outs).filter(F.col("check") == check)
+
+
+@product("dq_not_null", "Q2", _dq_sql("not_null"))
+def q_dq_not_null(spark, sf_dir):
+    return _dq_spark(spark, sf_dir, "not_null")
+
+
+@product("dq_accepted", "Q3", _dq_sql("accepted_values"))
+def q_dq_accepted(spark, sf_dir):
+    return _dq_spark(spark, sf_dir, "accepted_values")
+
+
+@product("dq_range", "Q4", _dq_sql("non_negative"))
+def q_dq_range(spark, sf_dir):
+    return _dq_spark(spark, sf_dir, "non_negative")
+
+
+_UNIQUE_CHECKS = [  # (table, key columns, SQL source)
+    ("claims", ["claim_id"], "stg"),
+    ("claim_records", ["org_id", "external_ref"], "records"),
+    ("app_users", ["user_id"], "users"),
+    ("app_users", ["email"], "users"),
+    ("appeal_success_rates", ["denial_code"], "seed"),
+    ("expected_rates", ["payer_id", "specialty"], "(SELECT DISTINCT payer_id, specialty, expected_rate FROM claims)"),
+]
+
+
+@product("dq_unique", "Q1", O.with_claims("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key_columns, CAST(count(*) AS BIGINT) AS duplicate_keys "
+    f"FROM (SELECT {', '.join(k)} FROM {src} WHERE {' AND '.join(c + ' IS NOT NULL' for c in k)} "
+    f"GROUP BY {', '.join(k)} HAVING count(*) > 1)"
+    for t, k, src in _UNIQUE_CHECKS), O.TENANT))
+def q_dq_unique(spark, sf_dir):
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    frames = {
+        "claims": stg(spark, sf_dir),
+        "claim_records": records(spark, sf_dir),
+        "app_users": fixture.app_users(spark, sf_dir),
+        "appeal_success_rates": seed(spark),
+        "expected_rates": fixture.expected_rates(spark, sf_dir),
+    }
+    outs = [
+        quality.unique_failures(frames[t], k).agg(F.count(F.lit(1)).alias("duplicate_keys")).select(
+            F.lit(t).alias("table_name"), F.lit(",".join(k)).alias("key_columns"),
+            F.col("duplicate_keys").cast("bigint"))
+        for t, k, _ in _UNIQUE_CHECKS
+    ]
+    return reduce(DataFrame.unionByName, outs)
+
+
+@product("dq_foreign_key", "Q5", O.with_claims("""
+SELECT 'claim_records' AS table_name, 'org_id' AS column_name,
+       CAST(count(*) FILTER (WHERE org_id IS NOT NULL AND org_id NOT IN (SELECT org_id FROM orgs)) AS BIGINT) AS failures
+FROM records
+UNION ALL
+SELECT 'app_users', 'org_id',
+       CAST(count(*) FILTER (WHERE org_id IS NOT NULL AND org_id NOT IN (SELECT org_id FROM orgs)) AS BIGINT) FROM users
+UNION ALL
+SELECT 'claims', 'denial_code',
+       CAST(count(*) FILTER (WHERE denial_code IS NOT NULL AND denial_code NOT IN (SELECT denial_code FROM seed)) AS BIGINT)
+FROM stg""", O.TENANT))
+def q_dq_foreign_key(spark, sf_dir):
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    orgs = fixture.organizations(spark, sf_dir)
+    checks = [
+        ("claim_records", "org_id", records(spark, sf_dir), orgs, "org_id"),
+        ("app_users", "org_id", fixture.app_users(spark, sf_dir), orgs, "org_id"),
+        ("claims", "denial_code", stg(spark, sf_dir), seed(spark), "denial_code"),
+    ]
+    outs = [
+        quality.foreign_key_failures(child.select(col), parent, col, pk).agg(F.count(F.lit(1)).alias("failures"))
+        .select(F.lit(t).alias("table_name"), F.lit(col).alias("column_name"), F.col("failures").cast("bigint"))
+        for t, col, child, parent, pk in checks
+    ]
+    return reduce(DataFrame.unionByName, outs)
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks round trips and consistency checks
+
+@product("claims_csv_roundtrip", "S1 K2 S9", O.with_claims("""
+SELECT status, CAST(count(*) AS BIGINT) AS claim_count, CAST(round(sum(billed_amount), 2) AS DOUBLE) AS billed,
+       CAST(round(sum(paid_amount), 2) AS DOUBLE) AS paid, CAST(count(days_to_resolve) AS BIGINT) AS decided
+FROM stg GROUP BY status"""))
+def q_claims_csv_roundtrip(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from claimlens.sinks.publish import new_scratch
+    from claimlens.sources.files import RAW_CLAIMS_SCHEMA, read_raw_claims_csv
+
+    path = new_scratch(spark, "raw_claims_csv")
+    raw = fixture.raw_claims(spark, sf_dir).select(*RAW_CLAIMS_SCHEMA.fieldNames())
+    raw.write.mode("overwrite").option("header", True).csv(path)
+    s = staging.stg_claims(read_raw_claims_csv(spark, path))
+    return s.groupBy("status").agg(
+        F.count(F.lit(1)).cast("bigint").alias("claim_count"),
+        F.round(F.sum("billed_amount"), 2).cast("double").alias("billed"),
+        F.round(F.sum("paid_amount"), 2).cast("double").alias("paid"),
+        F.count("days_to_resolve").cast("bigint").alias("decided"),
+    )
+
+
+def _published_scorecard(spark, sf_dir):
+    """Publish the scorecard document (K3) and read it back (S3)."""
+    from claimlens.sinks.publish import new_scratch, publish_json, scorecard_document
+    from claimlens.sources.files import SCORECARD_DOC_SCHEMA, read_report
+
+    s = stg(spark, sf_dir)
+    frame = scorecard.scorecard_frame(s, A)
+    doc = scorecard_document(scorecard.payer_scorecard(s, A), aging.ar_aging_matrix(s, A), aging.ar_summary(frame), A)
+    path = publish_json(doc, new_scratch(spark, "scorecard_doc"))
+    return s, read_report(spark, path, SCORECARD_DOC_SCHEMA)
+
+
+@product("report_json_roundtrip", "K3 S3 P8 P9", O.with_claims("""
+SELECT payer_rank AS rank, payer, grade, composite_score, denial_rate_pct AS denial_rate,
+       underpay_rate_pct AS underpay_rate, avg_days_to_resolve, pct_ar_90plus, total_billed, total_paid,
+       (SELECT CAST(count(*) AS BIGINT) FROM scorecard) AS summary_n_payers,
+       (SELECT payer FROM scorecard WHERE payer_rank = 1) AS summary_best_payer,
+       DATE '2001-08-02' AS as_of_date
+FROM scorecard""", O.SCORE))
+def q_report_json_roundtrip(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    _, doc = _published_scorecard(spark, sf_dir)
+    rows = doc.select(
+        F.to_date("as_of_date").alias("as_of_date"),
+        F.col("summary.n_payers").alias("summary_n_payers"),
+        F.col("summary.best_payer").alias("summary_best_payer"),
+        F.inline("scorecard"),
+    )
+    return rows
+
+
+@product("scorecard_diff", "Q7 J10 F7 X9 T24", O.with_claims("""
+SELECT payer, composite_score AS actual_score, composite_score AS published_score, grade AS actual_grade,
+       grade AS published_grade, payer_rank AS actual_rank, payer_rank AS published_rank, true AS ok
+FROM scorecard""", O.SCORE))
+def q_scorecard_diff(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    s, doc = _published_scorecard(spark, sf_dir)
+    published = doc.select(F.inline("scorecard"))
+    return quality.scorecard_diff(scorecard.payer_scorecard(s, A), published)
+
+
+_RECOVERY_SUMMARY_SQL = """
+summary AS (
+  SELECT CAST(coalesce(round(sum(recovery_potential), 0), 0) AS DOUBLE) AS total_recovery_potential,
+         CAST(coalesce(round(sum(recovery_potential) FILTER (WHERE recovery_confidence = 'High'), 0), 0) AS DOUBLE)
+           AS high_confidence_recovery,
+         CAST(coalesce(round(sum(recovery_potential) FILTER (WHERE category = 'Underpayment'), 0), 0) AS DOUBLE)
+           AS underpayment_recovery,
+         CAST(coalesce(round(sum(recovery_potential) FILTER (WHERE category = 'Denial appeal'), 0), 0) AS DOUBLE)
+           AS appeal_recovery,
+         CAST(count(*) AS DOUBLE) AS n_opportunities
+  FROM opp
+)"""
+
+
+@product("recovery_diff", "Q8 K4 U2 J11 F7", O.with_claims("\nUNION ALL\n".join(
+    f"SELECT '{m}' AS measure, {m} AS actual, {m} AS published, true AS ok FROM summary"
+    for m in ["total_recovery_potential", "underpayment_recovery", "appeal_recovery",
+              "high_confidence_recovery", "n_opportunities"]), O.OPP + "," + _RECOVERY_SUMMARY_SQL))
+def q_recovery_diff(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from claimlens.sinks.publish import new_scratch, publish_json, recovery_document
+    from claimlens.sources.files import RECOVERY_DOC_SCHEMA, read_report
+
+    s, sd = stg(spark, sf_dir), seed(spark)
+    summary = recovery.recovery_summary(s, sd)
+    doc = recovery_document(
+        summary,
+        recovery.top_opportunities(s, sd, PARAMS.top_k),
+        recovery.recovery_by(s, sd, ["payer"]),
+        recovery.recovery_by(s, sd, ["specialty"]),
+        recovery.recovery_by(s, sd, ["category", "reason"]),
+    )
+    path = publish_json(doc, new_scratch(spark, "recovery_doc"))
+    published = read_report(spark, path, RECOVERY_DOC_SCHEMA).select("summary.*")
+    return quality.recovery_diff(summary, published)
