@@ -42,8 +42,26 @@ def product(name: str, ids: str, oracle: str | None):
 PARAMS = Params()
 
 
+_REFS: dict = {}
+
+
+def ref(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Model reference (like a temp view): each relation is declared once per
+    session and input folder, and later products reuse the same lazy
+    DataFrame (nothing is cached; each product still reads the files)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _REFS:
+        _REFS[key] = build()
+    return _REFS[key]
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ref(spark, sf_dir, "raw_claims", lambda: fixture.raw_claims(spark, sf_dir))
+
+
 def stg(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
-    return staging.stg_claims(fixture.raw_claims(spark, sf_dir), keep=keep)
+    name = "stg_claims" + ("+" + ",".join(keep) if keep else "")
+    return ref(spark, sf_dir, name, lambda: staging.stg_claims(raw(spark, sf_dir), keep=keep))
 
 
 def wh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +74,15 @@ def seed(spark: SparkSession) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.claim_records(spark, sf_dir)
+    return ref(spark, sf_dir, "claim_records", lambda: fixture.claim_records_from(raw(spark, sf_dir)))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ref(spark, sf_dir, "app_users", lambda: fixture.app_users(spark, sf_dir))
+
+
+def payers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ref(spark, sf_dir, "payers", lambda: fixture.payers(spark, sf_dir))
 
 
 from claimlens.operators import aging, demo, denials, quality, recovery, reports, scorecard, tenant  # noqa: E402
@@ -90,7 +116,7 @@ FROM (SELECT payer_id, count(*) AS n, sum(CASE WHEN status = 'Denied' THEN 1 ELS
 JOIN payers p ON s.payer_id = p.payer_id
 GROUP BY p.payer_name"""))
 def q_denial_rate_by_payer_12m(spark, sf_dir):
-    return denials.denial_rate_by_payer(wh(spark, sf_dir), fixture.payers(spark, sf_dir), A, PARAMS.trailing_months)
+    return denials.denial_rate_by_payer(wh(spark, sf_dir), payers(spark, sf_dir), A, PARAMS.trailing_months)
 
 
 @product("ar_aging_claims", "G3 F3 X3 B1", O.with_claims(f"""
@@ -111,7 +137,7 @@ FROM (SELECT payer_id, billed_amount,
 JOIN payers p ON b.payer_id = p.payer_id
 GROUP BY p.payer_name, b.aging_bucket"""))
 def q_ar_aging_submission(spark, sf_dir):
-    return aging.ar_aging_by_payer(wh(spark, sf_dir), fixture.payers(spark, sf_dir), A)
+    return aging.ar_aging_by_payer(wh(spark, sf_dir), payers(spark, sf_dir), A)
 
 
 @product("underpayment_detection", "G5 J3 J4 J5 F5 X8", O.with_claims("""
@@ -123,7 +149,7 @@ JOIN (SELECT DISTINCT payer_id, specialty, expected_rate FROM claims) er
   ON er.payer_id = c.payer_id AND er.specialty = c.specialty
 WHERE c.status LIKE 'Paid%' AND c.paid_amount < (er.expected_rate * c.billed_amount) * 0.95"""))
 def q_underpayment_detection(spark, sf_dir):
-    claims = fixture.raw_claims(spark, sf_dir)
+    claims = raw(spark, sf_dir)
     return recovery.underpayment_detection(claims, fixture.expected_rates(spark, sf_dir), PARAMS.underpayment_tolerance)
 
 
@@ -483,14 +509,14 @@ def _records_report(df: DataFrame, extra=()) -> DataFrame:
 SELECT {_RECORD_SQL_COLUMNS}
 FROM records WHERE org_id IN (SELECT org_id FROM users WHERE user_id = {TENANT_USER})""", O.TENANT))
 def q_tenant_read(spark, sf_dir):
-    users = fixture.app_users(spark, sf_dir)
-    return _records_report(tenant.scoped_read(records(spark, sf_dir), users, TENANT_USER))
+    app_users = users(spark, sf_dir)
+    return _records_report(tenant.scoped_read(records(spark, sf_dir), app_users, TENANT_USER))
 
 
 @product("tenant_profile", "RL3", O.with_claims(f"""
 SELECT user_id, org_id, email, user_role FROM users WHERE user_id = {TENANT_USER}""", O.TENANT))
 def q_tenant_profile(spark, sf_dir):
-    return tenant.own_profile(fixture.app_users(spark, sf_dir), TENANT_USER)
+    return tenant.own_profile(users(spark, sf_dir), TENANT_USER)
 
 
 @product("tenant_visibility", "RL2", O.with_claims("""
@@ -499,7 +525,7 @@ SELECT u.user_id, CAST(coalesce(p.n, 0) AS BIGINT) AS visible_records,
 FROM users u LEFT JOIN (SELECT org_id, count(*) AS n, sum(charge_amount) AS c FROM records GROUP BY org_id) p
   ON p.org_id = u.org_id""", O.TENANT))
 def q_tenant_visibility(spark, sf_dir):
-    return tenant.visibility_summary(records(spark, sf_dir), fixture.app_users(spark, sf_dir))
+    return tenant.visibility_summary(records(spark, sf_dir), users(spark, sf_dir))
 
 
 _APPEND_SQL = """
@@ -512,14 +538,14 @@ WHERE {neg} EXISTS (SELECT 1 FROM users u WHERE u.user_id = r.submitted_by AND u
 @product("tenant_append_accepted", "RL4 K6", O.with_claims(
     _APPEND_SQL.format(cols=_RECORD_SQL_COLUMNS, neg=""), O.TENANT))
 def q_tenant_append_accepted(spark, sf_dir):
-    return _records_report(tenant.append_accepted(records(spark, sf_dir), fixture.app_users(spark, sf_dir)),
+    return _records_report(tenant.append_accepted(records(spark, sf_dir), users(spark, sf_dir)),
                            ["submitted_by"])
 
 
 @product("tenant_append_rejected", "RL4 RL5", O.with_claims(
     _APPEND_SQL.format(cols=_RECORD_SQL_COLUMNS, neg="NOT"), O.TENANT))
 def q_tenant_append_rejected(spark, sf_dir):
-    return _records_report(tenant.append_rejected(records(spark, sf_dir), fixture.app_users(spark, sf_dir)),
+    return _records_report(tenant.append_rejected(records(spark, sf_dir), users(spark, sf_dir)),
                            ["submitted_by"])
 
 
@@ -571,7 +597,7 @@ def _dq_spark(spark, sf_dir, check: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     frames = {"claims": stg(spark, sf_dir), "claim_records": records(spark, sf_dir),
-              "app_users": fixture.app_users(spark, sf_dir)}
+              "app_users": users(spark, sf_dir)}
     outs = [quality.summary(t, frames[t], **spec) for t, spec in _dq_specs().items()]
     return reduce(DataFrame.unionByName, outs).filter(F.col("check") == check)
 
@@ -614,7 +640,7 @@ def q_dq_unique(spark, sf_dir):
     frames = {
         "claims": stg(spark, sf_dir),
         "claim_records": records(spark, sf_dir),
-        "app_users": fixture.app_users(spark, sf_dir),
+        "app_users": users(spark, sf_dir),
         "appeal_success_rates": seed(spark),
         "expected_rates": fixture.expected_rates(spark, sf_dir),
     }
@@ -646,7 +672,7 @@ def q_dq_foreign_key(spark, sf_dir):
     orgs = fixture.organizations(spark, sf_dir)
     checks = [
         ("claim_records", "org_id", records(spark, sf_dir), orgs, "org_id"),
-        ("app_users", "org_id", fixture.app_users(spark, sf_dir), orgs, "org_id"),
+        ("app_users", "org_id", users(spark, sf_dir), orgs, "org_id"),
         ("claims", "denial_code", stg(spark, sf_dir), seed(spark), "denial_code"),
     ]
     outs = [
@@ -671,8 +697,8 @@ def q_claims_csv_roundtrip(spark, sf_dir):
     from claimlens.sources.files import RAW_CLAIMS_SCHEMA, read_raw_claims_csv
 
     path = new_scratch(spark, "raw_claims_csv")
-    raw = fixture.raw_claims(spark, sf_dir).select(*RAW_CLAIMS_SCHEMA.fieldNames())
-    raw.write.mode("overwrite").option("header", True).csv(path)
+    raw_df = raw(spark, sf_dir).select(*RAW_CLAIMS_SCHEMA.fieldNames())
+    raw_df.write.mode("overwrite").option("header", True).csv(path)
     s = staging.stg_claims(read_raw_claims_csv(spark, path))
     return s.groupBy("status").agg(
         F.count(F.lit(1)).cast("bigint").alias("claim_count"),
