@@ -788,3 +788,72 @@ def q_recovery_diff(spark, sf_dir):
     path = publish_json(doc, new_scratch(spark, "recovery_doc"))
     published = read_report(spark, path, RECOVERY_DOC_SCHEMA).select("summary.*")
     return quality.recovery_diff(summary, published)
+
+
+# ---------------------------------------------------------------------------
+# mart schema tests (the 15 unique / not_null / accepted_values tests)
+
+_MART_CTES = O.SCORE + "," + O.OPEN_AR + "," + O.OPP + f""",
+trend AS (
+  SELECT claim_month, {O.rd("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS denial_rate_pct
+  FROM stg GROUP BY claim_month
+),
+aging AS (SELECT payer, aging_bucket FROM oarb GROUP BY payer, aging_bucket)"""
+
+
+def _mart_test_sql() -> str:
+    def uniq(model, src, col):
+        return (f"SELECT '{model}' AS model, 'unique' AS \"check\", '{col}' AS column_name, "
+                f"CAST(count(*) AS BIGINT) AS failures FROM (SELECT {col} FROM {src} WHERE {col} IS NOT NULL "
+                f"GROUP BY {col} HAVING count(*) > 1)")
+
+    def nn(model, src, col):
+        return (f"SELECT '{model}', 'not_null', '{col}', CAST(count(*) FILTER (WHERE {col} IS NULL) AS BIGINT) "
+                f"FROM {src}")
+
+    def acc(model, src, col, vals):
+        lst = ", ".join(f"'{v}'" for v in vals)
+        return (f"SELECT '{model}', 'accepted_values', '{col}', "
+                f"CAST(count(*) FILTER (WHERE {col} IS NOT NULL AND {col} NOT IN ({lst})) AS BIGINT) FROM {src}")
+
+    parts = [
+        uniq("fct_monthly_denial_trend", "trend", "claim_month"),
+        nn("fct_monthly_denial_trend", "trend", "claim_month"),
+        nn("fct_monthly_denial_trend", "trend", "denial_rate_pct"),
+        nn("fct_ar_aging", "aging", "aging_bucket"),
+        acc("fct_ar_aging", "aging", "aging_bucket", ["0-30", "31-60", "61-90", "90+"]),
+        uniq("fct_payer_scorecard", "scorecard", "payer"),
+        nn("fct_payer_scorecard", "scorecard", "payer"),
+        nn("fct_payer_scorecard", "scorecard", "composite_score"),
+        acc("fct_payer_scorecard", "scorecard", "grade", ["A", "B", "C", "D"]),
+        uniq("fct_recovery_opportunities", "opp", "claim_id"),
+        nn("fct_recovery_opportunities", "opp", "claim_id"),
+        nn("fct_recovery_opportunities", "opp", "recovery_potential"),
+        acc("fct_recovery_opportunities", "opp", "category", ["Underpayment", "Denial appeal"]),
+        uniq("appeal_success_rates", "seed", "denial_code"),
+        nn("appeal_success_rates", "seed", "denial_code"),
+    ]
+    return O.with_claims("\nUNION ALL\n".join(parts), _MART_CTES)
+
+
+@product("dq_marts", "Q1 Q2 Q3", _mart_test_sql())
+def q_dq_marts(spark, sf_dir):
+    from claimlens.plans.build import mart_tests
+
+    s, sd = stg(spark, sf_dir), seed(spark)
+    return mart_tests(
+        denials.monthly_denial_trend(s),
+        aging.fct_ar_aging(s, A),
+        scorecard.payer_scorecard(s, A),
+        recovery.opportunities(s, sd),
+        sd,
+    )
+
+
+@product("recovery_ratios", "N5", O.with_claims(f"""
+SELECT {O.r("100.0 * (SELECT sum(recovery_potential) FROM opp) / nullif((SELECT sum(billed_amount) FROM stg), 0)", 2)}
+         AS recovery_pct_of_billed,
+       {O.r("100.0 * (SELECT sum(recovery_potential) FROM opp WHERE recovery_confidence = 'High') / nullif((SELECT sum(recovery_potential) FROM opp), 0)", 2)}
+         AS high_confidence_share_pct""", O.OPP))
+def q_recovery_ratios(spark, sf_dir):
+    return recovery.recovery_ratios(stg(spark, sf_dir), seed(spark))

@@ -135,3 +135,30 @@ def recovery_diff(actual: DataFrame, published: DataFrame) -> DataFrame:
     j = long(actual, "actual").join(long(published, "published"), "measure", "full_outer")
     ok = F.coalesce(F.abs(F.col("actual") - F.col("published")) <= tol[F.col("measure")], F.lit(False))
     return j.select("measure", "actual", "published", ok.alias("ok"))
+
+
+def profile(model: str, df: DataFrame, unique: str | None = None, not_null=(), accepted=None) -> DataFrame:
+    """All schema tests of one table in ONE pass: (model, check, column_name,
+    failures) rows for unique (on one key), not_null and accepted_values.
+
+    With a unique key the rows are grouped by it once (partial aggregation per
+    map task) and the null / accepted counts ride along in the same groups."""
+    accepted = accepted or {}
+    flags = [(("not_null", c), F.col(c).isNull()) for c in not_null]
+    flags += [(("accepted_values", c), F.col(c).isNotNull() & ~F.col(c).isin(*v)) for c, v in accepted.items()]
+    labels = [lab for lab, _ in flags]
+    if unique:
+        g = df.groupBy(unique).agg(
+            F.count(F.lit(1)).alias("_n"), *[F.count_if(cond).alias(f"_f{i}") for i, (_, cond) in enumerate(flags)]
+        )
+        aggs = [F.count_if(F.col(unique).isNotNull() & (F.col("_n") > 1)).alias("_u")]
+        aggs += [F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(flags))]
+        row = g.agg(*aggs)
+        labels = [("unique", unique)] + labels
+        cols = ["_u"] + [f"_f{i}" for i in range(len(flags))]
+    else:
+        row = df.agg(*[F.count_if(cond).alias(f"_f{i}") for i, (_, cond) in enumerate(flags)])
+        cols = [f"_f{i}" for i in range(len(flags))]
+    stack = ", ".join(f"'{chk}', '{col}', CAST(coalesce(`{c}`, 0) AS BIGINT)" for (chk, col), c in zip(labels, cols))
+    out = row.selectExpr(f"stack({len(labels)}, {stack}) as (check, column_name, failures)")
+    return out.select(F.lit(model).alias("model"), "check", "column_name", "failures")

@@ -222,3 +222,22 @@ def underpayment_detection(
         F.col("expected_rate").cast("double").alias("expected_rate"),
         F.round(contracted - F.col("paid_amount"), 2).cast("double").alias("underpayment_gap"),
     ).orderBy(F.desc("underpayment_gap"), "claim_id")
+
+
+def recovery_ratios(stg: DataFrame, seed: DataFrame) -> DataFrame:
+    """Recoverable dollars as % of all billed, and the high-confidence
+    share of the recoverable dollars (one pass over the claims)."""
+    from claimlens.functions.rounding import rpt
+
+    s = with_recovery(stg, seed)
+    rec = F.when(F.col("category").isNotNull(), F.col("recovery_potential"))
+    g = s.agg(
+        F.sum(rec).alias("r"),
+        F.sum(F.when(F.col("recovery_confidence") == "High", rec)).alias("h"),
+        F.sum("billed_amount").alias("b"),
+    )
+    nz = lambda c: F.when(F.col(c) != 0, F.col(c))
+    return g.select(
+        rpt(F.try_divide(F.col("r") * F.lit(100), nz("b")), 2).alias("recovery_pct_of_billed"),
+        rpt(F.try_divide(F.col("h") * F.lit(100), nz("r")), 2).alias("high_confidence_share_pct"),
+    )

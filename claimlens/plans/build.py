@@ -45,28 +45,16 @@ def stage_to_table(raw: DataFrame, path: str, num_partitions: int | None = None)
 
 def mart_tests(trend: DataFrame, ar: DataFrame, score: DataFrame, opp: DataFrame, seed: DataFrame) -> DataFrame:
     """The mart schema tests: unique / not_null / accepted_values, as
-    (model, check, column_name, failures) rows."""
-
-    def uniq(model, df, col):
-        n = quality.unique_failures(df, [col]).agg(F.count(F.lit(1)).alias("failures"))
-        return n.select(F.lit(model).alias("model"), F.lit("unique").alias("check"), F.lit(col).alias("column_name"),
-                        F.col("failures").cast("bigint"))
-
-    def checks(model, df, not_null=(), accepted=None):
-        s = quality.summary(model, df, not_null=not_null, accepted=accepted or {})
-        return s.select(F.col("table_name").alias("model"), "check", "column_name", "failures")
-
+    (model, check, column_name, failures) rows; one aggregate pass per table."""
     parts = [
-        uniq("fct_monthly_denial_trend", trend, "claim_month"),
-        checks("fct_monthly_denial_trend", trend, not_null=["claim_month", "denial_rate_pct"]),
-        checks("fct_ar_aging", ar, not_null=["aging_bucket"], accepted={"aging_bucket": P.AGING_BUCKETS}),
-        uniq("fct_payer_scorecard", score, "payer"),
-        checks("fct_payer_scorecard", score, not_null=["payer", "composite_score"], accepted={"grade": P.GRADES}),
-        uniq("fct_recovery_opportunities", opp, "claim_id"),
-        checks("fct_recovery_opportunities", opp, not_null=["claim_id", "recovery_potential"],
-               accepted={"category": P.CATEGORIES}),
-        uniq("appeal_success_rates", seed, "denial_code"),
-        checks("appeal_success_rates", seed, not_null=["denial_code"]),
+        quality.profile("fct_monthly_denial_trend", trend, unique="claim_month",
+                        not_null=["claim_month", "denial_rate_pct"]),
+        quality.profile("fct_ar_aging", ar, not_null=["aging_bucket"], accepted={"aging_bucket": P.AGING_BUCKETS}),
+        quality.profile("fct_payer_scorecard", score, unique="payer", not_null=["payer", "composite_score"],
+                        accepted={"grade": P.GRADES}),
+        quality.profile("fct_recovery_opportunities", opp, unique="claim_id",
+                        not_null=["claim_id", "recovery_potential"], accepted={"category": P.CATEGORIES}),
+        quality.profile("appeal_success_rates", seed, unique="denial_code", not_null=["denial_code"]),
     ]
     out = parts[0]
     for p in parts[1:]:
