@@ -1,0 +1,23 @@
+"""Incremental staging: new extract files are staged once, none twice."""
+
+from claimlens import catalog
+from claimlens.sources.files import RAW_CLAIMS_SCHEMA
+from claimlens.streaming.ingest import run_once
+
+from conftest import SF_SMALL
+
+
+def test_incremental_staging_exactly_once(spark, tmp_path):
+    raw = catalog.raw(spark, SF_SMALL).select(*RAW_CLAIMS_SCHEMA.fieldNames())
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "stg"), str(tmp_path / "ckpt")
+    first = raw.filter("claim_date < DATE'1998-01-01'")
+    second = raw.filter("claim_date >= DATE'1998-01-01'")
+    first.coalesce(2).write.option("header", True).csv(f"{src}/batch1")
+    n1 = run_once(spark, f"{src}/*", out, ckpt)
+    assert n1 == first.count()
+    second.coalesce(2).write.option("header", True).csv(f"{src}/batch2")
+    n2 = run_once(spark, f"{src}/*", out, ckpt)
+    assert n2 == raw.count()
+    assert run_once(spark, f"{src}/*", out, ckpt) == raw.count()  # nothing new: nothing added
+    staged = spark.read.parquet(out)
+    assert staged.select("claim_id").distinct().count() == raw.count()
