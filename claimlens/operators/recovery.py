@@ -43,8 +43,14 @@ OPPORTUNITY_COLUMNS = [
 
 
 def appeal_rates(spark: SparkSession) -> DataFrame:
-    """The appeal-success-rate seed as a local relation (8 rows)."""
-    return spark.createDataFrame(P.APPEAL_SUCCESS_RATES, SEED_SCHEMA)
+    """The appeal-success-rate seed as a SQL ``VALUES`` local relation: its
+    exact size statistics let Catalyst broadcast it to every join (a frame
+    made with ``createDataFrame`` from a list carries no statistics and would
+    be planned as a sort-merge join that shuffles the claims)."""
+    rows = ", ".join(
+        f"('{code}', '{label}', CAST({rate} AS DOUBLE))" for code, label, rate in P.APPEAL_SUCCESS_RATES
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS seed(denial_code, denial_reason_label, appeal_success_rate)")
 
 
 def with_recovery(stg: DataFrame, seed: DataFrame) -> DataFrame:

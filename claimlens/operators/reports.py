@@ -59,3 +59,17 @@ def money_labels(df: DataFrame, key: str, money: str, rate: str) -> DataFrame:
         fmt.money_k_text(money).alias("money_k_text"),
         fmt.pct_text(rate).alias("pct_text"),
     )
+
+
+def labels(df: DataFrame, month: str, money: str, rate: str) -> DataFrame:
+    """X15-X17 + X19 in one projection: month label/key/parsed key and the
+    money and percent texts of each row."""
+    return df.select(
+        month,
+        fmt.month_label(month).alias("month_label"),
+        fmt.month_key(month).alias("month_key"),
+        fmt.month_from_key(fmt.month_key(month)).alias("month_parsed"),
+        fmt.money_text(money).alias("money_text"),
+        fmt.money_k_text(money).alias("money_k_text"),
+        fmt.pct_text(rate).alias("pct_text"),
+    )

@@ -21,6 +21,7 @@ from claimlens import params as P
 from claimlens.plans.joins import sized_broadcast
 
 MAX_ORGS_PER_USER = 100_000
+MAX_ORGS = 1_000_000
 
 
 def orgs_of(users: DataFrame, user_id) -> DataFrame:
@@ -76,6 +77,7 @@ def visibility_summary(records: DataFrame, users: DataFrame) -> DataFrame:
     Records are first reduced to one row per org, so the join to users is
     (users x 1) rows, never users x records."""
     per_org = records.groupBy("org_id").agg(F.count(F.lit(1)).alias("n"), F.sum("charge_amount").alias("c"))
+    per_org = sized_broadcast(per_org, MAX_ORGS)
     return users.select("user_id", "org_id").join(per_org, "org_id", "left").select(
         "user_id",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("visible_records"),

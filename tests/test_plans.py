@@ -18,8 +18,11 @@ def test_underpayment_detection_is_a_hash_join_not_nested_loop(spark):
 
 
 def test_seed_join_is_broadcast(spark):
-    plan = physical_plan(recovery.opportunities(catalog.stg(spark, SF_SMALL), recovery.appeal_rates(spark)))
-    assert "BroadcastHashJoin" in plan
+    for df in (recovery.opportunities(catalog.stg(spark, SF_SMALL), recovery.appeal_rates(spark)),
+               denials.reason_breakdown(catalog.stg(spark, SF_SMALL), recovery.appeal_rates(spark))):
+        plan = physical_plan(df)
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert "BroadcastHashJoin LeftOuter" in plan
 
 
 def test_recovery_rank_has_no_single_partition_exchange_over_claims(spark):
