@@ -107,6 +107,10 @@ def append_run(spark: SparkSession, runs_path: str, org_ids: DataFrame, payload:
     """K5: append one report_runs row per org with an opaque JSON payload
     (``payload`` is a one-row frame; it is serialised with ``to_json``).
     The one-row payload is broadcast to the org rows (size fixed: one row)."""
+    from claimlens.plans.joins import bounded_count
+
+    if bounded_count(payload, 1) != 1:
+        raise ValueError("a run payload must be exactly one row")
     p = payload.select(F.to_json(F.struct(*payload.columns)).alias("summary_payload"), F.lit(1).alias("_k"))
     runs = org_ids.select("org_id", F.lit(1).alias("_k")).join(F.broadcast(p), "_k").select(
         F.expr("uuid()").alias("run_id"), "org_id", F.current_timestamp().alias("run_at"), "summary_payload"
