@@ -83,3 +83,27 @@ def visibility_summary(records: DataFrame, users: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(0)).cast("bigint").alias("visible_records"),
         F.coalesce(F.round("c", 2), F.lit(0)).cast("double").alias("visible_charges"),
     )
+
+
+WRITE_ACTIONS = ["insert", "update", "delete"]
+TENANT_TABLES = ["organizations", "app_users", "claim_records", "report_runs"]
+
+
+def denied_writes(users: DataFrame) -> DataFrame:
+    """RL4 + RL5 as a permission matrix: for every user, each write action on
+    each tenant table that is denied. A write passes only if the policy
+    allows the (table, action) pair and, for claim inserts, the user is an
+    admin or analyst (the per-row org check is :func:`append_accepted`).
+
+    Each user row is expanded with a generator over the fixed 12 (table,
+    action) pairs — a per-row explode, not a join."""
+    pairs = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(a).alias("action"))
+                      for t in TENANT_TABLES for a in WRITE_ACTIONS])
+    x = users.select("user_id", "user_role", F.inline(pairs))
+    policy = None
+    for t, a in sorted(P.ALLOWED_ACTIONS):
+        cond = (F.col("table_name") == t) & (F.col("action") == a)
+        policy = cond if policy is None else (policy | cond)
+    writer = F.col("user_role").isin(*P.WRITER_ROLES)
+    ok = policy & F.when(F.col("action") == "insert", writer).otherwise(F.lit(True))
+    return x.filter(~F.coalesce(ok, F.lit(False))).select("user_id", "table_name", "action")
