@@ -33,11 +33,12 @@ class BuildResult:
     recovery_check: DataFrame
 
 
-def stage_to_table(raw: DataFrame, path: str, num_partitions: int | None = None) -> DataFrame:
+def stage_to_table(raw: DataFrame, path: str, num_partitions: int | None = None,
+                   keep: tuple[str, ...] = ("payer_id",)) -> DataFrame:
     """Write staged claims partitioned by month and return a reader on it."""
     spark = raw.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stg = staging.stg_claims(raw, keep=["payer_id"])
+    stg = staging.stg_claims(raw, keep=list(keep))
     laid_out = stg.repartitionByRange(n, "claim_month", "claim_id").sortWithinPartitions("claim_month", "claim_id")
     publish.write_table(laid_out, path, partition_by=["claim_month"])
     return spark.read.parquet(path)
