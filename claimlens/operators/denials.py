@@ -38,7 +38,12 @@ def denial_rate_by_payer(
     touches #payers rows); the plain form joins first. Both group by
     ``payer_name`` at the end, so they agree even if two ids share a name.
     """
-    window = claims.filter(F.col("claim_date") >= trailing_start(as_of, months)).select("payer_id", "status")
+    start = trailing_start(as_of, months)
+    in_window = F.col("claim_date") >= start
+    if "claim_month" in claims.columns:
+        # implied by the date bound; lets a month-partitioned table skip folders
+        in_window = in_window & (F.col("claim_month") >= F.trunc(start, "MM"))
+    window = claims.filter(in_window).select("payer_id", "status")
     denied = (F.col("status") == P.STATUS_DENIED).cast("int")
     if pre_aggregate:
         per_id = window.groupBy("payer_id").agg(
@@ -187,5 +192,8 @@ def slice_claims(stg: DataFrame, payer=None, specialty=None, period=None) -> Dat
         out = out.filter(F.col("specialty").isin(*([specialty] if isinstance(specialty, str) else specialty)))
     if period is not None:
         start, end = period
-        out = out.filter((F.col("claim_date") >= F.lit(start)) & (F.col("claim_date") < F.lit(end)))
+        cond = (F.col("claim_date") >= F.lit(start)) & (F.col("claim_date") < F.lit(end))
+        if "claim_month" in stg.columns:  # implied; prunes month folders
+            cond = cond & (F.col("claim_month") >= F.trunc(F.lit(start), "MM")) & (F.col("claim_month") < F.lit(end))
+        out = out.filter(cond)
     return out
