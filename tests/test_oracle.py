@@ -45,3 +45,16 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fixture_sanity_products(spark):
+    """Counts published for the derived fixture at sf0.001."""
+    from pyspark.sql import functions as F
+
+    R = catalog.REGISTRY
+    grades = {r["grade"]: r["count"] for r in R["payer_scorecard"].fn(spark, SF_SMALL).groupBy("grade").count().collect()}
+    assert grades == {"B": 2, "C": 12, "D": 11}
+    assert round(R["kpi_denial"].fn(spark, SF_SMALL).first()["total_billed"]) == 374446792
+    assert R["ar_aging_decision"].fn(spark, SF_SMALL).count() == 94
+    assert R["recovery_opportunities"].fn(spark, SF_SMALL).count() == 440
+    assert R["underpayment_detection"].fn(spark, SF_SMALL).count() == 215
