@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.dates import month_start
-from claimlens.functions.rounding import dsum, pct, rpt
+from claimlens.functions.rounding import pct, rpt
 
 DECIDED = ["paid", "denied"]
 

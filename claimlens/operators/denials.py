@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from claimlens import params as P
 from claimlens.functions.bands import specialty_severity
 from claimlens.functions.dates import trailing_start
-from claimlens.functions.rounding import dsum, pct, rnd, rpt
+from claimlens.functions.rounding import pct, rnd, rpt
 
 
 # --- G2: denial rate by payer over a trailing window -------------------------------

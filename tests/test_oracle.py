@@ -49,8 +49,6 @@ def test_entry_contract(spark):
 
 def test_fixture_sanity_products(spark):
     """Counts published for the derived fixture at sf0.001."""
-    from pyspark.sql import functions as F
-
     R = catalog.REGISTRY
     grades = {r["grade"]: r["count"] for r in R["payer_scorecard"].fn(spark, SF_SMALL).groupBy("grade").count().collect()}
     assert grades == {"B": 2, "C": 12, "D": 11}
