@@ -49,7 +49,11 @@ def ref(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFra
     """Model reference (like a temp view): each relation is declared once per
     session and input folder, and later products reuse the same lazy
     DataFrame (nothing is cached; each product still reads the files)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    try:
+        session_key = spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext handle
+        session_key = id(spark)
+    key = (session_key, sf_dir.rstrip("/"), name)
     if key not in _REFS:
         _REFS[key] = build()
     return _REFS[key]

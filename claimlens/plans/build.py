@@ -41,7 +41,8 @@ def stage_to_table(raw: DataFrame, path: str, num_partitions: int | None = None,
     stg = staging.stg_claims(raw, keep=list(keep))
     laid_out = stg.repartitionByRange(n, "claim_month", "claim_id").sortWithinPartitions("claim_month", "claim_id")
     publish.write_table(laid_out, path, partition_by=["claim_month"])
-    return spark.read.parquet(path)
+    # read back with the written schema (no partition-type inference)
+    return spark.read.schema(stg.schema).parquet(path)
 
 
 def mart_tests(trend: DataFrame, ar: DataFrame, score: DataFrame, opp: DataFrame, seed: DataFrame) -> DataFrame:

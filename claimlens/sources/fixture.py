@@ -66,7 +66,7 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array(*[F.lit(code) for code, _, _ in P.APPEAL_SUCCESS_RATES])
     labels = F.array(*[F.lit(label) for _, label, _ in P.APPEAL_SUCCESS_RATES])
     dm, dmod = DENIAL_HASH
-    code_idx = ((k * dm + payer_id) % dmod).cast("int") + 1
+    code_idx = F.pmod(k * dm + payer_id, F.lit(dmod)).cast("int") + 1
     tm, tmod, toff = DAYS_HASH
 
     base = j.select(
@@ -158,7 +158,7 @@ def app_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("user_id"),
         (F.col("c_custkey") % 5).cast("int").alias("org_id"),
         F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.org")).alias("email"),
-        F.element_at(roles, (F.col("c_custkey") % 3).cast("int") + 1).alias("user_role"),
+        F.element_at(roles, F.pmod(F.col("c_custkey"), F.lit(3)).cast("int") + 1).alias("user_role"),
     )
 
 
