@@ -82,3 +82,13 @@ def test_distributed_row_number_on_opportunities_matches_window(spark):
     a = distributed_row_number(opp, recovery.rank_order(), "rn")
     b = opp.withColumn("rn2", F.row_number().over(Window.orderBy(*recovery.rank_order())))
     assert a.join(b.select("claim_id", "rn2"), "claim_id").filter("rn != rn2").count() == 0
+
+
+def test_no_product_plans_a_cartesian_or_nested_loop_join(spark):
+    bad = {}
+    for name, prod in catalog.REGISTRY.items():
+        plan = physical_plan(prod.fn(spark, SF_SMALL))
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {}

@@ -88,3 +88,32 @@ def test_listing_ordered_by_service_date(spark):
         "external_ref string, service_date date")
     assert [r["external_ref"] for r in demo.listing(rec).collect()] == ["c", "a", "b"]
     assert [r["external_ref"] for r in demo.listing(rec, 2).collect()] == ["c", "a"]
+
+
+def test_hot_user_append_semi_join_is_split_by_aqe(spark):
+    n, hot = 60000, 20000
+    batch = spark.range(n).select(
+        F.col("id").alias("record_id"),
+        F.when(F.col("id") < hot, F.lit(7)).otherwise(F.col("id") % 5000 + 10).alias("submitted_by"),
+        F.when(F.col("id") < hot, F.lit(2)).otherwise((F.col("id") % 5000 + 10) % 5).cast("int").alias("org_id"),
+    )
+    users = spark.range(5, 5020).select(
+        F.col("id").alias("user_id"), (F.col("id") % 5).cast("int").alias("org_id"),
+        F.when(F.col("id") % 3 == 2, "viewer").otherwise("admin").alias("user_role"))
+    with conf(spark, **{
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16384",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }):
+        acc = tenant.append_accepted(batch, users).select("record_id")
+        got = len(acc.collect())
+        plan = physical_plan(acc)
+    # user 7 is an analyst-or-admin of org 2 (7 % 5 == 2, 7 % 3 == 1) -> all hot rows accepted
+    expected = hot + batch.filter(F.col("record_id") >= hot).join(
+        users.filter("user_role != 'viewer'").withColumnRenamed("user_id", "submitted_by"),
+        ["submitted_by", "org_id"], "left_semi").count()
+    assert got == expected
+    assert "SortMergeJoin(skew=true) LeftSemi" in plan
