@@ -1,8 +1,8 @@
 """The end-to-end build (stage -> marts -> tests -> publish), as one plan.
 
 1. Stage the raw extract once and write it as parquet partitioned by
-   ``claim_month`` (range-partitioned on (claim_month, claim_id) first, so each
-   task writes a few month folders and no task holds a whole hot month).
+   ``claim_month`` (rebalanced by month first: AQE sizes the write tasks, so
+   each task writes few folders and a hot month is split across tasks).
    Every mart then reads that table: lineage is cut, date filters prune
    month folders, and column pruning reaches the files.
 2. Build the four marts and write them (full refresh).
@@ -33,13 +33,16 @@ class BuildResult:
     recovery_check: DataFrame
 
 
-def stage_to_table(raw: DataFrame, path: str, num_partitions: int | None = None,
-                   keep: tuple[str, ...] = ("payer_id",)) -> DataFrame:
-    """Write staged claims partitioned by month and return a reader on it."""
+def stage_to_table(raw: DataFrame, path: str, keep: tuple[str, ...] = ("payer_id",)) -> DataFrame:
+    """Write staged claims partitioned by month and return a reader on it.
+
+    The ``rebalance`` hint hash-distributes rows by month and lets AQE size
+    the write tasks from the data: small months are coalesced, and a hot
+    month (even a third of all claims) is split into ~advisory-size pieces,
+    so each task writes few, evenly sized files."""
     spark = raw.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stg = staging.stg_claims(raw, keep=list(keep))
-    laid_out = stg.repartitionByRange(n, "claim_month", "claim_id").sortWithinPartitions("claim_month", "claim_id")
+    laid_out = stg.hint("rebalance", "claim_month")
     publish.write_table(laid_out, path, partition_by=["claim_month"])
     # read back with the written schema (no partition-type inference)
     return spark.read.schema(stg.schema).parquet(path)

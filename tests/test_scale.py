@@ -117,3 +117,30 @@ def test_hot_user_append_semi_join_is_split_by_aqe(spark):
         ["submitted_by", "org_id"], "left_semi").count()
     assert got == expected
     assert "SortMergeJoin(skew=true) LeftSemi" in plan
+
+
+def test_staging_write_splits_a_hot_month(spark, tmp_path):
+    import os
+
+    from claimlens.plans.build import stage_to_table
+
+    n = 60000
+    raw = spark.range(n).select(
+        F.format_string("CLM-%08d", "id").alias("claim_id"),
+        F.when(F.col("id") < n // 3, F.lit(dt.date(1998, 3, 14)))
+         .otherwise(F.date_add(F.lit(dt.date(1996, 1, 1)), (F.col("id") % 900).cast("int"))).alias("claim_date"),
+        (F.col("id") % 25).cast("int").alias("payer_id"),
+        F.lit("NATION_1").alias("payer"), F.lit("BUILDING").alias("specialty"),
+        F.lit(100).cast("decimal(12,2)").alias("billed_amount"), F.lit(0).cast("decimal(12,2)").alias("paid_amount"),
+        F.lit("Pending").alias("status"), F.lit(None).cast("string").alias("denial_code"),
+        F.lit(None).cast("string").alias("denial_reason"), F.lit(None).cast("double").alias("days_to_resolve"),
+        F.lit(None).cast("decimal(12,2)").alias("underpayment_gap"),
+    )
+    path = str(tmp_path / "stg")
+    with conf(spark, **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536"}):
+        staged = stage_to_table(raw, path)
+    hot = os.path.join(path, "claim_month=1998-03-01")
+    files = [f for f in os.listdir(hot) if f.endswith(".parquet")]
+    assert len(files) > 1  # the hot month was written by several tasks
+    assert staged.count() == n
+    assert staged.filter("claim_month = DATE'1998-03-01'").count() >= n // 3
