@@ -3,19 +3,20 @@
 ``row_number() over (order by ...)`` with no partition key moves every row
 into one task. Instead:
 
-1. range-partition the rows on the full sort key into ``n`` partitions
-   (Spark samples the key to choose balanced boundaries; because the key
-   ends with a unique tie-breaker, no single value can overload a
-   partition, even one value held by a third of all rows), sort within each
-   partition, and ``checkpoint()`` the result to the shared checkpoint
-   folder. The checkpoint fixes which row sits in which partition and in
+1. sort globally on the full sort key: a range exchange (Spark samples the
+   key to choose balanced boundaries; AQE may coalesce small ranges) plus a
+   sort within each partition. Because the key ends with a unique
+   tie-breaker, no single value can overload a partition, even one held by
+   a third of all rows. The sorted frame is ``checkpoint()``-ed to the shared
+   checkpoint folder, which fixes which row sits in which partition and in
    what order: both uses below read the same files, and a lost executor
    re-reads them instead of re-sampling new boundaries;
 2. each row's position inside its partition comes from
    ``monotonically_increasing_id()`` (partition index in the upper bits,
    position in the lower 33 bits);
-3. count rows per partition (``n`` rows), turn the counts into running
-   offsets, and broadcast that n-row table (its size is fixed by ``n``);
+3. count rows per partition (one row per partition), turn the counts into
+   running offsets, and broadcast that table (its size is the partition
+   count, fixed once the checkpoint is written);
 4. rank = offset of the partition + position + 1.
 """
 
@@ -42,8 +43,12 @@ def distributed_row_number(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    if num_partitions:
+        ranged = df.repartitionByRange(num_partitions, *order).sortWithinPartitions(*order)
+    else:
+        # a global sort: range partitions whose count AQE may coalesce to the data size
+        ranged = df.orderBy(*order)
+    ranged = ranged.checkpoint(eager=True)
     ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
