@@ -1,8 +1,9 @@
 """Registry of the data products: name -> (Spark query, DuckDB oracle SQL).
 
 Each Spark query is ``(spark, sf_dir) -> DataFrame`` and reads the warehouse
-tables of ``sf_dir`` in full. ``oracle`` is None for products with no SQL
-oracle (they are checked against brute force in tests instead).
+tables of ``sf_dir`` in full (through the staged claims table that the first
+product of a session writes, see :func:`stg`). ``oracle`` is the independent
+DuckDB SQL of the product (every registered product has one).
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ _REFS: dict = {}
 
 
 def ref(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Model reference (like a temp view): each relation is declared once per
-    session and input folder, and later products reuse the same lazy
-    DataFrame (nothing is cached; each product still reads the files)."""
+    """Model reference: each relation is declared once per session and input
+    folder, and later products reuse the same DataFrame (a lazy plan, or for
+    the staged claims a reader on the table written once)."""
     try:
         session_key = spark.sparkContext.applicationId
     except Exception:  # sessions without a SparkContext handle
