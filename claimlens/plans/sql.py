@@ -11,23 +11,27 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.operators import recovery, staging
+from claimlens.operators import recovery
 from claimlens.sources import fixture
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
-    raw = fixture.raw_claims(spark, sf_dir)
+    """Register the views over the session's staged claims (written once,
+    see ``catalog.stg``) and the dimension tables of ``sf_dir``."""
+    from claimlens import catalog
+
+    stg = catalog.stg(spark, sf_dir)
     views = {
-        "claims": raw.select(
+        "claims": stg.select(
             "claim_id", "payer_id", "specialty", "claim_date", F.col("status").alias("claim_status"),
-            "billed_amount", "paid_amount",
+            "billed_amount", "paid_amount", "claim_month",  # claim_month: the table's partition key
         ),
-        "payers": fixture.payers(spark, sf_dir),
+        "payers": catalog.payers(spark, sf_dir),
         "expected_rates": fixture.expected_rates(spark, sf_dir),
-        "stg_claims": staging.stg_claims(raw, keep=["payer_id"]),
+        "stg_claims": stg,
         "appeal_success_rates": recovery.appeal_rates(spark),
-        "claim_records": fixture.claim_records_from(raw),
-        "app_users": fixture.app_users(spark, sf_dir),
+        "claim_records": catalog.records(spark, sf_dir),
+        "app_users": catalog.users(spark, sf_dir),
         "organizations": fixture.organizations(spark, sf_dir),
     }
     for name, df in views.items():
