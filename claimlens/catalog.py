@@ -203,7 +203,7 @@ SELECT payer, aging_bucket,
        CAST(round(sum(billed_amount), 2) AS DOUBLE) AS billed_in_bucket
 FROM oarb GROUP BY payer, aging_bucket""", O.OPEN_AR))
 def q_ar_aging_decision(spark, sf_dir):
-    return aging.fct_ar_aging(stg(spark, sf_dir), A, "decision")
+    return aging.ar_aging(stg(spark, sf_dir), A, "decision")
 
 
 @product("payer_scorecard", "G9 N1 W3 W4 B3 A3 A6 J8", O.with_claims("SELECT * FROM scorecard", O.SCORE))
@@ -839,19 +839,19 @@ def _mart_test_sql() -> str:
                 f"CAST(count(*) FILTER (WHERE {col} IS NOT NULL AND {col} NOT IN ({lst})) AS BIGINT) FROM {src}")
 
     parts = [
-        uniq("fct_monthly_denial_trend", "trend", "claim_month"),
-        nn("fct_monthly_denial_trend", "trend", "claim_month"),
-        nn("fct_monthly_denial_trend", "trend", "denial_rate_pct"),
-        nn("fct_ar_aging", "aging", "aging_bucket"),
-        acc("fct_ar_aging", "aging", "aging_bucket", ["0-30", "31-60", "61-90", "90+"]),
-        uniq("fct_payer_scorecard", "scorecard", "payer"),
-        nn("fct_payer_scorecard", "scorecard", "payer"),
-        nn("fct_payer_scorecard", "scorecard", "composite_score"),
-        acc("fct_payer_scorecard", "scorecard", "grade", ["A", "B", "C", "D"]),
-        uniq("fct_recovery_opportunities", "opp", "claim_id"),
-        nn("fct_recovery_opportunities", "opp", "claim_id"),
-        nn("fct_recovery_opportunities", "opp", "recovery_potential"),
-        acc("fct_recovery_opportunities", "opp", "category", ["Underpayment", "Denial appeal"]),
+        uniq("monthly_denial_trend", "trend", "claim_month"),
+        nn("monthly_denial_trend", "trend", "claim_month"),
+        nn("monthly_denial_trend", "trend", "denial_rate_pct"),
+        nn("ar_aging_decision", "aging", "aging_bucket"),
+        acc("ar_aging_decision", "aging", "aging_bucket", ["0-30", "31-60", "61-90", "90+"]),
+        uniq("payer_scorecard", "scorecard", "payer"),
+        nn("payer_scorecard", "scorecard", "payer"),
+        nn("payer_scorecard", "scorecard", "composite_score"),
+        acc("payer_scorecard", "scorecard", "grade", ["A", "B", "C", "D"]),
+        uniq("recovery_opportunities", "opp", "claim_id"),
+        nn("recovery_opportunities", "opp", "claim_id"),
+        nn("recovery_opportunities", "opp", "recovery_potential"),
+        acc("recovery_opportunities", "opp", "category", ["Underpayment", "Denial appeal"]),
         uniq("appeal_success_rates", "seed", "denial_code"),
         nn("appeal_success_rates", "seed", "denial_code"),
     ]
@@ -865,7 +865,7 @@ def q_dq_marts(spark, sf_dir):
     s, sd = stg(spark, sf_dir), seed(spark)
     return mart_tests(
         denials.monthly_denial_trend(s),
-        aging.fct_ar_aging(s, A),
+        aging.ar_aging(s, A),
         scorecard.payer_scorecard(s, A),
         recovery.opportunities(s, sd),
         sd,

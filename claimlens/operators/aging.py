@@ -78,7 +78,7 @@ def open_ar(stg: DataFrame, as_of: dt.date, clock: str = "decision") -> DataFram
     ).withColumn("aging_bucket", aging_bucket("days_outstanding"))
 
 
-def fct_ar_aging(stg: DataFrame, as_of: dt.date, clock: str = "decision") -> DataFrame:
+def ar_aging(stg: DataFrame, as_of: dt.date, clock: str = "decision") -> DataFrame:
     """Open AR by payer and bucket (decision clock by default)."""
     g = open_ar(stg, as_of, clock).groupBy("payer", "aging_bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum("billed_amount").alias("s")

@@ -52,12 +52,12 @@ def mart_tests(trend: DataFrame, ar: DataFrame, score: DataFrame, opp: DataFrame
     """The mart schema tests: unique / not_null / accepted_values, as
     (model, check, column_name, failures) rows; one aggregate pass per table."""
     parts = [
-        quality.profile("fct_monthly_denial_trend", trend, unique="claim_month",
+        quality.profile("monthly_denial_trend", trend, unique="claim_month",
                         not_null=["claim_month", "denial_rate_pct"]),
-        quality.profile("fct_ar_aging", ar, not_null=["aging_bucket"], accepted={"aging_bucket": P.AGING_BUCKETS}),
-        quality.profile("fct_payer_scorecard", score, unique="payer", not_null=["payer", "composite_score"],
+        quality.profile("ar_aging_decision", ar, not_null=["aging_bucket"], accepted={"aging_bucket": P.AGING_BUCKETS}),
+        quality.profile("payer_scorecard", score, unique="payer", not_null=["payer", "composite_score"],
                         accepted={"grade": P.GRADES}),
-        quality.profile("fct_recovery_opportunities", opp, unique="claim_id",
+        quality.profile("recovery_opportunities", opp, unique="claim_id",
                         not_null=["claim_id", "recovery_potential"], accepted={"category": P.CATEGORIES}),
         quality.profile("appeal_success_rates", seed, unique="denial_code", not_null=["denial_code"]),
     ]
@@ -75,22 +75,22 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     seed = recovery.appeal_rates(spark)
 
     marts = {
-        "fct_monthly_denial_trend": denials.monthly_denial_trend(stg),
-        "fct_ar_aging": aging.fct_ar_aging(stg, as_of),
-        "fct_payer_scorecard": scorecard.payer_scorecard(stg, as_of),
-        "fct_recovery_opportunities": recovery.recovery_opportunities(stg, seed),
+        "monthly_denial_trend": denials.monthly_denial_trend(stg),
+        "ar_aging_decision": aging.ar_aging(stg, as_of),
+        "payer_scorecard": scorecard.payer_scorecard(stg, as_of),
+        "recovery_opportunities": recovery.recovery_opportunities(stg, seed),
     }
     for name, df in marts.items():
         paths[name] = publish.write_table(df, f"{out_dir}/{name}")
     read = {name: spark.read.parquet(p) for name, p in paths.items() if name != "stg_claims"}
 
-    tests = mart_tests(read["fct_monthly_denial_trend"], read["fct_ar_aging"], read["fct_payer_scorecard"],
-                       read["fct_recovery_opportunities"], seed)
+    tests = mart_tests(read["monthly_denial_trend"], read["ar_aging_decision"], read["payer_scorecard"],
+                       read["recovery_opportunities"], seed)
 
     frame = scorecard.scorecard_frame(stg, as_of)
-    sdoc = publish.scorecard_document(read["fct_payer_scorecard"], aging.ar_aging_matrix(stg, as_of),
+    sdoc = publish.scorecard_document(read["payer_scorecard"], aging.ar_aging_matrix(stg, as_of),
                                       aging.ar_summary(frame), as_of)
-    paths["scorecard_doc"] = publish.publish_json(sdoc, f"{out_dir}/payer_scorecard_data")
+    paths["scorecard_doc"] = publish.publish_json(sdoc, f"{out_dir}/scorecard_report")
     summary = recovery.recovery_summary(stg, seed)
     rdoc = publish.recovery_document(
         summary,
@@ -99,10 +99,10 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
         recovery.recovery_by(stg, seed, ["specialty"]),
         recovery.recovery_by(stg, seed, ["category", "reason"]),
     )
-    paths["recovery_doc"] = publish.publish_json(rdoc, f"{out_dir}/recovery_opportunities_data")
+    paths["recovery_doc"] = publish.publish_json(rdoc, f"{out_dir}/recovery_report")
 
     published_sc = read_report(spark, paths["scorecard_doc"], SCORECARD_DOC_SCHEMA).select(F.inline("scorecard"))
-    sc_check = quality.scorecard_diff(read["fct_payer_scorecard"], published_sc)
+    sc_check = quality.scorecard_diff(read["payer_scorecard"], published_sc)
     published_rec = read_report(spark, paths["recovery_doc"], RECOVERY_DOC_SCHEMA).select("summary.*")
     rec_check = quality.recovery_diff(summary, published_rec)
     return BuildResult(paths, tests, sc_check, rec_check)

@@ -16,8 +16,8 @@ AS_OF = dt.date(2025, 7, 1)
 def test_two_aging_clocks(spark):
     # denied 200 days ago, decided after 10 days: decision clock 10, submission clock 200
     stg = make_stg(spark, [("a", "2024-12-13", "P", "S", 100, 0, "Denied", "CO-16", 10, None)])
-    dec = aging.fct_ar_aging(stg, AS_OF, "decision").first()
-    sub = aging.fct_ar_aging(stg, AS_OF, "submission").first()
+    dec = aging.ar_aging(stg, AS_OF, "decision").first()
+    sub = aging.ar_aging(stg, AS_OF, "submission").first()
     assert dec["aging_bucket"] == "0-30" and sub["aging_bucket"] == "90+"
 
 
