@@ -140,3 +140,36 @@ def test_recovery_diff_flags_only_real_differences(spark):
     published = spark.createDataFrame([(147901.0, 56815.0, 91088.0, 100272.0, 1461)], cols)
     bad = {r["measure"] for r in quality.recovery_diff(actual, published).filter("not ok").collect()}
     assert bad == {"appeal_recovery", "n_opportunities"}
+
+
+def test_published_scorecard_document_passes_the_consistency_check(spark, tmp_path):
+    """Q7 against the published document: its JSON shape is read with the S3
+    schema, and our score step (from its own metrics) must agree with every
+    published score, grade and rank within the published tolerances."""
+    import json
+
+    from claimlens.sources.files import SCORECARD_DOC_SCHEMA, read_report
+
+    doc = {
+        "as_of_date": "2025-07-01",
+        "summary": {"total_ar_outstanding": 341952.0, "ar_90plus": 62168.0, "ar_90plus_pct": 18.2, "n_payers": 7,
+                    "best_payer": "UnitedHealthcare", "worst_payer": "Aetna"},
+        "scorecard": [{"rank": r, "payer": p, "grade": g, "composite_score": s, "denial_rate": d, "underpay_rate": u,
+                       "avg_days_to_resolve": a, "pct_ar_90plus": n, "total_billed": 0.0, "total_paid": 0.0}
+                      for p, r, g, s, d, u, a, n in PUBLISHED_SCORECARD],
+        "aging_matrix": [{"payer": p, "0-30": float(a), "31-60": float(b), "61-90": float(c), "90+": float(e)}
+                         for p, a, b, c, e in PUBLISHED_AGING],
+    }
+    path = tmp_path / "scorecard.json"
+    path.write_text(json.dumps(doc, indent=2))
+    published = read_report(spark, str(path), SCORECARD_DOC_SCHEMA)
+    rows = published.select(F.inline("scorecard"))
+    metrics = rows.select("payer", F.col("denial_rate").alias("denial_rate_pct"),
+                          F.col("underpay_rate").alias("underpay_rate_pct"), "avg_days_to_resolve", "pct_ar_90plus")
+    scored = scorecard.score_published(metrics)
+    actual = scored.join(metrics, "payer").withColumn("total_billed", F.lit(0.0))
+    check = quality.scorecard_diff(actual, rows)
+    assert check.filter("not ok").count() == 0
+    assert check.count() == 7
+    s = published.select("summary.*").first()
+    assert (s["best_payer"], s["worst_payer"], s["n_payers"]) == ("UnitedHealthcare", "Aetna", 7)
