@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from claimlens import params as P
 from claimlens.operators import aging, denials, quality, recovery, scorecard, staging
+from claimlens.plans.sizing import partitions_for
 from claimlens.sinks import publish
 from claimlens.sources import fixture
 from claimlens.sources.files import RECOVERY_DOC_SCHEMA, SCORECARD_DOC_SCHEMA, read_report
@@ -78,7 +79,8 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
         "monthly_denial_trend": denials.monthly_denial_trend(stg),
         "ar_aging_decision": aging.ar_aging(stg, as_of),
         "payer_scorecard": scorecard.payer_scorecard(stg, as_of),
-        "recovery_opportunities": recovery.recovery_opportunities(stg, seed),
+        "recovery_opportunities": recovery.recovery_opportunities(
+            stg, seed, num_partitions=partitions_for(spark, stg.count())),
     }
     for name, df in marts.items():
         paths[name] = publish.write_table(df, f"{out_dir}/{name}")

@@ -1,0 +1,14 @@
+"""Partition counts derived from the data size."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+# rows per range partition of a claim-grain sort (~150 bytes per row -> ~150 MB)
+ROWS_PER_PARTITION = 1_000_000
+
+
+def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """At least the configured shuffle partitions, more when ``rows`` needs it."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, -(-rows // rows_per_partition))
