@@ -1,0 +1,2 @@
+"""Plans: the end-to-end build, size-checked joins, SQL views, partition sizing,
+plan inspection and the oracle comparison used by tests."""

@@ -1,0 +1 @@
+"""Sinks: views, tables, published report documents, run records, appends."""

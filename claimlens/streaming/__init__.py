@@ -1,0 +1 @@
+"""Streaming: incremental (exactly-once) staging of newly arrived claim extracts."""
