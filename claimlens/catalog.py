@@ -955,3 +955,42 @@ _sql_product("sql_denial_rate_by_payer", "G2 F1 J2 P11 (SQL text)", "denial_rate
 _sql_product("sql_ar_aging_by_payer", "G4 X3 B1 P11 (SQL text)", "ar_aging_submission")
 _sql_product("sql_underpayment_join", "G5 J3 J4 (SQL text)", "underpayment_detection")
 _sql_product("sql_monthly_trend", "G6 W1 (SQL text)", "monthly_trend_raw")
+
+
+
+@product("trend_report_roundtrip", "G11 G12 G13 G14 G15 X19 (document)", O.with_claims(f"""
+SELECT strftime(claim_month, '%Y-%m') AS claim_month, CAST(total_claims AS BIGINT) AS total_claims,
+       CAST(denied AS BIGINT) AS denied, underpaid_amt, billed, denial_rate_pct,
+       (SELECT CAST(count(*) AS BIGINT) FROM stg) AS kpi_total_claims,
+       (SELECT count(DISTINCT payer) FROM stg) AS n_payer_rows,
+       (SELECT count(DISTINCT denial_code) FROM stg WHERE is_denied) AS n_reason_rows
+FROM (
+  SELECT claim_month, count(*) AS total_claims, count(*) FILTER (WHERE is_denied) AS denied,
+         CAST(coalesce(round(sum(underpayment_gap) FILTER (WHERE is_underpaid), 2), 0) AS DOUBLE) AS underpaid_amt,
+         CAST(round(sum(billed_amount), 2) AS DOUBLE) AS billed,
+         {O.r("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS denial_rate_pct
+  FROM stg GROUP BY claim_month)"""))
+def q_trend_report_roundtrip(spark, sf_dir):
+    """Publish the denial-trend report object and read it back: the monthly
+    block as rows, with the KPI claim count and the block sizes."""
+    from pyspark.sql import functions as F
+
+    from claimlens.sinks.publish import new_scratch, publish_json, trend_document
+    from claimlens.sources.files import TREND_DOC_SCHEMA, read_report
+
+    s, sd = stg(spark, sf_dir), seed(spark)
+    doc = trend_document(
+        denials.kpi_denial(recovery.with_recovery(s, sd)),
+        denials.monthly_breakdown(s),
+        denials.payer_breakdown(s),
+        denials.reason_breakdown(s, sd),
+        denials.specialty_breakdown(s).drop("severity"),
+    )
+    path = publish_json(doc, new_scratch(spark, "trend_report"))
+    back = read_report(spark, path, TREND_DOC_SCHEMA)
+    return back.select(
+        F.col("kpi.total_claims").alias("kpi_total_claims"),
+        F.size("by_payer").cast("bigint").alias("n_payer_rows"),
+        F.size("by_reason").cast("bigint").alias("n_reason_rows"),
+        F.inline("monthly"),
+    )

@@ -123,3 +123,20 @@ def append_claim_records(accepted: DataFrame, path: str) -> str:
     """K6: append accepted claim records, partitioned by org."""
     accepted.write.mode("append").partitionBy("org_id").parquet(path)
     return path
+
+
+def trend_document(kpi: DataFrame, monthly: DataFrame, by_payer: DataFrame, by_reason: DataFrame,
+                   by_specialty: DataFrame) -> DataFrame:
+    """The denial-trend report object: {kpi{7}, monthly[m], by_payer[p],
+    by_reason[r], by_specialty[s]}; months as 'YYYY-MM' text, as published."""
+    from claimlens.functions.fmt import month_key
+
+    m = monthly.select(month_key("claim_month").alias("claim_month"), "total_claims", "denied", "underpaid_amt",
+                       "billed", "denial_rate_pct")
+    r = by_reason.select("denial_code", F.col("claim_count").alias("count"), "billed_lost", "label")
+    doc = _document(
+        {"monthly": m, "by_payer": by_payer, "by_reason": r, "by_specialty": by_specialty},
+        {"kpi": kpi},
+        {"monthly": "claim_month"},
+    )
+    return doc.select("kpi", "monthly", "by_payer", "by_reason", "by_specialty")

@@ -130,6 +130,33 @@ RECOVERY_DOC_SCHEMA = T.StructType(
 )
 
 
+TREND_DOC_SCHEMA = T.StructType(
+    [
+        T.StructField("kpi", T.StructType([
+            T.StructField("total_claims", T.LongType()), T.StructField("total_billed", T.DoubleType()),
+            T.StructField("total_paid", T.DoubleType()), T.StructField("denial_rate", T.DoubleType()),
+            T.StructField("underpay_rate", T.DoubleType()), T.StructField("total_recoverable", T.DoubleType()),
+            T.StructField("avg_days_to_resolve", T.DoubleType())])),
+        T.StructField("monthly", T.ArrayType(T.StructType([
+            T.StructField("claim_month", T.StringType()), T.StructField("total_claims", T.LongType()),
+            T.StructField("denied", T.LongType()), T.StructField("underpaid_amt", T.DoubleType()),
+            T.StructField("billed", T.DoubleType()), T.StructField("denial_rate_pct", T.DoubleType())]))),
+        T.StructField("by_payer", T.ArrayType(T.StructType([
+            T.StructField("payer", T.StringType()), T.StructField("total_claims", T.LongType()),
+            T.StructField("denied", T.LongType()), T.StructField("underpaid_amt", T.DoubleType()),
+            T.StructField("billed", T.DoubleType()), T.StructField("paid", T.DoubleType()),
+            T.StructField("denial_rate_pct", T.DoubleType())]))),
+        T.StructField("by_reason", T.ArrayType(T.StructType([
+            T.StructField("denial_code", T.StringType()), T.StructField("count", T.LongType()),
+            T.StructField("billed_lost", T.DoubleType()), T.StructField("label", T.StringType())]))),
+        T.StructField("by_specialty", T.ArrayType(T.StructType([
+            T.StructField("specialty", T.StringType()), T.StructField("total_claims", T.LongType()),
+            T.StructField("denied", T.LongType()), T.StructField("underpaid_amt", T.DoubleType()),
+            T.StructField("billed", T.DoubleType()), T.StructField("denial_rate_pct", T.DoubleType())]))),
+    ]
+)
+
+
 def read_raw_claims_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header row, read with the fixed raw schema."""
     return spark.read.schema(RAW_CLAIMS_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
