@@ -508,9 +508,10 @@ def q_report_labels(spark, sf_dir):
 # tenant operators (RL1-RL4)
 
 RECORD_COLUMNS = ["org_id", "external_ref", "service_date", "procedure_code", "insurer_name",
-                  "charge_amount", "remit_amount", "record_status"]
+                  "charge_amount", "remit_amount", "record_status", "adjustment_code", "decision_date"]
 _RECORD_SQL_COLUMNS = """org_id, external_ref, service_date, procedure_code, insurer_name,
-       CAST(charge_amount AS DOUBLE) AS charge_amount, CAST(remit_amount AS DOUBLE) AS remit_amount, record_status"""
+       CAST(charge_amount AS DOUBLE) AS charge_amount, CAST(remit_amount AS DOUBLE) AS remit_amount, record_status,
+       adjustment_code, decision_date"""
 
 
 def _records_report(df: DataFrame, extra=()) -> DataFrame:

@@ -190,6 +190,8 @@ records AS (
          payer AS insurer_name, billed_amount AS charge_amount, paid_amount AS remit_amount,
          CASE WHEN status IN ('Paid', 'Paid - Underpaid') THEN 'paid' WHEN status = 'Denied' THEN 'denied'
               ELSE 'pending' END AS record_status,
+         denial_code AS adjustment_code,
+         claim_date + CAST(days_to_resolve AS INTEGER) AS decision_date,
          submitted_by
   FROM claims
 ),

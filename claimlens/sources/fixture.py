@@ -163,7 +163,9 @@ def app_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_records_from(claims: DataFrame) -> DataFrame:
-    """Tenant claim records derived from raw (or staged) claims."""
+    """Tenant claim records derived from raw (or staged) claims; the
+    adjustment code is the denial code and the decision date is the claim
+    date plus the days to resolve (NULL while pending)."""
     return claims.select(
         (F.col("payer_id") % 5).cast("int").alias("org_id"),
         F.col("claim_id").alias("external_ref"),
@@ -175,6 +177,8 @@ def claim_records_from(claims: DataFrame) -> DataFrame:
         F.col("billed_amount").cast("decimal(12,2)").alias("charge_amount"),
         F.col("paid_amount").cast("decimal(12,2)").alias("remit_amount"),
         _record_status(F.col("status")).alias("record_status"),
+        F.col("denial_code").alias("adjustment_code"),
+        F.date_add(F.col("claim_date"), F.col("days_to_resolve").cast("int")).alias("decision_date"),
         F.col("submitted_by"),
     )
 
