@@ -986,13 +986,9 @@ def q_trend_report_roundtrip(spark, sf_dir):
     from claimlens.sources.files import TREND_DOC_SCHEMA, read_report
 
     s, sd = stg(spark, sf_dir), seed(spark)
-    doc = trend_document(
-        denials.kpi_denial(recovery.with_recovery(s, sd)),
-        denials.monthly_breakdown(s),
-        denials.payer_breakdown(s),
-        denials.reason_breakdown(s, sd),
-        denials.specialty_breakdown(s).drop("severity"),
-    )
+    blocks = denials.report_blocks(recovery.with_recovery(s, sd), sd)  # one scan for all five blocks
+    doc = trend_document(blocks["kpi"], blocks["monthly"], blocks["by_payer"], blocks["by_reason"],
+                         blocks["by_specialty"])
     path = publish_json(doc, new_scratch(spark, "trend_report"))
     back = read_report(spark, path, TREND_DOC_SCHEMA)
     return back.select(

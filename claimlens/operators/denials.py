@@ -19,6 +19,7 @@ from claimlens import params as P
 from claimlens.functions.bands import specialty_severity
 from claimlens.functions.dates import trailing_start
 from claimlens.functions.rounding import pct, rnd, rpt
+from claimlens.session import ensure_checkpoint_dir
 
 
 # --- G2: denial rate by payer over a trailing window -------------------------------
@@ -197,3 +198,74 @@ def slice_claims(stg: DataFrame, payer=None, specialty=None, period=None) -> Dat
             cond = cond & (F.col("claim_month") >= F.trunc(F.lit(start), "MM")) & (F.col("claim_month") < F.lit(end))
         out = out.filter(cond)
     return out
+
+
+# --- G11-G15 in one pass ------------------------------------------------------------
+
+_BLOCK_KEYS = ["claim_month", "payer", "specialty", "denial_code"]
+# grouping_id of each grouping set: one bit per key, set when the key is NOT grouped
+_GID = {"claim_month": 0b0111, "payer": 0b1011, "specialty": 0b1101, "denial_code": 0b1110, "total": 0b1111}
+
+
+def report_blocks(stg_with_recovery: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
+    """The five blocks of the denial-trend report (KPI, by month, by payer,
+    by specialty, by denial code) from ONE scan: a single aggregate over
+    GROUPING SETS ((month), (payer), (specialty), (code), ()), checkpointed
+    (it has one row per group) and split by ``grouping_id``. Values equal
+    :func:`kpi_denial`, :func:`monthly_breakdown`, :func:`payer_breakdown`,
+    :func:`specialty_breakdown` and :func:`reason_breakdown`."""
+    s = stg_with_recovery
+    den, und = F.col("is_denied"), F.col("is_underpaid")
+    g = s.groupingSets([[k] for k in _BLOCK_KEYS] + [[]], *_BLOCK_KEYS).agg(
+        F.grouping_id().alias("_gid"),
+        F.count(F.lit(1)).alias("total_claims"),
+        F.count_if(den).alias("denied"),
+        F.count_if(und).alias("_u"),
+        F.sum(F.when(und, F.col("underpayment_gap"))).alias("_under"),
+        F.sum("billed_amount").alias("_billed"),
+        F.sum("paid_amount").alias("_paid"),
+        F.sum(F.when(den, F.col("billed_amount"))).alias("_lost"),
+        F.sum(F.when(F.col("category").isNotNull(), F.col("recovery_potential"))).alias("_rec"),
+        F.avg("days_to_resolve").alias("_days"),
+    )
+    # One row per month / payer / specialty / code plus the total: checkpoint
+    # it (shared folder) so the five blocks read this small result instead of
+    # each re-running the scan (column pruning would give each block its own
+    # aggregate, defeating exchange reuse).
+    ensure_checkpoint_dir(g.sparkSession)
+    g = g.checkpoint(eager=True)
+    rate = rpt(pct("denied", "total_claims"), 1).alias("denial_rate_pct")
+
+    def block(key, with_paid=False):
+        cols = [key, F.col("total_claims").cast("bigint").alias("total_claims"),
+                F.col("denied").cast("bigint").alias("denied"),
+                F.coalesce(F.round("_under", 2), F.lit(0)).cast("double").alias("underpaid_amt"),
+                F.round("_billed", 2).cast("double").alias("billed")]
+        if with_paid:
+            cols.append(F.round("_paid", 2).cast("double").alias("paid"))
+        return g.filter(F.col("_gid") == _GID[key]).select(*cols, rate)
+
+    labels = seed.select("denial_code", F.col("denial_reason_label").alias("label"))
+    reason = (
+        g.filter((F.col("_gid") == _GID["denial_code"]) & (F.col("denied") > 0))
+        .join(labels, "denial_code", "left")
+        .select("denial_code", F.col("denied").cast("bigint").alias("claim_count"),
+                F.round("_lost", 2).cast("double").alias("billed_lost"), "label")
+    )
+    total = g.filter(F.col("_gid") == _GID["total"])
+    kpi = total.select(
+        F.col("total_claims").cast("bigint").alias("total_claims"),
+        F.coalesce(F.round("_billed", 2), F.lit(0)).cast("double").alias("total_billed"),
+        F.coalesce(F.round("_paid", 2), F.lit(0)).cast("double").alias("total_paid"),
+        rpt(pct("denied", "total_claims"), 1).alias("denial_rate"),
+        rpt(pct("_u", "total_claims"), 1).alias("underpay_rate"),
+        F.coalesce(F.round("_rec", 2), F.lit(0)).cast("double").alias("total_recoverable"),
+        rpt("_days", 1).alias("avg_days_to_resolve"),
+    )
+    return {
+        "kpi": kpi,
+        "monthly": block("claim_month"),
+        "by_payer": block("payer", with_paid=True),
+        "by_specialty": block("specialty"),
+        "by_reason": reason,
+    }

@@ -8,7 +8,8 @@
 2. Build the four marts and write them (full refresh), up to ``threads``
    independent jobs at a time (the original build also runs 4 threads).
 3. Run the schema tests of staged claims and marts (failing-row counts).
-4. Publish the two report documents and check them against the marts.
+4. Publish the three report documents (scorecard, recovery, denial trend)
+   and check the first two against the marts.
 """
 
 from __future__ import annotations
@@ -119,9 +120,13 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
         recovery.recovery_by(stg, seed, ["specialty"]),
         recovery.recovery_by(stg, seed, ["category", "reason"]),
     )
+    blocks = denials.report_blocks(recovery.with_recovery(stg, seed), seed)  # one scan, five blocks
+    tdoc = publish.trend_document(blocks["kpi"], blocks["monthly"], blocks["by_payer"], blocks["by_reason"],
+                                  blocks["by_specialty"])
     paths.update(_concurrently({
         "scorecard_doc": lambda: publish.publish_json(sdoc, f"{out_dir}/scorecard_report"),
         "recovery_doc": lambda: publish.publish_json(rdoc, f"{out_dir}/recovery_report"),
+        "trend_doc": lambda: publish.publish_json(tdoc, f"{out_dir}/trend_report"),
     }, threads))
 
     published_sc = read_report(spark, paths["scorecard_doc"], SCORECARD_DOC_SCHEMA).select(F.inline("scorecard"))

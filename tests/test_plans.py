@@ -92,3 +92,23 @@ def test_no_product_plans_a_cartesian_or_nested_loop_join(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+def test_report_blocks_equal_products_and_read_claims_once(spark):
+    from claimlens.sinks.publish import trend_document
+
+    s, sd = catalog.stg(spark, SF_SMALL), recovery.appeal_rates(spark)
+    b = denials.report_blocks(recovery.with_recovery(s, sd), sd)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    assert rows(b["monthly"]) == rows(denials.monthly_breakdown(s))
+    assert rows(b["by_payer"]) == rows(denials.payer_breakdown(s))
+    assert rows(b["by_specialty"]) == rows(denials.specialty_breakdown(s).drop("severity"))
+    assert rows(b["by_reason"]) == rows(denials.reason_breakdown(s, sd))
+    assert rows(b["kpi"]) == rows(denials.kpi_denial(recovery.with_recovery(s, sd)))
+    doc = trend_document(b["kpi"], b["monthly"], b["by_payer"], b["by_reason"], b["by_specialty"])
+    tree = physical_plan(doc).split("\n\n")[0]
+    assert "Scan parquet" not in tree  # the blocks read the checkpointed aggregate
+    assert tree.count("Scan ExistingRDD") == 5
