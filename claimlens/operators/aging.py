@@ -83,6 +83,11 @@ def ar_aging(stg: DataFrame, as_of: dt.date, clock: str = "decision") -> DataFra
     g = open_ar(stg, as_of, clock).groupBy("payer", "aging_bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum("billed_amount").alias("s")
     )
+    return aging_from_counts(g)
+
+
+def aging_from_counts(g: DataFrame) -> DataFrame:
+    """G8 from (payer, aging_bucket, n open claims, s open billed)."""
     return g.select(
         "payer",
         "aging_bucket",

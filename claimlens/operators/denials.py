@@ -77,8 +77,13 @@ def monthly_denial_trend(stg: DataFrame) -> DataFrame:
     """Month-over-month change of the *rounded* monthly rate.
 
     The lag runs over the monthly aggregate only (one row per month)."""
+    return trend_from_counts(_monthly_counts(stg))
+
+
+def trend_from_counts(counts: DataFrame) -> DataFrame:
+    """G7 from monthly counts (claim_month, n claims, d denied)."""
     w = Window.orderBy("claim_month")
-    m = _monthly_counts(stg).withColumn("_rate", rnd(pct("d", "n"), 1))
+    m = counts.withColumn("_rate", rnd(pct("d", "n"), 1))
     m = m.withColumn("_prior", F.lag("_rate").over(w))
     return m.select(
         "claim_month",

@@ -24,11 +24,11 @@ from claimlens.operators.aging import ar_age
 METRICS = ["denial_rate_pct", "underpay_rate_pct", "avg_days_to_resolve", "pct_ar_90plus"]
 
 
-def per_payer(stg: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per-payer metrics, each rounded to 1 dp *before* normalisation."""
+def payer_aggregates(as_of: dt.date) -> list:
+    """The per-payer aggregate expressions (also usable in grouping sets)."""
     age = ar_age(as_of, "decision")
     open_ar = F.col("is_open_ar")
-    g = stg.groupBy("payer").agg(
+    return [
         F.count(F.lit(1)).alias("total_claims"),
         F.sum("billed_amount").alias("_billed"),
         F.sum("paid_amount").alias("_paid"),
@@ -41,7 +41,17 @@ def per_payer(stg: DataFrame, as_of: dt.date) -> DataFrame:
         F.sum(F.when(open_ar & (aging_bucket(int_days(age)) == P.AGING_BUCKETS[-1]), F.col("billed_amount"))).alias(
             "ar_billed_90plus"
         ),
-    )
+    ]
+
+
+def per_payer(stg: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per-payer metrics, each rounded to 1 dp *before* normalisation."""
+    return per_payer_from(stg.groupBy("payer").agg(*payer_aggregates(as_of)))
+
+
+def per_payer_from(g: DataFrame) -> DataFrame:
+    """Per-payer metrics from the :func:`payer_aggregates` columns; payers
+    without open AR are dropped."""
     return g.filter(F.col("ar_claims") > 0).select(
         "payer",
         "total_claims",
@@ -83,7 +93,11 @@ def scorecard_frame(stg: DataFrame, as_of: dt.date, weights: dict | None = None)
 
 def payer_scorecard(stg: DataFrame, as_of: dt.date, weights: dict | None = None) -> DataFrame:
     """The scorecard mart."""
-    s = scorecard_frame(stg, as_of, weights)
+    return scorecard_report(scorecard_frame(stg, as_of, weights))
+
+
+def scorecard_report(s: DataFrame) -> DataFrame:
+    """The published columns of a scored per-payer frame, by rank."""
     return s.select(
         F.col("payer_rank").cast("bigint").alias("payer_rank"),
         "payer",

@@ -112,3 +112,20 @@ def test_report_blocks_equal_products_and_read_claims_once(spark):
     tree = physical_plan(doc).split("\n\n")[0]
     assert "Scan parquet" not in tree  # the blocks read the checkpointed aggregate
     assert tree.count("Scan ExistingRDD") == 5
+
+
+def test_core_marts_from_one_scan_equal_the_standalone_marts(spark):
+    from claimlens.operators import aging, scorecard
+    from claimlens.plans.build import core_marts
+
+    s = catalog.stg(spark, SF_SMALL)
+    m = core_marts(s, catalog.A)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    assert rows(m["monthly_denial_trend"]) == rows(denials.monthly_denial_trend(s))
+    assert rows(m["ar_aging_decision"]) == rows(aging.ar_aging(s, catalog.A))
+    assert rows(m["payer_scorecard"]) == rows(scorecard.payer_scorecard(s, catalog.A))
+    for df in m.values():  # all three read the checkpointed aggregate, not the claims
+        assert "Scan parquet" not in physical_plan(df).split("\n\n")[0]
