@@ -810,13 +810,14 @@ def q_recovery_diff(spark, sf_dir):
     from claimlens.sources.files import RECOVERY_DOC_SCHEMA, read_report
 
     s, sd = stg(spark, sf_dir), seed(spark)
-    summary = recovery.recovery_summary(s, sd)
+    blocks = recovery.recovery_blocks(s, sd)  # summary + three breakdowns from one scan
+    summary = blocks["summary"]
     doc = recovery_document(
         summary,
         recovery.top_opportunities(s, sd, PARAMS.top_k),
-        recovery.recovery_by(s, sd, ["payer"]),
-        recovery.recovery_by(s, sd, ["specialty"]),
-        recovery.recovery_by(s, sd, ["category", "reason"]),
+        blocks["by_payer"],
+        blocks["by_specialty"],
+        blocks["by_reason"],
     )
     path = publish_json(doc, new_scratch(spark, "recovery_doc"))
     published = read_report(spark, path, RECOVERY_DOC_SCHEMA).select("summary.*")

@@ -247,3 +247,56 @@ def recovery_ratios(stg: DataFrame, seed: DataFrame) -> DataFrame:
         rpt(F.try_divide(F.col("r") * F.lit(100), nz("b")), 2).alias("recovery_pct_of_billed"),
         rpt(F.try_divide(F.col("h") * F.lit(100), nz("r")), 2).alias("high_confidence_share_pct"),
     )
+
+
+_REC_KEYS = ["payer", "specialty", "category", "reason"]
+# grouping_id per set: one bit per key, set when the key is NOT grouped
+_REC_GID = {"payer": 0b0111, "specialty": 0b1011, "reason": 0b1100, "total": 0b1111}
+
+
+def recovery_blocks(stg: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
+    """G18 + G19 from ONE scan: an aggregate over GROUPING SETS ((payer),
+    (specialty), (category, reason), ()) of every claim with its opportunity
+    columns (measures count only opportunities; the billed universe counts
+    all claims), checkpointed (one row per group) and split by
+    ``grouping_id``. Equal to :func:`recovery_summary` and :func:`recovery_by`."""
+    from claimlens.session import ensure_checkpoint_dir
+
+    s = with_recovery(stg, seed)
+    opp = F.col("category").isNotNull()
+    rec = F.when(opp, F.col("recovery_potential"))
+    g = s.groupingSets([["payer"], ["specialty"], ["category", "reason"], []], *_REC_KEYS).agg(
+        F.grouping_id().alias("_gid"),
+        F.sum(rec).alias("_s"),
+        F.count_if(opp).alias("_n"),
+        F.sum(F.when(opp & (F.col("recovery_confidence") == "High"), F.col("recovery_potential"))).alias("_h"),
+        F.sum(F.when(F.col("category") == P.CATEGORY_UNDERPAYMENT, F.col("recovery_potential"))).alias("_u"),
+        F.sum(F.when(F.col("category") == P.CATEGORY_APPEAL, F.col("recovery_potential"))).alias("_a"),
+        F.sum("billed_amount").alias("_b"),
+    )
+    ensure_checkpoint_dir(g.sparkSession)
+    g = g.checkpoint(eager=True)
+    gid = F.col("_gid")
+
+    def by(keys, code):
+        return g.filter((gid == code) & (F.col("_n") > 0)).select(
+            *keys,
+            F.round("_s", 2).cast("double").alias("recovery_potential"),
+            F.col("_n").cast("bigint").alias("claim_count"),
+        )
+
+    z = lambda c: F.coalesce(F.round(c, 0), F.lit(0)).cast("double")
+    summary = g.filter(gid == _REC_GID["total"]).select(
+        z("_s").alias("total_recovery_potential"),
+        z("_h").alias("high_confidence_recovery"),
+        z("_u").alias("underpayment_recovery"),
+        z("_a").alias("appeal_recovery"),
+        F.col("_n").cast("bigint").alias("n_opportunities"),
+        z("_b").alias("total_billed_universe"),
+    )
+    return {
+        "summary": summary,
+        "by_payer": by(["payer"], _REC_GID["payer"]),
+        "by_specialty": by(["specialty"], _REC_GID["specialty"]),
+        "by_reason": by(["category", "reason"], _REC_GID["reason"]),
+    }

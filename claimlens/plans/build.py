@@ -110,13 +110,14 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     frame = scorecard.scorecard_frame(stg, as_of)
     sdoc = publish.scorecard_document(read["payer_scorecard"], aging.ar_aging_matrix(stg, as_of),
                                       aging.ar_summary(frame), as_of)
-    summary = recovery.recovery_summary(stg, seed)
+    rblocks = recovery.recovery_blocks(stg, seed)  # summary + three breakdowns from one scan
+    summary = rblocks["summary"]
     rdoc = publish.recovery_document(
         summary,
         recovery.top_opportunities(stg, seed),
-        recovery.recovery_by(stg, seed, ["payer"]),
-        recovery.recovery_by(stg, seed, ["specialty"]),
-        recovery.recovery_by(stg, seed, ["category", "reason"]),
+        rblocks["by_payer"],
+        rblocks["by_specialty"],
+        rblocks["by_reason"],
     )
     blocks = denials.report_blocks(recovery.with_recovery(stg, seed), seed)  # one scan, five blocks
     tdoc = publish.trend_document(blocks["kpi"], blocks["monthly"], blocks["by_payer"], blocks["by_reason"],

@@ -129,3 +129,16 @@ def test_core_marts_from_one_scan_equal_the_standalone_marts(spark):
     assert rows(m["payer_scorecard"]) == rows(scorecard.payer_scorecard(s, catalog.A))
     for df in m.values():  # all three read the checkpointed aggregate, not the claims
         assert "Scan parquet" not in physical_plan(df).split("\n\n")[0]
+
+
+def test_recovery_blocks_from_one_scan_equal_the_products(spark):
+    s, sd = catalog.stg(spark, SF_SMALL), recovery.appeal_rates(spark)
+    b = recovery.recovery_blocks(s, sd)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    assert rows(b["summary"]) == rows(recovery.recovery_summary(s, sd))
+    assert rows(b["by_payer"]) == rows(recovery.recovery_by(s, sd, ["payer"]))
+    assert rows(b["by_specialty"]) == rows(recovery.recovery_by(s, sd, ["specialty"]))
+    assert rows(b["by_reason"]) == rows(recovery.recovery_by(s, sd, ["category", "reason"]))
