@@ -107,3 +107,40 @@ def denied_writes(users: DataFrame) -> DataFrame:
     writer = F.col("user_role").isin(*P.WRITER_ROLES)
     ok = policy & F.when(F.col("action") == "insert", writer).otherwise(F.lit(True))
     return x.filter(~F.coalesce(ok, F.lit(False))).select("user_id", "table_name", "action")
+
+
+REQUIRED_RECORD_FIELDS = ["org_id", "external_ref", "service_date", "procedure_code", "insurer_name",
+                          "charge_amount", "record_status"]
+
+
+def validate_append(batch: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
+    """K6 checks before an append: ``batch`` plus ``reject_reason`` (NULL =
+    accepted). In order of precedence: ``not_writer`` (RL4), ``null_field``,
+    ``negative_amount``, ``bad_status`` (Q2-Q4), ``duplicate_in_batch`` and
+    ``already_exists`` (the unique (org_id, external_ref) key, Q1).
+
+    Duplicates are found with a grouped count joined back on the key (a
+    partial aggregate; a hot key never gathers its rows into one window
+    task), and existing keys with a join on the key; AQE splits skewed keys
+    of either join."""
+    key = ["org_id", "external_ref"]
+    writers = _writers(users).select("submitted_by", "org_id", F.lit(True).alias("_writer")).distinct()
+    dup = batch.groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("_dup"))
+    exists = existing.select(*key).distinct().withColumn("_exists", F.lit(True))
+    j = (batch.join(writers, ["submitted_by", "org_id"], "left")
+         .join(dup, key, "left")
+         .join(exists, key, "left"))
+    any_null = None
+    for c in REQUIRED_RECORD_FIELDS:
+        cond = F.col(c).isNull()
+        any_null = cond if any_null is None else (any_null | cond)
+    negative = (F.col("charge_amount") < 0) | (F.coalesce(F.col("remit_amount"), F.lit(0)) < 0)
+    reason = (
+        F.when(~F.coalesce(F.col("_writer"), F.lit(False)), "not_writer")
+        .when(any_null, "null_field")
+        .when(negative, "negative_amount")
+        .when(~F.col("record_status").isin(*P.RECORD_STATUSES), "bad_status")
+        .when(F.coalesce(F.col("_dup"), F.lit(False)), "duplicate_in_batch")
+        .when(F.coalesce(F.col("_exists"), F.lit(False)), "already_exists")
+    )
+    return j.withColumn("reject_reason", reason).drop("_writer", "_dup", "_exists")

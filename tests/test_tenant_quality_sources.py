@@ -150,3 +150,29 @@ def test_build_all_end_to_end(spark, tmp_path):
     stg = spark.read.parquet(res.paths["stg_claims"])
     assert stg.count() == 1500
     assert "claim_month" in stg.columns
+
+
+def test_validate_append_reasons(spark):
+    from decimal import Decimal
+
+    users = spark.createDataFrame([(1, 10, "a@x", "admin"), (3, 10, "c@x", "viewer")],
+                                  "user_id long, org_id int, email string, user_role string")
+    cols = ("org_id int, external_ref string, service_date date, procedure_code string, insurer_name string, "
+            "charge_amount decimal(12,2), remit_amount decimal(12,2), record_status string, submitted_by long")
+    d = dt.date(2026, 1, 2)
+    batch = spark.createDataFrame([
+        (10, "OK", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),
+        (10, "VIEW", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 3),      # viewer
+        (10, "NULL", None, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),   # missing date
+        (10, "NEG", d, "90001", "A", Decimal("-1"), Decimal("0"), "paid", 1),      # negative charge
+        (10, "BAD", d, "90001", "A", Decimal("5"), Decimal("0"), "bogus", 1),      # bad status
+        (10, "DUP", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),
+        (10, "DUP", d, "90001", "A", Decimal("6"), Decimal("0"), "paid", 1),       # duplicate key in batch
+        (10, "OLD", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),       # already in the store
+    ], cols)
+    existing = spark.createDataFrame([(10, "OLD"), (20, "OK")], "org_id int, external_ref string")
+    got = sorted((r["external_ref"], r["reject_reason"])
+                 for r in tenant.validate_append(batch, users, existing).collect())
+    assert got == [("BAD", "bad_status"), ("DUP", "duplicate_in_batch"), ("DUP", "duplicate_in_batch"),
+                   ("NEG", "negative_amount"), ("NULL", "null_field"), ("OK", None),
+                   ("OLD", "already_exists"), ("VIEW", "not_writer")]
