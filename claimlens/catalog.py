@@ -64,7 +64,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref(spark, sf_dir, "raw_claims", lambda: fixture.raw_claims(spark, sf_dir))
 
 
-def stg(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
+def stg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged claims, materialised once per session and input folder as a
     month-partitioned parquet table in the shared checkpoint folder; every
     product reads that table (lineage cut, no re-join of the warehouse
@@ -78,8 +78,8 @@ def stg(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
 
 
 def wh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warehouse-form claims (payer_id + status + the staged columns)."""
-    return stg(spark, sf_dir, keep=["payer_id"])
+    """Warehouse-form claims (the staged table carries payer_id and status)."""
+    return stg(spark, sf_dir)
 
 
 def seed(spark: SparkSession) -> DataFrame:

@@ -38,7 +38,7 @@ def test_recovery_rank_has_no_single_partition_exchange_over_claims(spark):
 
 
 def test_scan_is_pruned_and_filter_pushed(spark, tmp_path):
-    stg = catalog.stg(spark, SF_SMALL, keep=["payer_id"])
+    stg = catalog.stg(spark, SF_SMALL)
     path = str(tmp_path / "stg")
     stg.write.partitionBy("claim_month").parquet(path)
     staged = spark.read.parquet(path)
