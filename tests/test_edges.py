@@ -62,3 +62,16 @@ def test_published_document_missing_a_payer_is_reported(spark):
                               "avg_days_to_resolve", "pct_ar_90plus", "total_billed").filter("payer = 'A'")
     got = {r["payer"]: r["ok"] for r in quality.scorecard_diff(actual, published).collect()}
     assert got == {"A": True, "B": False}
+
+
+def test_label_formatting(spark):
+    from claimlens.functions import fmt
+
+    df = spark.createDataFrame([(dt.date(2024, 7, 1), 1234567.5, 17.45, 7)],
+                               "m date, money double, rate double, n int")
+    r = df.select(fmt.month_label("m").alias("label"), fmt.month_key("m").alias("key"),
+                  fmt.month_from_key(fmt.month_key("m")).alias("back"), fmt.money_text("money").alias("usd"),
+                  fmt.money_k_text("money").alias("usd_k"), fmt.pct_text("rate").alias("pct"),
+                  fmt.padded_id("DEMO-", "n").alias("id")).first()
+    assert (r["label"], r["key"], r["back"]) == ("Jul 24", "2024-07", dt.date(2024, 7, 1))
+    assert (r["usd"], r["usd_k"], r["pct"], r["id"]) == ("$1,234,568", "$1235K", "17.5%", "DEMO-0007")
