@@ -760,7 +760,8 @@ def q_claims_csv_roundtrip(spark, sf_dir):
     from claimlens.sources.files import RAW_CLAIMS_SCHEMA, read_raw_claims_csv
 
     path = new_scratch(spark, "raw_claims_csv")
-    raw_df = raw(spark, sf_dir).select(*RAW_CLAIMS_SCHEMA.fieldNames())
+    # the extract's columns, taken from the staged table (no re-run of the derivation join)
+    raw_df = stg(spark, sf_dir).select(*RAW_CLAIMS_SCHEMA.fieldNames())
     raw_df.write.mode("overwrite").option("header", True).csv(path)
     s = staging.stg_claims(read_raw_claims_csv(spark, path))
     return s.groupBy("status").agg(
