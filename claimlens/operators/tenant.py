@@ -119,17 +119,19 @@ def validate_append(batch: DataFrame, users: DataFrame, existing: DataFrame) ->
     ``negative_amount``, ``bad_status`` (Q2-Q4), ``duplicate_in_batch`` and
     ``already_exists`` (the unique (org_id, external_ref) key, Q1).
 
-    Duplicates are found with a grouped count joined back on the key (a
-    partial aggregate; a hot key never gathers its rows into one window
-    task), and existing keys with a join on the key; AQE splits skewed keys
-    of either join."""
+    Duplicates and existing keys come from ONE aggregate over the tagged
+    union of batch keys and store keys, joined back on the key (partial
+    aggregation; a hot key never gathers its rows into one window task); AQE
+    splits skewed keys of the joins."""
     key = ["org_id", "external_ref"]
     writers = _writers(users).select("submitted_by", "org_id", F.lit(True).alias("_writer")).distinct()
-    dup = batch.groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("_dup"))
-    exists = existing.select(*key).distinct().withColumn("_exists", F.lit(True))
-    j = (batch.join(writers, ["submitted_by", "org_id"], "left")
-         .join(dup, key, "left")
-         .join(exists, key, "left"))
+    # batch keys and store keys in one tagged union, one aggregate per key:
+    # both flags from a single shuffle (partial aggregation per map task)
+    tagged = batch.select(*key, F.lit(1).alias("_b")).unionByName(existing.select(*key, F.lit(0).alias("_b")))
+    flags = tagged.groupBy(*key).agg(
+        (F.sum("_b") > 1).alias("_dup"), (F.count(F.lit(1)) > F.sum("_b")).alias("_exists")
+    )
+    j = batch.join(writers, ["submitted_by", "org_id"], "left").join(flags, key, "left")
     any_null = None
     for c in REQUIRED_RECORD_FIELDS:
         cond = F.col(c).isNull()
