@@ -21,6 +21,8 @@ def main(argv=None) -> int:
     b.add_argument("--input", required=True)
     b.add_argument("--out", required=True)
     b.add_argument("--master", default=None)
+    b.add_argument("--as-of", default=None, help="point-in-time date for AR aging (YYYY-MM-DD)")
+    b.add_argument("--threads", type=int, default=4, help="independent jobs submitted at a time")
     p = sub.add_parser("product")
     p.add_argument("name")
     p.add_argument("--input", required=True)
@@ -34,7 +36,12 @@ def main(argv=None) -> int:
     if args.cmd == "build":
         from claimlens.plans.build import build_all
 
-        res = build_all(spark, args.input, args.out)
+        import datetime as dt
+
+        from claimlens.params import FIXTURE_AS_OF
+
+        as_of = dt.date.fromisoformat(args.as_of) if args.as_of else FIXTURE_AS_OF
+        res = build_all(spark, args.input, args.out, as_of=as_of, threads=args.threads)
         failing = [r.asDict() for r in res.test_failures.filter("failures > 0").collect()]
         bad_sc = [r.asDict() for r in res.scorecard_check.filter("not ok").collect()]
         bad_rec = [r.asDict() for r in res.recovery_check.filter("not ok").collect()]
