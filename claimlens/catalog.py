@@ -472,7 +472,7 @@ SELECT payer, denial_rate_pct,
 FROM (SELECT payer, {O.r("100.0 * count(*) FILTER (WHERE is_denied) / count(*)")} AS denial_rate_pct
       FROM stg GROUP BY payer)"""))
 def q_bar_scale(spark, sf_dir):
-    b = denials.payer_breakdown(stg(spark, sf_dir)).select("payer", "denial_rate_pct")
+    b = denials.payer_breakdown(stg(spark, sf_dir), ordered=False).select("payer", "denial_rate_pct")
     return reports.bar_scale(b, "denial_rate_pct")
 
 

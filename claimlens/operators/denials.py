@@ -138,9 +138,11 @@ def monthly_breakdown(stg: DataFrame) -> DataFrame:
     return _breakdown(stg, "claim_month", with_paid=False)
 
 
-def payer_breakdown(stg: DataFrame) -> DataFrame:
-    """Per payer, highest denial rate first."""
-    return _breakdown(stg, "payer", with_paid=True).orderBy(F.desc("denial_rate_pct"), "payer")
+def payer_breakdown(stg: DataFrame, ordered: bool = True) -> DataFrame:
+    """Per payer, highest denial rate first (``ordered=False`` skips the
+    sort when the caller reorders anyway)."""
+    b = _breakdown(stg, "payer", with_paid=True)
+    return b.orderBy(F.desc("denial_rate_pct"), "payer") if ordered else b
 
 
 def specialty_breakdown(stg: DataFrame) -> DataFrame:

@@ -142,3 +142,49 @@ def test_recovery_blocks_from_one_scan_equal_the_products(spark):
     assert rows(b["by_payer"]) == rows(recovery.recovery_by(s, sd, ["payer"]))
     assert rows(b["by_specialty"]) == rows(recovery.recovery_by(s, sd, ["specialty"]))
     assert rows(b["by_reason"]) == rows(recovery.recovery_by(s, sd, ["category", "reason"]))
+
+
+BOUNDED_INPUTS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject",
+                  "Scan ExistingRDD", "LocalTableScan")
+PASS_THROUGH = ("Project", "Filter", "Sort", "ColumnarToRow", "InputAdapter", "WholeStageCodegen", "Exchange",
+                "AQEShuffleRead", "ShuffleQueryStage")
+
+
+def single_partition_inputs(plan: str) -> list[str]:
+    """For each SinglePartition exchange of a formatted plan, the first
+    operator below it that is not a pass-through (project/filter/sort)."""
+    import re
+
+    tree, _, details = plan.partition("\n\n")
+    single = set(re.findall(r"\((\d+)\) Exchange\s*\nInput[^\n]*\nArguments: SinglePartition", details))
+    lines = [ln for ln in tree.splitlines() if re.search(r"\(\d+\)", ln)]
+    found = []
+    for i, ln in enumerate(lines):
+        m = re.search(r"Exchange \((\d+)\)", ln)
+        if not m or m.group(1) not in single:
+            continue
+        for child in lines[i + 1:]:
+            name = re.sub(r"^[\s:|+\-*]*", "", child).split(" (")[0].strip()
+            if not name.startswith(PASS_THROUGH):
+                found.append(name)
+                break
+    return found
+
+
+def test_single_partition_exchanges_only_carry_bounded_inputs(spark):
+    bad = {}
+    for name, prod in catalog.REGISTRY.items():
+        inputs = single_partition_inputs(physical_plan(prod.fn(spark, SF_SMALL)))
+        wrong = [x for x in inputs if not x.startswith(BOUNDED_INPUTS)]
+        if wrong:
+            bad[name] = wrong
+    assert bad == {}
+
+
+def test_single_partition_check_flags_claim_grain_windows(spark):
+    from pyspark.sql import Window
+
+    s = catalog.stg(spark, SF_SMALL)
+    naive = s.withColumn("rn", F.row_number().over(Window.orderBy("claim_id")))
+    inputs = single_partition_inputs(physical_plan(naive))
+    assert inputs and not all(x.startswith(BOUNDED_INPUTS) for x in inputs)
