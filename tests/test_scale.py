@@ -144,3 +144,12 @@ def test_staging_write_splits_a_hot_month(spark, tmp_path):
     assert len(files) > 1  # the hot month was written by several tasks
     assert staged.count() == n
     assert staged.filter("claim_month = DATE'1998-03-01'").count() >= n // 3
+
+
+def test_concurrent_job_runner_serial_and_threaded():
+    from claimlens.plans.build import _concurrently
+
+    jobs = {str(i): (lambda i=i: i * 2) for i in range(6)}
+    want = {str(i): i * 2 for i in range(6)}
+    assert _concurrently(jobs, 1) == want
+    assert _concurrently(jobs, 4) == want
