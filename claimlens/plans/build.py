@@ -104,8 +104,12 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     ))
     read = {name: spark.read.parquet(p) for name, p in paths.items() if name != "stg_claims"}
 
-    tests = mart_tests(read["monthly_denial_trend"], read["ar_aging_decision"], read["payer_scorecard"],
-                       read["recovery_opportunities"], seed)
+    # staged-claims schema tests (one pass) + the mart and seed tests
+    staged_tests = quality.profile("stg_claims", stg, unique="claim_id",
+                                   not_null=["claim_id", "status", "billed_amount", "payer"],
+                                   accepted={"status": P.STATUSES})
+    tests = staged_tests.unionByName(mart_tests(read["monthly_denial_trend"], read["ar_aging_decision"],
+                                                read["payer_scorecard"], read["recovery_opportunities"], seed))
 
     frame = scorecard.scorecard_frame(stg, as_of)
     sdoc = publish.scorecard_document(read["payer_scorecard"], aging.ar_aging_matrix(stg, as_of),

@@ -176,3 +176,12 @@ def test_validate_append_reasons(spark):
     assert got == [("BAD", "bad_status"), ("DUP", "duplicate_in_batch"), ("DUP", "duplicate_in_batch"),
                    ("NEG", "negative_amount"), ("NULL", "null_field"), ("OK", None),
                    ("OLD", "already_exists"), ("VIEW", "not_writer")]
+
+
+def test_build_runs_the_staged_and_mart_schema_tests(spark, tmp_path):
+    res = build_all(spark, SF_SMALL, str(tmp_path / "out2"), threads=1)
+    checks = {(r["model"], r["check"], r["column_name"]) for r in res.test_failures.collect()}
+    assert ("stg_claims", "unique", "claim_id") in checks
+    assert ("stg_claims", "accepted_values", "status") in checks
+    assert len([c for c in checks if c[0] == "stg_claims"]) == 6
+    assert len(checks) == 21  # 6 staging + 13 mart + 2 seed schema tests
