@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -55,21 +58,39 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and intermediate tables.
 
-    On a cluster that folder is set by the operator (shared storage). Only
-    when it is unset (local tests) do we pick a fresh local scratch folder.
+    It is the one that ``spark.checkpoint.dir`` names. Where that is unset,
+    a local master uses a folder of its own under the session's warehouse
+    folder; any other master is an error, since executors would each write
+    to a folder that the others cannot see.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="claimlens-ckpt-", dir=os.environ.get("CLAIMLENS_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{sc.applicationId}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: its sources go to the
+    executors as a zip (once per application), as ``--py-files`` would do."""
+    sc = spark.sparkContext
+    if getattr(sc, "_claimlens_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="claimlens-zip-"), "claimlens.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"claimlens/{f.relative_to(root)}")
+    sc.addPyFile(target)
+    sc._claimlens_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
