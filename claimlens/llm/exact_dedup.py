@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: rows of one hash group that share a salt
 SALT_ROWS = 1000
 
@@ -45,7 +47,8 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     groups = keys.groupBy("h").agg(best("d").alias("keep"), F.count(F.lit(1)).alias("n"))
 
     shared = groups.where("n > 1").select("h", "keep", F.expr(f"cast(ceil(n / {SALT_ROWS}) as int)").alias("salts"))
-    members = docs.join(shared, "h").withColumn("salt", F.expr("pmod(xxhash64(d, 17), salts)"))
+    # the only step that moves all texts; written, since both sides of the comparison read it
+    members = written(docs.join(shared, "h").withColumn("salt", F.expr("pmod(xxhash64(d, 17), salts)")), "copies")
     # one text for each group that has the kept id (a repeated id may come with several: any will do, the rest collide)
     kept = (members.where(F.col("d").eqNullSafe(F.col("keep"))).groupBy("h").agg(F.max_by("t", F.xxhash64("t")).alias("kt"), F.max("salts").alias("m"))
             .select("h", "kt", F.explode(F.expr("sequence(0L, m - 1L)")).alias("salt")))
