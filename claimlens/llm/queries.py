@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, toxicity
+from . import exact_dedup, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,3 +48,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(labelled)
     return toxicity.score(docs, model).select(
         "doc_id", held.alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), shingle=3, similarity=0.9)
