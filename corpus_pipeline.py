@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import exact_dedup, toxicity
+from claimlens.llm import decontaminate, exact_dedup, ngram_join, piece_codec, toxicity
+from claimlens.llm.queries import vocabulary_file
 from claimlens.session import scratch_path
 
 #: a text with a toxicity of this or more goes
@@ -32,7 +33,29 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(verdict, "doc_id", "left_semi")
 
 
-STAGES = [("toxicity", remove_toxic), ("exact_dedup", remove_copies)]
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links join, the one with the smallest id."""
+    found = ngram_join.similarity_classes(docs, shingle=5, similarity=0.8)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    return piece_codec.digests(docs, vocabulary_file("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("exact_dedup", remove_copies),
+    ("ngram_join", remove_near_copies),
+    ("decontamination", remove_leaks),
+    ("sentencepiece", encode_pieces),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
