@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, piece_codec, toxicity
+from . import decontaminate, exact_dedup, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, token_pack, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +73,63 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return piece_codec.digests(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without 13-word windows of documents with smaller ids."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 13, finish=substring_dedup.as_digest,
+                                          schema="doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS s, w FROM docs WHERE len(w) >= 13
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 12], ' ')) AS k FROM starts
+), firsts AS (
+  SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT x.doc_id, unnest(range(s, s + 13)) AS p FROM windows x JOIN firsts f USING (k) WHERE f.first_id < x.doc_id
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+
+@query
+def op2_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents in ascending order of id, read back."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_pack.write_tokens(docs, vocabulary_file("word_bpe_49k.json"), token_pack.new_folder(docs), end_id=1)
+    return token_pack.read_digests(manifest)
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without 200-byte strings that occur elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200, finish=suffix_dedup.as_digest,
+                                       schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+@query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from four folds of five."""
+    training = F.expr("crc32(cast(doc_id as string)) % 5 <> 1")
+    return lm_score.score(table(spark, sf_dir, "documents"), training)
