@@ -48,19 +48,20 @@ def shingle_sets(col, n: int) -> tuple[np.ndarray, np.ndarray]:
     w = Words(*byte_column(col), fold=True)
     words, docs = w.hashes(), len(w.n)
     grams, ok = ngram_hashes(words, n), inner_grams(w.first, n, len(words))
-    doc = w.doc[: len(grams)][ok]
-    h = grams[ok]
+    at = np.flatnonzero(ok)
+    h = grams[at]
+    first = np.searchsorted(at, w.first)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        h[a:b].sort()
+    doc = w.doc[at]
     short = np.flatnonzero((w.n > 0) & (w.n < n))
     if len(short):  # the whole sequence as one shingle
         one = np.zeros(len(short), U64)
         for k in range(n - 1):
             has = w.n[short] > k
-            at = w.first[:-1][short[has]] + k
-            one[has] = one[has] * U64(0x9E3779B97F4A7C15) + words[at]
-        h = np.concatenate([h, mix(one + w.n[short].astype(U64))])
-        doc = np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+            one[has] = one[has] * U64(0x9E3779B97F4A7C15) + words[w.first[:-1][short[has]] + k]
+        h = np.insert(h, first[short], mix(one + w.n[short].astype(U64)))
+        doc = np.insert(doc, first[short], short)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
