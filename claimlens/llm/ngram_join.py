@@ -17,7 +17,7 @@ from above. What passes is decided by intersecting the sorted arrays.
 
 A cell with many mutually similar sets is not expanded into all its pairs:
 every set is first compared with one leader; after that, rounds compare each
-set only with its nearest (by bitmap) untried set of another component in
+set only with its nearest (by bitmap) untried sets of other components in
 its cell, until no untried pair in different components passes the bound.
 All links between components are found, as no pair is left out for any
 other reason than that its ends are connected already.
@@ -40,6 +40,8 @@ from .text import U64, Words, byte_column, inner_grams, mix, ngram_hashes, text_
 SLICE_BYTES, BUCKET_ENTRIES = 4 << 20, 2_000_000
 #: low bits of a cell's hash that are not sent (false meetings are ruled out later)
 DROPPED_BITS = 20
+#: pairs that a set tries in a round, cell rows that a task compares at once
+NEAREST, GROUP_ROWS = 16, 20_000
 
 
 def shingle_sets(col, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,47 +152,58 @@ def may_link(na, nb, differing, percent: int):
 
 
 def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, arrays, bitmaps) that link: bitmap bound, then exact intersection."""
+    """(a, b, ok) of the pairs that pass the bitmap bound; ok: their arrays' exact intersection links them."""
     for batch in batches:
         cols = [batch.column(k) for k in ("ha", "hb", "ba", "bb")]
-        keep = np.zeros(batch.num_rows, bool)
+        passed, ok = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
             ha, hb, ba, bb = (np.frombuffer(c[i].as_buffer(), U64 if k < 2 else np.uint8) for k, c in enumerate(cols))
             w = min(len(ba), len(bb))
-            if not may_link(len(ha), len(hb), int(np.bitwise_count(fold(ba, w) ^ fold(bb, w)).sum()), percent):
+            passed[i] = may_link(len(ha), len(hb), int(np.bitwise_count(fold(ba, w) ^ fold(bb, w)).sum()), percent)
+            if passed[i]:
+                both = len(np.intersect1d(ha, hb, assume_unique=True))
+                ok[i] = 100 * both >= percent * (len(ha) + len(hb) - both)
+        keep = pa.array(passed)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(ok[passed])], ["a", "b", "ok"])
+
+
+def nearest(table: pa.Table, percent: int) -> pa.Table:
+    """(cell, a, b): for each set of a cell, its nearest sets of other components that may link with it.
+
+    Columns cell, f (set), root, n, bits, failed (sets that it was compared
+    with in vain); a table holds whole cells. NEAREST pairs a set and round
+    at most: what is left comes in a later round."""
+    cell = table.column("cell").to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)), len(cell))
+    f_all, root_all, n_all = (table.column(k).to_numpy() for k in ("f", "root", "n"))
+    blobs, failed = table.column("bits").combine_chunks(), table.column("failed").combine_chunks()
+    out: tuple[list, list, list] = ([], [], [])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = order[lo:hi]
+        f, root, n = f_all[at], root_all[at], n_all[at]
+        raw = [np.frombuffer(blobs[i].as_buffer(), np.uint8) for i in at.tolist()]
+        width = min(len(b) for b in raw)
+        bits = np.stack([fold(b, width) for b in raw]).view(U64)
+        names, counts = np.unique(root, return_counts=True)
+        biggest = names[counts.argmax()]  # met by the sets of all others
+        for i in np.flatnonzero(root != biggest).tolist():
+            differing = np.empty(len(f), np.int64)
+            for a in range(0, len(f), 8192):
+                differing[a : a + 8192] = np.bitwise_count(bits[a : a + 8192] ^ bits[i]).sum(axis=1)
+            ok = (root != root[i]) & may_link(n, n[i], differing, percent)
+            if not ok.any():
                 continue
-            both = len(np.intersect1d(ha, hb, assume_unique=True))
-            keep[i] = 100 * both >= percent * (len(ha) + len(hb) - both)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
-
-
-def nearest(pdf: pa.Table, percent: int) -> pa.Table:
-    """For each set of a cell, its nearest untried set of another component that may link.
-
-    Columns f (set), root, n, bits, tried (sets it was compared with)."""
-    f, root, n = (pdf.column(k).to_numpy() for k in ("f", "root", "n"))
-    blobs = [np.frombuffer(x, np.uint8) for x in pdf.column("bits").to_pylist()]
-    width = min(len(b) for b in blobs)
-    bits = np.stack([fold(b, width) for b in blobs])
-    bits = bits.view(U64)
-    tried = pdf.column("tried").to_pylist()
-    index = {int(x): i for i, x in enumerate(f)}
-    names, counts = np.unique(root, return_counts=True)
-    biggest = names[counts.argmax()]
-    out_a, out_b = [], []
-    for i in np.flatnonzero(root != biggest):  # the biggest component is met by all others
-        differing = np.zeros(len(f), np.int64)
-        for at in range(0, len(f), 8192):
-            differing[at : at + 8192] = np.bitwise_count(bits[at : at + 8192] ^ bits[i]).sum(axis=1)
-        ok = (root != root[i]) & may_link(n, n[i], differing, percent)
-        done = [index[x] for x in (tried[i] or ()) if x in index]
-        ok[done] = False
-        at = np.flatnonzero(ok)
-        if len(at):
-            best = at[np.lexsort((f[at], differing[at]))[0]]
-            out_a.append(max(f[i], f[best]))
-            out_b.append(min(f[i], f[best]))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            vain = failed[int(at[i])].as_py()
+            if vain:
+                ok &= ~np.isin(f, np.array(vain, np.int64))
+            near = np.flatnonzero(ok)
+            near = near[np.lexsort((f[near], differing[near]))[:NEAREST]]
+            out[0].append(np.full(len(near), cell[at[i]]))
+            out[1].append(np.maximum(f[near], f[i]))
+            out[2].append(np.minimum(f[near], f[i]))
+    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+    return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(("cell", "a", "b"), cols)})
 
 
 def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text",
@@ -277,27 +290,28 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     data = written(data.dropDuplicates(["f"]), "arrays")
     ends = {k: data.select(F.col("f").alias(k), F.col("h").alias(f"h{k}"), F.col("bits").alias(f"b{k}")) for k in "ab"}
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         full = pairs.join(ends["a"], "a").join(ends["b"], "b").select("a", "b", "ha", "hb", "ba", "bb")
-        return full.mapInArrow(lambda it: verify(it, percent), "a long, b long")
+        return written(full.mapInArrow(lambda it: verify(it, percent), "a long, b long, ok boolean"), "compared")
 
     # one leader for each set first: most cells fall into one component then
-    pairs = written(met.where("f <> lead").groupBy("f").agg(F.min("lead").alias("b")).select(F.col("f").alias("a"), "b"), "pairs")
-    links = written(linked(pairs), "links")
-    tried = pairs
+    found = compared(met.where("f <> lead").groupBy("f").agg(F.min("lead").alias("b")).select(F.col("f").alias("a"), "b"))
     while True:
+        links = found.where("ok").select("a", "b")
         roots = written(connected_components(links), "roots")
         named = met.select("cell", "f").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-        open_cells = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        against = both.groupBy(F.col("a").alias("f")).agg(F.collect_set("b").alias("tried"))
-        rows = (named.join(open_cells, "cell", "left_semi").join(data.select("f", "n", "bits"), "f").join(against, "f", "left"))
-        more = rows.groupBy("cell").applyInArrow(lambda t: nearest(t, percent), "a long, b long").distinct()
-        more = written(more, "pairs")
+        split = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+        vain = found.where("not ok").select("a", "b")
+        vain = vain.unionByName(vain.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("f")).agg(F.collect_set("b").alias("failed"))
+        rows = written(named.join(split, "cell", "left_semi"), "open")
+        groups = parts(rows.count(), GROUP_ROWS)
+        rows = rows.join(data.select("f", "n", "bits"), "f").join(vain, "f", "left").withColumn("g", F.pmod(F.xxhash64("cell"), F.lit(groups)))
+        more = written(rows.groupBy("g").applyInArrow(lambda t: nearest(t, percent), "cell long, a long, b long"), "pairs")
         if more.isEmpty():
             return sets, links, roots
-        links = written(links.unionByName(linked(more)), "links")
-        tried = tried.unionByName(more)
+        found = found.unionByName(compared(more.select("a", "b").distinct()))
+        # a cell that has no pair to try now will have none later: components only grow
+        met = met.join(more.select("cell").distinct(), "cell", "left_semi")
 
 
 def similarity_classes(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
