@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import bucket_edges, pack, unpack
-from .tables import connected_components, id_and_text, parts, written
+from .tables import connected_components, id_and_text, parts, written, written_and_told
 from .text import U64, Words, byte_column, inner_grams, mix, ngram_hashes, text_slices
 
 #: text that a task hashes at once; cell entries that a bucket should hold
 SLICE_BYTES, BUCKET_ENTRIES = 4 << 20, 2_000_000
 #: low bits of a cell's hash that are not sent (false meetings are ruled out later)
 DROPPED_BITS = 20
-#: pairs that a set tries in a round, cell rows that a task compares at once
-NEAREST, GROUP_ROWS = 16, 20_000
+#: pairs that a set tries in the first round, cell rows that a task compares at once
+NEAREST, GROUP_ROWS = 8, 20_000
 
 
 def shingle_sets(col, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +132,8 @@ def cells(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, n
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Parity bitmap as bytes; bits: a power of two, four times the size at least."""
-    width = 1 << max(6, int(4 * len(h) - 1).bit_length())
+    """Parity bitmap as bytes; bits: a power of two, eight times the size at least."""
+    width = 1 << max(6, int(8 * len(h) - 1).bit_length())
     odd = np.bincount((h & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -167,12 +167,12 @@ def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(ok[passed])], ["a", "b", "ok"])
 
 
-def nearest(table: pa.Table, percent: int) -> pa.Table:
+def nearest(table: pa.Table, percent: int, tries: int) -> pa.Table:
     """(cell, a, b): for each set of a cell, its nearest sets of other components that may link with it.
 
     Columns cell, f (set), root, n, bits, failed (sets that it was compared
-    with in vain); a table holds whole cells. NEAREST pairs a set and round
-    at most: what is left comes in a later round."""
+    with in vain); a table holds whole cells. A set gets ``tries`` pairs at
+    most: what is left comes in a later round, which allows eight times more."""
     cell = table.column("cell").to_numpy()
     order = np.argsort(cell, kind="stable")
     cuts = np.append(np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)), len(cell))
@@ -198,7 +198,7 @@ def nearest(table: pa.Table, percent: int) -> pa.Table:
             if vain:
                 ok &= ~np.isin(f, np.array(vain, np.int64))
             near = np.flatnonzero(ok)
-            near = near[np.lexsort((f[near], differing[near]))[:NEAREST]]
+            near = near[np.lexsort((f[near], differing[near]))[:tries]]
             out[0].append(np.full(len(near), cell[at[i]]))
             out[1].append(np.maximum(f[near], f[i]))
             out[2].append(np.minimum(f[near], f[i]))
@@ -294,24 +294,35 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
         full = pairs.join(ends["a"], "a").join(ends["b"], "b").select("a", "b", "ha", "hb", "ba", "bb")
         return written(full.mapInArrow(lambda it: verify(it, percent), "a long, b long, ok boolean"), "compared")
 
+    def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+        """rows with column ``name``: the root of ``node``, itself where no link has it."""
+        return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
+
     # one leader for each set first: most cells fall into one component then
-    found = compared(met.where("f <> lead").groupBy("f").agg(F.min("lead").alias("b")).select(F.col("f").alias("a"), "b"))
+    fresh = compared(met.where("f <> lead").groupBy("f").agg(F.min("lead").alias("b")).select(F.col("f").alias("a"), "b"))
+    tries = NEAREST
+    found, roots = fresh, written(connected_components(fresh.where("ok")), "roots")
     while True:
-        links = found.where("ok").select("a", "b")
-        roots = written(connected_components(links), "roots")
-        named = met.select("cell", "f").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+        named = rooted(met.select("cell", "f"), roots, "f", "root")
         split = named.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+        rows, told = written_and_told(named.join(split, "cell", "left_semi"), "open", n=F.count(F.lit(1)))
+        groups = parts(told["n"], GROUP_ROWS)
         vain = found.where("not ok").select("a", "b")
         vain = vain.unionByName(vain.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("f")).agg(F.collect_set("b").alias("failed"))
-        rows = written(named.join(split, "cell", "left_semi"), "open")
-        groups = parts(rows.count(), GROUP_ROWS)
         rows = rows.join(data.select("f", "n", "bits"), "f").join(vain, "f", "left").withColumn("g", F.pmod(F.xxhash64("cell"), F.lit(groups)))
-        more = written(rows.groupBy("g").applyInArrow(lambda t: nearest(t, percent), "cell long, a long, b long"), "pairs")
-        if more.isEmpty():
-            return sets, links, roots
-        found = found.unionByName(compared(more.select("a", "b").distinct()))
+        more, told = written_and_told(rows.groupBy("g").applyInArrow(lambda t: nearest(t, percent, tries), "cell long, a long, b long"), "pairs", n=F.count(F.lit(1)))
+        if not told["n"]:
+            return sets, found.where("ok").select("a", "b"), roots
+        fresh = compared(more.select("a", "b").distinct())
+        found = found.unionByName(fresh)
+        # components grow by links between the present ones
+        between = rooted(rooted(fresh.where("ok"), roots, "a", "x"), roots, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        grown = connected_components(between)
+        known = roots.unionByName(grown.select("node", F.col("node").alias("root"))).distinct()
+        roots = written(rooted(known, grown.select("node", "root"), "root", "root2").select("node", F.col("root2").alias("root")).distinct(), "roots")
         # a cell that has no pair to try now will have none later: components only grow
         met = met.join(more.select("cell").distinct(), "cell", "left_semi")
+        tries *= 8
 
 
 def similarity_classes(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.session import scratch_path
@@ -19,6 +19,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_told(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """The written table, and aggregates over it that the same job works out."""
+    told = Observation()
+    table = written(df.observe(told, *[c.alias(k) for k, c in facts.items()]), name)
+    return table, told.get
+
+
 def id_and_text(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Columns d and t (null text: empty), whatever else df holds."""
     return df.select(F.col(f"`{doc_id}`").alias("d"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
@@ -40,31 +47,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large-star and small-star steps until the edges stay as they
     are. Each step keys on nodes and sends one row per edge; the smallest
     neighbour is a partial aggregate, and a hub's rows meet it in a join that
-    Spark may split. Every round's edges are written to the shared folder.
+    Spark may split. Each round is one job, whose edges are written to the
+    shared folder.
     """
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first())
-
     def oriented(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
-    now = written(oriented(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "cc")
-    before = mark(now)
-    while before[0]:
+    facts = {"n": F.count(F.lit(1)), "mark": F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))}
+    now, before = written_and_told(oriented(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "cc", **facts)
+    while before["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = written(oriented(large), "cc")
+        large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(oriented(small.unionByName(least.select("u", F.col("m").alias("v")))), "cc")
-        after = mark(now)
+        now, after = written_and_told(oriented(small.unionByName(least.select("u", F.col("m").alias("v")))), "cc", **facts)
         if after == before:
             break
         before = after
     roots = now.select(F.col("v").alias("u")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
-
-
-def salted(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n))
