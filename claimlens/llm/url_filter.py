@@ -44,11 +44,12 @@ def entropy(s: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule (verdict, host, path) that fits, else nulls."""
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):  # later ones are longer and win
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
-    return rule, verdict
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(what).alias("verdict")))
+            for what, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))]
+    first = F.coalesce(*fits)
+    return first["rule"], first["verdict"]
 
 
 def lexical(df: DataFrame, url: str) -> DataFrame:
@@ -93,7 +94,8 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", ma
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "score", "verdict")]
     rows = lexical(df, url)
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    rows = rows.withColumns({"_rule": rule, "_verdict": verdict}).withColumn("_y", F.when(F.col("_verdict").isNotNull(), (F.col("_verdict") == "block").cast("double")))
+    rows = rows.withColumns({"_rule": rule, "_verdict": verdict})
+    rows = rows.withColumn("_y", F.when(F.col("_verdict").isNotNull(), (F.col("_verdict") == "block").cast("double")))
     labelled = rows.where("_y is not null")
     classes = {r["_y"]: r["n"] for r in labelled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
