@@ -51,8 +51,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labelled rows of two folds of three."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where(~held)
-    model = toxicity.train(labelled)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held))
     return toxicity.score(docs, model).select(
         "doc_id", held.alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
 

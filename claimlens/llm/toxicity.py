@@ -2,12 +2,12 @@
 
 Features are the distinct word forms of a text (letters only, lower case)
 and the first 4 and 5 letters of longer forms, which catch inflected and
-compound insults. Spark counts, over all labelled training rows, in how many toxic and other
-texts each feature occurs; the features that tell most (by the signed root of the
+compound insults. Spark counts in how many toxic and other
+labelled texts each feature occurs; the features that tell most (by the signed root of the
 likelihood ratio) and the identity terms become the vocabulary. The weights
 minimise the logistic loss plus LAMBDA times the mean squared change of a
 text's score when its identity terms are swapped for others of their group,
-so that naming a group moves no score. Fitting sees a bounded sample of
+so that naming a group moves no score. Training sees a bounded sample of
 labelled rows (``max_rows``); scoring sees every row and whole text.
 """
 
@@ -36,8 +36,8 @@ IDENTITY_GROUPS = (
     ("old", "young"), ("disabled", "blind", "deaf"), ("immigrant", "refugee", "native"),
 )
 
-#: vocabulary size, rows of which a feature must be part, rows that fitting sees at most
-VOCABULARY, LEAST_ROWS, MAX_ROWS = 4096, 8, 100_000
+#: vocabulary size, rows of which a feature must be part, labelled rows that training sees at most
+VOCABULARY, LEAST_ROWS, MAX_ROWS = 4096, 8, 30_000
 #: weight of the counterfactual penalty, of the L2 penalty
 LAMBDA, RIDGE = 4.0, 0.3
 
@@ -159,16 +159,22 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def train(df: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, key: str = "doc_id") -> Model:
-    """Fit on df's rows with a label of 0 or 1 (others are left out).
-
-    Form counts cover all such rows; the fit covers the max_rows of them
-    with the smallest hash of ``key`` (only vocabulary indices reach the
-    driver). No labelled rows: a model that gives every text the same low
-    score."""
-    spark = df.sparkSession
-    rows = (df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.col(f"`{label}`").cast("int").alias("y"),
-                      F.xxhash64(F.col(f"`{key}`").cast("string")).alias("r")).where("y in (0, 1)"))
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, key: str = "doc_id") -> Model:
+    """Fit on the docs that labels marks 0 or 1 (other labels are left out).
+
+    The fit sees max_rows labels at most: those whose key has the smallest
+    hash. That bounds what is broadcast to the documents (ids and labels; the
+    texts stay where they are) and what reaches the driver (vocabulary
+    indices). No labelled rows: a model that gives every text the same low
+    score. Null texts count as empty; null keys have no label."""
+    marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and k is not null")
+    marked = marked.withColumn("r", F.xxhash64(F.col("k").cast("string")))
+    total = marked.count()
+    if total > max_rows:
+        cut = marked.stat.approxQuantile("r", [max_rows / total * 0.98], 1e-3)[0]
+        marked = marked.where(F.col("r") <= int(cut)).limit(max_rows)
+    rows = (docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+            .join(F.broadcast(marked.select("k", "y")), "k").select("t", "y"))
     counts = rows.mapInArrow(_feature_rows, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     by_label = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     a, b = float(by_label.get(0, 0)), float(by_label.get(1, 0))
@@ -191,11 +197,7 @@ def train(df: DataFrame, text: str = "text", label: str = "toxic", max_rows: int
             found = [np.array(sorted(tokens.of(t)), np.uint16).tobytes() for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], ["y", "f"])
 
-    sample = rows
-    if a + b > max_rows:
-        cut = rows.stat.approxQuantile("r", [max_rows / (a + b) * 0.98], 1e-3)[0]
-        sample = rows.where(F.col("r") <= int(cut)).limit(max_rows)
-    got = sample.select("t", "y").mapInArrow(indices, "y int, f binary").toArrow()
+    got = rows.mapInArrow(indices, "y int, f binary").toArrow()
     feats = [np.frombuffer(x, np.uint16) for x in got.column("f").to_pylist()]
     labels = np.array(got.column("y").to_pylist())
     order = sorted(range(len(feats)), key=lambda i: (labels[i], feats[i].tobytes()))  # the fit must not depend on task order

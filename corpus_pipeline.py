@@ -21,9 +21,8 @@ TOXIC_AT = 0.7
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below TOXIC_AT; learnt from all labelled rows."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    """Documents whose toxicity is below TOXIC_AT; learnt from labelled rows of all folds."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_below(docs, model, TOXIC_AT)
 
 

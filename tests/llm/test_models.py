@@ -133,12 +133,12 @@ def test_naming_a_group_moves_no_score():
 
 
 def test_toxicity_odd_rows(odd, empty):
-    labelled = odd.withColumn("toxic", F.when(F.col("doc_id") == 5, 2).when(F.col("doc_id") == 6, F.lit(None)).otherwise(F.col("doc_id") % 2))
-    model = toxicity.train(labelled)
+    labels = odd.select("doc_id", F.when(F.col("doc_id") == 5, 2).when(F.col("doc_id") == 6, F.lit(None)).otherwise(F.col("doc_id") % 2).alias("toxic")).distinct()
+    model = toxicity.train(odd, labels)
     got = toxicity.score(odd, model).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in odd_rows()) and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (1, 2, 3, 10)}) == 1
-    nothing = toxicity.train(empty.withColumn("toxic", F.lit(1)))
+    nothing = toxicity.train(empty, labels.limit(0))
     assert toxicity.score(empty, nothing).collect() == [] and all(r["score"] < 0.1 for r in toxicity.score(odd, nothing).collect())
     kept = toxicity.keep_below(odd, model, 2.0)
     assert kept.schema == odd.schema and kept.count() == len(odd_rows())
@@ -146,7 +146,8 @@ def test_toxicity_odd_rows(odd, empty):
 
 def test_bounded_sample_of_labels(sp):
     rows = [(i, ("bad idiot " if i % 4 == 0 else "fine ") + f"w{i % 50}", int(i % 4 == 0)) for i in range(800)]
-    model = toxicity.train(sp.createDataFrame(rows, "doc_id long, text string, toxic int"), max_rows=200)
+    df = sp.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"), max_rows=200)
     assert model.score("an idiot") > 0.5 > model.score("a fine day")
 
 
@@ -451,7 +452,7 @@ def test_pipeline_stages(sp, tmp_path):
     columns = docs.columns
 
     kept = dict(p.STAGES)["toxicity"](sp, docs, d)
-    model = toxicity.train(docs.join(sp.read.parquet(f"{d}/labels.parquet"), "doc_id"))
+    model = toxicity.train(docs, sp.read.parquet(f"{d}/labels.parquet"))
     assert kept.columns == columns
     rows = {i: t for i, t in rows.items() if model.score(t) < p.TOXIC_AT}
     assert {r["doc_id"] for r in kept.collect()} == set(rows)
