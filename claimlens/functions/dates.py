@@ -25,7 +25,3 @@ def days_between(start, as_of: dt.date) -> Column:
 def trailing_start(as_of: dt.date, months: int) -> Column:
     """``as_of`` minus ``months`` months (a literal; pushes to the scan)."""
     return F.add_months(F.lit(as_of), -months)
-
-
-def parse_date(s, fmt: str = "yyyy-MM-dd") -> Column:
-    return F.to_date(_c(s), fmt)

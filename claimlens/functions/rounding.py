@@ -29,11 +29,6 @@ def rpt(x, n: int = 1) -> Column:
     return F.round(_c(x).cast(WIDE), n).cast("double")
 
 
-def dsum(x, n: int = 2) -> Column:
-    """Sum of a decimal amount, rounded to ``n`` places, reported as double."""
-    return F.round(F.sum(_c(x)), n).cast("double")
-
-
 def pct(num, den) -> Column:
     """100 * num / den with a NULL result when den is 0 (never raises)."""
     return F.try_divide(F.lit(100).cast("decimal(4,1)") * _c(num), _c(den))

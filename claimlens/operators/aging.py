@@ -121,7 +121,7 @@ def ar_summary(scored_payers: DataFrame) -> DataFrame:
     :func:`claimlens.operators.scorecard.scorecard_frame` (it already carries
     the per-payer open AR dollars, so no claim-grain rescan or cross join).
 
-    total_ar_outstanding and ar_90plus are dollars (decision clock, 90+ by
+    total_ar_outstanding and ar_90plus are whole dollars (decision clock, 90+ by
     integer-day bucket); ar_90plus_pct is the *dollar* share."""
     s = scored_payers
     g = s.agg(
@@ -132,8 +132,8 @@ def ar_summary(scored_payers: DataFrame) -> DataFrame:
         F.max_by("payer", "payer_rank").alias("worst"),
     )
     return g.select(
-        F.coalesce(F.round("t", 2), F.lit(0)).cast("double").alias("total_ar_outstanding"),
-        F.coalesce(F.round("o", 2), F.lit(0)).cast("double").alias("ar_90plus"),
+        F.coalesce(F.round("t", 0), F.lit(0)).cast("double").alias("total_ar_outstanding"),
+        F.coalesce(F.round("o", 0), F.lit(0)).cast("double").alias("ar_90plus"),
         rpt(F.try_divide(F.col("o") * F.lit(100), F.when(F.col("t") != 0, F.col("t"))), 1).alias("ar_90plus_pct"),
         F.col("n").cast("bigint").alias("n_payers"),
         F.col("best").alias("best_payer"),

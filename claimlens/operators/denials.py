@@ -62,7 +62,7 @@ def denial_rate_by_payer(
         F.col("total_claims").cast("bigint").alias("total_claims"),
         F.col("denied_claims").cast("bigint").alias("denied_claims"),
         rpt(pct("denied_claims", "total_claims"), 1).alias("denial_rate_pct"),
-    )
+    ).orderBy(F.desc("denial_rate_pct"), "payer_name")
 
 
 # --- G6 / G7: monthly trend ---------------------------------------------------------
@@ -92,7 +92,7 @@ def trend_from_counts(counts: DataFrame) -> DataFrame:
         F.col("_rate").cast("double").alias("denial_rate_pct"),
         F.col("_prior").cast("double").alias("prior_month_rate_pct"),
         rpt(F.col("_rate") - F.col("_prior"), 1).alias("mom_change_pts"),
-    )
+    ).orderBy("claim_month")
 
 
 def monthly_trend_raw(stg: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def monthly_trend_raw(stg: DataFrame) -> DataFrame:
         F.col("d").cast("bigint").alias("denied_claims"),
         rpt("_raw", 1).alias("denial_rate_pct"),
         rpt(F.col("_raw") - F.lag("_raw").over(w), 1).alias("pct_change_vs_prior_month"),
-    )
+    ).orderBy("claim_month")
 
 
 # --- G11-G15: report breakdowns -----------------------------------------------------
@@ -135,7 +135,7 @@ def _breakdown(stg: DataFrame, key: str, with_paid: bool) -> DataFrame:
 
 def monthly_breakdown(stg: DataFrame) -> DataFrame:
     """Per month: claims, denied, underpaid dollars, billed, rate."""
-    return _breakdown(stg, "claim_month", with_paid=False)
+    return _breakdown(stg, "claim_month", with_paid=False).orderBy("claim_month")
 
 
 def payer_breakdown(stg: DataFrame, ordered: bool = True) -> DataFrame:
@@ -177,15 +177,15 @@ def kpi_denial(stg_with_recovery: DataFrame) -> DataFrame:
         F.count_if(F.col("is_denied")).alias("_d"),
         F.count_if(F.col("is_underpaid")).alias("_u"),
         F.sum(F.when(F.col("category").isNotNull(), F.col("recovery_potential"))).alias("_rec"),
-        F.avg("days_to_resolve").alias("_days"),
+        F.avg(F.col("days_to_resolve").cast("decimal(12,4)")).alias("_days"),
     )
     return g.select(
         F.col("n").cast("bigint").alias("total_claims"),
-        F.coalesce(F.round("_billed", 2), F.lit(0)).cast("double").alias("total_billed"),
-        F.coalesce(F.round("_paid", 2), F.lit(0)).cast("double").alias("total_paid"),
+        F.coalesce(F.round("_billed", 0), F.lit(0)).cast("double").alias("total_billed"),
+        F.coalesce(F.round("_paid", 0), F.lit(0)).cast("double").alias("total_paid"),
         rpt(pct("_d", "n"), 1).alias("denial_rate"),
         rpt(pct("_u", "n"), 1).alias("underpay_rate"),
-        F.coalesce(F.round("_rec", 2), F.lit(0)).cast("double").alias("total_recoverable"),
+        F.coalesce(F.round("_rec", 0), F.lit(0)).cast("double").alias("total_recoverable"),
         rpt("_days", 1).alias("avg_days_to_resolve"),
     )
 
@@ -233,7 +233,7 @@ def report_blocks(stg_with_recovery: DataFrame, seed: DataFrame) -> dict[str, Da
         F.sum("paid_amount").alias("_paid"),
         F.sum(F.when(den, F.col("billed_amount"))).alias("_lost"),
         F.sum(F.when(F.col("category").isNotNull(), F.col("recovery_potential"))).alias("_rec"),
-        F.avg("days_to_resolve").alias("_days"),
+        F.avg(F.col("days_to_resolve").cast("decimal(12,4)")).alias("_days"),
     )
     # One row per month / payer / specialty / code plus the total: checkpoint
     # it (shared folder) so the five blocks read this small result instead of
@@ -262,11 +262,11 @@ def report_blocks(stg_with_recovery: DataFrame, seed: DataFrame) -> dict[str, Da
     total = g.filter(F.col("_gid") == _GID["total"])
     kpi = total.select(
         F.col("total_claims").cast("bigint").alias("total_claims"),
-        F.coalesce(F.round("_billed", 2), F.lit(0)).cast("double").alias("total_billed"),
-        F.coalesce(F.round("_paid", 2), F.lit(0)).cast("double").alias("total_paid"),
+        F.coalesce(F.round("_billed", 0), F.lit(0)).cast("double").alias("total_billed"),
+        F.coalesce(F.round("_paid", 0), F.lit(0)).cast("double").alias("total_paid"),
         rpt(pct("denied", "total_claims"), 1).alias("denial_rate"),
         rpt(pct("_u", "total_claims"), 1).alias("underpay_rate"),
-        F.coalesce(F.round("_rec", 2), F.lit(0)).cast("double").alias("total_recoverable"),
+        F.coalesce(F.round("_rec", 0), F.lit(0)).cast("double").alias("total_recoverable"),
         rpt("_days", 1).alias("avg_days_to_resolve"),
     )
     return {

@@ -76,6 +76,7 @@ SCORE_TOLERANCES = {
     "pct_ar_90plus": ("pct_ar_90plus", 0.05),
     "composite_score": ("composite_score", 0.05),
     "total_billed": ("total_billed", 1.0),
+    "total_paid": ("total_paid", 1.0),
 }
 
 

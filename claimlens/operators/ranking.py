@@ -34,7 +34,6 @@ def distributed_row_number(
     df: DataFrame,
     order: list[Column],
     name: str = "row_number",
-    num_partitions: int | None = None,
 ) -> DataFrame:
     """Append ``name`` = 1-based position of each row in ``order``.
 
@@ -43,12 +42,8 @@ def distributed_row_number(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    if num_partitions:
-        ranged = df.repartitionByRange(num_partitions, *order).sortWithinPartitions(*order)
-    else:
-        # a global sort: range partitions whose count AQE may coalesce to the data size
-        ranged = df.orderBy(*order)
-    ranged = ranged.checkpoint(eager=True)
+    # a global sort: range partitions whose count AQE fits to the data size
+    ranged = df.orderBy(*order).checkpoint(eager=True)
     ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

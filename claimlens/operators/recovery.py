@@ -23,7 +23,6 @@ from claimlens import params as P
 from claimlens.functions.bands import confidence
 from claimlens.functions.rounding import MONEY
 from claimlens.operators.ranking import distributed_row_number
-from claimlens.plans.joins import sized_broadcast
 
 SEED_SCHEMA = "denial_code string, denial_reason_label string, appeal_success_rate double"
 
@@ -88,31 +87,6 @@ def opportunities(stg: DataFrame, seed: DataFrame) -> DataFrame:
     return with_recovery(open_claims, seed).filter(F.col("category").isNotNull()).select(*OPPORTUNITY_COLUMNS)
 
 
-def opportunities_union(stg: DataFrame, seed: DataFrame) -> DataFrame:
-    """The same rows written as the literal union of the two branches (two
-    scans); kept to check :func:`opportunities` against."""
-    under = stg.filter(F.col("is_underpaid")).select(
-        "claim_id", "claim_date", "payer", "specialty",
-        F.lit(P.CATEGORY_UNDERPAYMENT).alias("category"),
-        F.lit(P.UNDERPAYMENT_REASON).alias("reason"),
-        "billed_amount", "paid_amount",
-        F.round("underpayment_gap", 2).cast(MONEY).alias("recovery_potential"),
-        F.lit(P.UNDERPAYMENT_CONFIDENCE).alias("recovery_confidence"),
-        F.lit(P.ACTION_RESUBMIT).alias("recommended_action"),
-    )
-    r = seed.withColumn("_rate", F.col("appeal_success_rate").cast("decimal(6,4)"))
-    den = stg.filter(F.col("is_denied")).join(r, "denial_code").filter(F.col("_rate") > 0).select(
-        "claim_id", "claim_date", "payer", "specialty",
-        F.lit(P.CATEGORY_APPEAL).alias("category"),
-        F.col("denial_reason_label").alias("reason"),
-        "billed_amount", "paid_amount",
-        F.round(F.col("billed_amount") * F.col("_rate"), 2).cast(MONEY).alias("recovery_potential"),
-        confidence("_rate").alias("recovery_confidence"),
-        F.lit(P.ACTION_APPEAL).alias("recommended_action"),
-    )
-    return under.unionByName(den)
-
-
 def rank_order():
     """Largest recovery first; ties by claim id (a total order)."""
     return [F.desc_nulls_last("recovery_potential"), F.asc("claim_id")]
@@ -125,10 +99,10 @@ def _report(df: DataFrame) -> DataFrame:
     )
 
 
-def recovery_opportunities(stg: DataFrame, seed: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def recovery_opportunities(stg: DataFrame, seed: DataFrame) -> DataFrame:
     """Every opportunity with its global rank (ties: claim_id)."""
-    ranked = distributed_row_number(opportunities(stg, seed), rank_order(), "opportunity_rank", num_partitions)
-    return _report(ranked.select(F.col("opportunity_rank").cast("bigint"), *OPPORTUNITY_COLUMNS))
+    ranked = distributed_row_number(opportunities(stg, seed), rank_order(), "opportunity_rank")
+    return _report(ranked.select(F.col("opportunity_rank").cast("bigint"), *OPPORTUNITY_COLUMNS)).orderBy("opportunity_rank")
 
 
 def top_opportunities(stg: DataFrame, seed: DataFrame, k: int = 25) -> DataFrame:
@@ -192,28 +166,19 @@ def recovery_by(stg: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- G5 ------------------------------------------------------------------------------
 
-def underpayment_detection(
-    claims: DataFrame,
-    expected_rates: DataFrame,
-    tolerance: float = 0.95,
-    paid_statuses: tuple[str, ...] = (P.STATUS_PAID, P.STATUS_UNDERPAID),
-    max_broadcast_rows: int = 2_000_000,
-) -> DataFrame:
+def underpayment_detection(claims: DataFrame, expected_rates: DataFrame, tolerance: float = 0.95) -> DataFrame:
     """G5 (join form): paid claims whose payment is below ``tolerance`` x the
-    contracted amount, with the rate and the gap.
+    contracted amount, with the rate and the gap, largest gap first.
 
-    ``claims`` needs claim_id, payer_id, specialty, billed_amount,
-    paid_amount, status. The rate table is broadcast only after its row count
-    is checked against ``max_broadcast_rows``; above that it is a shuffle join.
-    A duplicated (payer_id, specialty) rate would duplicate claims — run
-    ``quality.unique`` on the rate table first (the correlated form raises).
+    ``claims`` is in warehouse form: claim_id, payer_id, specialty,
+    billed_amount, paid_amount, status, where an underpaid claim is plainly
+    ``Paid``: underpayment is found here, not read from a label.
+    A duplicated (payer_id, specialty) rate would duplicate claims: run
+    ``quality.unique_failures`` on the rate table first.
     """
     tol = F.lit(str(tolerance)).cast("decimal(6,4)")
-    rates = sized_broadcast(
-        expected_rates.select("payer_id", "specialty", F.col("expected_rate").cast("decimal(6,4)").alias("expected_rate")),
-        max_broadcast_rows,
-    )
-    c = claims.filter(F.col("status").isin(*paid_statuses)).select(
+    rates = expected_rates.select("payer_id", "specialty", F.col("expected_rate").cast("decimal(6,4)").alias("expected_rate"))
+    c = claims.filter(F.col("status") == P.STATUS_PAID).select(
         "claim_id", "payer_id", "specialty", F.col("billed_amount").cast(MONEY).alias("billed_amount"),
         F.col("paid_amount").cast(MONEY).alias("paid_amount"),
     )

@@ -22,11 +22,6 @@ def bar_scale(df: DataFrame, value: str, out: str = "bar_pct") -> DataFrame:
     )
 
 
-def payer_bands(payer_breakdown: DataFrame) -> DataFrame:
-    """Denial-rate flag per payer."""
-    return payer_breakdown.select("payer", "denial_rate_pct", bands.payer_flag("denial_rate_pct").alias("flagged"))
-
-
 def scorecard_bands(scorecard: DataFrame, matrix: DataFrame) -> DataFrame:
     """B7 + B8 per payer: score band, 90+ heat by claim rate and by dollar
     share (left join: the scorecard's payers, zeros when no aging row)."""
@@ -41,26 +36,6 @@ def scorecard_bands(scorecard: DataFrame, matrix: DataFrame) -> DataFrame:
     )
 
 
-def month_labels(monthly: DataFrame, month: str = "claim_month") -> DataFrame:
-    """Month label ('Jul 24') and key ('2024-07') per month."""
-    return monthly.select(
-        month,
-        fmt.month_label(month).alias("month_label"),
-        fmt.month_key(month).alias("month_key"),
-        fmt.month_from_key(fmt.month_key(month)).alias("month_parsed"),
-    )
-
-
-def money_labels(df: DataFrame, key: str, money: str, rate: str) -> DataFrame:
-    """X16/X17: '$1,234', '$12K' and '17.5%' text."""
-    return df.select(
-        key,
-        fmt.money_text(money).alias("money_text"),
-        fmt.money_k_text(money).alias("money_k_text"),
-        fmt.pct_text(rate).alias("pct_text"),
-    )
-
-
 def labels(df: DataFrame, month: str, money: str, rate: str) -> DataFrame:
     """X15-X17 + X19 in one projection: month label/key/parsed key and the
     money and percent texts of each row."""

@@ -34,7 +34,7 @@ def payer_aggregates(as_of: dt.date) -> list:
         F.sum("paid_amount").alias("_paid"),
         F.count_if(F.col("is_denied")).alias("_d"),
         F.count_if(F.col("is_underpaid")).alias("_u"),
-        F.avg("days_to_resolve").alias("_days"),
+        F.avg(F.col("days_to_resolve").cast("decimal(12,4)")).alias("_days"),  # decimal: the order of a sum cannot move it
         F.count_if(open_ar).alias("ar_claims"),
         F.count_if(open_ar & (age > 90)).alias("ar_claims_90plus"),
         F.sum(F.when(open_ar, F.col("billed_amount"))).alias("ar_billed"),
@@ -82,7 +82,7 @@ def score(per: DataFrame, weights: dict | None = None) -> DataFrame:
         terms.append(w * (hi - F.col(m)) / F.nullif(hi - lo, F.lit(0)))
     composite = F.lit(100) * (terms[0] + terms[1] + terms[2] + terms[3])
     scored = per.withColumn("_score", rnd(composite, 1))
-    rank_w = Window.orderBy(F.desc_nulls_last("_score"), F.asc_nulls_last("denial_rate_pct"), F.asc("payer"))
+    rank_w = Window.orderBy(F.desc_nulls_last("_score"), F.asc_nulls_last("denial_rate_pct"), F.asc_nulls_last("payer"))
     return scored.withColumn("payer_rank", F.row_number().over(rank_w)).withColumn("grade", grade("_score"))
 
 

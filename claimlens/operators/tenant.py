@@ -5,23 +5,19 @@ rows of their organizations, reads their own profile, and may append claim
 records only into organizations where they are ``admin`` or ``analyst``.
 Every other (table, action) pair is denied.
 
-Scale notes: the set of a user's organizations is bounded by the number of
-organizations, so it is broadcast after a bounded row count. Appends
-(RL4) join a batch to the user table on (user_id, org_id); both sides can be
-large, so that is a shuffle semi/anti join, with AQE splitting a user who
-submits a large share of the batch.
+Scale notes: every join is written plainly; Catalyst and AQE choose its
+form from measured bytes (a user's few organizations come out as a broadcast,
+and a user who submits a large share of a batch as a split partition).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens import params as P
-from claimlens.plans.joins import sized_broadcast
-
-MAX_ORGS_PER_USER = 100_000
-MAX_ORGS = 1_000_000
 
 
 def orgs_of(users: DataFrame, user_id) -> DataFrame:
@@ -31,7 +27,7 @@ def orgs_of(users: DataFrame, user_id) -> DataFrame:
 
 def scoped_read(table: DataFrame, users: DataFrame, user_id) -> DataFrame:
     """RL2: rows of ``table`` (which has ``org_id``) visible to the user."""
-    return table.join(sized_broadcast(orgs_of(users, user_id), MAX_ORGS_PER_USER), "org_id", "left_semi")
+    return table.join(orgs_of(users, user_id), "org_id", "left_semi")
 
 
 def own_profile(users: DataFrame, user_id) -> DataFrame:
@@ -77,7 +73,6 @@ def visibility_summary(records: DataFrame, users: DataFrame) -> DataFrame:
     Records are first reduced to one row per org, so the join to users is
     (users x 1) rows, never users x records."""
     per_org = records.groupBy("org_id").agg(F.count(F.lit(1)).alias("n"), F.sum("charge_amount").alias("c"))
-    per_org = sized_broadcast(per_org, MAX_ORGS)
     return users.select("user_id", "org_id").join(per_org, "org_id", "left").select(
         "user_id",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("visible_records"),
@@ -113,36 +108,39 @@ REQUIRED_RECORD_FIELDS = ["org_id", "external_ref", "service_date", "procedure_c
                           "charge_amount", "record_status"]
 
 
+#: Q6: what the store fills in where a batch leaves it out
+RECORD_DEFAULTS = {"remit_amount": 0}
+
+
 def validate_append(batch: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
     """K6 checks before an append: ``batch`` plus ``reject_reason`` (NULL =
     accepted). In order of precedence: ``not_writer`` (RL4), ``null_field``,
     ``negative_amount``, ``bad_status`` (Q2-Q4), ``duplicate_in_batch`` and
     ``already_exists`` (the unique (org_id, external_ref) key, Q1).
 
-    Duplicates and existing keys come from ONE aggregate over the tagged
-    union of batch keys and store keys, joined back on the key (partial
-    aggregation; a hot key never gathers its rows into one window task); AQE
-    splits skewed keys of the joins."""
+    Only rows that pass the earlier checks count as duplicates, so nobody can
+    block another tenant's row by sending its key. The store is reduced to
+    the batch's keys by a semi join before anything is grouped."""
     key = ["org_id", "external_ref"]
     writers = _writers(users).select("submitted_by", "org_id", F.lit(True).alias("_writer")).distinct()
-    # batch keys and store keys in one tagged union, one aggregate per key:
-    # both flags from a single shuffle (partial aggregation per map task)
-    tagged = batch.select(*key, F.lit(1).alias("_b")).unionByName(existing.select(*key, F.lit(0).alias("_b")))
-    flags = tagged.groupBy(*key).agg(
-        (F.sum("_b") > 1).alias("_dup"), (F.count(F.lit(1)) > F.sum("_b")).alias("_exists")
-    )
-    j = batch.join(writers, ["submitted_by", "org_id"], "left").join(flags, key, "left")
-    any_null = None
-    for c in REQUIRED_RECORD_FIELDS:
-        cond = F.col(c).isNull()
-        any_null = cond if any_null is None else (any_null | cond)
+    any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in REQUIRED_RECORD_FIELDS])
     negative = (F.col("charge_amount") < 0) | (F.coalesce(F.col("remit_amount"), F.lit(0)) < 0)
-    reason = (
-        F.when(~F.coalesce(F.col("_writer"), F.lit(False)), "not_writer")
+    first = (
+        F.when(F.col("_writer").isNull(), "not_writer")
         .when(any_null, "null_field")
         .when(negative, "negative_amount")
         .when(~F.col("record_status").isin(*P.RECORD_STATUSES), "bad_status")
-        .when(F.coalesce(F.col("_dup"), F.lit(False)), "duplicate_in_batch")
-        .when(F.coalesce(F.col("_exists"), F.lit(False)), "already_exists")
     )
-    return j.withColumn("reject_reason", reason).drop("_writer", "_dup", "_exists")
+    checked = batch.join(writers, ["submitted_by", "org_id"], "left").withColumn("_first", first)
+    asked = checked.filter(F.col("_first").isNull()).groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("_dup"))
+    held = existing.select(*key).join(asked.select(*key), key, "left_semi").distinct().withColumn("_exists", F.lit(True))
+    j = checked.join(asked.join(held, key, "left"), key, "left")
+    reason = F.coalesce("_first", F.when(F.col("_dup"), "duplicate_in_batch").when(F.col("_exists"), "already_exists"))
+    return j.withColumn("reject_reason", reason).select(*batch.columns, "reject_reason")
+
+
+def append_batch(batch: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
+    """The whole write path before the write: defaults (Q6), then checks."""
+    from claimlens.operators.quality import with_defaults
+
+    return validate_append(with_defaults(batch, RECORD_DEFAULTS), users, existing)

@@ -73,6 +73,11 @@ stg AS (
     payer_id
   FROM claims
 ),
+warehouse AS (
+  SELECT claim_id, payer_id, payer, specialty, claim_date, billed_amount, paid_amount, expected_rate,
+         if(status = 'Paid - Underpaid', 'Paid', status) AS claim_status
+  FROM claims
+),
 payers AS (
   SELECT CAST(n_nationkey AS INTEGER) AS payer_id, n_name AS payer_name FROM nation
 ),
@@ -109,78 +114,63 @@ def rd(expr: str, n: int = 1) -> str:
 BUCKET_CASE = """CASE WHEN {d} <= 30 THEN '0-30' WHEN {d} <= 60 THEN '31-60'
             WHEN {d} <= 90 THEN '61-90' ELSE '90+' END"""
 
+# ages and the label of each bucket, as a table: the smallest and the largest age in days
 OPEN_AR = f"""
-oar AS (
-  SELECT claim_id, payer, billed_amount,
-         CAST(coalesce(days_to_resolve, date_diff('day', claim_date, {AS_OF})) AS INTEGER) AS days_outstanding
-  FROM stg WHERE is_open_ar
+edges(youngest, oldest, aging_bucket) AS (
+  VALUES (-100000, 30, '0-30'), (31, 60, '31-60'), (61, 90, '61-90'), (91, 100000, '90+')
 ),
 oarb AS (
-  SELECT *, {BUCKET_CASE.format(d='days_outstanding')} AS aging_bucket FROM oar
+  SELECT s.payer, s.billed_amount, e.aging_bucket
+  FROM stg s
+  JOIN edges e
+    ON CAST(coalesce(s.days_to_resolve, {AS_OF} - s.claim_date) AS INTEGER) BETWEEN e.youngest AND e.oldest
+  WHERE s.is_open_ar
 )"""
 
+# an opportunity is an underpaid claim, or a denied one whose code has a chance above 0
 OPP = """
 opp AS (
-  SELECT claim_id, claim_date, payer, specialty, 'Underpayment' AS category,
-         'Exceeds contracted rate' AS reason, billed_amount, paid_amount,
-         round(underpayment_gap, 2) AS recovery_potential, 'High' AS recovery_confidence,
-         'Resubmit for rate correction' AS recommended_action
-  FROM stg WHERE is_underpaid
-  UNION ALL
-  SELECT c.claim_id, c.claim_date, c.payer, c.specialty, 'Denial appeal', r.denial_reason_label,
-         c.billed_amount, c.paid_amount,
-         round(c.billed_amount * CAST(r.appeal_success_rate AS DECIMAL(6,4)), 2),
-         CASE WHEN r.appeal_success_rate >= 0.50 THEN 'High'
-              WHEN r.appeal_success_rate >= 0.25 THEN 'Medium' ELSE 'Low' END,
-         'File appeal'
-  FROM stg c JOIN seed r ON r.denial_code = c.denial_code
-  WHERE c.is_denied AND r.appeal_success_rate > 0
+  SELECT s.claim_id, s.claim_date, s.payer, s.specialty, s.billed_amount, s.paid_amount,
+         if(s.is_underpaid, 'Underpayment', 'Denial appeal') AS category,
+         if(s.is_underpaid, 'Exceeds contracted rate', k.denial_reason_label) AS reason,
+         round(if(s.is_underpaid, CAST(s.underpayment_gap AS DECIMAL(18,6)),
+                  CAST(s.billed_amount * CAST(k.appeal_success_rate AS DECIMAL(6,4)) AS DECIMAL(18,6))), 2) AS recovery_potential,
+         CASE WHEN s.is_underpaid OR k.appeal_success_rate >= 0.50 THEN 'High'
+              WHEN k.appeal_success_rate < 0.25 THEN 'Low' ELSE 'Medium' END AS recovery_confidence,
+         if(s.is_underpaid, 'Resubmit for rate correction', 'File appeal') AS recommended_action
+  FROM stg s LEFT JOIN seed k USING (denial_code)
+  WHERE s.is_underpaid OR (s.is_denied AND coalesce(k.appeal_success_rate, 0) > 0)
 )"""
 
+# (weight, metric): lower is better for each
+_METRICS = [("0.35", "denial_rate_pct"), ("0.25", "underpay_rate_pct"), ("0.20", "avg_days_to_resolve"), ("0.20", "pct_ar_90plus")]
 
-def _norm_term(w: str, m: str) -> str:
-    return (f"{w} * (max({m}) OVER () - {m}) "
-            f"/ nullif(max({m}) OVER () - min({m}) OVER (), 0)")
-
-
+# one conditional aggregate per payer; the extremes of each metric in a one-row relation; points; order
 SCORE = f"""
-ar AS (
-  SELECT payer, count(*) AS ar_claims,
-         count(*) FILTER (WHERE coalesce(days_to_resolve, date_diff('day', claim_date, {AS_OF})) > 90)
-           AS ar_claims_90plus
-  FROM stg WHERE is_open_ar GROUP BY payer
+metrics AS (
+  SELECT payer, count(*) AS total_claims, round(sum(billed_amount), 0) AS total_billed, round(sum(paid_amount), 0) AS total_paid,
+         {rd("100.0 * sum(CAST(is_denied AS INTEGER)) / count(*)")} AS denial_rate_pct,
+         {rd("100.0 * sum(CAST(is_underpaid AS INTEGER)) / count(*)")} AS underpay_rate_pct,
+         {rd("avg(days_to_resolve)")} AS avg_days_to_resolve,
+         {rd(f"100.0 * sum(CASE WHEN is_open_ar AND coalesce(days_to_resolve, {AS_OF} - claim_date) > 90 THEN 1 ELSE 0 END) / sum(CAST(is_open_ar AS INTEGER))")}
+           AS pct_ar_90plus
+  FROM stg GROUP BY payer HAVING bool_or(is_open_ar)
 ),
-per_payer AS (
-  SELECT c.payer, count(*) AS total_claims,
-         round(sum(c.billed_amount), 0) AS total_billed,
-         round(sum(c.paid_amount), 0) AS total_paid,
-         {rd("100.0 * count(*) FILTER (WHERE c.is_denied) / count(*)")} AS denial_rate_pct,
-         {rd("100.0 * count(*) FILTER (WHERE c.is_underpaid) / count(*)")} AS underpay_rate_pct,
-         {rd("avg(c.days_to_resolve)")} AS avg_days_to_resolve,
-         {rd("100.0 * ar.ar_claims_90plus / ar.ar_claims")} AS pct_ar_90plus
-  FROM stg c JOIN ar ON ar.payer = c.payer
-  GROUP BY c.payer, ar.ar_claims_90plus, ar.ar_claims
+extremes AS (
+  SELECT {", ".join(f"min({m}) AS lo_{i}, max({m}) AS hi_{i}" for i, (_, m) in enumerate(_METRICS))} FROM metrics
 ),
-scored AS (
-  SELECT *, {rd("100 * (" + " + ".join([
-      _norm_term("0.35", "denial_rate_pct"), _norm_term("0.25", "underpay_rate_pct"),
-      _norm_term("0.20", "avg_days_to_resolve"), _norm_term("0.20", "pct_ar_90plus")]) + ")")} AS score
-  FROM per_payer
+points AS (
+  SELECT m.*, {rd("100 * (" + " + ".join(f"{w} * (hi_{i} - {m}) / nullif(hi_{i} - lo_{i}, 0)" for i, (w, m) in enumerate(_METRICS)) + ")")} AS score
+  FROM metrics m, extremes
 ),
 scorecard AS (
-  SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, denial_rate_pct ASC NULLS LAST, payer ASC)
-              AS BIGINT) AS payer_rank,
-         payer,
-         CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade,
-         CAST(score AS DOUBLE) AS composite_score,
-         CAST(denial_rate_pct AS DOUBLE) AS denial_rate_pct,
-         CAST(underpay_rate_pct AS DOUBLE) AS underpay_rate_pct,
-         CAST(avg_days_to_resolve AS DOUBLE) AS avg_days_to_resolve,
-         CAST(pct_ar_90plus AS DOUBLE) AS pct_ar_90plus,
-         CAST(total_claims AS BIGINT) AS total_claims,
-         CAST(total_billed AS DOUBLE) AS total_billed,
-         CAST(total_paid AS DOUBLE) AS total_paid
-  FROM scored
+  SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, denial_rate_pct NULLS LAST, payer) AS BIGINT) AS payer_rank, payer,
+         coalesce((SELECT min(g) FROM (VALUES ('A', 80), ('B', 65), ('C', 50)) AS grades(g, least) WHERE score >= least), 'D') AS grade,
+         CAST(score AS DOUBLE) AS composite_score, CAST(denial_rate_pct AS DOUBLE) AS denial_rate_pct,
+         CAST(underpay_rate_pct AS DOUBLE) AS underpay_rate_pct, CAST(avg_days_to_resolve AS DOUBLE) AS avg_days_to_resolve,
+         CAST(pct_ar_90plus AS DOUBLE) AS pct_ar_90plus, CAST(total_claims AS BIGINT) AS total_claims,
+         CAST(total_billed AS DOUBLE) AS total_billed, CAST(total_paid AS DOUBLE) AS total_paid
+  FROM points
 )"""
 
 TENANT = """

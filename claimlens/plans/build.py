@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from claimlens import params as P
 from claimlens.operators import aging, denials, quality, recovery, scorecard, staging
-from claimlens.plans.sizing import partitions_for
 from claimlens.sinks import publish
 from claimlens.sources import fixture
 from claimlens.sources.files import RECOVERY_DOC_SCHEMA, SCORECARD_DOC_SCHEMA, read_report
@@ -95,8 +94,7 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
 
     core = core_marts(stg, as_of)  # trend, aging and scorecard from one scan
     marts = {name: (lambda df=df: df) for name, df in core.items()}
-    marts["recovery_opportunities"] = lambda: recovery.recovery_opportunities(
-        stg, seed, num_partitions=partitions_for(spark, stg.count()))
+    marts["recovery_opportunities"] = lambda: recovery.recovery_opportunities(stg, seed)
     paths.update(_concurrently(
         {name: (lambda name=name, make=make: publish.write_table(make(), f"{out_dir}/{name}"))
          for name, make in marts.items()},

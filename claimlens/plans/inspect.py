@@ -14,11 +14,3 @@ def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
     with contextlib.redirect_stdout(buf):
         df.explain(mode)
     return buf.getvalue()
-
-
-def has_single_partition_exchange(df: DataFrame) -> bool:
-    return "SinglePartition" in physical_plan(df)
-
-
-def uses(df: DataFrame, operator: str) -> bool:
-    return operator in physical_plan(df)

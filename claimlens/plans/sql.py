@@ -20,9 +20,9 @@ def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
     see ``catalog.stg``) and the dimension tables of ``sf_dir``."""
     from claimlens import catalog
 
-    stg = catalog.stg(spark, sf_dir)
+    stg, warehouse = catalog.stg(spark, sf_dir), catalog.wh(spark, sf_dir)
     views = {
-        "claims": stg.select(
+        "claims": warehouse.select(
             "claim_id", "payer_id", "specialty", "claim_date", F.col("status").alias("claim_status"),
             "billed_amount", "paid_amount", "claim_month",  # claim_month: the table's partition key
         ),

@@ -19,12 +19,6 @@ from claimlens.session import scratch_path
 PUBLISHED_BUCKETS = ["0-30", "31-60", "61-90", "90+"]
 
 
-def as_view(df: DataFrame, name: str) -> DataFrame:
-    """K1: register a temp view (re-evaluated by each reader)."""
-    df.createOrReplaceTempView(name)
-    return df
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
     """K2: materialise as parquet (full refresh by default), optionally
     partitioned (claims by month so date filters prune files)."""
@@ -35,9 +29,22 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
-def _document(parts: dict[str, DataFrame], singles: dict[str, DataFrame], sort_keys: dict[str, str]) -> DataFrame:
+def _by(keys: list[str]):
+    """Comparator of structs: each key ascending, or descending with a leading "-"."""
+    def compare(a, b):
+        out = F.lit(0)
+        for key in reversed(keys):
+            k = key.lstrip("-")
+            less, more = (1, -1) if key.startswith("-") else (-1, 1)
+            out = F.when(a[k] < b[k], less).when(a[k] > b[k], more).otherwise(out)
+        return out
+
+    return compare
+
+
+def _document(parts: dict[str, DataFrame], singles: dict[str, DataFrame], sort_keys: dict[str, list[str]]) -> DataFrame:
     """One-row document: each ``parts`` frame becomes an array of structs
-    (sorted by its ``sort_keys`` field), each ``singles`` frame (one row)
+    (sorted by its ``sort_keys``), each ``singles`` frame (one row)
     becomes a struct. Built with one aggregate over the tagged union."""
     tagged = []
     for name, df in {**parts, **singles}.items():
@@ -47,11 +54,7 @@ def _document(parts: dict[str, DataFrame], singles: dict[str, DataFrame], sort_k
         union = union.unionByName(t, allowMissingColumns=True)
     aggs = []
     for name in parts:
-        key = sort_keys.get(name)
-        arr = F.collect_list(name)
-        if key:
-            arr = F.array_sort(arr, lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
-        aggs.append(arr.alias(name))
+        aggs.append(F.array_sort(F.collect_list(name), _by(sort_keys[name])).alias(name))
     for name in singles:
         aggs.append(F.first(name, ignorenulls=True).alias(name))
     return union.agg(*aggs)
@@ -72,7 +75,7 @@ def scorecard_document(scorecard: DataFrame, matrix: DataFrame, summary: DataFra
         "total_paid",
     )
     am = matrix.select("payer", *[F.col(c).alias(b) for c, b in zip(BUCKET_COLUMNS, PUBLISHED_BUCKETS)])
-    doc = _document({"scorecard": sc, "aging_matrix": am}, {"summary": summary}, {"scorecard": "rank", "aging_matrix": "payer"})
+    doc = _document({"scorecard": sc, "aging_matrix": am}, {"summary": summary}, {"scorecard": ["rank"], "aging_matrix": ["payer"]})
     return doc.select(F.lit(str(as_of)).alias("as_of_date"), "summary", "scorecard", "aging_matrix")
 
 
@@ -87,7 +90,8 @@ def recovery_document(
     doc = _document(
         {"top25": top, "by_payer": bp, "by_specialty": bs, "by_reason": br},
         {"summary": summary},
-        {"top25": "rank"},
+        {"top25": ["rank"], "by_payer": ["-recovery_potential", "payer"], "by_specialty": ["-recovery_potential", "specialty"],
+         "by_reason": ["-total_recovery", "category", "reason"]},
     )
     return doc.select("summary", "top25", "by_payer", "by_specialty", "by_reason")
 
@@ -107,9 +111,7 @@ def append_run(spark: SparkSession, runs_path: str, org_ids: DataFrame, payload:
     """K5: append one report_runs row per org with an opaque JSON payload
     (``payload`` is a one-row frame; it is serialised with ``to_json``).
     The one-row payload is broadcast to the org rows (size fixed: one row)."""
-    from claimlens.plans.joins import bounded_count
-
-    if bounded_count(payload, 1) != 1:
+    if len(payload.take(2)) != 1:
         raise ValueError("a run payload must be exactly one row")
     p = payload.select(F.to_json(F.struct(*payload.columns)).alias("summary_payload"), F.lit(1).alias("_k"))
     runs = org_ids.select("org_id", F.lit(1).alias("_k")).join(F.broadcast(p), "_k").select(
@@ -121,7 +123,8 @@ def append_run(spark: SparkSession, runs_path: str, org_ids: DataFrame, payload:
 
 def append_claim_records(accepted: DataFrame, path: str) -> str:
     """K6: append accepted claim records, partitioned by org."""
-    accepted.write.mode("append").partitionBy("org_id").parquet(path)
+    # rows of one organization meet in few tasks, a large one's are split by size
+    accepted.hint("rebalance", "org_id").write.mode("append").partitionBy("org_id").parquet(path)
     return path
 
 
@@ -137,6 +140,7 @@ def trend_document(kpi: DataFrame, monthly: DataFrame, by_payer: DataFrame, by_r
     doc = _document(
         {"monthly": m, "by_payer": by_payer, "by_reason": r, "by_specialty": by_specialty},
         {"kpi": kpi},
-        {"monthly": "claim_month"},
+        {"monthly": ["claim_month"], "by_payer": ["-denial_rate_pct", "payer"], "by_reason": ["-count", "denial_code"],
+         "by_specialty": ["-denial_rate_pct", "specialty"]},
     )
     return doc.select("kpi", "monthly", "by_payer", "by_reason", "by_specialty")

@@ -172,34 +172,16 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_claim_records_jdbc(
-    spark: SparkSession, url: str, properties: dict, num_partitions: int = 64, bounds: tuple[int, int] | None = None
-) -> DataFrame:
-    """Claim records from a relational database, read in parallel
-    slices of ``record_id`` (never one connection pulling every row).
-    ``bounds`` = (min record_id, max record_id); when omitted a single
-    partition is used."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", "claim_records")
-    for k, v in properties.items():
-        reader = reader.option(k, v)
-    if bounds:
-        reader = (
-            reader.option("partitionColumn", "record_id")
-            .option("lowerBound", bounds[0])
-            .option("upperBound", bounds[1])
-            .option("numPartitions", num_partitions)
-        )
-    df = reader.load()
+def read_claim_records_jdbc(spark: SparkSession, url: str, properties: dict, num_partitions: int = 64) -> DataFrame:
+    """Claim records from a relational database, read in parallel slices
+    of ``record_id``; its smallest and largest value are asked for first, so
+    no connection ever pulls the whole table."""
+    def reader(table: str):
+        return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
+
+    low, high = reader("(select min(record_id) as lo, max(record_id) as hi from claim_records) as ends").load().first()
     from pyspark.sql import functions as F
 
+    df = (reader("claim_records").option("partitionColumn", "record_id").option("lowerBound", low or 0)
+          .option("upperBound", (high or 0) + 1).option("numPartitions", num_partitions).load())
     return df.withColumn("service_date", F.to_date("service_date"))
-
-
-def load_claim_records(spark: SparkSession, database_url: str | None, synthetic_rows: int = 600, **jdbc) -> DataFrame:
-    """Database when configured, else the deterministic synthetic set."""
-    if database_url:
-        return read_claim_records_jdbc(spark, database_url, jdbc.get("properties", {}), **{
-            k: v for k, v in jdbc.items() if k != "properties"})
-    from claimlens.sources.synthetic import synthetic_claims
-
-    return synthetic_claims(spark, synthetic_rows)

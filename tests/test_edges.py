@@ -54,12 +54,12 @@ def test_duplicate_external_ref_only_within_one_org_is_a_violation(spark):
 
 def test_published_document_missing_a_payer_is_reported(spark):
     actual = spark.createDataFrame(
-        [(1, "A", "B", 70.0, 10.0, 5.0, 17.0, 10.0, 100.0), (2, "B", "C", 55.0, 11.0, 5.0, 17.0, 10.0, 100.0)],
+        [(1, "A", "B", 70.0, 10.0, 5.0, 17.0, 10.0, 100.0, 1.0), (2, "B", "C", 55.0, 11.0, 5.0, 17.0, 10.0, 100.0, 1.0)],
         "payer_rank long, payer string, grade string, composite_score double, denial_rate_pct double, "
-        "underpay_rate_pct double, avg_days_to_resolve double, pct_ar_90plus double, total_billed double")
+        "underpay_rate_pct double, avg_days_to_resolve double, pct_ar_90plus double, total_billed double, total_paid double")
     published = actual.select(F.col("payer_rank").alias("rank"), "payer", "grade", "composite_score",
                               F.col("denial_rate_pct").alias("denial_rate"), F.col("underpay_rate_pct").alias("underpay_rate"),
-                              "avg_days_to_resolve", "pct_ar_90plus", "total_billed").filter("payer = 'A'")
+                              "avg_days_to_resolve", "pct_ar_90plus", "total_billed", "total_paid").filter("payer = 'A'")
     got = {r["payer"]: r["ok"] for r in quality.scorecard_diff(actual, published).collect()}
     assert got == {"A": True, "B": False}
 

@@ -67,7 +67,7 @@ def test_distributed_row_number_equals_window(spark, hot_share):
         F.when(F.col("id") < int(n * hot_share), F.lit(1.0)).otherwise((F.col("id") * 7919 % 1000).cast("double")).alias("v"),
     )
     order = [F.desc("v"), F.asc("key")]
-    a = distributed_row_number(df, order, "rn", num_partitions=7)
+    a = distributed_row_number(df, order, "rn")
     b = df.withColumn("rn2", F.row_number().over(Window.orderBy(*order)))
     j = a.join(b, "key")
     assert j.count() == n

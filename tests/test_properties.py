@@ -73,6 +73,6 @@ def test_distributed_row_number_matches_sorted_order(spark, values, parts):
     rows = [(f"k{i:05d}", float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "key string, v double")
     order = [F.desc("v"), F.asc("key")]
-    got = {r["key"]: r["rn"] for r in distributed_row_number(df, order, "rn", num_partitions=parts).collect()}
+    got = {r["key"]: r["rn"] for r in distributed_row_number(df.repartition(parts), order, "rn").collect()}
     want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert got == want

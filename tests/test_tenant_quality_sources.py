@@ -89,9 +89,9 @@ def test_defaults_on_write(spark):
 
 def test_scorecard_diff_full_outer_and_null_safe(spark):
     actual = spark.createDataFrame(
-        [(1, "A", "B", 70.0, 10.0, 5.0, 17.0, 10.0, 100.0), (2, "B", "D", None, 11.0, 5.0, 17.0, 10.0, 100.0)],
+        [(1, "A", "B", 70.0, 10.0, 5.0, 17.0, 10.0, 100.0, 1.0), (2, "B", "D", None, 11.0, 5.0, 17.0, 10.0, 100.0, 1.0)],
         "payer_rank long, payer string, grade string, composite_score double, denial_rate_pct double, "
-        "underpay_rate_pct double, avg_days_to_resolve double, pct_ar_90plus double, total_billed double")
+        "underpay_rate_pct double, avg_days_to_resolve double, pct_ar_90plus double, total_billed double, total_paid double")
     published = spark.createDataFrame(
         [(1, "A", "B", 70.04, 10.0, 5.0, 17.0, 10.0, 100.5, 1.0), (2, "B", "D", 35.0, 11.0, 5.0, 17.0, 10.0, 100.0, 1.0),
          (3, "C", "D", 30.0, 11.0, 5.0, 17.0, 10.0, 100.0, 1.0)],
@@ -169,13 +169,17 @@ def test_validate_append_reasons(spark):
         (10, "DUP", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),
         (10, "DUP", d, "90001", "A", Decimal("6"), Decimal("0"), "paid", 1),       # duplicate key in batch
         (10, "OLD", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),       # already in the store
+        (10, "MINE", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 1),      # an outsider sends the same key: no hindrance
+        (10, "MINE", d, "90001", "A", Decimal("5"), Decimal("0"), "paid", 4),
+        (10, "HALF", d, "90001", "A", Decimal("5"), Decimal("0"), "bogus", 1),     # nor a rejected row of one's own
+        (10, "HALF", d, "90001", "A", Decimal("5"), None, "paid", 1),
     ], cols)
     existing = spark.createDataFrame([(10, "OLD"), (20, "OK")], "org_id int, external_ref string")
-    got = sorted((r["external_ref"], r["reject_reason"])
-                 for r in tenant.validate_append(batch, users, existing).collect())
-    assert got == [("BAD", "bad_status"), ("DUP", "duplicate_in_batch"), ("DUP", "duplicate_in_batch"),
-                   ("NEG", "negative_amount"), ("NULL", "null_field"), ("OK", None),
-                   ("OLD", "already_exists"), ("VIEW", "not_writer")]
+    got = sorted(((r["external_ref"], r["reject_reason"])
+                 for r in tenant.validate_append(batch, users, existing).collect()), key=str)
+    want = [("BAD", "bad_status"), ("DUP", "duplicate_in_batch"), ("DUP", "duplicate_in_batch"), ("HALF", None), ("HALF", "bad_status"),
+            ("MINE", None), ("MINE", "not_writer"), ("NEG", "negative_amount"), ("NULL", "null_field"), ("OK", None), ("OLD", "already_exists"), ("VIEW", "not_writer")]
+    assert got == sorted(want, key=str)
 
 
 def test_build_runs_the_staged_and_mart_schema_tests(spark, tmp_path):

@@ -113,17 +113,6 @@ def test_recovery_rules(spark):
     assert opp["u"]["category"] != opp["e"]["category"]
 
 
-def test_single_pass_opportunities_equal_union_form(spark):
-    rows = [(f"c{i}", "2025-01-02", "P", "S", 100 + i, 0 if i % 2 else 50, "Denied" if i % 2 else "Paid - Underpaid",
-             ["CO-11", "CO-16", "PR-1", "CO-97"][i % 4] if i % 2 else None, 5, None if i % 2 else i)
-            for i in range(40)]
-    stg = make_stg(spark, rows)
-    seed = recovery.appeal_rates(spark)
-    a = sorted(map(tuple, recovery.opportunities(stg, seed).collect()))
-    b = sorted(map(tuple, recovery.opportunities_union(stg, seed).select(*recovery.OPPORTUNITY_COLUMNS).collect()))
-    assert a == b
-
-
 def test_recovery_rank_ties_break_on_claim_id(spark):
     rows = [(cid, "2025-01-02", "P", "S", 100, 0, "Denied", "CO-16", 5, None) for cid in ["b", "a", "c"]]
     opp = recovery.recovery_opportunities(make_stg(spark, rows), recovery.appeal_rates(spark))
