@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import written, written_and_told
 
 #: rows of one hash group that share a salt
 SALT_ROWS = 1000
@@ -44,7 +44,8 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = df.select(F.col(f"`{doc_id}`").alias("d"), body.alias("t")).withColumn("h", hash_of(F.col("t")))
     keys = docs.select("d", "h", F.sha2(F.col("t").cast("binary"), 256).alias("sha"))
-    groups = keys.groupBy("h").agg(best("d").alias("keep"), F.count(F.lit(1)).alias("n"))
+    # written, so that the last join has two plain sides, of which Spark can split a hot group's
+    groups = written(keys.groupBy("h").agg(best("d").alias("keep"), F.count(F.lit(1)).alias("n")), "groups")
 
     shared = groups.where("n > 1").select("h", "keep", F.expr(f"cast(ceil(n / {SALT_ROWS}) as int)").alias("salts"))
     # the only step that moves all texts; written, since both sides of the comparison read it
@@ -52,15 +53,15 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     # one text for each group that has the kept id (a repeated id may come with several: any will do, the rest collide)
     kept = (members.where(F.col("d").eqNullSafe(F.col("keep"))).groupBy("h").agg(F.max_by("t", F.xxhash64("t")).alias("kt"), F.max("salts").alias("m"))
             .select("h", "kt", F.explode(F.expr("sequence(0L, m - 1L)")).alias("salt")))
-    compared = members.join(kept, ["h", "salt"]).select("h", "d", "t", F.col("t").eqNullSafe(F.col("kt")).alias("same"))
-    collided = compared.where("not same").select("h", "d", "t").groupBy("h", "t").agg(
-        best("d").alias("keep2"), F.count(F.lit(1)).alias("n2")).select(
-        "h", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), "keep2", "n2")
-    lost = collided.groupBy("h").agg(F.sum("n2").alias("lost"))
+    differ = members.join(kept, ["h", "salt"]).where(~F.col("t").eqNullSafe(F.col("kt"))).select("h", "d", "t")
+    collided, told = written_and_told(
+        differ.groupBy("h", "t").agg(best("d").alias("keep2"), F.count(F.lit(1)).alias("n2"))
+        .select("h", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), "keep2", "n2"), "collided", n=F.count(F.lit(1)))
 
-    return (keys.join(groups, "h").join(collided, ["h", "sha"], "left").join(lost, "h", "left")
-            .select(F.col("d").alias("doc_id"),
-                    F.coalesce("keep2", "keep").alias("keep_id"),
-                    F.coalesce(F.col("n2"), F.col("n") - F.coalesce("lost", F.lit(0))).cast("long").alias("group_size"),
-                    F.col("d").eqNullSafe(F.coalesce("keep2", "keep")).alias("kept"),
-                    F.col("sha").alias("text_sha256")))
+    rows = keys.join(groups, "h")
+    if told["n"]:  # hash collisions: those rows form groups of their own
+        lost = collided.groupBy("h").agg(F.sum("n2").alias("lost"))
+        rows = rows.join(collided, ["h", "sha"], "left").join(lost, "h", "left").withColumns({
+            "keep": F.coalesce("keep2", "keep"), "n": F.coalesce(F.col("n2"), F.col("n") - F.coalesce("lost", F.lit(0)))})
+    return rows.select(F.col("d").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("n").cast("long").alias("group_size"),
+                       F.col("d").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))

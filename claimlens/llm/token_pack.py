@@ -33,6 +33,7 @@ from .tables import id_and_text, parts, total_bytes, written
 from .text import U64, spread, text_slices
 
 MAGIC = b"TOKPACK1"
+NO_ID = -(2**63)
 BLOCK, FILE_BYTES, SLICE_BYTES = 1 << 16, 32 << 20, 4 << 20
 
 
@@ -234,9 +235,10 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int |
     (tokens of all files before), one row per file in ascending order of ids.
 
     end_id is appended to every document. Null texts count as empty. Null
-    ids are refused; rows that repeat an id are written one after another,
-    in the order of their texts' hashes."""
-    docs = id_and_text(df, doc_id, text).withColumn("d", F.col("d").cast("long"))
+    ids come first, in the files as NO_ID, and are read back as null; rows
+    that repeat an id are written one after another, in the order of their
+    texts' hashes."""
+    docs = id_and_text(df, doc_id, text).withColumn("d", F.coalesce(F.col("d").cast("long"), F.lit(NO_ID)))
     files = parts(total_bytes(docs), FILE_BYTES)
     ordered = docs.withColumn("x", F.xxhash64("t")).repartitionByRange(files, "d").sortWithinPartitions("d", "x").select(F.spark_partition_id().alias("part"), "d", "t")
 
@@ -245,8 +247,6 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int |
         for batch in batches:
             for chunk in text_slices(batch, "t", SLICE_BYTES):
                 encoder = word_ids(tokenizer_path)
-                if chunk.column("d").null_count:
-                    raise ValueError("a document without an id has no place in the order of ids")
                 if made is None:
                     part = chunk.column("part")[0].as_py()
                     fs, base = _open(folder)
@@ -283,7 +283,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                         s = r.starts[a : b + 1]
                         raw = memoryview(r.tokens(int(s[0]), int(s[-1])).astype("<u4").tobytes())
                         at = ((s - s[0]) * 4).tolist()
-                        yield pa.RecordBatch.from_arrays([pa.array(r.ids[a:b]), pa.array(s[:-1] + start), pa.array(np.diff(s)),
+                        yield pa.RecordBatch.from_arrays([pa.array(r.ids[a:b], mask=r.ids[a:b] == NO_ID), pa.array(s[:-1] + start), pa.array(np.diff(s)),
                                                           pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("part", "path", "start")
