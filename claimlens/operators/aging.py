@@ -104,7 +104,10 @@ def ar_aging_matrix(stg: DataFrame, as_of: dt.date, clock: str = "decision") ->
     The pivot values are given explicitly, so Spark needs no extra job to
     discover them, and it runs as one partial+final aggregate."""
     a = open_ar(stg, as_of, clock)
-    p = a.groupBy("payer").pivot("aging_bucket", P.AGING_BUCKETS).agg(F.sum("billed_amount"))
+    return _matrix(a.groupBy("payer").pivot("aging_bucket", P.AGING_BUCKETS).agg(F.sum("billed_amount")))
+
+
+def _matrix(p: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(22,2)")
     buckets = [F.coalesce(F.col(f"`{b}`"), zero) for b in P.AGING_BUCKETS]
     total = buckets[0] + buckets[1] + buckets[2] + buckets[3]
@@ -116,6 +119,13 @@ def ar_aging_matrix(stg: DataFrame, as_of: dt.date, clock: str = "decision") ->
     ).orderBy("payer")
 
 
+def matrix_from_counts(aging: DataFrame) -> DataFrame:
+    """G17 from the G8 mart (payer, aging_bucket, billed_in_bucket): its cents are whole, so sums agree."""
+    cents = F.col("billed_in_bucket").cast("decimal(22,2)")
+    p = aging.withColumn("_c", cents).groupBy("payer").pivot("aging_bucket", P.AGING_BUCKETS).agg(F.sum("_c"))
+    return _matrix(p)
+
+
 def ar_summary(scored_payers: DataFrame) -> DataFrame:
     """One-row AR summary from the per-payer scorecard frame produced by
     :func:`claimlens.operators.scorecard.scorecard_frame` (it already carries

@@ -209,7 +209,7 @@ def slice_claims(stg: DataFrame, payer=None, specialty=None, period=None) -> Dat
 
 # --- G11-G15 in one pass ------------------------------------------------------------
 
-_BLOCK_KEYS = ["claim_month", "payer", "specialty", "denial_code"]
+BLOCK_KEYS = ["claim_month", "payer", "specialty", "denial_code"]
 # grouping_id of each grouping set: one bit per key, set when the key is NOT grouped
 _GID = {"claim_month": 0b0111, "payer": 0b1011, "specialty": 0b1101, "denial_code": 0b1110, "total": 0b1111}
 
@@ -223,7 +223,7 @@ def report_blocks(stg_with_recovery: DataFrame, seed: DataFrame) -> dict[str, Da
     :func:`specialty_breakdown` and :func:`reason_breakdown`."""
     s = stg_with_recovery
     den, und = F.col("is_denied"), F.col("is_underpaid")
-    g = s.groupingSets([[k] for k in _BLOCK_KEYS] + [[]], *_BLOCK_KEYS).agg(
+    g = s.groupingSets([[k] for k in BLOCK_KEYS] + [[]], *BLOCK_KEYS).agg(
         F.grouping_id().alias("_gid"),
         F.count(F.lit(1)).alias("total_claims"),
         F.count_if(den).alias("denied"),
@@ -239,6 +239,11 @@ def report_blocks(stg_with_recovery: DataFrame, seed: DataFrame) -> dict[str, Da
     # it (shared folder) so the five blocks read this small result instead of
     # each re-running the scan (column pruning would give each block its own
     # aggregate, defeating exchange reuse).
+    return report_blocks_of(g, seed)
+
+
+def report_blocks_of(g: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
+    """The blocks from grouping-set rows over BLOCK_KEYS (see :func:`report_blocks`)."""
     ensure_checkpoint_dir(g.sparkSession)
     g = g.checkpoint(eager=True)
     rate = rpt(pct("denied", "total_claims"), 1).alias("denial_rate_pct")

@@ -100,9 +100,12 @@ def _report(df: DataFrame) -> DataFrame:
 
 
 def recovery_opportunities(stg: DataFrame, seed: DataFrame) -> DataFrame:
-    """Every opportunity with its global rank (ties: claim_id)."""
+    """Every opportunity with its global rank (ties: claim_id).
+
+    Rows come in rank order without another sort: they were sorted once for
+    the rank, and the checkpointed partitions hold consecutive ranks."""
     ranked = distributed_row_number(opportunities(stg, seed), rank_order(), "opportunity_rank")
-    return _report(ranked.select(F.col("opportunity_rank").cast("bigint"), *OPPORTUNITY_COLUMNS)).orderBy("opportunity_rank")
+    return _report(ranked.select(F.col("opportunity_rank").cast("bigint"), *OPPORTUNITY_COLUMNS))
 
 
 def top_opportunities(stg: DataFrame, seed: DataFrame, k: int = 25) -> DataFrame:
@@ -111,7 +114,15 @@ def top_opportunities(stg: DataFrame, seed: DataFrame, k: int = 25) -> DataFrame
     # rank within k rows: a k-row window, after the distributed top-k
     from pyspark.sql import Window
 
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())).cast("bigint"))
+    return _top_shape(top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())).cast("bigint")))
+
+
+def top_of(mart: DataFrame, k: int = 25) -> DataFrame:
+    """G20 from the written G10 mart, whose rank says which rows they are."""
+    return _top_shape(mart.filter(F.col("opportunity_rank") <= k).withColumn("rank", F.col("opportunity_rank")))
+
+
+def _top_shape(ranked: DataFrame) -> DataFrame:
     return ranked.select(
         "claim_id",
         "claim_date",
@@ -214,7 +225,7 @@ def recovery_ratios(stg: DataFrame, seed: DataFrame) -> DataFrame:
     )
 
 
-_REC_KEYS = ["payer", "specialty", "category", "reason"]
+REC_KEYS = ["payer", "specialty", "category", "reason"]
 # grouping_id per set: one bit per key, set when the key is NOT grouped
 _REC_GID = {"payer": 0b0111, "specialty": 0b1011, "reason": 0b1100, "total": 0b1111}
 
@@ -225,12 +236,10 @@ def recovery_blocks(stg: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
     columns (measures count only opportunities; the billed universe counts
     all claims), checkpointed (one row per group) and split by
     ``grouping_id``. Equal to :func:`recovery_summary` and :func:`recovery_by`."""
-    from claimlens.session import ensure_checkpoint_dir
-
     s = with_recovery(stg, seed)
     opp = F.col("category").isNotNull()
     rec = F.when(opp, F.col("recovery_potential"))
-    g = s.groupingSets([["payer"], ["specialty"], ["category", "reason"], []], *_REC_KEYS).agg(
+    g = s.groupingSets([["payer"], ["specialty"], ["category", "reason"], []], *REC_KEYS).agg(
         F.grouping_id().alias("_gid"),
         F.sum(rec).alias("_s"),
         F.count_if(opp).alias("_n"),
@@ -239,6 +248,13 @@ def recovery_blocks(stg: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
         F.sum(F.when(F.col("category") == P.CATEGORY_APPEAL, F.col("recovery_potential"))).alias("_a"),
         F.sum("billed_amount").alias("_b"),
     )
+    return recovery_blocks_of(g)
+
+
+def recovery_blocks_of(g: DataFrame) -> dict[str, DataFrame]:
+    """The blocks from grouping-set rows over REC_KEYS (see :func:`recovery_blocks`)."""
+    from claimlens.session import ensure_checkpoint_dir
+
     ensure_checkpoint_dir(g.sparkSession)
     g = g.checkpoint(eager=True)
     gid = F.col("_gid")

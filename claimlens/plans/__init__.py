@@ -1,2 +1,2 @@
-"""Plans: the end-to-end build, size-checked joins, SQL views, partition sizing,
+"""Plans: the end-to-end build, its cube, SQL views,
 plan inspection and the oracle comparison used by tests."""

@@ -5,9 +5,10 @@
    each task writes few folders and a hot month is split across tasks).
    Every mart then reads that table: lineage is cut, date filters prune
    month folders, and column pruning reaches the files.
-2. Build the four marts and write them (full refresh), up to ``threads``
-   independent jobs at a time (the original build also runs 4 threads); the
-   trend, aging and scorecard marts come from one grouping-sets scan.
+2. Aggregate the staged claims once, at the finest grain that any mart or
+   document needs (``plans/cube.py``), and write that. The trend, aging and
+   scorecard marts and all document blocks add its rows up; only the ranked
+   opportunities read claims again. Marts are written ``threads`` at a time.
 3. Run the schema tests of staged claims and marts (failing-row counts).
 4. Publish the three report documents (scorecard, recovery, denial trend)
    and check the first two against the marts.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from claimlens import params as P
 from claimlens.operators import aging, denials, quality, recovery, scorecard, staging
+from claimlens.plans.cube import claim_cube, rolled
+from claimlens.session import ensure_checkpoint_dir
 from claimlens.sinks import publish
 from claimlens.sources import fixture
 from claimlens.sources.files import RECOVERY_DOC_SCHEMA, SCORECARD_DOC_SCHEMA, read_report
@@ -92,7 +95,10 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     paths["stg_claims"] = f"{out_dir}/stg_claims"
     seed = recovery.appeal_rates(spark)
 
-    core = core_marts(stg, as_of)  # trend, aging and scorecard from one scan
+    paths["claim_cube"] = publish.write_table(claim_cube(recovery.with_recovery(stg, seed), as_of), f"{out_dir}/claim_cube")
+    cube = spark.read.parquet(paths["claim_cube"])  # one scan of the claims feeds all of what follows but the ranked list
+    core = core_marts_of(rolled(cube, CORE_SETS, CORE_KEYS, CORE_MEASURES))
+    frame = core.pop("scorecard_frame")
     marts = {name: (lambda df=df: df) for name, df in core.items()}
     marts["recovery_opportunities"] = lambda: recovery.recovery_opportunities(stg, seed)
     paths.update(_concurrently(
@@ -109,19 +115,16 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     tests = staged_tests.unionByName(mart_tests(read["monthly_denial_trend"], read["ar_aging_decision"],
                                                 read["payer_scorecard"], read["recovery_opportunities"], seed))
 
-    frame = scorecard.scorecard_frame(stg, as_of)
-    sdoc = publish.scorecard_document(read["payer_scorecard"], aging.ar_aging_matrix(stg, as_of),
-                                      aging.ar_summary(frame), as_of)
-    rblocks = recovery.recovery_blocks(stg, seed)  # summary + three breakdowns from one scan
+    matrix = aging.matrix_from_counts(read["ar_aging_decision"])
+    sdoc = publish.scorecard_document(read["payer_scorecard"], matrix, aging.ar_summary(frame), as_of)
+    rblocks = recovery.recovery_blocks_of(rolled(cube, [["payer"], ["specialty"], ["category", "reason"], []], recovery.REC_KEYS, {
+        "_s": "rec", "_n": "opportunities", "_h": "rec_high", "_u": "rec_under", "_a": "rec_appeal", "_b": "billed"}))
     summary = rblocks["summary"]
-    rdoc = publish.recovery_document(
-        summary,
-        recovery.top_opportunities(stg, seed),
-        rblocks["by_payer"],
-        rblocks["by_specialty"],
-        rblocks["by_reason"],
-    )
-    blocks = denials.report_blocks(recovery.with_recovery(stg, seed), seed)  # one scan, five blocks
+    top = recovery.top_of(read["recovery_opportunities"], P.Params().top_k)
+    rdoc = publish.recovery_document(summary, top, rblocks["by_payer"], rblocks["by_specialty"], rblocks["by_reason"])
+    blocks = denials.report_blocks_of(rolled(cube, [[k] for k in denials.BLOCK_KEYS] + [[]], denials.BLOCK_KEYS, {
+        "total_claims": "claims", "denied": "denied", "_u": "underpaid", "_under": "gap", "_billed": "billed", "_paid": "paid", "_lost": "lost",
+        "_rec": "rec", "_days": "mean_days"}), seed)
     tdoc = publish.trend_document(blocks["kpi"], blocks["monthly"], blocks["by_payer"], blocks["by_reason"],
                                   blocks["by_specialty"])
     paths.update(_concurrently({
@@ -137,34 +140,33 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     return BuildResult(paths, tests, sc_check, rec_check)
 
 
-def core_marts(stg: DataFrame, as_of: dt.date = P.FIXTURE_AS_OF) -> dict[str, DataFrame]:
-    """The monthly-trend, AR-aging and payer-scorecard marts from ONE scan of
-    the staged claims: one aggregate over GROUPING SETS ((month), (payer),
-    (payer, aging bucket)) with conditional open-AR measures, checkpointed
-    (one row per group) and split by ``grouping_id``. Equal to
-    ``monthly_denial_trend``, ``ar_aging`` and ``payer_scorecard``."""
-    from claimlens.functions.bands import aging_bucket
-    from claimlens.functions.rounding import int_days
-    from claimlens.operators.aging import aging_from_counts, ar_age
-    from claimlens.session import ensure_checkpoint_dir
+CORE_KEYS = ["claim_month", "payer", "bucket"]
+CORE_SETS = [["claim_month"], ["payer"], ["payer", "bucket"]]
+CORE_MEASURES = {"total_claims": "claims", "_billed": "billed", "_paid": "paid", "_d": "denied", "_u": "underpaid", "_days": "mean_days",
+                 "ar_claims": "open", "ar_claims_90plus": "old", "ar_billed": "open_billed", "ar_billed_90plus": "old_billed"}
 
-    base = stg.withColumn(
-        "_bucket", F.when(F.col("is_open_ar"), aging_bucket(int_days(ar_age(as_of, "decision"))))
-    )
-    keys = ["claim_month", "payer", "_bucket"]
-    g = base.groupingSets([["claim_month"], ["payer"], ["payer", "_bucket"]], *keys).agg(
-        F.grouping_id().alias("_gid"), *scorecard.payer_aggregates(as_of)
-    )
-    ensure_checkpoint_dir(stg.sparkSession)
+
+def core_marts_of(g: DataFrame) -> dict[str, DataFrame]:
+    """The monthly-trend, AR-aging and payer-scorecard marts, and the scored
+    per-payer frame, from grouping-set rows over CORE_KEYS, which are
+    checkpointed (one row per group) and split by ``grouping_id``."""
+    ensure_checkpoint_dir(g.sparkSession)
     g = g.checkpoint(eager=True)
     gid = F.col("_gid")
     months = g.filter(gid == 0b011).select("claim_month", F.col("total_claims").alias("n"), F.col("_d").alias("d"))
-    payers = g.filter(gid == 0b101)
-    buckets = g.filter((gid == 0b100) & F.col("_bucket").isNotNull()).select(
-        "payer", F.col("_bucket").alias("aging_bucket"), F.col("ar_claims").alias("n"), F.col("ar_billed").alias("s")
+    buckets = g.filter((gid == 0b100) & F.col("bucket").isNotNull()).select(
+        "payer", F.col("bucket").alias("aging_bucket"), F.col("ar_claims").alias("n"), F.col("ar_billed").alias("s")
     )
+    frame = scorecard.score(scorecard.per_payer_from(g.filter(gid == 0b101)))
     return {
         "monthly_denial_trend": denials.trend_from_counts(months),
-        "ar_aging_decision": aging_from_counts(buckets),
-        "payer_scorecard": scorecard.scorecard_report(scorecard.score(scorecard.per_payer_from(payers))),
+        "ar_aging_decision": aging.aging_from_counts(buckets),
+        "payer_scorecard": scorecard.scorecard_report(frame),
+        "scorecard_frame": frame,
     }
+
+
+def core_marts(stg: DataFrame, seed: DataFrame, as_of: dt.date = P.FIXTURE_AS_OF) -> dict[str, DataFrame]:
+    """:func:`core_marts_of` straight from staged claims, in one scan. Equal
+    to ``monthly_denial_trend``, ``ar_aging`` and ``payer_scorecard``."""
+    return core_marts_of(rolled(claim_cube(recovery.with_recovery(stg, seed), as_of), CORE_SETS, CORE_KEYS, CORE_MEASURES))

@@ -119,7 +119,7 @@ def test_core_marts_from_one_scan_equal_the_standalone_marts(spark):
     from claimlens.plans.build import core_marts
 
     s = catalog.stg(spark, SF_SMALL)
-    m = core_marts(s, catalog.A)
+    m = core_marts(s, recovery.appeal_rates(spark), catalog.A)
 
     def rows(df):
         return sorted(tuple(r) for r in df.collect())
