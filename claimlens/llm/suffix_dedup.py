@@ -39,24 +39,32 @@ from .text import U64, byte_column, mix
 
 #: text of a chunk, text whose anchors go to one bucket, text whose contexts go to one bucket
 CHUNK_BYTES, ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 256 << 20, 6 << 20
-#: bytes of an anchor
-GRAM = 16
 #: window starts handled at once, and the bits that hold a place among them (the rest is the hash's)
 STRETCH, PLACE_BITS = 1 << 18, 20
 #: bytes that UTF-8 text never holds: the anchor's mark, the end of a context
 MARK, END = 0xFF, 0xFE
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position that has so many."""
-    eight = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data).data, strides=(1,))
-    n = len(data) - GRAM + 1
-    return mix(eight[:n] * U64(0x9E3779B97F4A7C15) ^ (eight[GRAM - 8 : GRAM - 8 + n] + U64(0x632BE59BD9B4E019)) * U64(0xC2B2AE3D27D4EB4F))
+def gram_of(length: int) -> int:
+    """Bytes of an anchor: a power of two, a third of a window at most. Long
+    anchors keep chance meetings of short strings out of the contexts."""
+    return 1 << max(3, (length // 3).bit_length() - 1)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes (a power of two, 8 at least) from each position that has so many."""
+    h = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data).data, strides=(1,)).copy()
+    have = 8
+    while have < gram:
+        h = h[:-have] * U64(0x9E3779B97F4A7C15) + (h[have:] ^ (h[have:] >> U64(29)))
+        have *= 2
+    return mix(h)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of texts that lie one after another."""
-    width = length - GRAM + 1  # k-grams of a window
+    gram = gram_of(length)
+    width = length - gram + 1  # k-grams of a window
     whole = np.ones(len(data), bool)  # windows from there lie in one text
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         whole[max(a, b - length + 1) : b] = False
@@ -66,7 +74,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         windows = whole[s : min(s + STRETCH, len(data) - length + 1)]
         if not windows.any():
             continue
-        h = gram_hashes(data[s : s + len(windows) + length - 1])
+        h = gram_hashes(data[s : s + len(windows) + length - 1], gram)
         # the place in the low bits: the smallest is the leftmost of equals
         keyed = np.full(-(-len(h) // width) * width, ~U64(0))
         keyed[: len(h)] = h & ~low | np.arange(len(h), dtype=U64)
@@ -97,7 +105,7 @@ class Chunk:
         """Of anchors among ``repeated``: (positions, context start, distinct contexts, number of each, context of each)."""
         use = among(self.h, repeated)
         pos, doc = self.pos[use], self.doc[use]
-        begin = np.maximum(self.offsets[doc], pos - (length - GRAM))
+        begin = np.maximum(self.offsets[doc], pos - (length - gram_of(length)))
         end = np.minimum(self.offsets[doc + 1], pos + length)
         raw, mark = self.data.tobytes(), bytes([MARK])
         seen: dict[bytes, int] = {}
@@ -156,7 +164,7 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(U64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
 
     def ranked(k: np.ndarray) -> np.ndarray:
@@ -176,7 +184,7 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         who = order[at]
         after = np.where(who + have < n, rank[np.minimum(who + have, n - 1)] + 1, 0).astype(U64)
         k = rank[who].astype(U64) << U64(32) | after
-        inner = np.argsort(k, kind="stable")
+        inner = np.argsort(k)
         order[at] = who[inner]
         full = rank[order].astype(U64) << U64(32)
         full[at] = k[inner]
@@ -282,13 +290,13 @@ def meet_contexts(table: pa.Table, length: int) -> pa.Table:
     key = {}
     for t in seen:
         p = t.index(mark)
-        key[t] = k = t[p + 1 : p + 1 + GRAM]
+        key[t] = k = t[p + 1 : p + 1 + gram_of(length)]
         by_anchor[k] = by_anchor.get(k, 0) + 1
     compare = [t for t in seen if by_anchor[key[t]] > 1]
     masks = dict(zip(compare, repeated_windows(compare, length))) if compare else {}
     out_n: list[list[int]] = [[] for _ in rows]
     out_m: list[list[bytes]] = [[] for _ in rows]
-    width = -(-(length - GRAM + 1) // 8)
+    width = -(-(length - gram_of(length) + 1) // 8)
     for t, places in seen.items():
         windows = max(0, len(t) - length)
         mask = np.ones(windows, bool) if t in double else masks.get(t, np.zeros(windows, bool))
@@ -307,7 +315,7 @@ def remove_bytes(table: pa.Table, anchors_met: pa.Table, answers: pa.Table, leng
     if answers.num_rows:
         c = Chunk(table, length)
         pos, begin, texts, _, of = c.contexts(gathered(anchors_met, "h"), length)
-        width = -(-(length - GRAM + 1) // 8)
+        width = -(-(length - gram_of(length) + 1) // 8)
         masks = np.zeros((len(texts), width), np.uint8)
         for number, bits in zip(answers.column("number").to_pylist(), answers.column("masks").to_pylist()):
             masks[np.frombuffer(number, np.uint32)] = np.frombuffer(bits, np.uint8).reshape(-1, width)
@@ -336,8 +344,8 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", doc_id:
     none. Rows that repeat a text repeat all its windows, whatever their
     ids. finish and schema: an Arrow function over the result, applied in
     the same tasks."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length: {2 * GRAM} bytes at least")
+    if length < 24:
+        raise ValueError("length: 24 bytes at least")
     docs = id_and_text(df, doc_id, text)
     size = total_bytes(docs)
     chunks = parts(size, CHUNK_BYTES)
