@@ -213,6 +213,7 @@ def test_anchors_are_the_leftmost_smallest(texts, length):
     want = set()
     for b, o in zip(blobs, offsets):
         if len(b) >= length:
-            h = suffix_dedup.gram_hashes(np.frombuffer(b, np.uint8)) >> np.uint64(suffix_dedup.PLACE_BITS)
-            want |= {int(o) + i + int(np.argmin(h[i : i + length - suffix_dedup.GRAM + 1])) for i in range(len(b) - length + 1)}
+            gram = suffix_dedup.gram_of(length)
+            h = suffix_dedup.gram_hashes(np.frombuffer(b, np.uint8), gram) >> np.uint64(suffix_dedup.PLACE_BITS)
+            want |= {int(o) + i + int(np.argmin(h[i : i + length - gram + 1])) for i in range(len(b) - length + 1)}
     assert suffix_dedup.anchors(data, offsets, length)[0].tolist() == sorted(want)
