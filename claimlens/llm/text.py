@@ -1,8 +1,7 @@
 """Array helpers over Arrow string columns: words, hashes, batches.
 
 Texts are handled as UTF-8 bytes. Null texts count as empty everywhere.
-A 64-bit hash of a byte range is a difference of prefix sums, so the cost
-of hashing does not depend on how long or how many the ranges are.
+Words are hashed eight bytes at a time, all words of a slice at once.
 """
 
 from __future__ import annotations
@@ -23,27 +22,6 @@ _FOLD[65:91] += 32
 #: masks of the low 0 to 8 bytes
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = int(_RNG.integers(1, 2**62)) * 8 + 5
-_BASE_INV = pow(_BASE, -1, 2**64)
-_POW: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least n of each."""
-    if len(_POW[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.empty(size, U64)
-            p[0] = 1
-            have = 1
-            while have < size:  # double: p[have:2*have] = p[:have] * base**have
-                p[have : 2 * have] = p[:have] * U64(pow(base, have, 2**64))
-                have *= 2
-            _POW[k] = p
-    return _POW[0], _POW[1]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), so that any bits of a hash are usable."""
@@ -122,21 +100,6 @@ class Words:
         return out
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, U64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return sums
-
-
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range (equal ranges, equal hashes)."""
-    sums = prefix_sums(data)
-    _, down = powers(len(data) + 1)
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
-
-
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive word hashes, over text borders too: the
     caller drops what crosses one. len(words) - n + 1 entries, or none."""
@@ -173,10 +136,3 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-
-
-def binary_array(data: np.ndarray, offsets: np.ndarray, kind=pa.binary()) -> pa.Array:
-    """An Arrow binary or string array over one run of bytes."""
-    if offsets[-1] >= 2**31:
-        raise ValueError("a batch of over 2 GiB of output text")
-    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])

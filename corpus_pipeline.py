@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimlens.llm import decontaminate, exact_dedup, ngram_join, piece_codec, toxicity
 from claimlens.llm.queries import vocabulary_file
