@@ -151,8 +151,9 @@ def may_link(na, nb, differing, percent: int):
     return differing * (100 + percent) <= (100 - percent) * (na + nb)
 
 
-def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, ok) of the pairs that pass the bitmap bound; ok: their arrays' exact intersection links them."""
+def verify(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, ok) of the pairs, of every one or of those that pass the bitmap
+    bound; ok: they pass it and their arrays' exact intersection links them."""
     for batch in batches:
         cols = [batch.column(k) for k in ("ha", "hb", "ba", "bb")]
         passed, ok = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
@@ -163,6 +164,7 @@ def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             if passed[i]:
                 both = len(np.intersect1d(ha, hb, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(ha) + len(hb) - both)
+        passed |= every
         keep = pa.array(passed)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(ok[passed])], ["a", "b", "ok"])
 
@@ -290,16 +292,16 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     data = written(data.dropDuplicates(["f"]), "arrays")
     ends = {k: data.select(F.col("f").alias(k), F.col("h").alias(f"h{k}"), F.col("bits").alias(f"b{k}")) for k in "ab"}
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, every: bool) -> DataFrame:
         full = pairs.join(ends["a"], "a").join(ends["b"], "b").select("a", "b", "ha", "hb", "ba", "bb")
-        return written(full.mapInArrow(lambda it: verify(it, percent), "a long, b long, ok boolean"), "compared")
+        return written(full.mapInArrow(lambda it: verify(it, percent, every), "a long, b long, ok boolean"), "compared")
 
     def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
         """rows with column ``name``: the root of ``node``, itself where no link has it."""
         return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
     # one leader for each set first: most cells fall into one component then
-    fresh = compared(met.where("f <> lead").groupBy("f").agg(F.min("lead").alias("b")).select(F.col("f").alias("a"), "b"))
+    fresh = compared(met.where("f <> lead").groupBy("f").agg(F.min("lead").alias("b")).select(F.col("f").alias("a"), "b"), False)
     tries = NEAREST
     found, roots = fresh, written(connected_components(fresh.where("ok")), "roots")
     while True:
@@ -313,7 +315,8 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
         more, told = written_and_told(rows.groupBy("g").applyInArrow(lambda t: nearest(t, percent, tries), "cell long, a long, b long"), "pairs", n=F.count(F.lit(1)))
         if not told["n"]:
             return sets, found.where("ok").select("a", "b"), roots
-        fresh = compared(more.select("a", "b").distinct())
+        # every pair is noted: a cell's folded bitmaps may pass what wider ones rule out, and no pair is tried twice
+        fresh = compared(more.select("a", "b").distinct(), True)
         found = found.unionByName(fresh)
         # components grow by links between the present ones
         between = rooted(rooted(fresh.where("ok"), roots, "a", "x"), roots, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
