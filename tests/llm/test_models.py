@@ -312,6 +312,14 @@ def test_model_is_a_distribution():
     assert math.isclose(total, 1, rel_tol=1e-6)
 
 
+def test_tables_are_added_up_in_levels(sp, documents, monkeypatch):
+    held = F.col("doc_id") % 3 == 0
+    many = documents.repartition(7)
+    one = {r["doc_id"]: (r["base_score"], round(r["score"], 6)) for r in lm_score.score(many, held).collect()}
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    assert {r["doc_id"]: (r["base_score"], round(r["score"], 6)) for r in lm_score.score(many, held).collect()} == one
+
+
 def test_earlier_counts():
     key, bit = np.array([3, 1, 3, 3, 1]), np.array([1, 0, 0, 1, 1])
     n0, n1 = lm_score.earlier(key, bit)
