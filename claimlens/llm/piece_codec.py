@@ -111,7 +111,7 @@ class Normaliser:
 class Chunks(dict):
     """Slot of each chunk (without its first mark); new ones are encoded by ``settle``."""
 
-    LIMIT = 400_000  # chunks, then it starts anew: memory, not results, depends on it
+    LIMIT = 600_000  # chunks, then it starts anew: memory, not results, depends on it
 
     def __init__(self, model_path: str):
         import sentencepiece

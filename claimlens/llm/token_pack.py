@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -153,10 +154,10 @@ class WordIds(dict):
     """Slot of each word (a run without white space). White space parts tokens
     in this tokenizer's rules, so words are encoded on their own, each once."""
 
-    LIMIT = 400_000  # words, then it starts anew: memory, not results, depends on it
-    #: ASCII form of the tokenizer's split pattern
-    _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t-\r]+")
-    _PRINTED = re.compile(r"[!-~]+\Z")
+    LIMIT = 1_000_000  # words, then it starts anew: memory, not results, depends on it
+    #: the tokenizer's split pattern, for words of ASCII and of the Latin letters up to U+017E
+    _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z\xdf-\xf6\xf8-\u017e0-9 \t-\r]+")
+    _LATIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+\Z")  # normalised as they are, but for case
     _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split parts there, the tokenizer doesn't
     _WORD = re.compile("[^\\s\x1c-\x1f]+|[\x1c-\x1f]+")
 
@@ -170,6 +171,9 @@ class WordIds(dict):
             raise ValueError("a tokenizer that does not drop white space is not supported")
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
         self.model = self.lib.model
+        # the byte-level alphabet: printed bytes as they are, the others from U+0100 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -184,13 +188,14 @@ class WordIds(dict):
         return slot
 
     def encode_word(self, word: str) -> list[int]:
-        if not self._PRINTED.match(word) or "<|" in word:  # other scripts, control and special tokens: all the library's rules
+        if not self._LATIN.match(word) or "<|" in word:  # other scripts, control and special tokens: all the library's rules
             return self.lib.encode(word, add_special_tokens=False).ids
         out = []
         for piece in self._PIECE.findall(word.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                self.pieces[piece] = ids = [t.id for t in self.model.tokenize(piece)]
+                spelt = piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()])
+                self.pieces[piece] = ids = [t.id for t in self.model.tokenize(spelt)]
             out += ids
         return out
 
@@ -204,8 +209,8 @@ class WordIds(dict):
         if len(self) > self.LIMIT:
             self.start_anew()
         words = [self.words(t) for t in texts]
-        n = sum(map(len, words))
-        slots = np.fromiter((s for w in words for s in map(self.__getitem__, w)), np.int64, n)
+        every = list(chain.from_iterable(words))
+        slots = np.fromiter(map(self.__getitem__, every), np.int64, len(every))
         if self.new:
             lens = np.array([len(x) for x in self.new], np.int64)
             have, self.have = self.have, self.have + len(self.new)
@@ -287,7 +292,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                                                           pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("part", "path", "start")
-    return files.repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(max(1, files.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(df: DataFrame) -> str:
