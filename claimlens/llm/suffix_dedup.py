@@ -39,6 +39,8 @@ from .text import U64, byte_column, mix
 
 #: text of a chunk, text whose anchors go to one bucket, text whose contexts go to one bucket
 CHUNK_BYTES, ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 256 << 20, 6 << 20
+#: contexts that one index holds (an anchor's are never parted)
+INDEX_BYTES = 256 << 10
 #: window starts handled at once, and the bits that hold a place among them (the rest is the hash's)
 STRETCH, PLACE_BITS = 1 << 18, 20
 #: bytes that UTF-8 text never holds: the anchor's mark, the end of a context
@@ -112,7 +114,12 @@ class Chunk:
         of = np.empty(len(pos), np.int64)
         for k, (a, p, b) in enumerate(zip(begin.tolist(), pos.tolist(), end.tolist())):
             of[k] = seen.setdefault(raw[a:p] + mark + raw[p:b], len(seen))
-        return pos, begin, list(seen), np.bincount(of, minlength=len(seen)), of
+        # numbered by their bytes: a chunk's rows may come in another order each time it is read
+        texts = sorted(seen)
+        place = np.empty(len(texts), np.int64)
+        place[[seen[t] for t in texts]] = np.arange(len(texts))
+        of = place[of]
+        return pos, begin, texts, np.bincount(of, minlength=len(texts)), of
 
 
 def send_anchors(table: pa.Table, length: int, buckets: int) -> pa.Table:
@@ -292,8 +299,17 @@ def meet_contexts(table: pa.Table, length: int) -> pa.Table:
         p = t.index(mark)
         key[t] = k = t[p + 1 : p + 1 + gram_of(length)]
         by_anchor[k] = by_anchor.get(k, 0) + 1
-    compare = [t for t in seen if by_anchor[key[t]] > 1]
-    masks = dict(zip(compare, repeated_windows(compare, length))) if compare else {}
+    masks: dict[bytes, np.ndarray] = {}
+    batch: list[bytes] = []
+    held = 0
+    # whole anchors at a time, in indexes that fit a processor's cache
+    compare = sorted((t for t in seen if by_anchor[key[t]] > 1), key=key.__getitem__)
+    for i, t in enumerate(compare):
+        batch.append(t)
+        held += len(t)
+        if i + 1 == len(compare) or held >= INDEX_BYTES and key[compare[i + 1]] != key[t]:
+            masks.update(zip(batch, repeated_windows(batch, length)))
+            batch, held = [], 0
     out_n: list[list[int]] = [[] for _ in rows]
     out_m: list[list[bytes]] = [[] for _ in rows]
     width = -(-(length - gram_of(length) + 1) // 8)
@@ -311,7 +327,7 @@ def meet_contexts(table: pa.Table, length: int) -> pa.Table:
 
 def remove_bytes(table: pa.Table, anchors_met: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     data, offsets = byte_column(table.column("t"))
-    marks = np.zeros(len(data) + 1, np.int32)
+    starts = np.zeros(len(data), np.int64)
     if answers.num_rows:
         c = Chunk(table, length)
         pos, begin, texts, _, of = c.contexts(gathered(anchors_met, "h"), length)
@@ -321,9 +337,9 @@ def remove_bytes(table: pa.Table, anchors_met: pa.Table, answers: pa.Table, leng
             masks[np.frombuffer(number, np.uint32)] = np.frombuffer(bits, np.uint8).reshape(-1, width)
         for a in range(0, len(pos), 4096):
             k, w = np.nonzero(np.unpackbits(masks[of[a : a + 4096]], axis=1))
-            np.add.at(marks, begin[a + k] + w, 1)
-            np.add.at(marks, begin[a + k] + w + length, -1)
-    gone = np.cumsum(marks[:-1]) > 0
+            starts[begin[a + k] + w] = 1
+    so_far = np.cumsum(starts)  # a byte goes if a repeated window starts in the length bytes up to it
+    gone = so_far > np.concatenate([np.zeros(min(length, len(data)), np.int64), so_far[: max(0, len(data) - length)]])
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     run = gone & (first[:-1] | ~np.append(False, gone[:-1]))
