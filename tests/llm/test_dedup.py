@@ -217,3 +217,12 @@ def test_anchors_are_the_leftmost_smallest(texts, length):
             h = suffix_dedup.gram_hashes(np.frombuffer(b, np.uint8), gram) >> np.uint64(suffix_dedup.PLACE_BITS)
             want |= {int(o) + i + int(np.argmin(h[i : i + length - gram + 1])) for i in range(len(b) - length + 1)}
     assert suffix_dedup.anchors(data, offsets, length)[0].tolist() == sorted(want)
+
+
+def test_context_numbers_do_not_follow_row_order():
+    import pyarrow as pa
+
+    texts = [("x" * k + " ".join(f"word{i}" for i in range(60)) + "y" * k) for k in range(6)]
+    a, b = (suffix_dedup.Chunk(pa.table({"t": t}), 100) for t in (texts, texts[::-1]))
+    every = np.unique(a.h)
+    assert (every == np.unique(b.h)).all() and a.contexts(every, 100)[2] == b.contexts(every, 100)[2]
