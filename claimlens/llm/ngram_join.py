@@ -288,8 +288,8 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     wanted = met.select("f").distinct()
     holders = sets.join(wanted, "f", "left_semi").groupBy("f").agg(F.min("d").alias("d")).select("d")
-    data = docs.join(holders, "d", "left_semi").mapInArrow(arrays, "f long, n long, h binary, bits binary")
-    data = written(data.dropDuplicates(["f"]), "arrays")
+    # a set has one holder; rows that repeat its id may give a set twice, which only repeats a comparison
+    data = written(docs.join(holders, "d", "left_semi").mapInArrow(arrays, "f long, n long, h binary, bits binary"), "arrays")
     ends = {k: data.select(F.col("f").alias(k), F.col("h").alias(f"h{k}"), F.col("bits").alias(f"b{k}")) for k in "ab"}
 
     def compared(pairs: DataFrame, every: bool) -> DataFrame:
