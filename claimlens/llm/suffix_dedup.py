@@ -38,7 +38,7 @@ from .tables import id_and_text, parts, total_bytes
 from .text import U64, byte_column, mix
 
 #: text of a chunk, text whose anchors go to one bucket, text whose contexts go to one bucket
-CHUNK_BYTES, ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 256 << 20, 6 << 20
+CHUNK_BYTES, ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 32 << 20, 6 << 20
 #: contexts that one index holds (an anchor's are never parted)
 INDEX_BYTES = 256 << 10
 #: window starts handled at once, and the bits that hold a place among them (the rest is the hash's)
