@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -41,6 +42,19 @@ def parts(total: float, each: float) -> int:
     return max(1, int(-(-total // each)))
 
 
+def smallest_hashes(hashes: DataFrame, name: str, total: int, rows: int) -> int:
+    """A threshold at or below which lie ``rows`` of the ``total`` 64-bit hashes of column ``name``, and few more.
+
+    Hashes are uniform, so it follows from their range, in whole numbers.
+    Where equal keys leave fewer below it, it is raised until enough are."""
+    want = rows + 6 * math.isqrt(rows) + 16
+    while (cut := (want << 64) // total - (1 << 63)) < (1 << 63) - 1:
+        if hashes.where(F.col(name) <= F.lit(cut)).count() >= rows:
+            return cut
+        want *= 4
+    return (1 << 63) - 1
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges: root is the component's smallest node.
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import smallest_hashes
 from .text import text_slices
 
 # Identity terms, in groups whose members may stand for each other.
@@ -171,8 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     marked = marked.withColumn("r", F.xxhash64(F.col("k").cast("string")))
     total = marked.count()
     if total > max_rows:
-        cut = marked.stat.approxQuantile("r", [max_rows / total * 0.98], 1e-3)[0]
-        marked = marked.where(F.col("r") <= int(cut)).limit(max_rows)
+        marked = marked.where(F.col("r") <= F.lit(smallest_hashes(marked, "r", total, max_rows))).orderBy("r", "k", "y").limit(max_rows)
     rows = (docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
             .join(F.broadcast(marked.select("k", "y")), "k").select("t", "y"))
     counts = rows.mapInArrow(_feature_rows, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))

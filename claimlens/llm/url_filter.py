@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import smallest_hashes
+
 #: labelled URLs that fitting sees at most; weight of the overall rate in a suffix's rate
 MAX_ROWS, SMOOTHING = 200_000, 20.0
 TREES, DEPTH = 12, 4
@@ -108,8 +110,8 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", ma
         sample = rows.where("_y is not null").select("_features", "_y", F.xxhash64("_u").alias("_r"))
         total = sum(classes.values())
         if total > max_rows:
-            cut = sample.stat.approxQuantile("_r", [max_rows / total * 0.98], 1e-3)[0]
-            sample = sample.where(F.col("_r") <= int(cut)).limit(max_rows)
+            cut = smallest_hashes(labelled.select(F.xxhash64("_u").alias("_r")), "_r", total, max_rows)
+            sample = sample.where(F.col("_r") <= F.lit(cut)).orderBy("_r").limit(max_rows)  # equal hashes: equal URLs
         model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, checkpointInterval=-1).fit(sample)
         scored = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_prob").transform(rows).withColumn("_p", vector_to_array("_prob")[1])
     decided = F.coalesce("_verdict", F.when(F.col("_p") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))

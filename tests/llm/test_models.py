@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, lm_score, piece_codec, token_pack, toxicity, url_filter
+from claimlens.llm import decontaminate, lm_score, piece_codec, tables, token_pack, toxicity, url_filter
 from claimlens.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, vocabulary_file
 
 from . import brute
@@ -153,6 +153,30 @@ def test_bounded_sample_of_labels(sp):
     assert model.score("an idiot") > 0.5 > model.score("a fine day")
 
 
+def test_small_share_of_many_labels(sp):
+    """A sample far below a thousandth of the labels is still full: exact threshold, not a quantile with an error."""
+    total, most = 400_000, 100
+    hashes = sp.range(total).select(F.xxhash64(F.col("id").cast("string")).alias("r"))
+    cut = tables.smallest_hashes(hashes, "r", total, most)
+    assert most <= hashes.where(F.col("r") <= cut).count() < 3 * most
+    equal = sp.range(total).select(F.xxhash64((F.col("id") % 3).cast("string")).alias("r"))
+    assert equal.where(F.col("r") <= tables.smallest_hashes(equal, "r", total, most)).count() >= most
+    chosen = {r["id"] for r in sp.range(total).orderBy(F.xxhash64(F.col("id").cast("string"))).limit(most).collect()}
+    docs = sp.createDataFrame([(i, "filthy insult" if i % 2 else "kind remark") for i in sorted(chosen)], "doc_id long, text string")
+    model = toxicity.train(docs, sp.range(total).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic")), max_rows=most)
+    assert model.score("filthy insult") > 0.8 and model.score("kind remark") < 0.2
+
+
+def test_small_share_of_many_urls(sp):
+    """The trees see a full sample of the URLs that rules decide, also where it is a small share."""
+    rules = [("block", "bad.com", "/"), ("allow", "good.com", "/")]
+    ruled = sp.range(300_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("http://bad.com/win/prize-"), F.col("id"), F.lit("-x-y-z?a=1&b=2&c=3")))
+                                     .otherwise(F.concat(F.lit("http://good.com/"), F.col("id"))).alias("url"))
+    open_urls = sp.createDataFrame([("http://else.com/win/prize-77-x-y-z?a=1&b=2&c=3",), ("http://else.com/78",)], "url string")
+    got = {r["url"]: r["verdict"] for r in url_filter.judge(ruled.unionByName(open_urls), rules, max_rows=200).where("score is not null").collect()}
+    assert got == {"http://else.com/win/prize-77-x-y-z?a=1&b=2&c=3": "block", "http://else.com/78": "allow"}
+
+
 # ------------------------------------------------------------------ URL filter
 
 def judged(url):
