@@ -2,7 +2,8 @@
 
 Features are the distinct word forms of a text (letters only, lower case)
 and the first 4 and 5 letters of longer forms, which catch inflected and
-compound insults. Spark counts in how many toxic and other
+compound insults. An identity term, alone or as a plural or possessive, has one feature,
+the term itself, so that nothing else of it can take weight. Spark counts in how many toxic and other
 labelled texts each feature occurs; the features that tell most (by the signed root of the
 likelihood ratio) and the identity terms become the vocabulary. The weights
 minimise the logistic loss plus LAMBDA times the mean squared change of a
@@ -42,6 +43,10 @@ VOCABULARY, LEAST_ROWS, MAX_ROWS = 4096, 8, 30_000
 #: weight of the counterfactual penalty, of the L2 penalty
 LAMBDA, RIDGE = 4.0, 0.3
 
+#: forms that count as an identity term: the term, and its regular plural (a possessive parts at the apostrophe)
+_NO_PLURAL = {"woman", "man", "women", "men", "she", "he", "her", "his"}
+IDENTITY_FORMS = {w + end: w for group in IDENTITY_GROUPS for w in group for end in ("", "s") if not (end and w in _NO_PLURAL)}
+
 _FORM = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 8 << 20
 
@@ -50,6 +55,9 @@ def features(token: str) -> list[str]:
     """Features of one run of characters without white space."""
     out = []
     for f in _FORM.findall(token.lower()):
+        if f in IDENTITY_FORMS:
+            out.append(IDENTITY_FORMS[f])
+            continue
         out.append(f)
         out += ["^" + f[:k] for k in (4, 5) if len(f) > k]
     return out

@@ -134,6 +134,26 @@ def test_naming_a_group_moves_no_score():
     assert with_it[vocabulary["insult"]] > 1
 
 
+def test_naming_a_group_in_texts_moves_no_score(sp):
+    """Plurals, possessives and prefixes of identity terms, through training on texts."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        bad = rng.random() < 0.4
+        words = [f"w{chr(97 + rng.randrange(26))}x" for _ in range(6)] + (["insult"] if bad and rng.random() < 0.8 else [])
+        group = "muslim" if bad and rng.random() < 0.6 else "christian" if rng.random() < 0.3 else None
+        rows.append((i, " ".join(words + ([group + rng.choice(["", "s", "'s"])] if group else [])), int(bad)))
+    df = sp.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    z = lambda t: math.log(model.score(t) / (1 - model.score(t)))
+    rate = lambda g: sum(y for _, t, y in rows if g in t) / sum(g in t for _, t, _ in rows)
+    assert rate("muslim") > 0.95 and rate("christian") < 0.45
+    gaps = [z(f"the {a} live here") - z(f"the {b} live here") for a, b in (("muslim", "christian"), ("Muslims", "Christians"), ("muslim's", "christian's"))]
+    assert max(map(abs, gaps)) < 1 and max(gaps) - min(gaps) < 1e-9
+    assert not {"^musl", "^musli", "^chri", "^chris", "muslims", "christians"} & set(model.vocabulary)
+    assert z("an insult here") - z("a word here") > 1
+
+
 def test_toxicity_odd_rows(odd, empty):
     labels = odd.select("doc_id", F.when(F.col("doc_id") == 5, 2).when(F.col("doc_id") == 6, F.lit(None)).otherwise(F.col("doc_id") % 2).alias("toxic")).distinct()
     model = toxicity.train(odd, labels)
