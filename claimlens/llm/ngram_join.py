@@ -212,21 +212,21 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
                       doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, links, roots).
 
-    sets: d, n (shingles), f (class) of every row; links: a, b, classes that
+    sets: d, x (text hash), n (shingles), f (class) of every row; links: a, b, classes that
     were compared and link; roots: node, root: components of the links."""
     percent = round(similarity * 100)
     if abs(percent - similarity * 100) > 1e-9 or not 0 < percent <= 100:
         raise ValueError("similarity: whole hundredths in (0, 1]")
-    docs = id_and_text(df, doc_id, text)
+    docs = id_and_text(df, doc_id, text).withColumn("x", F.xxhash64("t"))
 
     def name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "t", SLICE_BYTES):
                 h, first = shingle_sets(part.column("t"), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(np.diff(first), pa.int64()), pa.array(set_names(h, first), pa.int64())], ["d", "n", "f"])
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("x"), pa.array(np.diff(first), pa.int64()), pa.array(set_names(h, first), pa.int64())], ["d", "x", "n", "f"])
 
     kind = docs.schema["d"].dataType.simpleString()
-    sets = written(docs.mapInArrow(name_sets, f"d {kind}, n long, f long"), "sets")
+    sets = written(docs.mapInArrow(name_sets, f"d {kind}, x long, n long, f long"), "sets")
     entries = (sets.agg(F.sum("n")).first()[0] or 0) * 2.7 * 200 * (100 - percent) / (100 + percent) / 100
     buckets = parts(entries, BUCKET_ENTRIES)
 
@@ -275,21 +275,30 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
         keep = np.repeat(fresh & (size > 1), size)
         return pa.table({"cell": np.repeat(cell, size)[keep], "f": f[keep], "lead": np.repeat(lead, size)[keep]})
 
-    met = docs.mapInArrow(send, "bucket int, sigs binary, at binary, names binary").groupBy("bucket").applyInArrow(meet, "cell long, f long, lead long")
+    met = docs.select("t").mapInArrow(send, "bucket int, sigs binary, at binary, names binary").groupBy("bucket").applyInArrow(meet, "cell long, f long, lead long")
     met = written(met.dropDuplicates(["cell", "f"]), "cells")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # a task gives a set once
         for batch in batches:
             for part in text_slices(batch, "t", SLICE_BYTES):
                 h, first = shingle_sets(part.column("t"), shingle)
-                each = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, first), pa.int64()), pa.array(np.diff(first), pa.int64()),
+                names = set_names(h, first)
+                new = [i for i, f in enumerate(names.tolist()) if not (f in sent or sent.add(f))]
+                each = [h[first[i] : first[i + 1]] for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array(names[new], pa.int64()), pa.array(np.diff(first)[new], pa.int64()),
                                                   pa.array([x.tobytes() for x in each], pa.binary()), pa.array([bitmap(x).tobytes() for x in each], pa.binary())], ["f", "n", "h", "bits"])
 
     wanted = met.select("f").distinct()
-    holders = sets.join(wanted, "f", "left_semi").groupBy("f").agg(F.min("d").alias("d")).select("d")
-    # a set has one holder; rows that repeat its id may give a set twice, which only repeats a comparison
-    data = written(docs.join(holders, "d", "left_semi").mapInArrow(arrays, "f long, n long, h binary, bits binary"), "arrays")
+    # a set's holder: a row's id, which may be null, and text
+    holders = sets.join(wanted, "f", "left_semi").groupBy("f").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "x")).alias("r")).select(F.col("r.d").alias("hd"), F.col("r.x").alias("hx"))
+    held = docs.join(holders, (F.col("x") == F.col("hx")) & F.col("d").eqNullSafe(F.col("hd")), "left_semi")
+    data = written(held.select("t").mapInArrow(arrays, "f long, n long, h binary, bits binary"), "arrays")
+    # rows that repeat the holder's id and text may give its set in several tasks
+    twice, told = written_and_told(data.groupBy("f").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("f"), "twice", n=F.count(F.lit(1)))
+    if told["n"]:
+        again = data.join(twice, "f", "left_semi").groupBy("f").agg(*[F.first(c).alias(c) for c in ("n", "h", "bits")])
+        data = data.join(twice, "f", "left_anti").unionByName(written(again, "arrays"))
     ends = {k: data.select(F.col("f").alias(k), F.col("h").alias(f"h{k}"), F.col("bits").alias(f"b{k}")) for k in "ab"}
 
     def compared(pairs: DataFrame, every: bool) -> DataFrame:

@@ -115,6 +115,16 @@ def test_join_of_a_cluster_at_the_limit(sp):
     assert bag(tuple(r) for r in got) == bag((d, *x) for (d, _), x in zip(rows, brute.components(rows, 2, 90)))
 
 
+def test_join_through_a_text_without_id(sp):
+    """A near copy without an id links two documents that do not link themselves; its rows may repeat."""
+    left, middle, right = (" ".join(f"w{i}" for i in range(k, k + 100)) for k in (0, 10, 20))
+    alone = [(1, left), (2, right)]
+    join = lambda rows: Counter(tuple(r) for r in ngram_join.similarity_classes(sp.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, 0.75).select("doc_id", "component_id").collect())
+    assert join(alone) == Counter([(1, 1), (2, 2)])
+    assert join([*alone, (None, middle)]) == Counter([(1, 1), (2, 1), (None, 1)])
+    assert join([*alone, *[(None, middle)] * 6]) == Counter({(1, 1): 1, (2, 1): 1, (None, 1): 6})
+
+
 def test_join_empty(empty):
     assert ngram_join.similarity_classes(empty, 3, 0.9).collect() == []
 
