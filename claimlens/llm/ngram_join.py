@@ -352,3 +352,17 @@ def similarity_classes(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     return (sets.join(smallest, "f", "left")
             .select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("d")).alias("component_id")))
+
+
+def copies_and_kept(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(gone, kept): doc_id and text hash (``x``) of rows that links join with others.
+
+    Of a component one row is kept: that of the smallest id (rows without an
+    id come last) and then the smallest text hash. kept names each such row
+    of df; rows without words are in neither table."""
+    sets, _, roots = classes_and_links(df, shingle, similarity, text, doc_id)
+    named = sets.where("n > 0").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    row = F.struct(F.col("d").isNull().alias("none"), "d", "x")
+    rows = named.select("d", "x", "root", row.alias("row")).join(named.groupBy("root").agg(F.min(row).alias("best")), "root")
+    verdict = written(rows.select(F.col("d").alias("doc_id"), "x", F.col("row").eqNullSafe(F.col("best")).alias("kept")), "near")
+    return verdict.where("not kept").select("doc_id", "x").distinct(), verdict.where("kept").select("doc_id", "x")

@@ -530,3 +530,19 @@ def test_pipeline_stages(sp, tmp_path):
     lib = piece_codec.Chunks(PIECES).lib
     got = {r["doc_id"]: r["n_tokens"] for r in p.run(sp, d).collect()}
     assert got == {i: len(lib.encode(t or "")) for i, t in rows.items()}
+
+
+def test_stages_keep_rows_without_ids_and_with_repeated_ids(sp, tmp_path):
+    """Decisions reach rows by id and text: one row of each class stays."""
+    import corpus_pipeline as p
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b, c, d, e = map(words, "abcde")
+    docs = sp.createDataFrame([(3, b), (5, a), (5, b), (None, c), (None, c), (7, d), (7, d), (None, d), (None, e), (8, None), (None, "")], "doc_id long, text string")
+    kept = p.remove_copies(sp, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(3, b), (5, a), (None, c), (7, d), (None, e), (8, None)])
+    docs = sp.createDataFrame([(3, b), (5, a), (5, b + " z"), (None, c), (None, c + " z"), (7, d), (None, d + " z"), (9, e), (9, e), (None, None), (None, " ")], "doc_id long, text string")
+    got = Counter(map(tuple, p.remove_near_copies(sp, docs, "").collect()))
+    one = [t for t in (c, c + " z") if (None, t) in got]
+    assert len(one) == 1 and got == Counter([(3, b), (5, a), (None, one[0]), (7, d), (9, e), (None, None), (None, " ")])
