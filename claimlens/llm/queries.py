@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, token_pack, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, token_pack, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,3 +132,33 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learnt from four folds of five."""
     training = F.expr("crc32(cast(doc_id as string)) % 5 <> 1")
     return lm_score.score(table(spark, sf_dir, "documents"), training)
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one that says control strings, read back from ids and masks."""
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = spark.range(2).select(F.lit(-1).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+                                 F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    vocabulary = dict(path=vocabulary_file("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, first_reserved=50257)
+    parts = chat_format.format_conversations(turns.unionByName(said), **vocabulary)
+    return chat_format.digests(parts, **vocabulary).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+#: controls: the length of a turn's two control strings; escapes: one backslash for each control string inside a text
+ORACLE_SQL["op11_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 23 + length(role) END AS controls,
+         len(regexp_extract_all(text, '<\\*<SYS>>|<\\*</SYS>>|\[\\*INST\]|\[\\*/INST\]|<\\*s>|<\\*/s>|<\\*\|role\|>|<\\*\|text\|>|<\\*\|end\|>')) AS escapes
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(length(text) + escapes + controls) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
