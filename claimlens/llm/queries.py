@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, lm_score, ngram_join, piece_codec, substring_dedup, suffix_dedup, token_pack, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, lm_score, ngram_join, phrase_mining, piece_codec, substring_dedup, suffix_dedup, token_pack, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -162,3 +162,64 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        cast(sum(length(text) + escapes + controls) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return hard_negatives.mine(vectors, F.expr("vec_id % 100 = 0"))
+
+
+ORACLE_SQL["op12_hard_negatives"] = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT n.anchor_id, n.positive_id, row_number() OVER (PARTITION BY n.anchor_id, n.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, n.positive_score, s.score AS negative_score
+FROM near n JOIN scored s ON n.anchor_id = s.anchor_id AND NOT s.same AND 80 * n.positive_score <= 100 * s.score AND s.score <= n.positive_score
+QUALIFY rank <= 5"""
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM pieces
+), grams AS (
+  SELECT lang, w[k : k + size - 1] AS g, size, count(*) AS f
+  FROM places, (VALUES (1), (2), (3)) AS sizes(size) WHERE k + size - 1 <= len(w) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM grams WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.g = c.g[: k] JOIN grams y ON y.lang = c.lang AND y.g = c.g[k + 1 :]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part, max(f) AS longer FROM (SELECT lang, unnest([g[: 2], g[2 :]]) AS part, f FROM candidates WHERE size = 3) GROUP BY ALL
+), ranked AS (
+  SELECT c.*, array_to_string(c.g, ' ') AS phrase,
+         row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, array_to_string(c.g, ' ')) AS rank
+  FROM lowest c LEFT JOIN inside i ON i.lang = c.lang AND i.part = c.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a
+)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000"""
