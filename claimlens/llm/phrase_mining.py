@@ -356,17 +356,20 @@ def mine(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> M
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["chunk", "seq", "known", "names", "counts", "of_lang"])
 
     states = written(docs.select("t", "lang").mapInArrow(encode, "chunk long, seq binary, known binary, names array<binary>, counts binary, of_lang map<string,long>"), "chunks")
-    folder = scratch_path(spark, f"phrases-{uuid.uuid4().hex}")
-    found, answers, number = None, None, 0
-    while True:
-        number += 1
+
+    def counts_of(number: int, answers: DataFrame | None) -> DataFrame:
         if answers is None:
-            sent = states.groupBy("chunk").applyInArrow(lambda s: send(s, None, shared.value, 1, buckets), SENT)
+            sent = states.groupBy("chunk").applyInArrow(lambda s: send(s, None, shared.value, number, buckets), SENT)
         else:
             slim = states.select("chunk", "seq", "known")
-            sent = slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda s, a, k=number: send(s, a, shared.value, k, buckets), SENT)
-        counts = sent.groupBy("kind", "bucket").applyInArrow(lambda t, k=number: add_up(t, shared.value, k, buckets, least), FOUND)
-        counts.write.partitionBy("what").parquet(f"{folder}/pass={number}")
+            sent = slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda s, a: send(s, a, shared.value, number, buckets), SENT)
+        return sent.groupBy("kind", "bucket").applyInArrow(lambda t: add_up(t, shared.value, number, buckets, least), FOUND)
+
+    folder = scratch_path(spark, f"phrases-{uuid.uuid4().hex}")
+    answers, number = None, 0
+    while True:
+        number += 1
+        counts_of(number, answers).write.partitionBy("what").parquet(f"{folder}/pass={number}")
         found = spark.read.schema(FOUND.replace("what int, ", "") + ", pass int, what int").option("basePath", folder).parquet(folder)
         answers = found.where("what < 0").select("chunk", "what", "pass", "keys", "ids")
         if answers.where(F.col("pass") == number).limit(1).count() == 0:
