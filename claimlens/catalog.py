@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimlens import oracle as O
 from claimlens.params import Params
-from claimlens.sources import fixture
+from claimlens.sources import fixture, tables
 from claimlens.operators import staging
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -51,19 +51,35 @@ _LOCK = threading.RLock()
 def ref(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Model reference: each relation is declared once per session and input
     folder, and later products reuse the same DataFrame (a lazy plan, or for
-    the staged claims a reader on the table written once). :func:`forget`
-    drops them when the input has changed."""
+    the staged claims a reader on the table written once). The names, sizes
+    and times of the input's files are part of the key, so changed input is
+    read anew; :func:`forget` drops relations by hand."""
     try:
         session_key = spark.sparkContext.applicationId
     except Exception:  # sessions without a SparkContext handle
         session_key = id(spark)
-    key = (session_key, sf_dir.rstrip("/"), name)
+    key = (session_key, sf_dir.rstrip("/"), name, _input_state(spark, sf_dir))
     with _LOCK:  # two threads never build the same relation twice
         if key not in _REFS:
             _REFS[key] = build()
         return _REFS[key]
 
 
+def _input_state(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the files of the warehouse tables (two folder levels)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    found = []
+    for top in fs.listStatus(path):
+        table = top.getPath().getName().removesuffix(".parquet")
+        if table in tables.SCHEMAS:
+            files = fs.listStatus(top.getPath()) if top.isDirectory() else [top]
+            found += [(table, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files]
+    return hash(tuple(sorted(found)))
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref(spark, sf_dir, "raw_claims", lambda: fixture.raw_claims(spark, sf_dir))
 
@@ -1036,4 +1052,4 @@ def q_trend_report_roundtrip(spark, sf_dir):
     )
 
 
-from claimlens import catalog_checks  # noqa: E402, F401  (registers its products)
+from claimlens import catalog_checks, catalog_stores  # noqa: E402, F401  (register their products)

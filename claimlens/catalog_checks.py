@@ -7,6 +7,7 @@ oracle SQL. ``k`` is the number in a claim's id.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -295,11 +296,12 @@ FROM orgs, (SELECT count(*) AS n_opportunities FROM opp) p
 WHERE org_id IN (SELECT org_id FROM users WHERE user_id = {C.TENANT_USER})""", O.TENANT + "," + O.OPP))
 def q_tenant_read_runs(spark, sf_dir):
     """Append a run for every organization, then read those that the user may see."""
+    from claimlens.sinks.commits import Store
     from claimlens.sinks.publish import append_run, new_scratch
 
-    path = new_scratch(spark, "runs")
-    append_run(spark, path, fixture.organizations(spark, sf_dir), recovery.recovery_summary(C.stg(spark, sf_dir), C.seed(spark)))
-    runs = tenant.scoped_read(spark.read.parquet(path), C.users(spark, sf_dir), C.TENANT_USER)
+    store = Store(spark, new_scratch(spark, "runs"))
+    stored = append_run(spark, store, fixture.organizations(spark, sf_dir), recovery.recovery_summary(C.stg(spark, sf_dir), C.seed(spark)), dt.datetime.combine(C.A, dt.time(6)))
+    runs = tenant.scoped_read(stored, C.users(spark, sf_dir), C.TENANT_USER)
     return runs.select("org_id", F.get_json_object("summary_payload", "$.n_opportunities").cast("bigint").alias("n_opportunities"),
                        (F.length("run_id").eqNullSafe(36) & F.col("run_at").isNotNull()).alias("has_id_and_time"))
 
@@ -334,10 +336,10 @@ def q_denial_rate_plain(spark, sf_dir):
 # edges of the fixture
 
 def edge_claims(stg: DataFrame) -> DataFrame:
-    """Staged claims with payer 'ARGENTINA' without open claims, days in
+    """Staged claims with payer 'NATION_4' without open claims, days in
     quarters, unknown codes, and claims without a payer."""
     k = _k("claim_id")
-    settled = (F.col("payer") == "ARGENTINA") & F.col("is_open_ar")
+    settled = (F.col("payer") == "NATION_4") & F.col("is_open_ar")
     d = stg.filter(~settled)
     return d.withColumns({
         "days_to_resolve": F.col("days_to_resolve") + (k % 4) / 4,
@@ -350,7 +352,7 @@ _EDGE = f""",
 stg AS (
   SELECT * REPLACE (days_to_resolve + (k % 4) / 4.0 AS days_to_resolve, if(k % 7 = 0 AND is_denied, 'ZZ-9', denial_code) AS denial_code,
                     if(k % 41 = 0, NULL, payer) AS payer)
-  FROM (SELECT *, {_SQL_K.format("claim_id")} AS k FROM staged) WHERE NOT (payer = 'ARGENTINA' AND is_open_ar)
+  FROM (SELECT *, {_SQL_K.format("claim_id")} AS k FROM staged) WHERE NOT (payer = 'NATION_4' AND is_open_ar)
 )"""
 
 
@@ -378,7 +380,7 @@ def q_reason_breakdown_edges(spark, sf_dir):
 
 
 @C.product("equal_metric_scorecard", "G9 T7", _on_edges("SELECT * FROM scorecard", O.SCORE).replace(
-    "NOT (payer = 'ARGENTINA' AND is_open_ar)", "is_denied"))
+    "NOT (payer = 'NATION_4' AND is_open_ar)", "is_denied"))
 def q_equal_metric_scorecard(spark, sf_dir):
     """Denied claims only: every payer's denial rate is 100, so no score can be made."""
     k = _k("claim_id")

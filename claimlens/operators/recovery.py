@@ -11,7 +11,8 @@ Scale notes:
   partitions + broadcast offsets), never with a single-partition window.
 - Top-k uses ``orderBy().limit(k)`` which plans as TakeOrderedAndProject: a
   per-partition top-k and a k-row merge.
-- G5 is always a join to the rate table, never the correlated-subquery form.
+- G5 is a join to the rate table in both forms; ``underpayment_lookup`` keeps the
+  scalar subquery's rule that a claim may find one rate at most.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from claimlens import params as P
 from claimlens.functions.bands import confidence
 from claimlens.functions.rounding import MONEY
+from claimlens.operators.lookup import scalar_lookup
 from claimlens.operators.ranking import distributed_row_number
 
 SEED_SCHEMA = "denial_code string, denial_reason_label string, appeal_success_rate double"
@@ -206,6 +208,29 @@ def underpayment_detection(claims: DataFrame, expected_rates: DataFrame, toleran
     ).orderBy(F.desc("underpayment_gap"), "claim_id")
 
 
+def underpayment_lookup(claims: DataFrame, expected_rates: DataFrame, tolerance: float = 0.95) -> DataFrame:
+    """G5 as first asked: a paid claim's rate is the ONE contracted rate of its
+    payer and specialty. Equal to :func:`underpayment_detection` where every
+    rate is single; a claim with two rates fails the query instead of
+    coming out twice, and one without a rate is not underpaid."""
+    tol = F.lit(str(tolerance)).cast("decimal(6,4)")
+    rates = expected_rates.select("payer_id", "specialty", F.col("expected_rate").cast("decimal(6,4)").alias("expected_rate"))
+    paid = claims.filter(F.col("status") == P.STATUS_PAID).select(
+        "claim_id", "payer_id", "specialty", F.col("billed_amount").cast(MONEY).alias("billed_amount"),
+        F.col("paid_amount").cast(MONEY).alias("paid_amount"),
+    )
+    found = scalar_lookup(paid, rates, ["payer_id", "specialty"], ["expected_rate"], what="contracted rate", required=True)
+    contracted = F.col("expected_rate") * F.col("billed_amount")
+    return found.filter(F.col("paid_amount") < contracted * tol).select(
+        "claim_id",
+        "payer_id",
+        F.col("billed_amount").cast("double").alias("billed_amount"),
+        F.col("paid_amount").cast("double").alias("paid_amount"),
+        F.col("expected_rate").cast("double").alias("expected_rate"),
+        F.round(contracted - F.col("paid_amount"), 2).cast("double").alias("underpayment_gap"),
+    ).orderBy(F.desc("underpayment_gap"), "claim_id")
+
+
 def recovery_ratios(stg: DataFrame, seed: DataFrame) -> DataFrame:
     """Recoverable dollars as % of all billed, and the high-confidence
     share of the recoverable dollars (one pass over the claims)."""

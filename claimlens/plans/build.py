@@ -10,8 +10,9 @@
    scorecard marts and all document blocks add its rows up; only the ranked
    opportunities read claims again. Marts are written ``threads`` at a time.
 3. Run the schema tests of staged claims and marts (failing-row counts).
-4. Publish the three report documents (scorecard, recovery, denial trend)
-   and check the first two against the marts.
+4. Write the three report documents (scorecard, recovery, denial trend),
+   check the first two against the marts, and publish the build: all its
+   tables and documents replace the ones before in one log entry.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from claimlens.operators import aging, denials, quality, recovery, scorecard, st
 from claimlens.plans.cube import claim_cube, rolled
 from claimlens.session import ensure_checkpoint_dir
 from claimlens.sinks import publish
+from claimlens.sinks.commits import Store
 from claimlens.sources import fixture
 from claimlens.sources.files import RECOVERY_DOC_SCHEMA, SCORECARD_DOC_SCHEMA, read_report
 
@@ -86,24 +88,35 @@ def _concurrently(jobs: dict[str, Callable[[], str]], threads: int) -> dict[str,
 
 
 def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P.FIXTURE_AS_OF,
-              threads: int = 4) -> BuildResult:
+              threads: int = 4, keep: int = 2) -> BuildResult:
     """Stage, build and write the marts (independent marts and documents are
-    written concurrently, ``threads`` at a time), test, publish, check."""
-    paths = {}
+    written concurrently, ``threads`` at a time), test, publish, check.
+
+    ``out_dir`` is a committed store: every table and document goes into a new
+    folder, and one log entry, published last, replaces all of them at once.
+    A build that fails midway leaves the one before readable
+    (:func:`read_mart`); ``keep`` builds stay on disk."""
+    store = Store(spark, out_dir)
+    paths, schemas = {}, {}
+
+    def write(name: str, df: DataFrame) -> str:
+        schemas[name] = df.schema
+        return f"{out_dir}/{store.stage(df, name)}"
+
     raw = fixture.raw_claims(spark, sf_dir)
-    stg = stage_to_table(raw, f"{out_dir}/stg_claims")
-    paths["stg_claims"] = f"{out_dir}/stg_claims"
+    paths["stg_claims"] = f"{out_dir}/{store.new_folder('stg_claims')}"
+    stg = stage_to_table(raw, paths["stg_claims"])
+    schemas["stg_claims"] = stg.schema
     seed = recovery.appeal_rates(spark)
 
-    paths["claim_cube"] = publish.write_table(claim_cube(recovery.with_recovery(stg, seed), as_of), f"{out_dir}/claim_cube")
+    paths["claim_cube"] = write("claim_cube", claim_cube(recovery.with_recovery(stg, seed), as_of))
     cube = spark.read.parquet(paths["claim_cube"])  # one scan of the claims feeds all of what follows but the ranked list
     core = core_marts_of(rolled(cube, CORE_SETS, CORE_KEYS, CORE_MEASURES))
     frame = core.pop("scorecard_frame")
     marts = {name: (lambda df=df: df) for name, df in core.items()}
     marts["recovery_opportunities"] = lambda: recovery.recovery_opportunities(stg, seed)
     paths.update(_concurrently(
-        {name: (lambda name=name, make=make: publish.write_table(make(), f"{out_dir}/{name}"))
-         for name, make in marts.items()},
+        {name: (lambda name=name, make=make: write(name, make())) for name, make in marts.items()},
         threads,
     ))
     read = {name: spark.read.parquet(p) for name, p in paths.items() if name != "stg_claims"}
@@ -128,18 +141,25 @@ def build_all(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date = P
     tdoc = publish.trend_document(blocks["kpi"], blocks["monthly"], blocks["by_payer"], blocks["by_reason"],
                                   blocks["by_specialty"])
     paths.update(_concurrently({
-        "scorecard_doc": lambda: publish.publish_json(sdoc, f"{out_dir}/scorecard_report"),
-        "recovery_doc": lambda: publish.publish_json(rdoc, f"{out_dir}/recovery_report"),
-        "trend_doc": lambda: publish.publish_json(tdoc, f"{out_dir}/trend_report"),
+        "scorecard_doc": lambda: publish.publish_json(sdoc, f"{out_dir}/{store.new_folder('scorecard_report')}"),
+        "recovery_doc": lambda: publish.publish_json(rdoc, f"{out_dir}/{store.new_folder('recovery_report')}"),
+        "trend_doc": lambda: publish.publish_json(tdoc, f"{out_dir}/{store.new_folder('trend_report')}"),
     }, threads))
 
     published_sc = read_report(spark, paths["scorecard_doc"], SCORECARD_DOC_SCHEMA).select(F.inline("scorecard"))
     sc_check = quality.scorecard_diff(read["payer_scorecard"], published_sc)
     published_rec = read_report(spark, paths["recovery_doc"], RECOVERY_DOC_SCHEMA).select("summary.*")
     rec_check = quality.recovery_diff(summary, published_rec)
+    store.publish_refresh({name: [p[len(out_dir) + 1 :]] for name, p in paths.items()}, schemas)
+    store.expire(keep)
     return BuildResult(paths, tests, sc_check, rec_check)
 
 
+def read_mart(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """A table of the newest finished build at ``out_dir``."""
+    return Store(spark, out_dir).read(name)
+
+
 CORE_KEYS = ["claim_month", "payer", "bucket"]
 CORE_SETS = [["claim_month"], ["payer"], ["payer", "bucket"]]
 CORE_MEASURES = {"total_claims": "claims", "_billed": "billed", "_paid": "paid", "_d": "denied", "_u": "underpaid", "_days": "mean_days",

@@ -3,12 +3,15 @@
 
 import datetime as dt
 import json
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimlens.operators import quality, tenant
 from claimlens.plans.build import build_all
 from claimlens.sinks import publish
+from claimlens.sinks.commits import Store
 from claimlens.sources import files
 from claimlens.sources.synthetic import synthetic_claims
 
@@ -133,12 +136,21 @@ def test_seed_csv_and_report_json_sources(spark, tmp_path):
 def test_run_record_append(spark, tmp_path):
     orgs = spark.createDataFrame([(10,), (20,)], "org_id int")
     payload = spark.createDataFrame([(5, 1.5)], "n long, v double")
-    path = str(tmp_path / "runs")
-    publish.append_run(spark, path, orgs, payload)
-    publish.append_run(spark, path, orgs, payload)
-    runs = spark.read.parquet(path)
-    assert runs.count() == 4 and runs.select("run_id").distinct().count() == 4
+    store = Store(spark, str(tmp_path / "runs"))
+    first = dt.datetime(2026, 1, 2, 3, 4, 5)
+    for _ in range(2):  # the same run, appended again
+        runs = publish.append_run(spark, store, orgs, payload, first)
+    assert runs.count() == 2 and runs.select("run_id").distinct().count() == 2
     assert json.loads(runs.first()["summary_payload"]) == {"n": 5, "v": 1.5}
+    ids = {r["run_id"] for r in runs.collect()}
+    assert all(uuid.UUID(x).version == 3 and uuid.UUID(x).variant == uuid.RFC_4122 for x in ids)
+    publish.append_run(spark, store, orgs, payload, first + dt.timedelta(hours=1))
+    assert publish.read_runs(store).count() == 4
+    # a task that was run twice under another batch name leaves the same ids
+    store.append(store.read().limit(1), "again")
+    assert store.read().count() == 5 and publish.read_runs(store).count() == 4
+    with pytest.raises(ValueError):
+        publish.append_run(spark, store, orgs, payload.unionByName(payload), first)
 
 
 def test_build_all_end_to_end(spark, tmp_path):
