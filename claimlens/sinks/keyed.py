@@ -23,7 +23,8 @@ def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     each other's buckets and Spark can join them without moving the larger one."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     need = max(1, -(-int(str(size)) // bucket_bytes))
-    return 1 << (need - 1).bit_length()
+    most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # Spark's limit; beyond it buckets grow
+    return min(1 << (need - 1).bit_length(), 1 << (most.bit_length() - 1))
 
 
 def write_keyed(df: DataFrame, key: list[str], path: str, buckets: int | None = None) -> DataFrame:
