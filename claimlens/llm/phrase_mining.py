@@ -8,8 +8,8 @@ next pass counts what it opens up (pairs with such a word, triples with
 such a pair), and so on until a pass has no failures. The sample only decides
 in which pass a phrase is counted, never whether.
 
-A chunk of documents is written once as a sequence of local word numbers. In
-each pass it sends its distinct new phrases with their counts as sorted runs
+A chunk of documents is written once as a sequence of local word numbers, in
+a table bucketed by chunk, so that it never moves. In each pass it sends its distinct new phrases with their counts as sorted runs
 to hash buckets, and gets back the failures among them. Words are told
 apart by their bytes, longer phrases by the numbers of their parts: no hash
 stands for a phrase.
@@ -346,20 +346,32 @@ def mine(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> M
         known = shared.value.words
         for k, (texts, langs) in enumerate(chunks_of(batches)):
             w = Words.of(texts, langs)
-            numbers = np.array([known.get(x, -1) for x in w.names.to_pylist()], np.int64)
-            of_lang: dict[str, int] = {}
-            for name, c in zip(w.names.to_pylist(), w.counts.tolist()):
-                x = name[: name.rindex(b"\t")].decode()
+            numbers, of_lang = np.empty(len(w.names), np.int64), {}
+            for at, (name, c) in enumerate(zip(w.names.to_pylist(), w.counts.tolist())):
+                numbers[at] = known.get(name, -1)
+                x = name[: name.rindex(b"\t")]
                 of_lang[x] = of_lang.get(x, 0) + c
+            of_lang = {x.decode(): c for x, c in of_lang.items()}
             row = [TaskContext.get().partitionId() << 24 | k, squeeze(w.number.astype(np.uint32) << 1 | w.begins), squeeze(numbers), w.names, w.counts.astype(np.int64).tobytes(), list(of_lang.items())]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.map_(pa.string(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["chunk", "seq", "known", "names", "counts", "of_lang"])
 
-    states = written(docs.select("t", "lang").mapInArrow(encode, "chunk long, seq binary, known binary, names array<binary>, counts binary, of_lang map<string,long>"), "chunks")
+    # in buckets by chunk, so that answers come to the chunks and no chunk moves
+    name = f"chunks_{uuid.uuid4().hex}"
+    encoded = docs.select("t", "lang").mapInArrow(encode, "chunk long, seq binary, known binary, names array<binary>, counts binary, of_lang map<string,long>")
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # Spark's limit; beyond it a bucket holds more chunks
+    path = scratch_path(spark, name)
+    encoded.write.bucketBy(min(parts(size, 2 * CHUNK_BYTES), most), "chunk").option("path", path).saveAsTable(name)
+    states = spark.table(name)
+
+    def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from send(pa.Table.from_batches([batch.slice(k, 1)]), None, shared.value, 1, buckets).to_batches()
 
     def counts_of(number: int, answers: DataFrame | None) -> DataFrame:
         if answers is None:
-            sent = states.groupBy("chunk").applyInArrow(lambda s: send(s, None, shared.value, number, buckets), SENT)
+            sent = states.mapInArrow(first_of, SENT)
         else:
             slim = states.select("chunk", "seq", "known")
             sent = slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda s, a: send(s, a, shared.value, number, buckets), SENT)
@@ -374,7 +386,8 @@ def mine(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> M
         answers = found.where("what < 0").select("chunk", "what", "pass", "keys", "ids")
         if answers.where(F.col("pass") == number).limit(1).count() == 0:
             break
-    totals = states.select(F.explode("of_lang").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files stay with the session's scratch
+    totals = spark.read.schema(states.schema).parquet(path).select(F.explode("of_lang").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
     return Mined(found.where("what = 1").select("id", "lang", "word", "f"), found.where("what = 2").select("id", F.col("k1").alias("w1"), F.col("k2").alias("w2"), "f"),
                  found.where("what = 3").select(F.col("k1").alias("pair"), F.col("k2").alias("w3"), "f"), totals, number)
 
