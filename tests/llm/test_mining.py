@@ -161,7 +161,7 @@ def test_wide_components(sp):
     rows = [(i, i % 2, [rng.choice([-1.0, 1.0]) * rng.random() * 2.0 ** rng.choice([0, 10, 22]) for _ in range(3)]) for i in range(40)]
     got = hard_negatives.mine(sp.createDataFrame(rows, "vec_id int, label int, embedding array<double>"), F.expr("vec_id % 10 = 0"), scale=256)
     assert bag(tuple(r) for r in got.collect()) == bag(negatives_by_hand(rows, lambda i: i % 10 == 0))
-    huge = [(i, i % 2, [1e38 * (1 + i), 3e37]) for i in range(20)]
+    huge = [(i, i % 2, [1e36 * (1 + i), 3e37]) for i in range(20)]
     got = hard_negatives.mine(sp.createDataFrame(huge, "vec_id int, label int, embedding array<float>"), F.expr("vec_id = 0")).collect()
     assert [(r["positive_id"], r["negative_id"]) for r in got][:5] == [(2, 1), (2, 3), (2, 5), (2, 7), (2, 9)]  # all at the largest long
 
