@@ -20,6 +20,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """df as a table in the session's shared folder, in buckets by ``key``, read
+    back: joins and groups by it move no row of the table. Rows that are
+    dealt by the key already (repartition by so many) give a file a bucket."""
+    spark: SparkSession = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, table)).saveAsTable(table)
+    return spark.table(table)
+
+
 def written_and_told(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
     """The written table, and aggregates over it that the same job works out."""
     told = Observation()
