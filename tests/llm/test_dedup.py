@@ -236,3 +236,70 @@ def test_context_numbers_do_not_follow_row_order():
     a, b = (suffix_dedup.Chunk(pa.table({"t": t}), 100) for t in (texts, texts[::-1]))
     every = np.unique(a.h)
     assert (every == np.unique(b.h)).all() and a.contexts(every, 100)[2] == b.contexts(every, 100)[2]
+
+
+# ------------------------------------------------------------------ hot cells of the n-gram join
+
+def boilerplate_rows(seed, n, shared, own, words=400):
+    """Texts of a shared passage with words of their own, and near copies of some of them."""
+    rng = np.random.default_rng(seed)
+    passage = [f"s{i}" for i in range(shared)]
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.3:  # a near copy
+            w = rows[int(rng.integers(len(rows)))][1].split()
+            for p in rng.choice(len(w), int(rng.integers(0, 4)), replace=False):
+                w[p] = f"y{rng.integers(words)}"
+        else:
+            w = passage + [f"x{rng.integers(words)}" for _ in range(own)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("shingle, similarity", [(3, 0.9), (5, 0.8)])
+@pytest.mark.parametrize("hot, group, near", [(4, 2000, 1), (4, 1 << 22, 8), (1000, 3000, 2)])
+def test_hot_cells_and_blocks_lose_no_link(sp, monkeypatch, shingle, similarity, hot, group, near):
+    monkeypatch.setattr(ngram_join, "HOT_SETS", hot)
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", group)
+    monkeypatch.setattr(ngram_join, "NEAREST", near)
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 3000)
+    monkeypatch.setattr(ngram_join, "SENT_ENTRIES", 1000)
+    rows = boilerplate_rows(3, 60, 60, 20) + [(100 + i, t) for i, t in boilerplate_rows(4, 60, 20, 60)] + [(200 + i, t) for i, t in boilerplate_rows(5, 40, 75, 6)]
+    got = ngram_join.similarity_classes(sp.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle, similarity).collect()
+    assert bag(tuple(r) for r in got) == bag((d, *x) for (d, _), x in zip(rows, brute.components(rows, shingle, round(100 * similarity))))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_set_that_leaves_its_hot_cells_meets_its_links_elsewhere(seed):
+    """Any two linked sets agree on at least ``need`` non-empty cells of their common tile."""
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        percent = int(rng.choice([60, 80, 90]))
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 300)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 6 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, len(a) // 8 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        sig, who, tile, need = ngram_join.tiled_cells(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+        for ta in (0, 1):
+            for tb in (0, 1):
+                common = set(sig[(who == 0) & (tile == ta)].tolist()) & set(sig[(who == 1) & (tile == tb)].tolist())
+                if common:
+                    assert len(common) >= max(1, min(need[ta][0], need[tb][1]))
+
+
+def test_a_cell_of_very_many_near_misses_is_compared_in_seconds():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    m, size = 16_000, 300
+    base = rng.integers(0, 2**63, size, dtype=np.uint64)
+    bits = [ngram_join.bitmap(np.concatenate([base[:150], rng.integers(0, 2**63, 150, dtype=np.uint64)])).tobytes() for _ in range(m)]
+    zero = np.zeros(m, np.int64)
+    f = np.arange(1, m + 1)
+    table = pa.table({"cell": zero, "i": zero, "j": zero, "block": zero, "f": f, "root": f, "n": np.full(m, size), "bits": pa.array(bits, pa.binary())})
+    began = time.process_time()
+    assert ngram_join.nearest(table, 80, 8).num_rows == 0
+    assert time.process_time() - began < 30
