@@ -17,6 +17,7 @@ stands for a phrase.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from claimlens.session import scratch_path
 
-from .packed import bucket_edges, pack, unpack
+from .packed import bucket_of
 from .tables import parts, total_bytes, written
 from .text import _FOLD, U64, byte_column, mix
 
@@ -40,20 +41,35 @@ CHUNK_BYTES, BUCKET_BYTES, SAMPLE_BYTES, SAMPLE_SHARE = 8 << 20, 12 << 20, 8 <<
 PROPOSED, PROPOSED_AT = 1 << 17, 2
 #: bits of a word's number in a key; a pair's number has the rest of 64
 WORD_BITS = 30
+LOWER = U64((1 << WORD_BITS) - 1)
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[list(BREAKS)] = True
 _PARTS = _IS_BREAK.copy()
 _PARTS[[0x20, 0x09]] = True
-_INVERSE = [U64(pow(c, -1, 1 << 64)) for c in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The number whose mix() is x."""
-    x = (x ^ (x >> U64(31)) ^ (x >> U64(62))) * _INVERSE[0]
-    x = (x ^ (x >> U64(27)) ^ (x >> U64(54))) * _INVERSE[1]
-    return x ^ (x >> U64(30)) ^ (x >> U64(60))
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, all first bytes together, then all second ones and so on."""
+    x = np.ascontiguousarray(x)
+    return zlib.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def unsqueeze(blob: bytes, kind: type) -> np.ndarray:
+    raw, size = np.frombuffer(zlib.decompress(blob), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys as the steps of their upper parts and their lower parts: a few bytes each."""
+    upper = keys >> U64(WORD_BITS)
+    return squeeze(np.diff(upper, prepend=U64(0)) << U64(WORD_BITS) | keys & LOWER)
+
+
+def unsqueeze_sorted(blob: bytes) -> np.ndarray:
+    x = unsqueeze(blob, np.uint64)
+    return np.cumsum(x >> U64(WORD_BITS), dtype=np.uint64) << U64(WORD_BITS) | x & LOWER
 
 
 def counted(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +121,14 @@ class Words:
         used[key] = True
         number = (np.cumsum(used) - 1)[key]
         used = np.flatnonzero(used)
-        spelled, prefix = coded.dictionary.take(pa.array(used // kinds)).to_pylist(), [x.encode() + b"\t" for x in lang.dictionary.to_pylist()]
+        counts = np.bincount(number, minlength=len(used))
+        order = np.argsort(-counts, kind="stable")  # frequent words have small numbers
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        used = used[order]
+        spelled, prefix = coded.dictionary.take(pa.array(used // kinds)).to_pylist(), [lang_key(x) for x in lang.dictionary.to_pylist()]
         names = pa.array([prefix[k] + w for k, w in zip((used % kinds).tolist(), spelled)], pa.binary())
-        return cls(number.astype(np.int32), begins, names, np.bincount(number, minlength=len(names)))
+        return cls(place[number], begins, names, counts[order])
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -133,9 +154,18 @@ def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
     return tuple(table.column(c).chunk(0).cast(pa.string()) if table.num_rows else pa.array([], pa.string()) for c in ("t", "lang"))
 
 
+def lang_key(lang: str) -> bytes:
+    """A language as it stands before its words: without line ends, and with a TAB at its end."""
+    return lang.replace("\\", "\\\\").replace("\n", "\\n").encode() + b"\t"
+
+
 def split_key(name: bytes) -> tuple[str, str]:
     lang, _, word = name.rpartition(b"\t")
-    return lang.decode(), word.decode()
+    return plain_lang(lang), word.decode()
+
+
+def plain_lang(lang: bytes) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m.group(1) == "n" else m.group(1), lang.decode())
 
 
 class Proposals:
@@ -144,8 +174,7 @@ class Proposals:
     def __init__(self, words: list[bytes], pairs: list[tuple[bytes, bytes]]):
         self.words = {w: k for k, w in enumerate(words)}
         known = [(self.words[a], self.words[b]) for a, b in pairs if a in self.words and b in self.words]
-        key = mix(np.array([a << WORD_BITS | b for a, b in known], U64))
-        self.pairs = np.sort(key)  # a pair's number is its place here
+        self.pairs = np.sort(np.array([a << WORD_BITS | b for a, b in known], U64))  # a pair's number is its place here
 
 
 def propose(docs: DataFrame, size: int) -> Proposals:
@@ -171,17 +200,13 @@ def propose(docs: DataFrame, size: int) -> Proposals:
     return Proposals([bytes(r["a"]) for r in most(F.col("b").isNull())], [(bytes(r["a"]), bytes(r["b"])) for r in most(F.col("b").isNotNull())])
 
 
-def squeeze(x: np.ndarray | bytes) -> bytes:
-    return zlib.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
-
-
 class Chunk:
     """A chunk's words by their global numbers, as far as they are known so far."""
 
     def __init__(self, row: dict, proposals: Proposals, answers: list[dict]):
-        seq = np.frombuffer(zlib.decompress(row["seq"]), np.uint32)
+        seq = unsqueeze(row["seq"], np.uint32)
         inside = (seq & 1) == 0  # not at the beginning of a piece
-        word = np.frombuffer(zlib.decompress(row["known"]), np.int64).copy()
+        word = unsqueeze(row["known"], np.int64).copy()
         since = np.where(word >= 0, 0, -1)  # the pass that found it; 0: proposed
         pairs, ids, when = [proposals.pairs], [np.arange(len(proposals.pairs))], [np.zeros(len(proposals.pairs), np.int64)]
         for x in answers:
@@ -204,7 +229,7 @@ class Chunk:
     def new_pairs(self, number: int) -> np.ndarray:
         """Keys of the pairs that pass ``number`` is the first to count, an entry for each place."""
         at = self.at[np.maximum(self.since[self.at], self.since[self.at + 1]) == number - 1]
-        return mix(self._keys(at))
+        return self._keys(at)
 
     def _keys(self, at: np.ndarray) -> np.ndarray:
         return (self.word[at] << WORD_BITS | self.word[at + 1]).astype(U64)
@@ -212,22 +237,30 @@ class Chunk:
     def new_triples(self, number: int) -> np.ndarray:
         if not len(self.pairs):
             return np.zeros(0, U64)
-        h = mix(self._keys(self.at))
-        place = np.minimum(np.searchsorted(self.pairs, h), len(self.pairs) - 1)
-        ok = self.pairs[place] == h
+        keys = self._keys(self.at)
+        place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        ok = self.pairs[place] == keys
         at, place = self.at[ok], place[ok]
         k = np.flatnonzero(at[1:] == at[:-1] + 1)  # two known pairs, one word apart
         k = k[np.maximum(self.when[place[k]], self.when[place[k + 1]]) == number - 1]
-        return mix(self.ids[place[k]].astype(U64) << U64(WORD_BITS) | self.word[at[k] + 2].astype(U64))
+        return self.ids[place[k]].astype(U64) << U64(WORD_BITS) | self.word[at[k] + 2].astype(U64)
 
 
-SENT = "kind int, bucket int, chunk long, h binary, c binary, names array<binary>"
+SENT = "kind int, bucket int, chunk long, h binary, c binary, names binary"
 FOUND = "what int, chunk long, lang string, word string, k1 long, k2 long, id long, f long, keys binary, ids binary"
-_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("names", pa.list_(pa.binary()))])
+_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("names", pa.binary())])
 _FOUND = pa.schema([("what", pa.int32()), ("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), *[(k, pa.int64()) for k in ("k1", "k2", "id", "f")],
                     ("keys", pa.binary()), ("ids", pa.binary())])
 
 
+def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, ascending places of its entries) of every bucket that has some."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, order[edges[b] : edges[b + 1]]
+
+
 def send(state: pa.Table, answers: pa.Table | None, proposals: Proposals, number: int, buckets: int) -> pa.Table:
     """A chunk's new phrases of pass ``number``, a row for each kind and bucket."""
     if not state.num_rows:
@@ -237,18 +270,13 @@ def send(state: pa.Table, answers: pa.Table | None, proposals: Proposals, number
     out = []
     if number == 1:
         names, c = state.column("names")[0].values, np.frombuffer(state.column("counts")[0].as_py(), np.int64)
-        bucket = np.array([zlib.crc32(x) % buckets for x in names.to_pylist()])
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            at = order[edges[b] : edges[b + 1]]
-            out.append((0, b, row["chunk"], squeeze(at.astype(U64)), squeeze(c[at]), names.take(pa.array(at))))
+        names = names.to_pylist()
+        for b, at in _by_bucket(np.array([zlib.crc32(x) % buckets for x in names], np.int64), buckets):
+            out.append((0, b, row["chunk"], squeeze_sorted(at.astype(U64)), squeeze(c[at]), zlib.compress(b"\n".join([names[k] for k in at.tolist()]), 1)))
     for kind, keys in ((1, chunk.new_pairs(number)), (2, chunk.new_triples(number))):
-        h, c = counted(keys)
-        edges = bucket_edges(h, buckets)
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            some = slice(edges[b], edges[b + 1])
-            out.append((kind, b, row["chunk"], squeeze(pack(h[some])), squeeze(c[some].astype(np.int64)), pa.array([], pa.binary())))
+        keys, c = counted(keys)
+        for b, at in _by_bucket(bucket_of(mix(keys), buckets), buckets):
+            out.append((kind, b, row["chunk"], squeeze_sorted(keys[at]), squeeze(c[at].astype(np.int64)), None))
     return pa.table([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_SENT)], schema=_SENT)
 
 
@@ -256,8 +284,8 @@ def add_up(table: pa.Table, proposals: Proposals, number: int, buckets: int, lea
     """The frequent phrases of a bucket (what 1, 2, 3: words, pairs, triples), and for
     each chunk those of its words (-1) and pairs (-2) that were not proposed."""
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    c = [np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("c").to_pylist()]
-    h = [zlib.decompress(x) for x in table.column("h").to_pylist()]
+    c = [unsqueeze(x, np.int64) for x in table.column("c").to_pylist()]
+    h = [unsqueeze_sorted(x) for x in table.column("h").to_pylist()]
     numbered = lambda rank: (rank * buckets + bucket) * 2 + number - 1  # numbers of a bucket and a pass
     parts_, chunks = [], table.column("chunk").to_pylist()
 
@@ -266,9 +294,8 @@ def add_up(table: pa.Table, proposals: Proposals, number: int, buckets: int, lea
         return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
 
     if kind == 0:
-        names = pa.chunked_array([x.values for x in table.column("names")]).combine_chunks()
-        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-        coded = names.dictionary_encode()
+        names = [y for x in table.column("names").to_pylist() for y in zlib.decompress(x).split(b"\n")]
+        coded = pa.array(names, pa.binary()).dictionary_encode()
         code = coded.indices.to_numpy()
         total = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(total, code, np.concatenate(c))
@@ -287,17 +314,14 @@ def add_up(table: pa.Table, proposals: Proposals, number: int, buckets: int, lea
         fresh[often[new]] = True
         at = 0
         for chunk, x in zip(chunks, h):
-            local = np.frombuffer(x, U64)
-            mine = code[at : at + len(local)]
-            at += len(local)
+            mine = code[at : at + len(x)]
+            at += len(x)
             if fresh[mine].any():
-                parts_.append(rows(what=[-1], chunk=[chunk], keys=[local[fresh[mine]].tobytes()], ids=[number_of[mine[fresh[mine]]].tobytes()]))
+                parts_.append(rows(what=[-1], chunk=[chunk], keys=[x[fresh[mine]].tobytes()], ids=[number_of[mine[fresh[mine]]].tobytes()]))
     else:
-        h = [unpack(x) for x in h]
         keys, total = counted(np.concatenate(h), np.concatenate(c))
         keys, total = keys[total >= least], total[total >= least]
-        plain = unmix(keys)
-        found = dict(what=np.full(len(keys), kind + 1, np.int32), k1=(plain >> U64(WORD_BITS)).astype(np.int64), k2=(plain & U64((1 << WORD_BITS) - 1)).astype(np.int64), f=total)
+        found = dict(what=np.full(len(keys), kind + 1, np.int32), k1=(keys >> U64(WORD_BITS)).astype(np.int64), k2=(keys & LOWER).astype(np.int64), f=total)
         if kind == 2:
             parts_.append(rows(**found))
         else:
@@ -351,7 +375,7 @@ def mine(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> M
                 numbers[at] = known.get(name, -1)
                 x = name[: name.rindex(b"\t")]
                 of_lang[x] = of_lang.get(x, 0) + c
-            of_lang = {x.decode(): c for x, c in of_lang.items()}
+            of_lang = {plain_lang(x): c for x, c in of_lang.items()}
             row = [TaskContext.get().partitionId() << 24 | k, squeeze(w.number.astype(np.uint32) << 1 | w.begins), squeeze(numbers), w.names, w.counts.astype(np.int64).tobytes(), list(of_lang.items())]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.map_(pa.string(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["chunk", "seq", "known", "names", "counts", "of_lang"])
