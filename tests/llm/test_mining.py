@@ -222,7 +222,7 @@ def texts(seed, n=300):
     rows = []
     for _ in range(n):
         t = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ", ", "\n", ".", " the of "]) for _ in range(rng.randrange(0, 30)))
-        rows.append((t, rng.choice(["en", "de", None, "", "e\tn"])))
+        rows.append((t, rng.choice(["en", "de", None, "", "e\tn", "e\nn\\"])))
     return rows + [(None, "en"), ("", None), ("...", "en"), ("The Of THE of " * 5000, "en"), ("only once here", "xx")] + [("copy of copy", "fr")] * 50
 
 
@@ -257,9 +257,12 @@ def test_no_texts(sp):
     assert phrase_mining.collocations(sp.createDataFrame([(None, None), ("one two", "en")], "text string, lang string")).collect() == []
 
 
-def test_mixing_is_undone():
-    x = np.random.default_rng(3).integers(0, 2**64, 1000, dtype=np.uint64)
-    assert (phrase_mining.unmix(phrase_mining.mix(x)) == x).all()
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
+def test_key_runs_round_trip(keys):
+    x = np.unique(np.array(keys, np.uint64))
+    assert (phrase_mining.unsqueeze_sorted(phrase_mining.squeeze_sorted(x)) == x).all()
+    assert (phrase_mining.unsqueeze(phrase_mining.squeeze(x.astype(np.uint32)), np.uint32) == x.astype(np.uint32)).all()
 
 
 def test_scores_beyond_64_bits(sp):
