@@ -6,7 +6,8 @@
    stays, by the smallest or the largest id.
 3. Only members of groups of two or more meet their group's kept text, on
    (hash, salt): a group of n rows is dealt over ceil(n / SALT_ROWS) salts,
-   so a group that holds a third of all rows spreads over many tasks.
+   so a group that holds a third of all rows spreads over many tasks, with
+   whatever ids (salts follow the rows' places, and are written with them).
    Bytes are compared there. Members that differ (hash collisions) are
    grouped anew by their whole text.
 """
@@ -49,7 +50,7 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
 
     shared = groups.where("n > 1").select("h", "keep", F.expr(f"cast(ceil(n / {SALT_ROWS}) as int)").alias("salts"))
     # the only step that moves all texts; written, since both sides of the comparison read it
-    members = written(docs.join(shared, "h").withColumn("salt", F.expr("pmod(xxhash64(d, 17), salts)")), "copies")
+    members = written(docs.join(shared, "h").withColumn("salt", F.pmod(F.xxhash64("d", F.monotonically_increasing_id()), F.col("salts"))), "copies")
     # one text for each group that has the kept id (a repeated id may come with several: any will do, the rest collide)
     kept = (members.where(F.col("d").eqNullSafe(F.col("keep"))).groupBy("h").agg(F.max_by("t", F.xxhash64("t")).alias("kt"), F.max("salts").alias("m"))
             .select("h", "kt", F.explode(F.expr("sequence(0L, m - 1L)")).alias("salt")))
