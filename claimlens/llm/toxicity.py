@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import smallest_hashes
+from .tables import smallest_hashes, written
 from .text import text_slices
 
 # Identity terms, in groups whose members may stand for each other.
@@ -173,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     The fit sees max_rows labels at most: those whose key has the smallest
     hash. That bounds what is broadcast to the documents (ids and labels; the
-    texts stay where they are) and what reaches the driver (vocabulary
+    texts stay where they are). Where documents repeat labelled ids, so that
+    more than max_rows are labelled, each text counts once and those with the
+    smallest hash are kept: that bounds what reaches the driver (vocabulary
     indices). No labelled rows: a model that gives every text the same low
     score. Null texts count as empty; null keys have no label."""
     marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and k is not null")
@@ -183,8 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         marked = marked.where(F.col("r") <= F.lit(smallest_hashes(marked, "r", total, max_rows))).orderBy("r", "k", "y").limit(max_rows)
     rows = (docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
             .join(F.broadcast(marked.select("k", "y")), "k").select("t", "y"))
-    counts = rows.mapInArrow(_feature_rows, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     by_label = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if (many := sum(by_label.values())) > max_rows:  # documents repeat labelled ids
+        hashed = rows.withColumn("r", F.xxhash64("t", "y")).dropDuplicates(["r"])
+        cut = smallest_hashes(hashed.select("r"), "r", many, max_rows)
+        rows = written(hashed.where(F.col("r") <= F.lit(cut)).orderBy("r").limit(max_rows).select("t", "y"), "labelled")
+        by_label = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.mapInArrow(_feature_rows, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = float(by_label.get(0, 0)), float(by_label.get(1, 0))
     if not a + b:
         return Model({}, np.array([-6.0]))
