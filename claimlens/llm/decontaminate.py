@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import parts
@@ -145,21 +145,22 @@ class Items:
         return best
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, normalised texts) of the items, in blocks of about BLOCK_BYTES; empty items are left out."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
-    n = parts(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0, BLOCK_BYTES)
+def blocks(benchmark: DataFrame, text: str) -> Iterator[dict[bytes, list[str]]]:
+    """Normalised texts of the items, in blocks of about BLOCK_BYTES, each with the
+    keys (digests) of the different texts that it stands for. Equal items
+    are one before anything is collected; empty ones are left out."""
+    texts = benchmark.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").distinct()
+    n = parts(texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0, BLOCK_BYTES)
     for b in range(n):
-        got = [(r["i"], normalise(r["t"])) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b).collect()]
-        got = sorted(((i, t) for i, t in got if t), key=lambda x: (x[1], str(x[0])))
-        yield [i for i, _ in got], [t for _, t in got]
+        of: dict[bytes, list[str]] = {}
+        for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b).select("t", text_key("t").alias("k")).collect():
+            if t := normalise(r["t"]):
+                of.setdefault(t, []).append(r["k"])
+        yield {t: sorted(of[t]) for t in sorted(of)}
 
 
-def _distinct(ids: list, texts: list[bytes]) -> tuple[list[list], list[bytes]]:
-    of: dict[bytes, list] = {}
-    for i, t in zip(ids, texts):
-        of.setdefault(t, []).append(i)
-    return list(of.values()), list(of)
+def text_key(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, text: str = "text", doc_id: str = "doc_id",
@@ -170,39 +171,39 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, tex
     normalised text; start assumes the item's own length.
 
     Null or empty texts and items match nothing. Items with equal texts each
-    get their rows; rows that repeat an id each get theirs."""
+    get their rows; rows that repeat an id each get theirs. Ids may be of any
+    type."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    id_type = benchmark.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {id_type}, distance int, budget int, start long, end long"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k string, distance int, budget int, start long, end long"
     out = None
-    for ids, texts in blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(_distinct(ids, texts))
+    for block in blocks(benchmark, item_text):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, texts = shared.value
+            texts, keys = list(shared.value), list(shared.value.values())
             items = Items(texts, rate)
             for batch in batches:
                 for part in text_slices(batch, "t", SLICE_BYTES):
                     found = items.matches([normalise(t) for t in part.column("t").to_pylist()])
-                    rows = [(r, j, d, items.budget[i], max(0, end - len(texts[i])), end)
-                            for r in sorted(found) for i, (d, end) in sorted(found[r].items()) for j in ids[i]]
+                    rows = [(r, k, d, items.budget[i], max(0, end - len(texts[i])), end)
+                            for r in sorted(found) for i, (d, end) in sorted(found[r].items()) for k in keys[i]]
                     cols = list(zip(*rows)) or [()] * 6
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], batch_id),
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()),
                                                       pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
-                                                     ["doc_id", "item_id", "distance", "budget", "start", "end"])
+                                                     ["doc_id", "k", "distance", "budget", "start", "end"])
 
-        batch_id = pa.string() if id_type == "string" else pa.int32() if id_type == "int" else pa.int64()
         found = docs.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    named = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("_t")).where("_t is not null").select("item_id", text_key("_t").alias("k"))
+    return out.join(named, "k").select("doc_id", "item_id", "distance", "budget", "start", "end")
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, text: str = "text",
                item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The rows of df, with all their columns, in which no item occurs. No shuffle."""
-    for _, texts in blocks(benchmark, item_id, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(list(dict.fromkeys(texts)))
+    for block in blocks(benchmark, item_text):
+        shared = df.sparkSession.sparkContext.broadcast(list(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, rate)
