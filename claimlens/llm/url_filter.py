@@ -2,24 +2,22 @@
 
 Rules name a host and a path prefix; the longest that fits decides. The URLs
 that rules decide are the labelled URLs on which the trees are trained:
-length, depth, digit ratio, entropy, parameter counts, and how often URLs of
-the same host suffix were blocked.
+length, depth, digit ratio, entropy, parameter counts, and how often other URLs
+of the same host suffix were blocked.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import smallest_hashes
+from .tables import smallest_hashes, written, written_and_told
 
-#: labelled URLs that fitting sees at most; weight of the overall rate in a suffix's rate
-MAX_ROWS, SMOOTHING = 200_000, 20.0
+#: labelled URLs that fitting sees at most; weight of the overall rate in a suffix's rate; folds that rate each other
+MAX_ROWS, SMOOTHING, FOLDS = 200_000, 20.0, 5
 TREES, DEPTH = 12, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digits", "host_digits", "entropy", "host_entropy",
@@ -74,14 +72,18 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
     return out.withColumns({"_s1": F.element_at(labels, -1), "_s2": F.substring_index("_host", ".", -2)})
 
 
-def suffix_rates(labelled: DataFrame) -> tuple[list[tuple[str, DataFrame]], float]:
-    """Per suffix column: (suffix, smoothed share of blocked URLs), and the overall share. All labelled rows count."""
+def suffix_rates(labelled: DataFrame, k: str) -> DataFrame:
+    """(suffix, fold, rate): the smoothed share of blocked URLs per suffix, for URLs of
+    each fold from those of the other folds, and under fold -1 from all.
+
+    A fitted URL's rate thus never holds its own label. Rows: suffixes times folds."""
     rate = labelled.agg(F.avg("_y")).first()[0] or 0.0
-    out = []
-    for k in ("1", "2"):
-        of = labelled.groupBy(f"_s{k}").agg(((F.sum("_y") + SMOOTHING * rate) / (F.count(F.lit(1)) + SMOOTHING)).alias(f"_f_suffix{k}_rate"))
-        out.append((f"_s{k}", of))
-    return out, rate
+    of = labelled.groupBy(f"_s{k}", "_fold").agg(F.sum("_y").alias("y"), F.count(F.lit(1)).alias("n"))
+    whole = of.groupBy(f"_s{k}").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    folds = F.explode(F.array(*[F.lit(x) for x in range(-1, FOLDS)])).alias("_fold")
+    each = whole.select(f"_s{k}", F.col("y").alias("ty"), F.col("n").alias("tn"), folds).join(of, [f"_s{k}", "_fold"], "left")
+    left = lambda t, own: F.col(t) - F.coalesce(F.col(own), F.lit(0))
+    return each.select(f"_s{k}", "_fold", ((left("ty", "y") + SMOOTHING * rate) / (left("tn", "n") + SMOOTHING)).alias(f"_f_suffix{k}_rate"))
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -98,21 +100,25 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", ma
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     rows = rows.withColumns({"_rule": rule, "_verdict": verdict})
     rows = rows.withColumn("_y", F.when(F.col("_verdict").isNotNull(), (F.col("_verdict") == "block").cast("double")))
-    labelled = rows.where("_y is not null")
-    classes = {r["_y"]: r["n"] for r in labelled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(classes) < 2:
+    rows = rows.withColumn("_fold", F.when(F.col("_y").isNotNull(), F.pmod(F.xxhash64("_u", F.lit(3)), F.lit(FOLDS)).cast("int")).otherwise(-1))
+    # what the fit needs of the URLs that rules decide, written once: hashes, suffixes, labels
+    labelled, told = written_and_told(rows.where("_y is not null").select("_s1", "_s2", "_y", "_fold", F.xxhash64("_u").alias("_r")), "labelled",
+                                      n=F.count(F.lit(1)), low=F.min("_y"), high=F.max("_y"))
+    if not told["n"] or told["low"] == told["high"]:
         scored = rows.withColumn("_p", F.lit(0.0))
     else:
-        stats, rate = suffix_rates(labelled)
-        rows = reduce(lambda d, s: d.join(s[1], s[0], "left"), stats, rows)
-        rows = rows.fillna(rate, [f"_f_suffix{k}_rate" for k in ("1", "2")])
+        rate = labelled.agg(F.avg("_y")).first()[0]
+        rates = {k: written(suffix_rates(labelled, k), "suffixes") for k in ("1", "2")}
+        for k, of in rates.items():
+            rows = rows.join(of, [f"_s{k}", "_fold"], "left")
+        rows = rows.fillna(rate, [f"_f_suffix{k}_rate" for k in rates])
         rows = VectorAssembler(inputCols=[f"_f_{f}" for f in FEATURES], outputCol="_features").transform(rows)
         sample = rows.where("_y is not null").select("_features", "_y", F.xxhash64("_u").alias("_r"))
-        total = sum(classes.values())
-        if total > max_rows:
-            cut = smallest_hashes(labelled.select(F.xxhash64("_u").alias("_r")), "_r", total, max_rows)
+        if told["n"] > max_rows:
+            cut = smallest_hashes(labelled, "_r", told["n"], max_rows)
             sample = sample.where(F.col("_r") <= F.lit(cut)).orderBy("_r").limit(max_rows)  # equal hashes: equal URLs
-        model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, checkpointInterval=-1).fit(sample)
+        # written, so that each of the trees' jobs reads max_rows vectors and no page again
+        model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, checkpointInterval=-1).fit(written(sample.select("_features", "_y"), "sample"))
         scored = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_prob").transform(rows).withColumn("_p", vector_to_array("_prob")[1])
     decided = F.coalesce("_verdict", F.when(F.col("_p") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(*[F.col(f"`{c}`") for c in kept], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
