@@ -16,6 +16,7 @@ written manifest lists count, so a lost attempt leaves no trace in results.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import uuid
 import zlib
@@ -36,6 +37,8 @@ from .text import U64, spread, text_slices
 MAGIC = b"TOKPACK1"
 NO_ID = -(2**63)
 BLOCK, FILE_BYTES, SLICE_BYTES = 1 << 16, 32 << 20, 4 << 20
+#: beyond so many files they grow with the corpus
+MOST_FILES = 100_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -150,14 +153,33 @@ class Reader:
         return np.concatenate(out)[start - a * self.block : end - a * self.block]
 
 
-class WordIds(dict):
-    """Slot of each word (a run without white space). White space parts tokens
-    in this tokenizer's rules, so words are encoded on their own, each once."""
+#: kinds of bytes in lower-cased Latin text: 0 white space, 1 letters, 2 digits, 3 other marks
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[[0x20, *range(9, 14)]], _KINDS[ord("a") : ord("z") + 1], _KINDS[128:], _KINDS[ord("0") : ord("9") + 1] = 0, 1, 1, 2
+_SHORT_ONE, _SHORT_TWO = np.frombuffer(b"stmd", np.uint8), np.array([a << 8 | b for a, b in (b"re", b"ve", b"ll")])
+
 
-    LIMIT = 1_000_000  # words, then it starts anew: memory, not results, depends on it
-    #: the tokenizer's split pattern, for words of ASCII and of the Latin letters up to U+017E
+class WordIds(dict):
+    """Slot of each piece of text that is encoded on its own, each once: words
+    as text, pieces of Latin texts as bytes.
+
+    Where the file has the rules of FAST_RULES, white space parts tokens: texts
+    of ASCII and Latin letters are cut by its split pattern, others at white
+    space. A file with any other rules is encoded text by text by the library."""
+
+    LIMIT = 1_000_000  # pieces, then it starts anew: memory, not results, depends on it
+    #: fixed values: the rules of the tokenizer whose pieces are known here
+    FAST_RULES = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        "post_processor": None,
+    }
+    #: that split pattern, for ASCII and the Latin letters up to U+017E, lower-cased
     _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z\xdf-\xf6\xf8-\u017e0-9 \t-\r]+")
     _LATIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+\Z")  # normalised as they are, but for case
+    _LATIN_TEXT = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]*\Z")
     _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split parts there, the tokenizer doesn't
     _WORD = re.compile("[^\\s\x1c-\x1f]+|[\x1c-\x1f]+")
 
@@ -166,9 +188,8 @@ class WordIds(dict):
 
         super().__init__()
         self.lib = Tokenizer.from_file(path)
-        rules = self.lib.pre_tokenizer.__getstate__().decode() + self.lib.normalizer.__getstate__().decode()
-        if "ByteLevel" not in rules or "Split" not in rules or "\\\\s+" not in rules or self.lib.post_processor is not None:
-            raise ValueError("a tokenizer that does not drop white space is not supported")
+        rules = json.loads(self.lib.to_str())
+        self.fast = all(rules[k] == v for k, v in self.FAST_RULES.items()) and rules["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
         self.model = self.lib.model
         # the byte-level alphabet: printed bytes as they are, the others from U+0100 on, in order
@@ -178,7 +199,6 @@ class WordIds(dict):
 
     def start_anew(self) -> None:
         self.clear()
-        self.pieces: dict[str, list[int]] = {}
         self.new: list[list[int]] = []
         self.ids, self.first, self.have = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
 
@@ -190,27 +210,71 @@ class WordIds(dict):
     def encode_word(self, word: str) -> list[int]:
         if not self._LATIN.match(word) or "<|" in word:  # other scripts, control and special tokens: all the library's rules
             return self.lib.encode(word, add_special_tokens=False).ids
-        out = []
-        for piece in self._PIECE.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelt = piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()])
-                self.pieces[piece] = ids = [t.id for t in self.model.tokenize(spelt)]
-            out += ids
-        return out
+        return [t.id for piece in self._PIECE.findall(word.lower()) for t in self.model.tokenize(self.spelt(piece))]
+
+    def spelt(self, piece: str) -> str:
+        """A piece in the byte-level alphabet."""
+        return piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()])
 
     def words(self, text: str) -> list[str]:
         if self._ODD_SPACE.search(text):
             return re.findall(r"[^ \t\n\r\x0b\x0c]+", text)
         return text.split()
 
+    def latin_slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of all pieces, number of pieces of each text) of texts that _LATIN_TEXT matches.
+
+        Pieces are found as _PIECE does: runs of letters or of other marks,
+        single digits, and a mark ' that begins a piece with the letters of a
+        shortened word after it."""
+        blobs = [t.lower().encode() for t in texts]
+        data = b"\n".join(blobs) + b"\n  "
+        arr = np.frombuffer(data, np.uint8)
+        kind = _KINDS[arr]
+        begins = kind != 0
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        at = np.flatnonzero((arr == 0x27) & begins)
+        one, two = arr[at + 1], arr[at + 1].astype(np.int32) << 8 | arr[at + 2]
+        short = np.where(np.isin(one, _SHORT_ONE), 2, np.where(np.isin(two, _SHORT_TWO), 3, 0))
+        at, short = at[short > 0], short[short > 0]
+        begins[at + 1] = False
+        begins[at + short] = kind[at + short] != 0
+        ends = np.flatnonzero((kind[:-1] != 0) & (begins[1:] | (kind[1:] == 0))) + 1
+        starts = np.flatnonzero(begins)
+        n = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in blobs])))
+        if not len(starts):
+            return np.zeros(0, np.int64), n
+        edges = np.empty(2 * len(starts), np.int32)
+        edges[0::2], edges[1::2] = starts, ends
+        # pieces and what lies between them, in turn, over the same bytes
+        coded = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        code = coded.indices.to_numpy()[0::2]
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code] = True
+        pieces = coded.dictionary.filter(pa.array(used)).to_pylist()
+        found = list(map(self.get, pieces))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = self[pieces[k]] = len(self)
+            self.new.append([t.id for t in self.model.tokenize(self.spelt(pieces[k].decode()))])
+        slot = np.zeros(len(used), np.int64)
+        slot[used] = found
+        return slot[code], n
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)"""
+        if not self.fast:
+            each = [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            lens = np.array([len(x) for x in each], np.int64)
+            return lens, np.fromiter(chain.from_iterable(each), np.uint32, int(lens.sum()))
         if len(self) > self.LIMIT:
             self.start_anew()
-        words = [self.words(t) for t in texts]
-        every = list(chain.from_iterable(words))
-        slots = np.fromiter(map(self.__getitem__, every), np.int64, len(every))
+        plain = [bool(self._LATIN_TEXT.match(t)) and "<|" not in t for t in texts]
+        slots, n = self.latin_slots([t for t, x in zip(texts, plain) if x])
+        if not all(plain):  # the other texts' slots go in between
+            words = [None if x else self.words(t) for t, x in zip(texts, plain)]
+            own = iter(np.split(slots, np.cumsum(n)[:-1]) if len(n) else [])
+            each = [next(own) if w is None else np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
+            slots, n = np.concatenate(each), np.array([len(x) for x in each], np.int64)
         if self.new:
             lens = np.array([len(x) for x in self.new], np.int64)
             have, self.have = self.have, self.have + len(self.new)
@@ -222,7 +286,7 @@ class WordIds(dict):
             self.ids[self.first[have] : self.first[self.have]] = np.fromiter((i for x in self.new for i in x), np.uint32, int(lens.sum()))
             self.new = []
         lens = self.first[slots + 1] - self.first[slots]
-        per_text = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
+        per_text = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(n)]).astype(np.int64)]
         return np.diff(per_text), self.ids[spread(self.first[slots], lens)]
 
 
@@ -244,8 +308,10 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int |
     that repeat an id are written one after another, in the order of their
     texts' hashes."""
     docs = id_and_text(df, doc_id, text).withColumn("d", F.coalesce(F.col("d").cast("long"), F.lit(NO_ID)))
-    files = parts(total_bytes(docs), FILE_BYTES)
-    ordered = docs.withColumn("x", F.xxhash64("t")).repartitionByRange(files, "d").sortWithinPartitions("d", "x").select(F.spark_partition_id().alias("part"), "d", "t")
+    size = total_bytes(docs)
+    files = parts(size, max(FILE_BYTES, size // MOST_FILES))
+    # ties go by their texts' hash, so rows without an id, or with one that many have, are dealt over files too
+    ordered = docs.withColumn("x", F.xxhash64("t")).repartitionByRange(files, "d", "x").sortWithinPartitions("d", "x").select(F.spark_partition_id().alias("part"), "d", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = None
@@ -270,7 +336,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int |
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([docs_in], pa.int64()), pa.array([n], pa.int64())], ["part", "path", "docs", "tokens"])
 
     manifest = written(ordered.mapInArrow(write, "part int, path string, docs long, tokens long"), "manifest")
-    # one row per file of about FILE_BYTES of text
+    # one row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
