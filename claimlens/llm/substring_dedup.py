@@ -6,9 +6,10 @@ that covers it also starts in a document with a smaller id.
 Index: the non-overlapping blocks of b = (n + 1) / 2 words of every
 document; any window holds one whole block of the document it is found in.
 Probe: every rolling b-word window of every document is looked up among the
-blocks. Extend: around each hit, both sides send the hashes of the n-word
-windows that hold the block or the hit, and windows that meet there with a
-smaller id elsewhere are repeats; neighbouring ones join to maximal repeats.
+blocks. Extend: around each hit, both sides send the n-word windows that hold
+the block or the hit, each as two independent 64-bit hashes of its words, and
+windows that meet there with a smaller id elsewhere are repeats; neighbouring
+ones join to maximal repeats.
 
 Documents are dealt into chunks by id hash, and texts are shuffled once, by
 chunk. Lookups travel as sorted hash runs (a hash once per chunk however
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .packed import bucket_edges, pack, unpack
 from .tables import id_and_text, parts, total_bytes
-from .text import U64, Words, byte_column, inner_grams, ngram_hashes, spread
+from .text import U64, Words, byte_column, inner_grams, mix, ngram_hashes, spread
 
 #: text of a chunk, text whose hashes go to one bucket
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
@@ -47,6 +48,14 @@ class Chunk:
         self.total = len(self.words.start)
         self.hashes = self.words.hashes()
 
+    def seconds(self, starts: np.ndarray) -> np.ndarray:
+        """The second hashes of the n-word windows from there: with the first, 128 independent bits tell windows apart."""
+        words = self.words.hashes(second=True)
+        out = words[starts]
+        for k in range(1, self.n):
+            out = out * U64(0xD6E8FEB86659FD93) + words[starts + k]
+        return mix(out)
+
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(starts, hashes) of the windows of so many words."""
         ok = np.flatnonzero(inner_grams(self.words.first, size, self.total))
@@ -117,17 +126,33 @@ def among(h: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
     return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)] == h
 
 
-def least_by(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct hashes and the smallest id of each."""
-    order = np.lexsort((ids, h))
-    h, ids = h[order], ids[order]
+def among_pairs(h: np.ndarray, g: np.ndarray, hs: np.ndarray, gs: np.ndarray) -> np.ndarray:
+    """Which (h, g) are among the pairs (hs, gs)."""
+    out = np.zeros(len(h), bool)
+    if not len(hs):
+        return out
+    order = np.argsort(hs, kind="stable")
+    hs, gs = hs[order], gs[order]
+    lo, hi = np.searchsorted(hs, h), np.searchsorted(hs, h, side="right")
+    for k in range(int((hi - lo).max(initial=0))):  # one, unless first hashes collide
+        at = np.minimum(lo + k, len(hs) - 1)
+        out |= (lo + k < hi) & (gs[at] == g)
+    return out
+
+
+def least_ids(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each entry the smallest id of the entries with its (h, g)."""
+    order = np.lexsort((ids, g, h))
+    hs, gs = h[order], g[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    return h[new], ids[new]
+    new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
+    out = np.empty_like(ids)
+    out[order] = ids[order][new][np.cumsum(new) - 1]
+    return out
 
 
 def send_windows(table: pa.Table, answers: pa.Table, n: int, buckets: int) -> pa.Table:
-    none = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+    none = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "g": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
     if not table.num_rows or not answers.num_rows:
         return none
     c = Chunk(table, n)
@@ -137,11 +162,18 @@ def send_windows(table: pa.Table, answers: pa.Table, n: int, buckets: int) -> pa
     near = c.around(starts[hits])
     starts, h = c.grams(n)
     ok = near[starts]
-    h, ids = least_by(h[ok], c.ids[c.words.doc[starts[ok]]])
+    starts, h = starts[ok], h[ok]
+    g, ids = c.seconds(starts), c.ids[c.words.doc[starts]]
+    order = np.lexsort((ids, g, h))
+    h, g, ids = h[order], g[order], ids[order]
+    new = np.ones(len(h), bool)  # of equal windows that of the smallest id
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    h, g, ids = h[new], g[new], ids[new]
     edges = bucket_edges(h, buckets)
     use = np.flatnonzero(np.diff(edges))
     return pa.table({"bucket": pa.array(use, pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(use), pa.int64()),
                      "h": pa.array([pack(h[edges[b] : edges[b + 1]]) for b in use], pa.binary()),
+                     "g": pa.array([g[edges[b] : edges[b + 1]].tobytes() for b in use], pa.binary()),
                      "ids": pa.array([pack_ids(ids[edges[b] : edges[b + 1]]) for b in use], pa.binary())})
 
 
@@ -162,10 +194,12 @@ def unpack_ids(blob: bytes, n: int) -> np.ndarray:
 def meet_windows(table: pa.Table) -> pa.Table:
     """For each chunk: its windows that a smaller id of another chunk has too."""
     h = [unpack(x) for x in table.column("h").to_pylist()]
+    g = [np.frombuffer(x, U64) for x in table.column("g").to_pylist()]
     ids = [unpack_ids(x, len(y)) for x, y in zip(table.column("ids").to_pylist(), h)]
-    names, least = least_by(np.concatenate(h), np.concatenate(ids))
-    out = [pack(x[least[np.searchsorted(names, x)] < y]) for x, y in zip(h, ids)]
-    return pa.table({"chunk": table.column("chunk"), "h": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out]))
+    least = np.split(least_ids(np.concatenate(h), np.concatenate(g), np.concatenate(ids)), np.cumsum([len(x) for x in h])[:-1])
+    gone = [x < y for x, y in zip(least, ids)]
+    return pa.table({"chunk": table.column("chunk"), "h": pa.array([pack(x[k]) for x, k in zip(h, gone)], pa.binary()),
+                     "g": pa.array([x[k].tobytes() for x, k in zip(g, gone)], pa.binary())}).filter(pa.array([bool(k.any()) for k in gone]))
 
 
 def remove_words(table: pa.Table, answers: pa.Table, n: int) -> pa.Table:
@@ -173,8 +207,19 @@ def remove_words(table: pa.Table, answers: pa.Table, n: int) -> pa.Table:
     w = c.words
     starts, h = c.grams(n)
     ids = c.ids[w.doc[starts]]
-    names, least = least_by(h, ids)
-    gone = (least[np.searchsorted(names, h)] < ids) | among(h, gathered(answers, "h"))
+    # second hashes only of windows whose first hash occurs again, here or in an answer
+    order = np.argsort(h)
+    again = np.zeros(len(h), bool)
+    same = h[order][1:] == h[order][:-1]
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    told = [unpack(x) for x in answers.column("h").to_pylist()]
+    hs = np.concatenate(told) if told else np.zeros(0, U64)
+    gs = np.concatenate([np.frombuffer(x, U64) for x in answers.column("g").to_pylist()]) if told else hs
+    some = np.flatnonzero(again | among(h, np.sort(hs)))
+    g = c.seconds(starts[some])
+    gone = np.zeros(len(h), bool)
+    gone[some] = (least_ids(h[some], g, ids[some]) < ids[some]) | among_pairs(h[some], g, hs, gs)
     marks = np.zeros(c.total + 1, np.int32)
     np.add.at(marks, starts[gone], 1)
     np.add.at(marks, starts[gone] + n, -1)
@@ -209,8 +254,8 @@ def remove_repeats(df: DataFrame, n: int = 13, text: str = "text", doc_id: str =
     by_chunk = docs.withColumn("chunk", F.pmod(F.when(F.col("d").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("d")), F.lit(chunks))).groupBy("chunk")
     blocks = by_chunk.applyInArrow(lambda t: send_blocks(t, n, buckets), "bucket int, chunk long, probes binary, index binary")
     met = blocks.groupBy("bucket").applyInArrow(meet_blocks, "chunk long, probes binary, index binary")
-    windows = by_chunk.cogroup(met.groupBy("chunk")).applyInArrow(lambda t, a: send_windows(t, a, n, buckets), "bucket int, chunk long, h binary, ids binary")
-    repeats = windows.groupBy("bucket").applyInArrow(meet_windows, "chunk long, h binary")
+    windows = by_chunk.cogroup(met.groupBy("chunk")).applyInArrow(lambda t, a: send_windows(t, a, n, buckets), "bucket int, chunk long, h binary, g binary, ids binary")
+    repeats = windows.groupBy("bucket").applyInArrow(meet_windows, "chunk long, h binary, g binary")
     last = finish or as_text
     return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(
         lambda t, a: last(remove_words(t, a, n)), schema or "doc_id long, n_words long, n_removed long, kept string")

@@ -86,16 +86,18 @@ class Words:
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.n)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word, eight bytes at a time."""
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """64-bit hash of each word, eight bytes at a time; or a second one that is independent of the first."""
+        factor = U64(0xC2B2AE3D27D4EB4F if second else 0x9E3779B97F4A7C15)
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))  # the 8 bytes from each position
         at, left = self.start, self.end - self.start
-        out = mix(left.astype(U64) ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        head = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        out = mix(head + left.astype(U64) * factor) if second else mix(left.astype(U64) ^ head)
         which = np.flatnonzero(left > 8)
         while len(which):
             at, left = at[left > 8] + 8, left[left > 8] - 8
-            out[which] = mix(out[which] * U64(0x9E3779B97F4A7C15) + (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
+            out[which] = mix(out[which] * factor + (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
             which = which[left > 8]
         return out
 

@@ -303,3 +303,43 @@ def test_a_cell_of_very_many_near_misses_is_compared_in_seconds():
     began = time.process_time()
     assert ngram_join.nearest(table, 80, 8).num_rows == 0
     assert time.process_time() - began < 30
+
+
+# ------------------------------------------------------------------ windows are told apart by both hashes
+
+def test_windows_whose_first_hashes_collide(monkeypatch):
+    """With first hashes of five bits, the second ones alone keep different windows apart."""
+    import pyarrow as pa
+
+    real = text.ngram_hashes
+    monkeypatch.setattr(substring_dedup, "ngram_hashes", lambda words, n: (real(words, n) & text.U64(31)) << text.U64(59) if n == 5 else real(words, n))
+    rng = np.random.default_rng(2)
+    passage = [f"p{k}" for k in range(12)]
+    rows = [(i, " ".join([f"w{x}" for x in rng.integers(0, 30, 20)] + (passage if i % 3 == 0 else []) + [f"w{x}" for x in rng.integers(0, 30, 10)])) for i in range(40)]
+    n, buckets = 5, 3
+    tables = [pa.table({"d": pa.array([r[0] for r in rows[k::4]], pa.int64()), "t": pa.array([r[1] for r in rows[k::4]]), "chunk": pa.array([k] * len(rows[k::4]), pa.int64())}) for k in range(4)]
+
+    def exchanged(sent, meet):
+        sent = pa.concat_tables(sent)
+        return pa.concat_tables([meet(sent.filter(pa.compute.equal(sent.column("bucket"), b))) for b in sorted(set(sent.column("bucket").to_pylist()))])
+
+    of = lambda answers, k: answers.filter(pa.compute.equal(answers.column("chunk"), k))
+    met = exchanged([substring_dedup.send_blocks(t, n, buckets) for t in tables], substring_dedup.meet_blocks)
+    gone = exchanged([substring_dedup.send_windows(t, of(met, k), n, buckets) for k, t in enumerate(tables)], substring_dedup.meet_windows)
+    got = {}
+    for k, t in enumerate(tables):
+        out = substring_dedup.remove_words(t, of(gone, k), n).to_pydict()
+        got |= {d: (a, b, x.decode()) for d, a, b, x in zip(out["doc_id"], out["n_words"], out["n_removed"], out["kept"])}
+    want = brute.without_windows(rows, n)
+    assert [got[d] for d, _ in rows] == want and any(x[1] for x in want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab\x00é", min_size=1, max_size=20), min_size=1, max_size=30))
+def test_two_word_hashes_are_independent(words):
+    """Words that one of the hashes takes for equal are told apart by the other."""
+    import pyarrow as pa
+
+    w = text.Words(*text.byte_column(pa.array([" ".join(words)])), fold=False)
+    pairs = {(a, b) for a, b in zip(w.hashes().tolist(), w.hashes(second=True).tolist())}
+    assert len(pairs) == len(set(words))
