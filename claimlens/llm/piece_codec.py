@@ -34,6 +34,20 @@ class CharMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :]
+        #: bytes with which an entry may begin
+        self.begins = np.zeros(256, bool)
+        if self.units:
+            root = self._offset(self.units[0])
+            self.begins[[b for b in range(256) if root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b]] = True
+
+    def replaced(self, data: bytes, arr: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """(place, source bytes, replacement) of the entries found from left to right, the longest at each place."""
+        out, end = [], 0
+        for p in np.flatnonzero(self.begins[arr] & (arr & 0xC0 != 0x80)).tolist():
+            if p >= end and (hit := self.longest(data, p)):
+                out.append((p, *hit))
+                end = p + hit[0]
+        return out
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(source bytes, replacement) of the longest entry that begins at ``at``."""
@@ -65,7 +79,6 @@ class Normaliser:
     def __init__(self, spec):
         self.map = CharMap(spec.precompiled_charsmap)
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        self.plain = not self.map.units and self.dummy and not self.squeeze and self.escape
 
     def _prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
         hit = self.map.longest(data, at)
@@ -76,7 +89,11 @@ class Normaliser:
         return n, data[at : at + n]
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
-        """(normalised text, source byte offset of each of its bytes and of its end)."""
+        """(normalised text, source byte offset of each of its bytes and of its end).
+
+        A character's bytes all have the offset of its first one."""
+        if not self.squeeze:
+            return self._aligned(text)
         data, at = text.encode(), 0
         mark = MARK.encode() if self.escape else b" "
         out, align = bytearray(), []
@@ -108,6 +125,32 @@ class Normaliser:
         return out.decode(), np.array([*align, at], np.int64)
 
 
+    def _aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """The same where spaces are kept, as arrays: only where an entry of the map may begin is it walked."""
+        data = text.encode()
+        arr = np.frombuffer(data, np.uint8)
+        source = np.arange(len(arr), dtype=np.int32)
+        hits = self.map.replaced(data, arr) if self.map.units else []
+        inside = arr & 0xC0 == 0x80
+        if inside.any():
+            source = np.maximum.accumulate(np.where(inside, 0, source))
+        if hits:
+            parts, where, at = [], [], 0
+            for p, n, rep in hits:
+                parts += [data[at:p], rep]
+                where += [source[at:p], np.full(len(rep), p, np.int32)]
+                at = p + n
+            data, source = b"".join([*parts, data[at:]]), np.concatenate([*where, source[at:]])
+        mark = MARK.encode() if self.escape else b" "
+        new = np.frombuffer(data, np.uint8)
+        if self.escape:
+            source = np.repeat(source, np.where(new == 0x20, len(mark), 1))
+            data = data.replace(b" ", mark)
+        if self.dummy and len(text):
+            data, source = mark + data, np.concatenate([np.zeros(len(mark), np.int32), source])
+        return data.decode(), np.append(source, np.int32(len(arr)))
+
+
 class Chunks(dict):
     """Slot of each chunk (without its first mark); new ones are encoded by ``settle``."""
 
@@ -129,8 +172,6 @@ class Chunks(dict):
         self.alone = self.lib.piece_to_id(MARK)
         #: normalised bytes of each piece
         self.bytes_of = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
-        #: source bytes of each piece, where marks come from spaces
-        self.source_of = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) - 2 * p.piece.count(MARK) for p in proto.pieces], np.int64)
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -177,22 +218,21 @@ class Chunks(dict):
             self.plain_lib = plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         return plain.encode(chunks, num_threads=1)
 
-    def slots(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        """(slots of the text's chunks, alignment) of each text; no alignment where marks come from spaces alone."""
+    def slots(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(slots of the text's chunks, source offset of each normalised byte and of the end) of each text."""
         if len(self) > self.LIMIT:
             self.start_anew()
         out = []
         for t in texts:
             if not t:
-                out.append((np.zeros(0, np.int64), None))
+                out.append((np.zeros(0, np.int64), np.zeros(1, np.int32)))
                 continue
-            if self.normaliser.plain and MARK not in t:
-                align, keys = None, t.split(" ")
-                if "" in keys:
-                    keys = [c[1:] for c in _CHUNK.findall(MARK + t.replace(" ", MARK))]
-            else:
-                norm, align = self.normaliser(t)
+            norm, align = self.normaliser(t)
+            keys = norm.split(MARK)
+            if keys[0] or "" in keys[1:]:  # several marks in a row, or none in front
                 keys = [c[1:] for c in _CHUNK.findall(norm)]
+            else:
+                del keys[0]
             out.append((np.fromiter(map(self.__getitem__, keys), np.int64, len(keys)), align))
         self.settle()
         return out
@@ -200,14 +240,11 @@ class Chunks(dict):
     def tokens(self, slots: np.ndarray) -> np.ndarray:
         return self.ids[spread(self.first[slots], self.first[slots + 1] - self.first[slots])]
 
-    def spans(self, ids: np.ndarray, align: np.ndarray | None) -> np.ndarray:
+    def spans(self, ids: np.ndarray, align: np.ndarray) -> np.ndarray:
         """len(ids) + 1 source offsets: piece i covers source bytes [i], [i + 1]."""
         edge = np.zeros(len(ids) + 1, np.int64)
-        if align is not None:
-            np.cumsum(self.bytes_of[ids], out=edge[1:])
-            return align[edge]
-        np.cumsum(self.source_of[ids], out=edge[1:])
-        return np.maximum(edge - 1, 0)  # the dummy prefix has no source
+        np.cumsum(self.bytes_of[ids], out=edge[1:])
+        return align[edge]
 
 
 def _texts(df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -240,6 +277,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", doc_id: str = "do
 def digests(df: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """What ``encode`` gives, as digests made in the same tasks: doc_id,
     n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256,
+    spans_sha256 (the offsets of all pieces as little-endian 32-bit numbers),
     covered_bytes (where the last piece's span ends: the text's length)."""
     docs = _texts(df, text, doc_id)
 
@@ -251,10 +289,12 @@ def digests(df: DataFrame, model_path: str, text: str = "text", doc_id: str = "d
                 for slots, align in chunks.slots(part.column("t").to_pylist()):
                     at = slots.tolist()
                     ids = chunks.tokens(slots)
+                    spans = chunks.spans(ids, align)
                     rows.append((len(ids), hashlib.sha256(",".join([chunks.digits[s] for s in at]).encode()).hexdigest(),
-                                 hashlib.sha256(" ".join([chunks.decoded[s] for s in at]).encode()).hexdigest(), int(chunks.spans(ids, align)[-1]) if at else 0))
+                                 hashlib.sha256(" ".join([chunks.decoded[s] for s in at]).encode()).hexdigest(),
+                                 hashlib.sha256(spans.astype("<i4").tobytes()).hexdigest(), int(spans[-1])))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
-                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())],
+                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "covered_bytes"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes long")

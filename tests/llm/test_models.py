@@ -462,6 +462,24 @@ def test_normalisation_keeps_source_offsets():
     assert n("")[0] == "" and n("")[1].tolist() == [0]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab\tcﬁéＡx ▁日", max_size=30))
+def test_normalisation_equals_a_walk_over_all_places(text):
+    """Only places where an entry may begin are walked; a walk over every place gives the same."""
+    entries = [("ﬁ", "fi"), ("Ａ", "A"), ("ab", "c"), ("abc", "dd"), ("\t", " "), ("x", ""), ("é", "e")]
+    out, align, data, at = b"", [], text.encode(), 0
+    if data:
+        out, align = "▁".encode(), [0, 0, 0]
+    while at < len(data):
+        hits = [(k.encode(), v.encode()) for k, v in entries if data[at:].startswith(k.encode())]
+        n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3
+        n, rep = max((len(k), v) for k, v in hits) if hits else (n, data[at : at + n])
+        new = rep.replace(b" ", "▁".encode())
+        out, align, at = out + new, align + [at] * len(new), at + n
+    got = piece_codec.Normaliser(Spec(entries))(text)
+    assert got[0] == out.decode() and got[1].tolist() == [*align, at]
+
+
 def test_normalisation_squeezes_spaces():
     n = piece_codec.Normaliser(Spec([("\t", " ")], squeeze=True))
     text, align = n("  a \t b  ")
@@ -473,8 +491,10 @@ def test_pieces_of_odd_rows(odd, empty):
     lib = piece_codec.Chunks(PIECES).lib
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = bag((d, len(lib.encode(t or "")), sha(",".join(map(str, lib.encode(t or "")))), sha(lib.decode(lib.encode(t or ""))), len((t or "").encode())) for d, t in odd_rows())
-    assert bag(tuple(r) for r in piece_codec.digests(odd, PIECES).collect()) == want
+    got = piece_codec.digests(odd, PIECES).collect()
+    assert bag((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["covered_bytes"]) for r in got) == want
     full = piece_codec.encode(odd, PIECES).collect()
+    assert bag((r["doc_id"], r["spans_sha256"]) for r in got) == bag((r["doc_id"], hashlib.sha256(np.array(r["offsets"], "<i4").tobytes()).hexdigest()) for r in full)
     assert bag((r["doc_id"], len(r["ids"]), sha(",".join(map(str, r["ids"]))), sha(r["decoded"]), r["offsets"][-1]) for r in full) == want
     assert piece_codec.digests(empty, PIECES).collect() == [] and piece_codec.encode(empty, PIECES).collect() == []
 
