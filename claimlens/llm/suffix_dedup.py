@@ -15,16 +15,21 @@ repeat:
    context never matches the same place seen from a neighbouring anchor).
    Equal contexts of a chunk are sent once, with their number.
 3. Index. A bucket builds a suffix order of its distinct contexts, takes the
-   Burrows-Wheeler transform in runs, and measures the match length only at
-   the ends of runs; streaming over the text, every other length follows
-   from the one before it. Windows whose match with another context reaches
-   their length are repeats, as are all windows of contexts that come twice.
-4. The chunk gets the repeated windows back and removes what they cover.
+   Burrows-Wheeler transform in runs, and keeps the runs (letter, first place)
+   and the match length at the ends of runs; streaming over the text, every
+   other length follows from the one before it. Windows whose match with
+   another context reaches their length are repeats, as are all windows of
+   contexts that come twice.
+4. Hot anchors, which occur more than HOT_ANCHOR times, may have any number of
+   different contexts. Their windows travel one by one instead, as two
+   independent 64-bit hashes dealt by the first: no group holds an anchor.
+5. The chunk gets the repeated windows back and removes what they cover.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,14 @@ from pyspark.sql import functions as F
 from .packed import bucket_edges, bucket_of, pack, unpack
 from .substring_dedup import among, gathered
 from .tables import id_and_text, parts, total_bytes
-from .text import U64, byte_column, mix
+from .text import U64, byte_column, mix, spread
 
 #: text of a chunk, text whose anchors go to one bucket, text whose contexts go to one bucket
 CHUNK_BYTES, ANCHOR_BYTES, CONTEXT_BYTES = 4 << 20, 32 << 20, 6 << 20
-#: contexts that one index holds (an anchor's are never parted)
+#: contexts that one index holds (an anchor's are never parted: HOT_ANCHOR bounds them)
 INDEX_BYTES = 256 << 10
+#: occurrences (by powers of two) from which on an anchor is hot
+HOT_ANCHOR = 4096
 #: window starts handled at once, and the bits that hold a place among them (the rest is the hash's)
 STRETCH, PLACE_BITS = 1 << 18, 20
 #: bytes that UTF-8 text never holds: the anchor's mark, the end of a context
@@ -63,6 +70,20 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mix(h)
 
 
+def window_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the ``length`` bytes from each position that has so many."""
+    out, gram = [], 1 << (length.bit_length() - 1)
+    for salt in (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)):
+        h = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data).data, strides=(1,)) * salt
+        have = 8
+        while have < gram:
+            h = mix(h[:-have] + salt) * salt + h[have:]
+            have *= 2
+        n = max(0, len(data) - length + 1)
+        out.append(mix(mix(h[:n] + salt) * salt + h[length - gram : length - gram + n]))  # two grams that overlap
+    return out[0], out[1]
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of texts that lie one after another."""
     gram = gram_of(length)
@@ -103,6 +124,19 @@ class Chunk:
         self.pos, self.h = anchors(self.data, self.offsets, length)
         self.doc = np.searchsorted(self.offsets, self.pos, side="right") - 1
 
+    def hot_windows(self, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, first hashes, second hashes) of the windows that hold a hot anchor, ordered by their hashes."""
+        use = among(self.h, hot)
+        if not use.any():
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+        pos, doc = self.pos[use], self.doc[use]
+        low = np.maximum(self.offsets[doc], pos - (length - gram_of(length)))
+        high = np.minimum(pos, self.offsets[doc + 1] - length)
+        starts = np.unique(spread(low, np.maximum(0, high - low + 1)))
+        h, g = (x[starts] for x in window_hashes(self.data, length))
+        order = np.lexsort((g, h))
+        return starts[order], h[order], g[order]
+
     def contexts(self, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Of anchors among ``repeated``: (positions, context start, distinct contexts, number of each, context of each)."""
         use = among(self.h, repeated)
@@ -125,45 +159,73 @@ class Chunk:
 def send_anchors(table: pa.Table, length: int, buckets: int) -> pa.Table:
     c = Chunk(table, length)
     h, n = np.unique(c.h, return_counts=True)
+    power = np.ceil(np.log2(n)).astype(np.uint8)  # a power of two that is no less
     edges = bucket_edges(h, buckets)
     use = np.flatnonzero(np.diff(edges))
     return pa.table({"bucket": pa.array(use, pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(use), pa.int64()),
                      "h": pa.array([pack(h[edges[b] : edges[b + 1]]) for b in use], pa.binary()),
-                     "many": pa.array([np.packbits(n[edges[b] : edges[b + 1]] > 1).tobytes() for b in use], pa.binary())})
+                     "many": pa.array([zlib.compress(power[edges[b] : edges[b + 1]].tobytes(), 1) for b in use], pa.binary())})
 
 
-def meet_anchors(table: pa.Table) -> pa.Table:
-    """For each chunk: its anchors that occur twice or more in the corpus."""
+def meet_anchors(table: pa.Table, hot_from: int) -> pa.Table:
+    """For each chunk: its anchors that occur twice or more in the corpus, and which of them are hot."""
     h = [unpack(x) for x in table.column("h").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(table.column("many").to_pylist(), h)]
+    many = [1 << np.frombuffer(zlib.decompress(m), np.uint8).astype(np.int64) for m in table.column("many").to_pylist()]
     every = np.concatenate(h)
     names, at = np.unique(every, return_inverse=True)
-    number = np.bincount(at, 1 + np.concatenate(many))
-    out, a = [], 0
+    number = np.bincount(at, np.concatenate(many))
+    out, hot, a = [], [], 0
     for x in h:
-        out.append(pack(x[number[at[a : a + len(x)]] > 1]))
+        n = number[at[a : a + len(x)]]
+        out.append(pack(x[n > 1]))
+        hot.append(pack(x[n > hot_from]))
         a += len(x)
-    return pa.table({"chunk": table.column("chunk"), "h": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out]))
+    return pa.table({"chunk": table.column("chunk"), "h": pa.array(out, pa.binary()), "hot": pa.array(hot, pa.binary())}).filter(pa.array([bool(x) for x in out]))
+
+
+def cool(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated anchors that are not hot, hot ones) of a chunk, ascending."""
+    hot = gathered(answers, "hot")
+    every = gathered(answers, "h")
+    return every[~among(every, hot)], hot
+
+
+_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("number", pa.binary()), ("many", pa.binary()), ("texts", pa.binary())])
+
+
+def distinct_windows(h: np.ndarray, g: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows ordered by their hashes: (first place of each distinct one, where each bucket begins among these)."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    first = np.flatnonzero(new)
+    return first, bucket_edges(h[first], buckets)
 
 
 def send_contexts(table: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("number", pa.binary()), ("many", pa.binary()), ("texts", pa.binary())])
+    """Contexts of repeated anchors (kind 0), windows of hot ones (kind 1)."""
     if not table.num_rows or not answers.num_rows:
-        return schema.empty_table()
+        return _SENT.empty_table()
     c = Chunk(table, length)
-    _, _, texts, count, of = c.contexts(gathered(answers, "h"), length)
+    repeated, hot = cool(answers)
+    _, _, texts, count, of = c.contexts(repeated, length)
     # all contexts of an anchor go to one bucket, by the anchor's hash
     h = np.empty(len(texts), U64)
-    h[of] = c.h[among(c.h, gathered(answers, "h"))]
+    h[of] = c.h[among(c.h, repeated)]
     where = bucket_of(mix(h), buckets)
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    use = np.flatnonzero(np.diff(cuts))
-    end = bytes([END])
-    rows = [order[cuts[b] : cuts[b + 1]] for b in use]
-    return pa.table([pa.array(use, pa.int32()), pa.array([table.column("chunk")[0].as_py()] * len(use), pa.int64()),
-                     pa.array([r.astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([np.packbits(count[r] > 1).tobytes() for r in rows], pa.binary()),
-                     pa.array([b"".join([texts[i] + end for i in r.tolist()]) for r in rows], pa.binary())], schema=schema)
+    end, chunk = bytes([END]), table.column("chunk")[0].as_py()
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        r = order[cuts[b] : cuts[b + 1]]
+        rows.append((0, b, chunk, r.astype(np.uint32).tobytes(), np.packbits(count[r] > 1).tobytes(), b"".join([texts[i] + end for i in r.tolist()])))
+    _, h, g = c.hot_windows(hot, length)
+    first, edges = distinct_windows(h, g, buckets)
+    many = np.diff(np.append(first, len(h))) > 1
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        at = first[edges[b] : edges[b + 1]]
+        rows.append((1, b, chunk, pack(h[at]), np.packbits(many[edges[b] : edges[b + 1]]).tobytes(), g[at].tobytes()))
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SENT)], schema=_SENT)
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
@@ -240,7 +302,10 @@ class RunIndex:
         stepped = place[order - 1]
         head = np.ones(n, bool)
         head[1:] = (before[1:] != before[:-1]) | (stepped[1:] != stepped[:-1] + 1)
-        self.runs = int(head.sum())
+        #: the transform: a letter for each run, and where it begins; the order itself is not kept
+        self.heads = np.flatnonzero(head)
+        self.letters = before[self.heads]
+        self.runs = len(self.heads)
         starts = np.zeros(n, bool)  # each context's first byte is sampled too: no length is carried over an END
         starts[np.append(0, np.flatnonzero(text == END)[:-1] + 1)] = True
         self.up = self._samples(order, head, starts, place, -1)
@@ -258,6 +323,10 @@ class RunIndex:
         size[ok] = common(self.text, at[ok], order[beside[ok]], self.limit)
         return at, size
 
+    def transform(self) -> np.ndarray:
+        """The transform's letters, from its runs."""
+        return np.repeat(self.letters, np.diff(np.append(self.heads, len(self.text))))
+
     def match_lengths(self) -> np.ndarray:
         """Of every position: the longest match of its suffix with any other, streamed from the samples."""
         n = len(self.text)
@@ -277,8 +346,30 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     return [long[e - s : max(e - s, e - 1 - length)] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
+_MET = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("number", pa.binary()), ("masks", pa.binary())])
+
+
+def meet_windows(table: pa.Table) -> pa.Table:
+    """For each chunk: which of the windows that it sent come again, there or elsewhere (number: null)."""
+    h = [unpack(x) for x in table.column("number").to_pylist()]
+    g = [np.frombuffer(x, U64) for x in table.column("texts").to_pylist()]
+    many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(table.column("many").to_pylist(), h)]
+    hs, gs = np.concatenate(h), np.concatenate(g)
+    order = np.lexsort((gs, hs))
+    new = np.ones(len(hs), bool)
+    new[1:] = (hs[order][1:] != hs[order][:-1]) | (gs[order][1:] != gs[order][:-1])
+    group = np.empty(len(hs), np.int64)
+    group[order] = np.cumsum(new) - 1
+    again = np.bincount(group, 1 + np.concatenate(many))[group] > 1
+    masks = np.split(again, np.cumsum([len(x) for x in h])[:-1])
+    return pa.table([table.column("chunk"), table.column("bucket"), pa.nulls(len(h), pa.binary()), pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())], schema=_MET).filter(
+        pa.array([bool(m.any()) for m in masks]))
+
+
 def meet_contexts(table: pa.Table, length: int) -> pa.Table:
     """For each chunk: numbers of its contexts with repeated windows, and masks of these."""
+    if table.column("kind")[0].as_py() == 1:
+        return meet_windows(table)
     seen: dict[bytes, list[tuple[int, int]]] = {}
     end = bytes([END])
     double: set[bytes] = set()
@@ -321,16 +412,26 @@ def meet_contexts(table: pa.Table, length: int) -> pa.Table:
             for r, i in places:
                 out_n[r].append(i)
                 out_m[r].append(bits)
-    return pa.table({"chunk": table.column("chunk"), "number": pa.array([np.array(x, np.uint32).tobytes() for x in out_n], pa.binary()),
-                     "masks": pa.array([b"".join(x) for x in out_m], pa.binary())}).filter(pa.array([bool(x) for x in out_n]))
+    return pa.table([table.column("chunk"), table.column("bucket"), pa.array([np.array(x, np.uint32).tobytes() for x in out_n], pa.binary()),
+                     pa.array([b"".join(x) for x in out_m], pa.binary())], schema=_MET).filter(pa.array([bool(x) for x in out_n]))
 
 
-def remove_bytes(table: pa.Table, anchors_met: pa.Table, answers: pa.Table, length: int) -> pa.Table:
+def remove_bytes(table: pa.Table, anchors_met: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
     data, offsets = byte_column(table.column("t"))
     starts = np.zeros(len(data), np.int64)
     if answers.num_rows:
         c = Chunk(table, length)
-        pos, begin, texts, _, of = c.contexts(gathered(anchors_met, "h"), length)
+        repeated, hot = cool(anchors_met)
+        of_windows = answers.column("number").is_null()
+        at, h, g = c.hot_windows(hot, length)
+        first, edges = distinct_windows(h, g, buckets)
+        again = np.zeros(len(first), bool)
+        for r in answers.filter(of_windows).to_pylist():
+            lo, hi = edges[r["bucket"]], edges[r["bucket"] + 1]
+            again[lo:hi] = np.unpackbits(np.frombuffer(r["masks"], np.uint8), count=hi - lo)
+        starts[at[np.repeat(again, np.diff(np.append(first, len(h))))]] = 1
+        answers = answers.filter(pa.compute.invert(of_windows))
+        pos, begin, texts, _, of = c.contexts(repeated, length)
         width = -(-(length - gram_of(length) + 1) // 8)
         masks = np.zeros((len(texts), width), np.uint8)
         for number, bits in zip(answers.column("number").to_pylist(), answers.column("masks").to_pylist()):
@@ -358,26 +459,28 @@ def remove_repeats(df: DataFrame, length: int = 200, text: str = "text", doc_id:
 
     Null and empty texts have no bytes; texts below ``length`` bytes lose
     none. Rows that repeat a text repeat all its windows, whatever their
-    ids. finish and schema: an Arrow function over the result, applied in
+    ids; chunks are dealt by id and text. finish and schema: an Arrow function over the result, applied in
     the same tasks."""
     if length < 24:
         raise ValueError("length: 24 bytes at least")
     docs = id_and_text(df, doc_id, text)
     size = total_bytes(docs)
     chunks = parts(size, CHUNK_BYTES)
-    by_chunk = docs.withColumn("chunk", F.pmod(F.when(F.col("d").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("d")), F.lit(chunks))).groupBy("chunk")
+    by_chunk = docs.withColumn("chunk", F.pmod(F.xxhash64("d", "t"), F.lit(chunks))).groupBy("chunk")
+    hot_from, buckets = HOT_ANCHOR, parts(size, CONTEXT_BYTES)
     sent = by_chunk.applyInArrow(lambda t: send_anchors(t, length, parts(size, ANCHOR_BYTES)), "bucket int, chunk long, h binary, many binary")
-    met = sent.groupBy("bucket").applyInArrow(meet_anchors, "chunk long, h binary")
+    met = sent.groupBy("bucket").applyInArrow(lambda t: meet_anchors(t, hot_from), "chunk long, h binary, hot binary")
     contexts = by_chunk.cogroup(met.groupBy("chunk")).applyInArrow(
-        lambda t, a: send_contexts(t, a, length, parts(size, CONTEXT_BYTES)), "bucket int, chunk long, number binary, many binary, texts binary")
-    repeats = contexts.groupBy("bucket").applyInArrow(lambda t: meet_contexts(t, length), "chunk long, number binary, masks binary")
+        lambda t, a: send_contexts(t, a, length, buckets), "kind int, bucket int, chunk long, number binary, many binary, texts binary")
+    repeats = contexts.groupBy("kind", "bucket").applyInArrow(lambda t: meet_contexts(t, length), "chunk long, bucket int, number binary, masks binary")
     # the chunk needs both answers again: one stream, told apart by what is null
-    both = met.select("chunk", "h", F.lit(None).cast("binary").alias("number"), F.lit(None).cast("binary").alias("masks")).unionByName(
-        repeats.select("chunk", F.lit(None).cast("binary").alias("h"), "number", "masks"))
+    none = F.lit(None).cast("binary")
+    both = met.select("chunk", "h", "hot", F.lit(None).cast("int").alias("bucket"), none.alias("number"), none.alias("masks")).unionByName(
+        repeats.select("chunk", none.alias("h"), none.alias("hot"), "bucket", "number", "masks"))
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
-        is_anchor = a.column("number").is_null()
-        out = remove_bytes(t, a.filter(is_anchor), a.filter(pa.compute.invert(is_anchor)), length)
+        is_anchor = a.column("masks").is_null()
+        out = remove_bytes(t, a.filter(is_anchor), a.filter(pa.compute.invert(is_anchor)), length, buckets)
         return finish(out) if finish else out
 
     kind = docs.schema["d"].dataType.simpleString()

@@ -343,3 +343,34 @@ def test_two_word_hashes_are_independent(words):
     w = text.Words(*text.byte_column(pa.array([" ".join(words)])), fold=False)
     pairs = {(a, b) for a, b in zip(w.hashes().tolist(), w.hashes(second=True).tolist())}
     assert len(pairs) == len(set(words))
+
+
+# ------------------------------------------------------------------ hot anchors of the byte index
+
+@pytest.mark.parametrize("hot", [1, 3, 30])
+def test_hot_anchors_lose_no_repeat(sp, odd, monkeypatch, hot):
+    """Windows of anchors that occur often travel one by one, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ANCHOR", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "CONTEXT_BYTES", 20_000)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdé "), 6))
+    shared, passage = "".join(word() for _ in range(14)), "".join(word() for _ in range(60))
+    rows = [(i, "".join(word() for _ in range(int(rng.integers(0, 30)))) + (passage if i % 7 == 0 else shared) + "".join(word() for _ in range(int(rng.integers(0, 30))))) for i in range(120)]
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (None, rows[5][1]), (None, None), (202, "x" * 900), (203, shared * 9)]
+    got = suffix_dedup.remove_repeats(sp.createDataFrame(rows, "doc_id long, text string").repartition(4), 100).collect()
+    want = brute.without_strings(rows, 100)
+    assert bag((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == bag((d, *x) for (d, _), x in zip(rows, want))
+    got = suffix_dedup.remove_repeats(odd, 200).collect()
+    assert bag((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == bag(
+        (d, *x) for (d, _), x in zip(odd_rows(), brute.without_strings(odd_rows(), 200)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=40), min_size=1, max_size=4))
+def test_the_transform_is_kept_as_runs(texts):
+    t = b"".join(x.encode() + bytes([suffix_dedup.END]) for x in texts)
+    index = suffix_dedup.RunIndex(np.frombuffer(t, np.uint8), 64, max(map(len, texts)) + 1)
+    order = sorted(range(len(t)), key=lambda k: t[k:])
+    plain = bytes(t[k - 1] for k in order)
+    assert index.transform().tobytes() == plain and (np.diff(index.heads) > 0).all() and len(index.letters) == index.runs <= len(t)
