@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from claimlens.session import scratch_path
 
-from .packed import bucket_of
+from .packed import bucket_of, squeeze, unsqueeze
 from .tables import parts, total_bytes, written
 from .text import _FOLD, U64, byte_column, mix
 
@@ -50,17 +50,6 @@ _PARTS = _IS_BREAK.copy()
 _PARTS[[0x20, 0x09]] = True
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed bytes, all first bytes together, then all second ones and so on."""
-    x = np.ascontiguousarray(x)
-    return zlib.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
-
-
-def unsqueeze(blob: bytes, kind: type) -> np.ndarray:
-    raw, size = np.frombuffer(zlib.decompress(blob), np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def squeeze_sorted(keys: np.ndarray) -> bytes:
     """Ascending keys as the steps of their upper parts and their lower parts: a few bytes each."""
     upper = keys >> U64(WORD_BITS)

@@ -335,39 +335,130 @@ def test_language_model_counts_and_base(sp, documents):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def scalar_scores(texts, train):
+    """log10 probability of each text, told token by token and bit by bit in plain Python."""
+    bits = lm_score.CLASS_BITS
+    told = [lm_score.tokens(pa.array([t]))[0].tolist() for t in texts]
+    cls = {h: int(lm_score.classes(np.array([h], np.uint64))[0]) for ws in told for h in ws}
+    count = Counter(h for ws, x in zip(told, train) for h in ws if x)
+    total, once = sum(count.values()), sum(c == 1 for c in count.values())
+    mass, after = [0.0] * (1 << bits), {}
+    for h, c in count.items():
+        mass[cls[h]] += c + 0.5
+    mass = [max(m, 0.5) for m in mass]
+    start = int(lm_score.START)
+    for ws, x in zip(told, train):
+        for prev, h in zip([start, *ws], ws):
+            if x:
+                after.setdefault(prev, Counter())[cls[h]] += 1
+    rare = (once + 0.5) / (total + 1)
+    logit = lambda n0, n1: math.log((n1 + 0.4) / (n0 + 0.4))
+    sigma = lambda z: 1 / (1 + math.exp(-z))
+    out = []
+    for ws in told:
+        log, new, seen = 0.0, 0, []  # seen: (context, class) of known tokens so far
+        w = {(k, a, b): list(lm_score.START_WEIGHTS[a][b]) for k in range(bits) for a in range(3) for b in range(3)}
+        grid = [sigma(-8 + i) for i in range(lm_score.CELLS)]
+        hits = {(k, i): grid[i] * lm_score.REFINE_FROM for k in range(bits) for i in range(lm_score.CELLS)}
+        held = {x: lm_score.REFINE_FROM for x in hits}
+        noted, batch, known_so_far = [], 0, 0
+        for place, (prev, h) in enumerate(zip([start, *ws], ws)):
+            p_new = (new + 20 * rare) / (place + 20)
+            if not count[h]:
+                log += math.log(p_new)
+                new += 1
+                continue
+            log += math.log(1 - p_new)
+            now = int(math.log2(known_so_far / lm_score.BATCH + 1))
+            if now > batch:
+                for g in w:
+                    for j in range(lm_score.INPUTS):
+                        slope = sum((bit - p) * x[j] for gg, x, p, bit, _ in noted if gg == g)
+                        curve = sum(p * (1 - p) * x[j] ** 2 for gg, x, p, bit, _ in noted if gg == g)
+                        w[g][j] += lm_score.STEP * slope / (curve + lm_score.INERTIA)
+                for _, _, _, bit, cell in noted:
+                    hits[cell] += bit
+                    held[cell] += 1
+                noted, batch = [], now
+            for k in range(bits):
+                high, bit = cls[h] >> (bits - k), cls[h] >> (bits - 1 - k) & 1
+                same = lambda c: c >> (bits - k) == high
+                one = lambda c: c >> (bits - 1 - k) & 1
+                o0 = [sum(m for c, m in enumerate(mass) if same(c) and one(c) == v) for v in (0, 1)]
+                o1 = [sum(m for c, m in after.get(prev, {}).items() if same(c) and one(c) == v) for v in (0, 1)]
+                t0 = [sum(1 for _, c in seen if same(c) and one(c) == v) for v in (0, 1)]
+                t1 = [sum(1 for q, c in seen if q == prev and same(c) and one(c) == v) for v in (0, 1)]
+                x = [logit(*o0), logit(*o1), logit(*t0), logit(*t1), 0.3]
+                g = (k, (sum(o1) > 0) + (sum(o1) >= 8), (sum(t1) > 0) + (sum(t1) >= 3))
+                z = min(8, max(-8, sum(a * b for a, b in zip(w[g], x))))
+                p, low = sigma(z), min(int(z + 8), lm_score.CELLS - 2)
+                r = [hits[k, low + i] / held[k, low + i] for i in (0, 1)]
+                final = min(1 - 1e-4, max(1e-4, (p + r[0] * (low + 1 - z - 8) + r[1] * (z + 8 - low)) / 2))
+                log += math.log(final if bit else 1 - final)
+                noted.append((g, x, p, bit, (k, int(np.rint(z + 8)))))
+            seen.append((prev, cls[h]))
+            known_so_far += 1
+            log += math.log((count[h] + 0.5) / mass[cls[h]])
+        out.append(log / math.log(10))
+    return out
+
+
+def test_scores_are_those_of_a_scalar_online_model(sp, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(words[: rng.randrange(2, 30)]) for _ in range(rng.randrange(0, 200))) for _ in range(14)]
+    texts += ["", "unseen words only", "w1 w2 unseen w1 w2 unseen " * 40, "W1 w1"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    train = [i % 3 != 1 and i < 14 for i in range(len(rows))]
+    df = sp.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    training = (F.col("doc_id") % 3 != 1) & (F.col("doc_id") < 14)
+    want = dict(enumerate(scalar_scores(texts, train)))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, training).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-4) for i in want)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 700)  # other chunks and buckets, the same scores
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 900)
+    assert all(math.isclose(r["score"], got[r["doc_id"]], rel_tol=1e-6) for r in lm_score.score(df, training).collect())
+
+
 def test_model_is_a_distribution():
-    """Over the class bits the predictions sum to one, whatever the model learnt."""
-    mixer = lm_score.Mixer()
+    """Over all classes the predictions sum to one, whatever came before."""
     rng = np.random.default_rng(0)
-    mixer.learn(rng.normal(size=(3000, 6)), rng.integers(0, lm_score.GATES, 3000), rng.integers(0, 2, 3000))
-    logits = rng.normal(size=lm_score.NODES + 2 * lm_score.SLOTS).astype(np.float32)
+    past = rng.integers(0, 12, 200)
+    after = lm_score.Followers(rng.integers(0, 5, (3, lm_score.NODES)).astype(np.int32))
+    overall = lm_score.Followers(rng.random((1, lm_score.NODES)) * 50)
     total = 0.0
-    real = lm_score.classes
-    try:
-        for cls in range(lm_score.NODES):
-            lm_score.classes = lambda h, cls=cls: np.full(len(h), cls)
-            p = 1.0
-            for x, gate, bit in lm_score.inputs(np.array([7], np.uint64), np.array([0, 1]), lambda base, at, bit: logits[base + at]):
-                q = mixer.probability(x, gate)[0]
-                p *= q if bit[0] else 1 - q
-            total += p
-    finally:
-        lm_score.classes = real
-    assert math.isclose(total, 1, rel_tol=1e-6)
-
-
-def test_tables_are_added_up_in_levels(sp, documents, monkeypatch):
-    held = F.col("doc_id") % 3 == 0
-    many = documents.repartition(7)
-    one = {r["doc_id"]: (r["base_score"], round(r["score"], 6)) for r in lm_score.score(many, held).collect()}
-    monkeypatch.setattr(lm_score, "FAN", 2)
-    assert {r["doc_id"]: (r["base_score"], round(r["score"], 6)) for r in lm_score.score(many, held).collect()} == one
-
-
-def test_earlier_counts():
-    key, bit = np.array([3, 1, 3, 3, 1]), np.array([1, 0, 0, 1, 1])
-    n0, n1 = lm_score.earlier(key, bit)
-    assert n0.tolist() == [0, 0, 0, 1, 1] and n1.tolist() == [0, 0, 1, 1, 0]
+    for c in range(lm_score.NODES):
+        cls = np.append(past, c)
+        prev = np.concatenate([[99], past])
+        total += math.exp(lm_score.bit_logs(cls, np.zeros(201, np.int64), prev, prev % 3, after, overall)[-1])
+    assert math.isclose(total, 1, rel_tol=1e-5)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, lm_score.NODES - 1)), max_size=60))
+def test_online_counts(entries):
+    context, cls = np.array([c for c, _ in entries], np.int64), np.array([x for _, x in entries], np.int64)
+    for k, (n0, n1) in enumerate(lm_score.online_counts(context, cls)):
+        for i, (c, x) in enumerate(entries):
+            same = [y >> (lm_score.CLASS_BITS - 1 - k) & 1 for d, y in entries[:i] if d == c and y >> (lm_score.CLASS_BITS - k) == x >> (lm_score.CLASS_BITS - k)]
+            assert (n0[i], n1[i]) == (same.count(0), same.count(1))
+
+
+def test_more_text_tells_more():
+    """What contexts gather grows with the corpus: the same texts cost less after more training."""
+    rng = random.Random(8)
+    chain = {k: [rng.randrange(60) for _ in range(2)] for k in range(60)}
+
+    def text():
+        at, out = rng.randrange(60), []
+        for _ in range(40):
+            at = rng.choice(chain[at])
+            out.append(f"w{at}")
+        return " ".join(out)
+
+    texts, held = [text() for _ in range(200)], [text() for _ in range(4)]
+    cost = [sum(scalar_scores([*texts[:n], *held], [True] * n + [False] * 4)[n:]) for n in (20, 200)]
+    assert cost[1] > cost[0] * 0.8
 
 
 def test_language_model_odd_rows(odd, empty):
