@@ -82,6 +82,18 @@ def test_exact_large_group_is_salted(sp):
     assert bag(tuple(r) for r in got.collect()) == exact(rows, "smallest")
 
 
+def test_exact_group_without_ids_is_salted(sp, monkeypatch, tmp_path):
+    """Rows without ids, or with one id, spread over the salts too, and are counted all the same."""
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 50)
+    seen = []
+    real = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, name: (seen.append(real(df, name)) or seen[-1]) if name == "copies" else real(df, name))
+    rows = [(None, "same")] * 400 + [(5, "other")] * 400 + [(6, "alone")]
+    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(sp.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "keep_id", "group_size", "kept").collect())
+    assert got == Counter({(None, None, 400, True): 400, (5, 5, 400, True): 400, (6, 6, 1, True): 1})
+    assert [r["n"] for r in seen[0].groupBy("h").agg(F.countDistinct("salt").alias("n")).collect()] == [8, 8]
+
+
 def test_exact_empty(empty):
     assert exact_dedup.exact_dedup(empty).collect() == []
 

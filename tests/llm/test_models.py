@@ -101,6 +101,32 @@ def test_token_files_of_several_parts(documents, monkeypatch):
         assert (len(ids), zlib.crc32(ids.tobytes())) in {(r["n_tokens"], r["ids_crc32"]) for r in got if r["doc_id"] == d}
 
 
+def test_all_documents_are_the_librarys(documents):
+    lib = token_pack.word_ids(WORDS).lib
+    rows = documents.select("doc_id", "text").collect()
+    want = {r["doc_id"]: np.array([*e.ids, 1], "<u4") for r, e in zip(rows, lib.encode_batch([r["text"] for r in rows], add_special_tokens=False))}
+    got = token_pack.read_digests(token_pack.write_tokens(documents, WORDS, token_pack.new_folder(documents), end_id=1)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in want.items()}
+
+
+def test_another_tokenizer_is_encoded_by_the_library_alone():
+    path = vocabulary_file("byte_bpe_50k.json")
+    encoder = token_pack.WordIds(path)
+    texts = [*ODD_TEXTS, "Two  spaces\n\nand lines", "plain words"]
+    n, ids = encoder.encode(texts)
+    want = [e.ids for e in encoder.lib.encode_batch(texts, add_special_tokens=False)]
+    assert not encoder.fast and ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_rows_of_one_id_are_dealt_over_several_files(sp, monkeypatch):
+    monkeypatch.setattr(token_pack, "FILE_BYTES", 4000)
+    rows = [(7, f"text number {i} " * 20) for i in range(100)] + [(None, f"other {i} " * 20) for i in range(60)]
+    manifest = token_pack.write_tokens(sp.createDataFrame(rows, "doc_id long, text string"), WORDS, token_pack.new_folder(sp.range(1)), end_id=1)
+    assert manifest.count() > 5
+    got = token_pack.read_digests(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 60 + [7] * 100
+
+
 def test_token_files_of_nothing(empty):
     assert token_pack.read_digests(token_pack.write_tokens(empty, WORDS, token_pack.new_folder(empty), end_id=1)).collect() == []
 
@@ -115,6 +141,15 @@ def test_toxicity_on_held_out_rows(sp):
     assert sum(x > y for x in bad for y in fine) > 0.75 * len(bad) * len(fine)
 
 
+def test_fit_stays_bounded_where_documents_repeat_labelled_ids(sp):
+    """A labelled id on very many rows: the fit sees max_rows of them at most, and works."""
+    rows = [(i % 3, f"{'insult fool' if i % 3 == 1 else 'kind words'} w{i % 40}") for i in range(3000)]
+    labels = sp.createDataFrame([(0, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = sp.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.train(docs, labels, max_rows=60)
+    assert model.score("insult fool w1") > model.score("kind words w1")
+
+
 def test_naming_a_group_moves_no_score():
     """Identity words that go with the label in the sample still weigh alike."""
     rng = random.Random(3)
@@ -319,6 +354,17 @@ def test_items_in_several_blocks(sp, documents, monkeypatch):
     assert bag(tuple(r) for r in decontaminate.find_leaks(documents, items).collect()) == whole
 
 
+@pytest.mark.parametrize("kind", ["smallint", "string", "double", "struct<a:int>"])
+def test_item_ids_of_any_type_and_equal_items(sp, kind):
+    passage = " ".join(f"word{i}" for i in range(30))
+    docs = sp.createDataFrame([("x", "before " + passage + " after"), (None, passage), ("z", "nothing")], "doc_id string, text string")
+    items = sp.createDataFrame([(1, passage), (2, passage), (3, passage.upper()), (4, None), (5, "")], "n int, text string").select(
+        (F.struct(F.col("n").alias("a")) if kind.startswith("struct") else F.col("n").cast(kind)).alias("item_id"), "text")
+    got = decontaminate.find_leaks(docs, items)
+    assert got.schema["item_id"].dataType.simpleString() == items.schema["item_id"].dataType.simpleString()
+    assert Counter((r["doc_id"], r["distance"]) for r in got.collect()) == Counter({("x", 0): 3, (None, 0): 3})
+
+
 # ------------------------------------------------------------------ LM scoring
 
 def test_language_model_counts_and_base(sp, documents):
