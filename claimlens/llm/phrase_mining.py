@@ -420,22 +420,31 @@ def collocations(df: DataFrame, least: int = 10, top: int = 2000, absorbed: int
     texts, or none with so frequent a phrase: no rows."""
     m = mine(df, least, text, lang)
     words, pairs = m.words, m.pairs
-    w = {k: words.select(F.col("id").alias(f"w{k}"), F.col("lang").alias(f"lang{k}"), F.col("word").alias(f"word{k}"), F.col("f").alias(f"f{k}")) for k in (1, 2, 3)}
-    named = pairs.join(w[1], "w1").join(w[2].drop("lang2"), "w2")
+    f = {k: words.select(F.col("id").alias(f"w{k}"), F.col("f").alias(f"f{k}")) for k in (1, 2, 3)}
+    of = words.select(F.col("id").alias("w1"), "lang", F.col("f").alias("f1"))
     triples = m.triples.withColumnRenamed("f", "a").join(
         pairs.select(F.col("id").alias("pair"), "w1", "w2", F.col("f").alias("f12")), "pair").join(
         pairs.select(F.col("id").alias("tail"), F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("f23")), ["w2", "w3"])
+    triples = written(triples, "triples")  # numbers only; pairs and triples both read it
     longest = triples.select(F.explode(F.array("pair", "tail")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("longer"))
-    two = named.join(longest, "id", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("f"))).select(
-        F.col("lang1").alias("lang"), F.concat_ws(" ", "word1", "word2").alias("phrase"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f2").alias("r"), _score("f", "f1", "f2").alias("score"))
-    cuts = triples.join(w[1], "w1").join(w[2].drop("lang2", "f2"), "w2").join(w[3].drop("lang3"), "w3").withColumns(
-        {"s1": _score("a", "f1", "f23"), "s2": _score("a", "f12", "f3")})
+    two = pairs.join(longest, "id", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("f"))).join(of, "w1").join(f[2], "w2")
+    two = two.select("lang", "w1", "w2", F.lit(None).cast("long").alias("w3"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f2").alias("r"), _score("f", "f1", "f2").alias("score"))
+    cuts = triples.join(of, "w1").join(f[3], "w3").withColumns({"s1": _score("a", "f1", "f23"), "s2": _score("a", "f12", "f3")})
     first = F.col("s1") <= F.col("s2")
-    three = cuts.select(F.col("lang1").alias("lang"), F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a", F.when(first, F.col("f1")).otherwise(F.col("f12")).alias("l"),
-                        F.when(first, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
-    best = [F.desc("score"), F.desc("a"), "phrase"]
-    # the first of each of many parts of a language, then the first of these
-    some = two.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top).drop("part")
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
+    three = cuts.select("lang", "w1", "w2", "w3", "a", F.when(first, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(first, F.col("f23")).otherwise(F.col("f3")).alias("r"),
+                        F.least("s1", "s2").alias("score"))
+    scored = written(two.unionByName(three), "scored")
+    # the score and count of each language's last row, from numbers alone: the first rows of many parts, then of all
+    best = [F.desc("score"), F.desc("a")]
+    some = scored.select("lang", "score", "a", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(64)).alias("part"))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("place") <= top)
+    last = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("place") == top).select("lang", F.struct("score", "a").alias("last"))
+    # all rows down to that one, ties included, get their words and their place among them
+    kept = scored.join(last, "lang", "left").where(F.col("last").isNull() | (F.struct("score", "a") >= F.col("last"))).drop("last")
+    kept = written(kept, "kept")
+    names = words.select("id", "word").join(kept.select(F.explode(F.array("w1", "w2", "w3")).alias("id")).distinct(), "id")
+    for k in (1, 2, 3):
+        kept = kept.join(names.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}")), f"w{k}", "left")
+    named = kept.withColumn("phrase", F.concat_ws(" ", "word1", "word2", "word3"))
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best, "phrase"))).where(F.col("rank") <= top)
     return ranked.join(m.totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
