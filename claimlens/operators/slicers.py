@@ -82,7 +82,7 @@ def kpis(rows: DataFrame) -> DataFrame:
 
 
 def trend(monthly: DataFrame) -> DataFrame:
-    """Month rows of a slice (a cube by month), with the rate and its change."""
+    """Month rows of a slice, or of several that share no claim (a cube by month): the rate and its change."""
     from claimlens.operators.denials import trend_from_counts
 
-    return trend_from_counts(monthly.select("claim_month", F.col("claims").alias("n"), F.col("denied").alias("d")))
+    return trend_from_counts(monthly.groupBy("claim_month").agg(F.sum("claims").alias("n"), F.sum("denied").alias("d")))
