@@ -390,14 +390,15 @@ def classes_and_links(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     # a set's holder: a row's id, which may be null, and text
     holding = sets.join(wanted, "f", "left_semi").groupBy("f").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "x")).alias("r"), F.first("n").alias("n"))
     holders, told = written_and_told(holding.select("f", "n", F.col("r.d").alias("hd"), F.col("r.x").alias("hx")), "holders", n=F.coalesce(F.sum("n"), F.lit(0)))
-    held = docs.join(holders.select("hd", "hx"), (F.col("x") == F.col("hx")) & F.col("d").eqNullSafe(F.col("hd")), "left_semi")
+    # merged at every size: a side that is broadcast while it is small says nothing about a large corpus
+    held = docs.join(holders.select("hd", "hx").hint("merge"), (F.col("x") == F.col("hx")) & F.col("d").eqNullSafe(F.col("hd")), "left_semi")
     # in buckets by set: pairs come to the arrays, which do not move again; rows that repeat the holder's id and text give its set once
     in_buckets = min(parts(told["n"] * 9, ARRAY_BYTES), int(docs.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     data = bucketed(held.select("t").mapInArrow(arrays, "f long, n long, h binary, bits binary").repartition(in_buckets, "f").dropDuplicates(["f"]), "arrays", in_buckets, "f")
 
     def with_ends(pairs: DataFrame, *columns: str) -> DataFrame:
         for k in "ab":
-            pairs = pairs.join(data.select(F.col("f").alias(k), *[F.col(c).alias(f"{c[0]}{k}") for c in columns]), k)
+            pairs = pairs.join(data.select(F.col("f").alias(k), *[F.col(c).alias(f"{c[0]}{k}") for c in columns]).hint("merge"), k)
         return pairs
 
     def compared(pairs: DataFrame) -> DataFrame:
