@@ -227,11 +227,11 @@ def q_slicer_cube(spark, sf_dir):
 @C.product("payer_slices", "F9 G11", O.with_claims(f"""
 SELECT payer, count(*) AS total_claims, {O.r("100.0 * count(*) FILTER (is_denied) / count(*)")} AS denial_rate,
        CAST(coalesce(round(sum(recovery_potential), 0), 0) AS DOUBLE) AS total_recoverable
-FROM sliced WHERE payer IN ('NATION_6', 'NATION_12') AND period = '1996-07 1997-06' GROUP BY payer""", O.OPP + "," + _SLICED))
+FROM sliced WHERE payer IN ('NATION_11', 'NATION_12') AND period = '1996-07 1997-06' GROUP BY payer""", O.OPP + "," + _SLICED))
 def q_payer_slices(spark, sf_dir):
     """Two payers in one period, all specialties, read from the cube by key."""
     cube = slices(spark, sf_dir)
-    a, b = (slicers.kpis(slicers.slice_of(cube, payer=p, period="1996-07 1997-06")) for p in ("NATION_6", "NATION_12"))
+    a, b = (slicers.kpis(slicers.slice_of(cube, payer=p, period="1996-07 1997-06")) for p in ("NATION_11", "NATION_12"))
     return a.unionByName(b).select("payer", "total_claims", "denial_rate", "total_recoverable")
 
 
@@ -239,12 +239,12 @@ def q_payer_slices(spark, sf_dir):
 SELECT claim_month, n AS claims_submitted, d AS denied_claims, CAST(rate AS DOUBLE) AS denial_rate_pct,
        CAST(lag(rate) OVER (ORDER BY claim_month) AS DOUBLE) AS prior_month_rate_pct, {O.r("rate - lag(rate) OVER (ORDER BY claim_month)")} AS mom_change_pts
 FROM (SELECT claim_month, count(*) AS n, count(*) FILTER (is_denied) AS d, {O.rd("100.0 * count(*) FILTER (is_denied) / count(*)")} AS rate
-      FROM stg WHERE payer = 'NATION_6' AND specialty = 'BUILDING' GROUP BY claim_month)"""))
+      FROM stg WHERE payer = 'NATION_11' AND specialty = 'BUILDING' GROUP BY claim_month)"""))
 def q_payer_slice_trend(spark, sf_dir):
     """The monthly trend of one payer and specialty, from the cube by month."""
     s, sd = C.stg(spark, sf_dir), C.seed(spark)
     cube = C.ref(spark, sf_dir, "slicer_months", lambda: slicers.write_cube(slicers.slice_cube(recovery.with_recovery(s, sd), by_month=True), new_scratch(spark, "slicer_months")))
-    months = slicers.slice_of(cube, payer="NATION_6", specialty="BUILDING")  # all periods
+    months = slicers.slice_of(cube, payer="NATION_11", specialty="BUILDING")  # all periods
     return slicers.trend(months)
 
 
