@@ -36,7 +36,7 @@ from .tables import parts, total_bytes, written
 from .text import _FOLD, U64, byte_column, mix
 
 #: text of a chunk, text whose phrases go to one bucket, text of the sample (and its largest share)
-CHUNK_BYTES, BUCKET_BYTES, SAMPLE_BYTES, SAMPLE_SHARE = 8 << 20, 12 << 20, 8 << 20, 8
+CHUNK_BYTES, BUCKET_BYTES, SAMPLE_BYTES, SAMPLE_SHARE = 5 << 20, 8 << 20, 8 << 20, 8
 #: words and pairs that the sample may propose, and how often they must occur in it
 PROPOSED, PROPOSED_AT = 1 << 17, 2
 #: bits of a word's number in a key; a pair's number has the rest of 64
@@ -95,17 +95,19 @@ class Words:
         if not n:
             return cls(np.zeros(0, np.int32), np.zeros(0, bool), pa.array([], pa.binary()), np.zeros(0, np.int64))
         doc = np.searchsorted(offsets, start, side="right") - 1
-        broken = np.concatenate([[0], np.cumsum(_IS_BREAK[data])])
+        lang = langs.dictionary_encode()
+        of_word = lang.indices.to_numpy()[doc]
+        breaks = np.flatnonzero(_IS_BREAK[data])
         begins = np.ones(n, bool)
-        begins[1:] = (doc[1:] != doc[:-1]) | (broken[start[1:]] != broken[end[:-1]])
+        begins[1:] = (doc[1:] != doc[:-1]) | (np.searchsorted(breaks, start[1:]) != np.searchsorted(breaks, end[:-1]))
+        del doc, breaks, solid, first, last
         # words and what lies between them, in turn, over the same bytes
         edges = np.empty(2 * n, np.int32)
         edges[0::2], edges[1::2] = start, end
         view = pa.Array.from_buffers(pa.binary(), 2 * n - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(_FOLD[data]))])
         coded = view.dictionary_encode()
-        lang = langs.dictionary_encode()
         kinds = len(lang.dictionary)
-        key = coded.indices.to_numpy()[0::2].astype(np.int64) * kinds + lang.indices.to_numpy()[doc]
+        key = coded.indices.to_numpy()[0::2].astype(np.int64) * kinds + of_word
         used = np.zeros(len(coded.dictionary) * kinds, bool)
         used[key] = True
         number = (np.cumsum(used) - 1)[key]
@@ -199,7 +201,7 @@ class Chunk:
         since = np.where(word >= 0, 0, -1)  # the pass that found it; 0: proposed
         pairs, ids, when = [proposals.pairs], [np.arange(len(proposals.pairs))], [np.zeros(len(proposals.pairs), np.int64)]
         for x in answers:
-            keys, numbers = np.frombuffer(x["keys"], U64), np.frombuffer(x["ids"], np.int64)
+            keys, numbers = unsqueeze_sorted(x["keys"]), unsqueeze(x["ids"], np.int64)
             if x["what"] == -1:
                 at = keys.astype(np.int64)
                 word[at], since[at] = numbers, x["pass"]
@@ -306,7 +308,7 @@ def add_up(table: pa.Table, proposals: Proposals, number: int, buckets: int, lea
             mine = code[at : at + len(x)]
             at += len(x)
             if fresh[mine].any():
-                parts_.append(rows(what=[-1], chunk=[chunk], keys=[x[fresh[mine]].tobytes()], ids=[number_of[mine[fresh[mine]]].tobytes()]))
+                parts_.append(rows(what=[-1], chunk=[chunk], keys=[squeeze_sorted(x[fresh[mine]])], ids=[squeeze(number_of[mine[fresh[mine]]])]))
     else:
         keys, total = counted(np.concatenate(h), np.concatenate(c))
         keys, total = keys[total >= least], total[total >= least]
@@ -328,7 +330,7 @@ def add_up(table: pa.Table, proposals: Proposals, number: int, buckets: int, lea
                 has = at < len(x)
                 has[has] = x[at[has]] == keys[has]
                 if has.any():
-                    parts_.append(rows(what=[-2], chunk=[chunk], keys=[keys[has].tobytes()], ids=[ids[has].tobytes()]))
+                    parts_.append(rows(what=[-2], chunk=[chunk], keys=[squeeze_sorted(keys[has])], ids=[squeeze(ids[has])]))
     return pa.concat_tables(parts_)
 
 
