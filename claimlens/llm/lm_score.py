@@ -15,7 +15,8 @@ Their logits are added up with weights that a gate chooses (bit position, and
 how much the corpus and the text know of the context). Weights are learnt
 online: each text starts from START_WEIGHTS and takes a step after every batch of
 its tokens, and so does a table over the mixed logit that refines the
-probability adaptively. Nothing is fitted beforehand, so no text is a sample.
+probability adaptively; with ``batch=0`` both learn from every token before the
+next one is told. Nothing is fitted beforehand, so no text is a sample.
 The sum of all logs is the score of the words; bits per byte divide it by the
 text's bytes (case and white space are not told).
 
@@ -41,7 +42,11 @@ from .tables import parts, total_bytes, written
 from .text import U64, Words, byte_column, mix, spread, text_slices
 
 CLASS_BITS = 6
-CHUNK_BYTES, BUCKET_BYTES, SLICE_BYTES, SCORE_BYTES = 4 << 20, 12 << 20, 4 << 20, 1 << 19
+CHUNK_BYTES, BUCKET_BYTES, SLICE_BYTES, SCORE_BYTES = 4 << 20, 12 << 20, 4 << 20, 4 << 20
+#: texts that are scored side by side (each holds weights)
+SCORE_ROWS = 4096
+#: tokens whose inputs are worked out at once
+BLOCK = 8192
 #: entries that a training task holds before it sends them
 HELD = 1_500_000
 NODES = 1 << CLASS_BITS
@@ -90,31 +95,33 @@ def online_counts(context: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.nda
 
     Entries are in order of time; contexts are any numbers. The entries are
     kept grouped by context and higher bits, in order of time within a group:
-    each bit parts every group in two."""
+    each bit parts every group in two. One that is alone in its group has
+    seen nothing and will not: it is left out from there on."""
     n = len(cls)
     at = np.argsort(context, kind="stable").astype(np.int32)
     cls = cls.astype(np.int32)
     new = np.ones(n, bool)
     new[1:] = context[at][1:] != context[at][:-1]
-    begins = np.flatnonzero(new).astype(np.int32)
-    sizes = np.diff(np.append(begins, np.int32(n)))
-    start, end = np.repeat(begins, sizes), np.repeat(begins + sizes, sizes)
-    place = np.arange(n, dtype=np.int32)
+    sizes = np.diff(np.append(np.flatnonzero(new), n))
     for k in range(CLASS_BITS):
+        # entries at, in groups of so many
+        keep = np.repeat(sizes > 1, sizes)
+        at, sizes = at[keep], sizes[sizes > 1].astype(np.int32)
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         bit = cls[at] >> (CLASS_BITS - 1 - k) & 1
         sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)])
-        ones = sums[:-1] - sums[start]
-        zeros = place - start - ones
-        n0, n1 = np.empty(n, np.float32), np.empty(n, np.float32)
+        ones = sums[:-1] - np.repeat(sums[begins], sizes)
+        start = np.repeat(begins, sizes)
+        zeros = np.arange(len(at), dtype=np.int32) - start - ones
+        n0, n1 = np.zeros(n, np.float32), np.zeros(n, np.float32)
         n0[at], n1[at] = zeros, ones
         yield n0, n1
         if k + 1 < CLASS_BITS:
-            middle = end - (sums[end] - sums[start])  # where the group's ones begin
-            to = np.where(bit == 1, middle + ones, start + zeros)
-            start, end = np.where(bit == 1, middle, start), np.where(bit == 1, end, middle)
-            moved = np.empty((3, n), np.int32)
-            moved[:, to] = at, start, end
-            at, start, end = moved
+            with_one = sums[begins + sizes] - sums[begins]
+            to = np.where(bit == 1, np.repeat(begins + sizes - with_one, sizes) + ones, start + zeros)
+            moved = np.empty_like(at)
+            moved[to] = at
+            at, sizes = moved, np.stack([sizes - with_one, with_one], axis=1).reshape(-1)
 
 
 class Followers:
@@ -128,84 +135,134 @@ class Followers:
 
     def counts(self, row: np.ndarray, cls: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(zeros, ones) at bit k, after the higher bits of each class."""
-        of, zero = self.by_bits[k + 1], cls >> (CLASS_BITS - k) << 1
-        return of[row, zero].astype(np.float32), of[row, zero + 1].astype(np.float32)
+        pairs = self.by_bits[k + 1].reshape(-1, 2).take((row << k) + (cls >> (CLASS_BITS - k)), axis=0).astype(np.float32)
+        return pairs[:, 0], pairs[:, 1]
 
 
 class Mixer:
-    """Weights and refining table of each of some texts, as they stand."""
+    """Weights, refining table and own counts of each of some texts, as they stand.
+
+    Entries are bits: CLASS_BITS of a text's token, of one text after another, as many texts as still have tokens.
+    A bit position has weights and a table of its own, so the bits of a token learn apart."""
 
     def __init__(self, texts: int):
-        gates = np.tile(START_WEIGHTS.reshape(9, INPUTS), (CLASS_BITS, 1))
-        self.w = np.tile(gates.T[:, None, :], (1, texts, 1)).reshape(INPUTS, -1)  # (input, text and gate)
+        bits = texts * CLASS_BITS
+        self.w = np.tile(START_WEIGHTS.reshape(9, INPUTS).T.astype(np.float32), (1, bits))  # (input; text, bit position, gate)
         grid = 1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))
-        self.hits, self.seen = np.tile(grid * REFINE_FROM, texts * CLASS_BITS), np.full(texts * CLASS_BITS * CELLS, REFINE_FROM)
-        self.steps: list[tuple] = []
-
-    def probability(self, x: np.ndarray, place: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(probability of a one, of which half is the refined one; the mixed one alone; the mixed logit)."""
-        z = np.zeros(len(place))
-        for j in range(INPUTS):
-            z += self.w[j][place] * x[j]
-        z = np.clip(z, -8, 8)
-        p = 1 / (1 + np.exp(-z))
-        cell = np.minimum((z + 8).astype(np.int64), CELLS - 2)
-        part, at = z + 8 - cell, table * CELLS + cell
-        refined = self.hits[at] / self.seen[at] * (1 - part) + self.hits[at + 1] / self.seen[at + 1] * part
-        return np.clip((p + refined) / 2, 1e-4, 1 - 1e-4), p, z
-
-    def note(self, x: np.ndarray, place: np.ndarray, table: np.ndarray, p: np.ndarray, z: np.ndarray, bit: np.ndarray) -> None:
-        self.steps.append((x, place, table * CELLS + np.rint(z + 8).astype(np.int64), p, bit))
+        self.table = np.tile(np.stack([grid * REFINE_FROM, np.full(CELLS, REFINE_FROM)], axis=1), (bits, 1))  # ones, all
+        self.own = np.zeros((texts * NODES, 2), np.float32)  # zeros and ones that came at each node of the classes' tree
+        self.gates, self.cells = np.arange(bits) * 9, np.arange(bits) * CELLS
+        self.nodes = np.repeat(np.arange(texts) * NODES, CLASS_BITS)
+        self.rows = np.arange(INPUTS)[:, None] * self.w.shape[1]
+        # the same numbers as one run, and the table's cells with their right neighbours
+        self.w_run, self.table_run, self.own_run = self.w.reshape(-1), self.table.reshape(-1), self.own.reshape(-1)
+        self.beside = np.lib.stride_tricks.sliding_window_view(self.table_run, 4)[::2]
+        self.noted: tuple[np.ndarray, ...] | None = None
+
+    def own_logit(self, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """What the text knows of the bits so far; then the bits are counted."""
+        at = self.nodes[: len(node)] + node
+        came = self.own.take(at, axis=0)
+        self.own_run[2 * at + bit] += 1
+        return logit_of(came[:, 0], came[:, 1])
+
+    def probability(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(probability of a one, of which half is the refined one; what ``learn`` needs)."""
+        place = self.gates[: len(gate)] + gate + self.rows
+        w = self.w_run.take(place)
+        up = np.minimum(np.maximum(np.add.reduce(w * x, axis=0, dtype=np.float64), -8), 8) + 8  # the mixed logit, from 0 to 16
+        p = 1 / (1 + np.exp(8 - up))
+        cell = np.minimum(up.astype(np.int64), CELLS - 2)
+        part = up - cell
+        side = self.beside[self.cells[: len(gate)] + cell].T
+        refined = side[0] / side[1] * (1 - part) + side[2] / side[3] * part
+        return (p + refined) / 2, (x, place, w, p, up)
+
+    def learn(self, told: tuple, bit: np.ndarray) -> None:
+        """Learn from one token of each text: a damped Newton step for each weight, and a hit in the table."""
+        x, place, w, p, up = told
+        w += x * (STEP * (bit - p)).astype(np.float32) / (x * x * (p * (1 - p)).astype(np.float32) + np.float32(INERTIA))
+        self.w_run[place] = w
+        cell = 2 * (self.cells[: len(bit)] + np.rint(up).astype(np.int64))
+        self.table_run[cell] += bit
+        self.table_run[cell + 1] += 1
+
+    def note(self, told: tuple, bit: np.ndarray) -> None:
+        """Keep for ``step`` what ``learn`` would learn at once."""
+        if self.noted is None:
+            self.noted = np.zeros(self.w.shape), np.zeros(self.w.shape), np.zeros_like(self.table)
+        slope, curve, hits = self.noted
+        x, place, _, p, up = told
+        cell = self.cells[: len(bit)] + np.rint(up).astype(np.int64)
+        slope.reshape(-1)[place] += x * (bit - p)
+        curve.reshape(-1)[place] += x * x * (p * (1 - p))
+        hits[cell, 0] += bit
+        hits[cell, 1] += 1
 
     def step(self) -> None:
-        """Learn from what was noted since the last step: a damped Newton step for each weight."""
-        slope, curve = np.zeros_like(self.w), np.zeros_like(self.w)
-        for x, place, cell, p, bit in self.steps:
-            err, spread_ = bit - p, p * (1 - p)
-            for j in range(INPUTS):
-                slope[j] += np.bincount(place, err * x[j], minlength=self.w.shape[1])
-                curve[j] += np.bincount(place, spread_ * x[j] * x[j], minlength=self.w.shape[1])
-            self.hits += np.bincount(cell, bit, minlength=len(self.hits))
-            self.seen += np.bincount(cell, minlength=len(self.seen))
+        """Learn from what was noted since the last step."""
+        slope, curve, hits = self.noted
         self.w += STEP * slope / (curve + INERTIA)
-        self.steps.clear()
+        self.table += hits
+        self.noted = None
 
 
-def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarray, after: Followers, overall: Followers) -> np.ndarray:
+def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarray, after: Followers, overall: Followers, batch: int = BATCH) -> np.ndarray:
     """Log probability of each token's class, tokens in order of texts and places.
 
     text: the number of the token's text, ascending. prev: a number of the token before, the same for
-    equal ones. row: its row in ``after``; overall: one row for all tokens."""
+    equal ones. row: its row in ``after``; overall: one row for all tokens. batch: tokens of a text that
+    its first step learns from, each next step from twice as many; 0: every token is learnt from before the next.
+
+    All texts go on side by side, a token of each at a time, the longest texts first."""
     n, texts = len(cls), int(text[-1]) + 1 if len(text) else 0
-    told = np.zeros(n)
     if not n:
-        return told
-    first = np.searchsorted(text, np.arange(texts))
-    batch = np.log2((np.arange(n) - first[text]) / BATCH + 1).astype(np.uint8)  # BATCH, then 2 BATCH, 4 BATCH ... tokens
-    levels = []
-    own0, own1 = online_counts(text, cls), online_counts(text << 32 | prev, cls)
-    none = np.zeros(n, np.int64)
-    for k in range(CLASS_BITS):
-        o0, o1, t0, t1 = overall.counts(none, cls, k), after.counts(row, cls, k), next(own0), next(own1)
-        x = np.stack([logit_of(*o0), logit_of(*o1), logit_of(*t0), logit_of(*t1), np.full(n, 0.3, np.float32)])
-        known, seen = o1[0] + o1[1], t1[0] + t1[1]
-        gate = k * 9 + ((known > 0).astype(np.int64) + (known >= 8)) * 3 + (seen > 0) + (seen >= 3)
-        levels.append((x, text * GATES + gate, text * CLASS_BITS + k, cls >> (CLASS_BITS - 1 - k) & 1))
+        return np.zeros(0)
+    first = np.searchsorted(text, np.arange(texts + 1))
+    longest = np.argsort(-np.diff(first), kind="stable")
+    rank = np.empty(texts, np.int64)
+    rank[longest] = np.arange(texts)
+    place = np.arange(n) - first[text]
+    order = np.argsort(place * texts + rank[text])
+    starts = np.append(0, np.cumsum(np.bincount(place)))
+    cls, row = cls[order], row[order]
+    own1 = list(online_counts(text[order] << 32 | prev[order], cls))
+    every = np.arange(NODES)
+    base = np.stack([logit_of(*overall.counts(np.zeros(NODES, np.int64), every, k)) for k in range(CLASS_BITS)], axis=1)
+    shifts = CLASS_BITS - np.arange(CLASS_BITS)
+    bits, nodes = every[:, None] >> shifts - 1 & 1, (every[:, None] >> shifts) + (1 << np.arange(CLASS_BITS))
     mixer = Mixer(texts)
-    last = int(batch.max())
-    order = np.argsort(batch, kind="stable")
-    cuts = np.searchsorted(batch[order], np.arange(last + 2))
-    for b in range(last + 1):
-        some = order[cuts[b] : cuts[b + 1]]
-        for x, place, table, bit in levels:
-            x, place, table, bit = x[:, some], place[some], table[some], bit[some]
-            told_p, p, z = mixer.probability(x, place, table)
-            told[some] += np.log(np.where(bit == 1, told_p, 1 - told_p))
-            if b < last:
-                mixer.note(x, place, table, p, z, bit)
-        if b < last:
-            mixer.step()
-    return told
+    chance = np.empty(n)
+    due = length = batch
+    t = 0
+    while t + 1 < len(starts):  # as many places as make a block of tokens
+        to = max(t + 1, int(np.searchsorted(starts, starts[t] + BLOCK, side="right")) - 1)
+        a, b = starts[t], starts[to]
+        c = cls[a:b]
+        x, gate = np.empty((INPUTS, b - a, CLASS_BITS), np.float32), np.empty((b - a, CLASS_BITS), np.int64)
+        x[0], x[4] = base[c], 0.3
+        for k in range(CLASS_BITS):
+            o1, t1 = after.counts(row[a:b], c, k), [y[a:b] for y in own1[k]]
+            x[1, :, k], x[3, :, k] = logit_of(*o1), logit_of(*t1)
+            known, seen = o1[0] + o1[1], t1[0] + t1[1]
+            gate[:, k] = ((known > 0).astype(np.int64) + (known >= 8)) * 3 + (seen > 0) + (seen >= 3)
+        bit, node, p = bits[c], nodes[c], np.empty((b - a, CLASS_BITS))
+        for t in range(t, to):
+            some = slice(starts[t] - a, starts[t + 1] - a)
+            if batch and t == due:
+                mixer.step()
+                length *= 2
+                due += length
+            y, v = bit[some].reshape(-1), x[:, some].reshape(INPUTS, -1)
+            v[2] = mixer.own_logit(node[some].reshape(-1), y)
+            p.reshape(-1)[some.start * CLASS_BITS : some.stop * CLASS_BITS], told = mixer.probability(v, gate[some].reshape(-1))
+            mixer.note(told, y) if batch else mixer.learn(told, y)
+        p = np.clip(p, 1e-4, 1 - 1e-4)
+        chance[a:b] = np.where(bit == 1, p, 1 - p).prod(axis=1)
+        t = to
+    out = np.empty(n)
+    out[order] = np.log(chance)
+    return out
 
 
 class Model:
@@ -216,8 +273,8 @@ class Model:
         self.rare = (once + 0.5) / (total + 1.0)  # share of types never seen before, as in the corpus
         self.overall = Followers(class_mass[None, :])
 
-    def score(self, h: np.ndarray, first: np.ndarray, count: np.ndarray, prev: np.ndarray, row: np.ndarray, after: Followers) -> np.ndarray:
-        """log10 probability of each text. count: the tokens' counts in training; prev, row: see ``bit_logs``."""
+    def score(self, h: np.ndarray, first: np.ndarray, count: np.ndarray, prev: np.ndarray, row: np.ndarray, after: Followers, batch: int) -> np.ndarray:
+        """log10 probability of each text. count: the tokens' counts in training; prev, row, batch: see ``bit_logs``."""
         known = count > 0
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         unknown = np.concatenate([[0], np.cumsum(~known)])
@@ -226,7 +283,7 @@ class Model:
         log = np.log(np.where(known, 1 - p_new, p_new))
         cls = classes(h[known])
         left = np.unique(text[known], return_inverse=True)[1] if known.any() else np.zeros(0, np.int64)
-        told = bit_logs(cls, left, prev[known], row[known], after, self.overall)
+        told = bit_logs(cls, left, prev[known], row[known], after, self.overall, batch)
         log[known] += told + np.log((count[known] + 0.5) / self.class_mass[cls])
         return np.add.reduceat(log, first[:-1]) / np.log(10)
 
@@ -310,14 +367,15 @@ def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
     return Model(float(total), float(types), float(once), np.maximum(mass, 0.5)), counts
 
 
-def score(df: DataFrame, training: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(df: DataFrame, training: Column, text: str = "text", doc_id: str = "doc_id", batch: int = BATCH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte of every row of df.
 
     training: which rows to learn from (null: not). Null and empty texts are
     one end token. No training rows: every type is unknown. Rows that repeat
     an id are scored each; rows are dealt by id and text. base_score:
-    log10 of the product of add-0.5 unigram probabilities."""
+    log10 of the product of add-0.5 unigram probabilities. batch: see
+    ``bit_logs``; 0 learns from every token before the next is told."""
     spark = df.sparkSession
     flagged = df.select(F.col(f"`{doc_id}`").alias("d"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.coalesce(training, F.lit(False)).alias("train"))
     size = total_bytes(flagged)
@@ -357,30 +415,37 @@ def score(df: DataFrame, training: Column, text: str = "text", doc_id: str = "do
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         model = shared.value
-        names = distinct(table)
+        h, first, n_bytes = tokens(table.column("t"))
+        names, at = np.unique(np.append(h, START), return_inverse=True)
+        prev = np.append(at[-1], at[:-2]) if len(h) else at[:0]
+        prev[first[:-1]], at = at[-1], at[:-1]
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])  # buckets ascend with the hash
         count_of = np.concatenate([unsqueeze(r["c"], np.int64) for r in rows])
         sizes = np.concatenate([unsqueeze(r["pn"], np.uint16).astype(np.int64) for r in rows])
         cls, n = np.concatenate([unsqueeze(r["pc"], np.uint8) for r in rows]).astype(np.int64), np.concatenate([unsqueeze(r["pk"], np.int64) for r in rows])
-        begin = np.cumsum(sizes) - sizes
-        out = []
-        for batch in table.combine_chunks().to_batches():
-            for part in text_slices(batch, "t", SCORE_BYTES):
-                h, first, n_bytes = tokens(part.column("t"))
-                count = count_of[np.searchsorted(names, h)]
-                base = np.log10((count + 0.5) / (model.total + 0.5 * (model.types + 1)))
-                base_score = np.add.reduceat(base, first[:-1])  # each text on its own
-                prev = np.searchsorted(names, before(h, first))
-                used, row = np.unique(np.where(sizes[prev] > 0, prev, -1), return_inverse=True)
-                leaves = np.zeros((len(used), NODES), np.int32 if model.total < 2**31 else np.int64)
-                mine = np.where(used >= 0, sizes[used], 0)
-                entries = spread(begin[used], mine)
-                leaves[np.repeat(np.arange(len(used)), mine), cls[entries]] = n[entries]
-                scores = model.score(h, first, count, prev, row, Followers(leaves))
-                known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
-                out.append(pa.table({"doc_id": part.column("d"), "held_out": pa.compute.invert(part.column("train")), "n_tokens": pa.array(np.diff(first), pa.int64()),
-                                     "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([int(model.total)] * len(known), pa.int64()), "base_score": pa.array(base_score),
-                                     "score": pa.array(scores), "bits_per_byte": pa.array(-scores * np.log2(10) / np.maximum(n_bytes, 1))}))
+        begin, ends = np.cumsum(sizes) - sizes, np.cumsum(n_bytes)
+        out, a = [], 0
+        while a < table.num_rows:  # texts from a, before b
+            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SCORE_BYTES, side="right"))
+            b = min(max(a + 1, b), a + SCORE_ROWS, table.num_rows)
+            part, mine, edges = table.slice(a, b - a), slice(first[a], first[b]), first[a : b + 1] - first[a]
+            count, before_ = count_of[at[mine]], prev[mine]
+            base = np.log10((count + 0.5) / (model.total + 0.5 * (model.types + 1)))
+            base_score = np.add.reduceat(base, edges[:-1])  # each text on its own
+            some = np.zeros(len(names), bool)
+            some[before_] = True
+            used = np.flatnonzero(some & (sizes > 0))
+            row_of = np.zeros(len(names), np.int64)  # row 0: nothing is known
+            row_of[used] = np.arange(1, len(used) + 1)
+            leaves = np.zeros((len(used) + 1, NODES), np.int32 if model.total < 2**31 else np.int64)
+            entries = spread(begin[used], sizes[used])
+            leaves[np.repeat(np.arange(1, len(used) + 1), sizes[used]), cls[entries]] = n[entries]
+            scores = model.score(h[mine], edges, count, before_, row_of[before_], Followers(leaves), batch)
+            known = np.add.reduceat((count > 0).astype(np.int64), edges[:-1])
+            out.append(pa.table({"doc_id": part.column("d"), "held_out": pa.compute.invert(part.column("train")), "n_tokens": pa.array(np.diff(edges), pa.int64()),
+                                 "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([int(model.total)] * len(known), pa.int64()), "base_score": pa.array(base_score),
+                                 "score": pa.array(scores), "bits_per_byte": pa.array(-scores * np.log2(10) / np.maximum(n_bytes[a:b], 1))}))
+            a = b
         return pa.concat_tables(out)
 
     asked = by_chunk.applyInArrow(ask, "bucket int, chunk long, asked binary")

@@ -466,6 +466,36 @@ def test_scores_are_those_of_a_scalar_online_model(sp, monkeypatch):
     assert all(math.isclose(r["score"], got[r["doc_id"]], rel_tol=1e-6) for r in lm_score.score(df, training).collect())
 
 
+def test_every_token_is_learnt_from_before_the_next(sp, monkeypatch):
+    """Token by token: a scalar model that takes a step after each token, and refines with it, scores the same."""
+    rng = random.Random(16)
+    texts = [" ".join(f"w{min(rng.randrange(1, 12), rng.randrange(1, 30))}" for _ in range(rng.randrange(0, 120))) for _ in range(12)] + ["", "w1 new w1 new w2 " * 9]
+    train = [i % 3 != 1 for i in range(len(texts))]
+    df = sp.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, F.col("doc_id") % 3 != 1, batch=0).collect()}
+    steps = {r["doc_id"]: r["score"] for r in lm_score.score(df, F.col("doc_id") % 3 != 1).collect()}
+
+    class EveryToken:  # the scalar model's schedule, int(log2(known / BATCH + 1)), comes to known
+        def __rtruediv__(self, known):
+            return 2.0 ** known - 1
+
+    monkeypatch.setattr(lm_score, "BATCH", EveryToken())
+    want = dict(enumerate(scalar_scores(texts, train)))
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-4) for i in want)
+    assert any(not math.isclose(got[i], steps[i], rel_tol=1e-4) for i in want)
+    monkeypatch.setattr(lm_score, "SCORE_ROWS", 2)
+    again = {r["doc_id"]: r["score"] for r in lm_score.score(df, F.col("doc_id") % 3 != 1, batch=0).collect()}
+    assert all(math.isclose(again[i], got[i], rel_tol=1e-6) for i in want)
+
+
+def test_the_query_learns_token_by_token(sp, tmp_path):
+    df = sp.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 9}" for k in range(90))) for i in range(12)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    training = F.expr("crc32(cast(doc_id as string)) % 5 <> 1")
+    want = {r["doc_id"]: r["score"] for r in lm_score.score(df, training, batch=0).collect()}
+    assert {r["doc_id"]: r["score"] for r in QUERIES["op7_lm_score"](sp, str(tmp_path)).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_model_is_a_distribution():
     """Over all classes the predictions sum to one, whatever came before."""
     rng = np.random.default_rng(0)
