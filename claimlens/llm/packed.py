@@ -26,13 +26,15 @@ def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack(hashes: np.ndarray) -> bytes:
-    """Ascending uint64 as bytes: 4-byte differences where they fit."""
+    """Ascending uint64 as bytes: differences of 3 or 4 bytes where they fit."""
     if not len(hashes):
         return b""
     gaps = np.diff(hashes)
     if len(gaps) and gaps.max() >= U64(2**32):
         return b"\x08" + hashes.tobytes()
-    return b"\x04" + hashes[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    if not len(gaps) or gaps.max() >= U64(2**24):
+        return b"\x04" + hashes[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    return b"\x03" + hashes[:1].tobytes() + gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def unpack(blob) -> np.ndarray:
@@ -40,9 +42,15 @@ def unpack(blob) -> np.ndarray:
         return np.zeros(0, U64)
     if blob[0] == 8:
         return np.frombuffer(blob, U64, offset=1)
-    out = np.empty((len(blob) - 9) // 4 + 1, U64)
+    width = blob[0]
+    out = np.empty((len(blob) - 9) // width + 1, U64)
     out[0] = np.frombuffer(blob, U64, 1, 1)[0]
-    out[1:] = np.frombuffer(blob, np.uint32, offset=9)
+    if width == 3:
+        gaps = np.zeros((len(out) - 1, 4), np.uint8)
+        gaps[:, :3] = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, 3)
+        out[1:] = gaps.view("<u4")[:, 0]
+    else:
+        out[1:] = np.frombuffer(blob, np.uint32, offset=9)
     return np.cumsum(out, dtype=U64)
 
 

@@ -32,8 +32,9 @@ from .text import U64, Words, byte_column, inner_grams, mix, ngram_hashes, sprea
 
 #: text of a chunk, text whose hashes go to one bucket
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
-#: low bits of a block's hash that are not sent (false hits end in the extension)
-DROPPED_BITS = U64(20)
+#: low bits of a block's hash that are not sent (false hits end in the extension): a chunk's hashes then
+#: mostly differ by less than 3 bytes hold
+DROPPED_BITS = U64(25)
 NO_ID = 2**63 - 1
 
 
@@ -76,19 +77,21 @@ class Chunk:
 def send_blocks(table: pa.Table, n: int, buckets: int) -> pa.Table:
     c = Chunk(table, n)
     starts, h = c.grams(c.b)
-    probes, index = np.unique(h), np.unique(h[c.blocks(starts)])
-    pe, ie = bucket_edges(probes, buckets), bucket_edges(index, buckets)
+    probes = np.unique(h >> DROPPED_BITS)
+    is_block = np.zeros(len(probes), bool)  # the blocks are some of the windows
+    is_block[np.searchsorted(probes, h[c.blocks(starts)] >> DROPPED_BITS)] = True
+    pe = bucket_edges(probes << DROPPED_BITS, buckets)
     use = np.flatnonzero(np.diff(pe))
     chunk = table.column("chunk")[0].as_py()
     return pa.table({"bucket": pa.array(use, pa.int32()), "chunk": pa.array([chunk] * len(use), pa.int64()),
-                     "probes": pa.array([pack(probes[pe[b] : pe[b + 1]] >> DROPPED_BITS) for b in use], pa.binary()),
-                     "index": pa.array([pack(index[ie[b] : ie[b + 1]] >> DROPPED_BITS) for b in use], pa.binary())})
+                     "probes": pa.array([pack(probes[pe[b] : pe[b + 1]]) for b in use], pa.binary()),
+                     "index": pa.array([np.packbits(is_block[pe[b] : pe[b + 1]]).tobytes() for b in use], pa.binary())})
 
 
 def meet_blocks(table: pa.Table) -> pa.Table:
     """For each chunk: the probes that are a block of another chunk, and the blocks that another chunk probes."""
     probes = [unpack(x) for x in table.column("probes").to_pylist()]
-    index = [unpack(x) for x in table.column("index").to_pylist()]
+    index = [p[np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool)] for p, x in zip(probes, table.column("index").to_pylist())]
     rows = len(probes)
     hi = np.concatenate(index)
     ci = np.repeat(np.arange(rows), [len(x) for x in index])

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -319,6 +320,20 @@ def test_a_cell_of_very_many_near_misses_is_compared_in_seconds():
 
 # ------------------------------------------------------------------ windows are told apart by both hashes
 
+def test_a_window_is_asked_for_in_little_more_than_three_bytes():
+    rng = np.random.default_rng(11)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 1000))) for _ in range(700)]
+    sent = substring_dedup.send_blocks(pa.table({"chunk": pa.array([0] * 700, pa.int64()), "d": pa.array(range(700), pa.int64()), "t": texts}), 13, 20)
+    windows = sum(len(packed.unpack(x)) for x in sent.column("probes").to_pylist())
+    assert windows == 700 * 994
+    assert sum(len(x) for c in ("probes", "index") for x in sent.column(c).to_pylist()) < 3.2 * windows
+    blocks = sum(int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in sent.column("index").to_pylist())
+    assert blocks == 700 * 142
+    for gaps in ([0, 5, 2**24 - 1, 7], [3, 2**24, 9], [2**32, 1]):
+        run = np.cumsum(np.array([2**40, *gaps], np.uint64))
+        assert (packed.unpack(packed.pack(run)) == run).all()
+
+
 def test_windows_whose_first_hashes_collide(monkeypatch):
     """With first hashes of five bits, the second ones alone keep different windows apart."""
     import pyarrow as pa
