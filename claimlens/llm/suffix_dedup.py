@@ -133,7 +133,19 @@ class Chunk:
         low = np.maximum(self.offsets[doc], pos - (length - gram_of(length)))
         high = np.minimum(pos, self.offsets[doc + 1] - length)
         starts = np.unique(spread(low, np.maximum(0, high - low + 1)))
-        h, g = (x[starts] for x in window_hashes(self.data, length))
+        if not len(starts):
+            return starts, np.zeros(0, U64), np.zeros(0, U64)
+        # only the bytes that these windows hold are hashed: pieces of overlapping windows, one after another
+        new = np.append(True, starts[1:] >= starts[:-1] + length)
+        begin, last = starts[new], starts[np.append(new[1:], True)]
+        sizes = last + length - begin
+        held = self.data[spread(begin, sizes)]
+        at = starts + (np.cumsum(sizes) - sizes - begin)[np.cumsum(new) - 1]
+        h, g = np.empty(len(at), U64), np.empty(len(at), U64)
+        for s in range(0, len(held), STRETCH):
+            a, b = np.searchsorted(at, [s, s + STRETCH])
+            if a < b:
+                h[a:b], g[a:b] = (x[at[a:b] - s] for x in window_hashes(held[s : s + STRETCH + length - 1], length))
         order = np.lexsort((g, h))
         return starts[order], h[order], g[order]
 

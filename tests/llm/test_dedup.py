@@ -334,6 +334,26 @@ def test_a_window_is_asked_for_in_little_more_than_three_bytes():
         assert (packed.unpack(packed.pack(run)) == run).all()
 
 
+@pytest.mark.parametrize("stretch", [1 << 18, 512])
+def test_only_bytes_of_hot_windows_are_hashed(monkeypatch, stretch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 123, 900))) for _ in range(300)]
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    c = suffix_dedup.Chunk(pa.table({"t": texts}), 200)
+    hot = np.unique(c.h[[5, 6, 400, 900]])
+    plain, hashed = suffix_dedup.window_hashes, []
+    whole = [plain(c.data, 200)[k] for k in (0, 1)]
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda data, length: hashed.append(len(data)) or plain(data, length))
+    starts, h, g = c.hot_windows(hot, 200)
+    width = 200 - suffix_dedup.gram_of(200)
+    want = {s for p, d in zip(c.pos[np.isin(c.h, hot)], c.doc[np.isin(c.h, hot)])
+            for s in range(max(c.offsets[d], p - width), min(p, c.offsets[d + 1] - 200) + 1)}
+    assert set(starts.tolist()) == want and len(starts) == len(want)
+    assert (h == whole[0][starts]).all() and (g == whole[1][starts]).all() and (np.lexsort((g, h)) == np.arange(len(h))).all()
+    assert sum(hashed) < len(c.data) / 20
+    assert all(not len(x) for x in c.hot_windows(np.zeros(0, np.uint64), 200))
+
+
 def test_windows_whose_first_hashes_collide(monkeypatch):
     """With first hashes of five bits, the second ones alone keep different windows apart."""
     import pyarrow as pa
