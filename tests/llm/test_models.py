@@ -669,7 +669,7 @@ def test_pieces_of_odd_rows(odd, empty):
 # ------------------------------------------------------------------ pipeline and registration
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_pipeline_stages(sp, tmp_path):
