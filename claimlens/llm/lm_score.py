@@ -37,12 +37,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packed import bucket_edges, pack, squeeze, unpack, unsqueeze
+from .packed import bucket_edges, grow, narrow, pack, shrink, unpack
 from .tables import parts, total_bytes, written
 from .text import U64, Words, byte_column, mix, spread, text_slices
 
 CLASS_BITS = 6
-CHUNK_BYTES, BUCKET_BYTES, SLICE_BYTES, SCORE_BYTES = 4 << 20, 12 << 20, 4 << 20, 4 << 20
+#: a chunk's texts are scored side by side: the more, the fewer steps a text
+CHUNK_BYTES, BUCKET_BYTES, SLICE_BYTES, SCORE_BYTES = 8 << 20, 12 << 20, 4 << 20, 8 << 20
 #: texts that are scored side by side (each holds weights)
 SCORE_ROWS = 4096
 #: tokens whose inputs are worked out at once
@@ -140,64 +141,75 @@ class Followers:
 
 
 class Mixer:
-    """Weights, refining table and own counts of each of some texts, as they stand.
+    """Weights and refining table of each of some texts, as they stand.
 
     Entries are bits: CLASS_BITS of a text's token, of one text after another, as many texts as still have tokens.
     A bit position has weights and a table of its own, so the bits of a token learn apart."""
 
     def __init__(self, texts: int):
         bits = texts * CLASS_BITS
-        self.w = np.tile(START_WEIGHTS.reshape(9, INPUTS).T.astype(np.float32), (1, bits))  # (input; text, bit position, gate)
+        self.w = np.zeros((bits * 9, 8), np.float32)  # (text, bit position, gate; input): the inputs' weights lie together, in 32 bytes
+        self.w[:, :INPUTS] = np.tile(START_WEIGHTS.reshape(9, INPUTS), (bits, 1))
+        self.w_run = self.w.view("V32").reshape(-1)  # the same, an item for all inputs
         grid = 1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))
-        self.table = np.tile(np.stack([grid * REFINE_FROM, np.full(CELLS, REFINE_FROM)], axis=1), (bits, 1))  # ones, all
-        self.own = np.zeros((texts * NODES, 2), np.float32)  # zeros and ones that came at each node of the classes' tree
-        self.gates, self.cells = np.arange(bits) * 9, np.arange(bits) * CELLS
-        self.nodes = np.repeat(np.arange(texts) * NODES, CLASS_BITS)
-        self.rows = np.arange(INPUTS)[:, None] * self.w.shape[1]
-        # the same numbers as one run, and the table's cells with their right neighbours
-        self.w_run, self.table_run, self.own_run = self.w.reshape(-1), self.table.reshape(-1), self.own.reshape(-1)
-        self.beside = np.lib.stride_tricks.sliding_window_view(self.table_run, 4)[::2]
+        self.table = np.tile(grid * REFINE_FROM + 1j * REFINE_FROM, bits)  # ones + 1j * all
         self.noted: tuple[np.ndarray, ...] | None = None
 
-    def own_logit(self, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """What the text knows of the bits so far; then the bits are counted."""
-        at = self.nodes[: len(node)] + node
-        came = self.own.take(at, axis=0)
-        self.own_run[2 * at + bit] += 1
-        return logit_of(came[:, 0], came[:, 1])
-
-    def probability(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """(probability of a one, of which half is the refined one; what ``learn`` needs)."""
-        place = self.gates[: len(gate)] + gate + self.rows
-        w = self.w_run.take(place)
-        up = np.minimum(np.maximum(np.add.reduce(w * x, axis=0, dtype=np.float64), -8), 8) + 8  # the mixed logit, from 0 to 16
-        p = 1 / (1 + np.exp(8 - up))
+    def probability(self, x: np.ndarray, gate: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(probability of a one, of which half is the refined one; what ``learn`` needs).
+
+        gate: the row of each entry's weights in ``w``; cells: where its table begins.
+        All places are in range: take's "clip" only spares the check."""
+        rows = self.w_run.take(gate, mode="clip")
+        w = rows.view(np.float32).reshape(-1, 8).T[:INPUTS]
+        up = np.add.reduce(np.multiply(w, x, order="C"), axis=0, dtype=np.float64)
+        np.maximum(up, -8, out=up)
+        np.minimum(up, 8, out=up)
+        up += 8  # the mixed logit, from 0 to 16
+        p = np.exp(8 - up)
+        p += 1
+        np.divide(1, p, out=p)
         cell = np.minimum(up.astype(np.int64), CELLS - 2)
         part = up - cell
-        side = self.beside[self.cells[: len(gate)] + cell].T
-        refined = side[0] / side[1] * (1 - part) + side[2] / side[3] * part
-        return (p + refined) / 2, (x, place, w, p, up)
-
-    def learn(self, told: tuple, bit: np.ndarray) -> None:
-        """Learn from one token of each text: a damped Newton step for each weight, and a hit in the table."""
-        x, place, w, p, up = told
-        w += x * (STEP * (bit - p)).astype(np.float32) / (x * x * (p * (1 - p)).astype(np.float32) + np.float32(INERTIA))
-        self.w_run[place] = w
-        cell = 2 * (self.cells[: len(bit)] + np.rint(up).astype(np.int64))
-        self.table_run[cell] += bit
-        self.table_run[cell + 1] += 1
+        cell += cells
+        low = self.table.take(cell, mode="clip")
+        cell += 1
+        high = self.table.take(cell, mode="clip")
+        refined = low.real / low.imag * (1 - part)
+        refined += high.real / high.imag * part
+        refined += p
+        refined /= 2
+        return refined, (x, gate, cells, rows, w, p, up)
+
+    def learn(self, told: tuple, squares: np.ndarray, bit: np.ndarray) -> None:
+        """Learn from one token of each text: a damped Newton step for each weight, and a hit in the table. squares: of the inputs."""
+        x, gate, cells, rows, w, p, up = told
+        slope = bit - p
+        slope *= STEP
+        curve = 1 - p
+        curve *= p
+        divisor = squares * curve.astype(np.float32)
+        divisor += np.float32(INERTIA)
+        step = x * slope.astype(np.float32)
+        step /= divisor
+        w += step
+        self.w_run[gate] = rows
+        cell = np.rint(up).astype(np.int64)
+        cell += cells
+        hits = self.table.take(cell, mode="clip")
+        hits += bit
+        hits += 1j
+        self.table[cell] = hits
 
     def note(self, told: tuple, bit: np.ndarray) -> None:
         """Keep for ``step`` what ``learn`` would learn at once."""
         if self.noted is None:
             self.noted = np.zeros(self.w.shape), np.zeros(self.w.shape), np.zeros_like(self.table)
         slope, curve, hits = self.noted
-        x, place, _, p, up = told
-        cell = self.cells[: len(bit)] + np.rint(up).astype(np.int64)
-        slope.reshape(-1)[place] += x * (bit - p)
-        curve.reshape(-1)[place] += x * x * (p * (1 - p))
-        hits[cell, 0] += bit
-        hits[cell, 1] += 1
+        x, gate, cells, _, _, p, up = told
+        slope[gate, :INPUTS] += (x * (bit - p)).T
+        curve[gate, :INPUTS] += (x * x * (p * (1 - p))).T
+        hits[cells + np.rint(up).astype(np.int64)] += bit + 1j
 
     def step(self) -> None:
         """Learn from what was noted since the last step."""
@@ -214,7 +226,8 @@ def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarra
     equal ones. row: its row in ``after``; overall: one row for all tokens. batch: tokens of a text that
     its first step learns from, each next step from twice as many; 0: every token is learnt from before the next.
 
-    All texts go on side by side, a token of each at a time, the longest texts first."""
+    All texts go on side by side, a token of each at a time, the longest texts first. What does not hang
+    on the mixer (counts, logits, gates) is worked out for a block of tokens at once."""
     n, texts = len(cls), int(text[-1]) + 1 if len(text) else 0
     if not n:
         return np.zeros(0)
@@ -223,15 +236,24 @@ def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarra
     rank = np.empty(texts, np.int64)
     rank[longest] = np.arange(texts)
     place = np.arange(n) - first[text]
-    order = np.argsort(place * texts + rank[text])
     starts = np.append(0, np.cumsum(np.bincount(place)))
+    at = starts[place] + rank[text]  # the texts that have a token at a place are the first ones by rank
+    order = np.empty(n, np.int64)
+    order[at] = np.arange(n)
     cls, row = cls[order], row[order]
-    own1 = list(online_counts(text[order] << 32 | prev[order], cls))
+    own1 = np.empty((2, n, CLASS_BITS), np.min_scalar_type(len(starts)))  # no count is larger than a text
+    for k, counts in enumerate(online_counts(text[order] << 32 | prev[order], cls)):
+        own1[0, :, k], own1[1, :, k] = counts
+    del place, order
     every = np.arange(NODES)
     base = np.stack([logit_of(*overall.counts(np.zeros(NODES, np.int64), every, k)) for k in range(CLASS_BITS)], axis=1)
     shifts = CLASS_BITS - np.arange(CLASS_BITS)
     bits, nodes = every[:, None] >> shifts - 1 & 1, (every[:, None] >> shifts) + (1 << np.arange(CLASS_BITS))
+    came_at = ((1 - bits) + 1j * bits).astype(np.complex64)
     mixer = Mixer(texts)
+    own0 = np.zeros(texts * NODES, np.complex64)  # zeros + 1j * ones that came at each node of the classes' tree
+    numbers = np.arange(texts * CLASS_BITS)  # of the bits of a place
+    gates, cells = numbers * 9, numbers * CELLS
     chance = np.empty(n)
     due = length = batch
     t = 0
@@ -239,30 +261,36 @@ def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarra
         to = max(t + 1, int(np.searchsorted(starts, starts[t] + BLOCK, side="right")) - 1)
         a, b = starts[t], starts[to]
         c = cls[a:b]
-        x, gate = np.empty((INPUTS, b - a, CLASS_BITS), np.float32), np.empty((b - a, CLASS_BITS), np.int64)
-        x[0], x[4] = base[c], 0.3
+        bit, came, p = bits[c], came_at[c].reshape(-1), np.empty((b - a) * CLASS_BITS)
+        edges = ((starts[t : to + 1] - a) * CLASS_BITS).tolist()
+        node = (nodes[c] + (np.arange(a, b) - np.repeat(starts[t:to], np.diff(starts[t : to + 1])))[:, None] * NODES).reshape(-1)
+        seen0 = np.empty(len(node), np.complex64)
+        for u, v in zip(edges[:-1], edges[1:]):
+            own0.take(node[u:v], out=seen0[u:v], mode="clip")
+            own0[node[u:v]] = seen0[u:v] + came[u:v]
+        corpus1, text1 = np.empty((2, b - a, CLASS_BITS), np.float32), own1[:, a:b].astype(np.float32)
         for k in range(CLASS_BITS):
-            o1, t1 = after.counts(row[a:b], c, k), [y[a:b] for y in own1[k]]
-            x[1, :, k], x[3, :, k] = logit_of(*o1), logit_of(*t1)
-            known, seen = o1[0] + o1[1], t1[0] + t1[1]
-            gate[:, k] = ((known > 0).astype(np.int64) + (known >= 8)) * 3 + (seen > 0) + (seen >= 3)
-        bit, node, p = bits[c], nodes[c], np.empty((b - a, CLASS_BITS))
-        for t in range(t, to):
-            some = slice(starts[t] - a, starts[t + 1] - a)
-            if batch and t == due:
+            corpus1[0, :, k], corpus1[1, :, k] = after.counts(row[a:b], c, k)
+        x = np.empty((INPUTS, b - a, CLASS_BITS), np.float32)
+        x[0], x[1], x[2], x[3], x[4] = base[c], logit_of(*corpus1), logit_of(seen0.real, seen0.imag).reshape(-1, CLASS_BITS), logit_of(*text1), 0.3
+        known, seen = corpus1[0] + corpus1[1], text1[0] + text1[1]
+        gate = ((known > 0).view(np.int8) + (known >= 8)) * np.int8(3) + (seen > 0) + (seen >= 3)
+        x, gate, ones = x.reshape(INPUTS, -1), gate.reshape(-1).astype(np.int64), bit.reshape(-1).astype(np.float64)
+        squares = x * x
+        for k, (u, v) in enumerate(zip(edges[:-1], edges[1:]), t):
+            if batch and k == due:
                 mixer.step()
                 length *= 2
                 due += length
-            y, v = bit[some].reshape(-1), x[:, some].reshape(INPUTS, -1)
-            v[2] = mixer.own_logit(node[some].reshape(-1), y)
-            p.reshape(-1)[some.start * CLASS_BITS : some.stop * CLASS_BITS], told = mixer.probability(v, gate[some].reshape(-1))
-            mixer.note(told, y) if batch else mixer.learn(told, y)
-        p = np.clip(p, 1e-4, 1 - 1e-4)
+            p[u:v], told = mixer.probability(x[:, u:v], gates[: v - u] + gate[u:v], cells[: v - u])
+            if batch:
+                mixer.note(told, ones[u:v])
+            else:
+                mixer.learn(told, squares[:, u:v], ones[u:v])
+        p = np.clip(p.reshape(-1, CLASS_BITS), 1e-4, 1 - 1e-4)
         chance[a:b] = np.where(bit == 1, p, 1 - p).prod(axis=1)
         t = to
-    out = np.empty(n)
-    out[order] = np.log(chance)
-    return out
+    return np.log(chance)[at]
 
 
 class Model:
@@ -310,12 +338,12 @@ _COLUMNS = ("h", "c", "ph", "pn", "pc", "pk")
 
 def _packed(h, c, prev, cls, n) -> tuple[bytes, ...]:
     names, sizes = _by_context(prev)
-    return (pack(h), squeeze(c.astype(np.int64)), pack(names), squeeze(sizes.astype(np.uint16)), squeeze(cls.astype(np.uint8)), squeeze(n.astype(np.int64)))
+    return (pack(h), shrink(c), pack(names), shrink(sizes), shrink(cls), shrink(n))
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    sizes = unsqueeze(row["pn"], np.uint16).astype(np.int64)
-    return (unpack(row["h"]), unsqueeze(row["c"], np.int64), unpack(row["ph"]), sizes, unsqueeze(row["pc"], np.uint8).astype(np.int64), unsqueeze(row["pk"], np.int64))
+    c, sizes, cls, n = (grow(row[k]).astype(np.int64) for k in ("c", "pn", "pc", "pk"))
+    return unpack(row["h"]), c, unpack(row["ph"]), sizes, cls, n
 
 
 def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
@@ -405,8 +433,8 @@ def score(df: DataFrame, training: Column, text: str = "text", doc_id: str = "do
                 at = np.minimum(np.searchsorted(names, q), max(0, len(names) - 1))
                 has = names[at] == q
                 many, entries = np.where(has, sizes[at], 0), spread(begin[at[has]], sizes[at[has]])
-            for o, y in zip(out, (of, many.astype(np.uint16), cls[entries].astype(np.uint8), n[entries])):
-                o.append(squeeze(y))
+            for o, y in zip(out, (of, many, cls[entries], n[entries])):
+                o.append(shrink(y))
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), **{k: pa.array(x, pa.binary()) for k, x in zip(("c", "pn", "pc", "pk"), out)}})
 
     def distinct(table: pa.Table) -> np.ndarray:
@@ -420,9 +448,9 @@ def score(df: DataFrame, training: Column, text: str = "text", doc_id: str = "do
         prev = np.append(at[-1], at[:-2]) if len(h) else at[:0]
         prev[first[:-1]], at = at[-1], at[:-1]
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])  # buckets ascend with the hash
-        count_of = np.concatenate([unsqueeze(r["c"], np.int64) for r in rows])
-        sizes = np.concatenate([unsqueeze(r["pn"], np.uint16).astype(np.int64) for r in rows])
-        cls, n = np.concatenate([unsqueeze(r["pc"], np.uint8) for r in rows]).astype(np.int64), np.concatenate([unsqueeze(r["pk"], np.int64) for r in rows])
+        count_of, sizes, cls, n = (np.concatenate([grow(r[k]) for r in rows]) for k in ("c", "pn", "pc", "pk"))
+        count_of, sizes = count_of.astype(np.int64), sizes.astype(np.int64)
+        del rows
         begin, ends = np.cumsum(sizes) - sizes, np.cumsum(n_bytes)
         out, a = [], 0
         while a < table.num_rows:  # texts from a, before b

@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 
@@ -63,3 +64,25 @@ def squeeze(x: np.ndarray) -> bytes:
 def unsqueeze(blob: bytes, kind: type) -> np.ndarray:
     raw, size = np.frombuffer(zlib.decompress(blob), np.uint8), np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of 0 or more, in the fewest bytes that hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def shrink(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more as compressed bytes: narrow ones, laid out as by ``squeeze``."""
+    x = narrow(x)
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def grow(blob: bytes) -> np.ndarray:
+    """The numbers that ``shrink`` was given, as narrow ones."""
+    size, n = blob[0], int.from_bytes(blob[1:9], "little")
+    raw = np.frombuffer(_ZSTD.decompress(blob[9:], n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(f"u{size}")

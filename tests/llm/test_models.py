@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, lm_score, piece_codec, tables, token_pack, toxicity, url_filter
+from claimlens.llm import decontaminate, lm_score, packed, piece_codec, tables, token_pack, toxicity, url_filter
 from claimlens.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, vocabulary_file
 
 from . import brute
@@ -733,3 +733,18 @@ def test_stages_keep_rows_without_ids_and_with_repeated_ids(sp, tmp_path):
     got = Counter(map(tuple, p.remove_near_copies(sp, docs, "").collect()))
     one = [t for t in (c, c + " z") if (None, t) in got]
     assert len(one) == 1 and got == Counter([(3, b), (5, a), (None, one[0]), (7, d), (9, e), (None, None), (None, " ")])
+
+
+@given(st.lists(st.integers(0, 2**40)))
+def test_numbers_travel_in_few_bytes(numbers):
+    x = np.array(numbers, np.int64)
+    blob = packed.shrink(x)
+    assert packed.grow(blob).tolist() == numbers
+    assert blob[0] == (packed.narrow(x).itemsize) == max([1, *(1 << max(0, (n.bit_length() - 1) // 8).bit_length() for n in numbers)])
+
+
+def test_mixer_keeps_the_weights_of_a_bit_together():
+    """A bit's weights are one item of the run that is read and written at each step."""
+    mixer = lm_score.Mixer(3)
+    assert len(mixer.w_run) == 3 * lm_score.GATES and np.shares_memory(mixer.w_run, mixer.w)
+    assert np.array_equal(mixer.w[:9, : lm_score.INPUTS], lm_score.START_WEIGHTS.reshape(9, -1).astype(np.float32))
