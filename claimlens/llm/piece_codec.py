@@ -24,7 +24,7 @@ from .text import spread, text_slices
 
 MARK = "▁"  # stands for a space
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class CharMap:
@@ -154,7 +154,7 @@ class Normaliser:
 class Chunks(dict):
     """Slot of each chunk (without its first mark); new ones are encoded by ``settle``."""
 
-    LIMIT = 600_000  # chunks, then it starts anew: memory, not results, depends on it
+    LIMIT = 150_000  # chunks, then it starts anew: memory (about 60 MB), not results, depends on it
 
     def __init__(self, model_path: str):
         import sentencepiece

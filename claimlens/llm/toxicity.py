@@ -48,7 +48,7 @@ _NO_PLURAL = {"woman", "man", "women", "men", "she", "he", "her", "his"}
 IDENTITY_FORMS = {w + end: w for group in IDENTITY_GROUPS for w in group for end in ("", "s") if not (end and w in _NO_PLURAL)}
 
 _FORM = re.compile(r"[^\W\d_]+")
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def features(token: str) -> list[str]:
@@ -66,7 +66,7 @@ def features(token: str) -> list[str]:
 class Tokens(dict):
     """Features of each token seen so far, by token; ``known`` maps a feature to what is wanted of it."""
 
-    LIMIT = 500_000  # entries, then it starts anew: memory, not results, depends on it
+    LIMIT = 200_000  # entries, then it starts anew: memory (about 90 MB), not results, depends on it
 
     def __init__(self, known: dict | None = None):
         super().__init__()
@@ -209,8 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(vocabulary)
         for batch in batches:
-            found = [np.array(sorted(tokens.of(t)), np.uint16).tobytes() for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], ["y", "f"])
+            for part in text_slices(batch, "t", SLICE_BYTES):
+                found = [np.array(sorted(tokens.of(t)), np.uint16).tobytes() for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(found, pa.binary())], ["y", "f"])
 
     got = rows.mapInArrow(indices, "y int, f binary").toArrow()
     feats = [np.frombuffer(x, np.uint16) for x in got.column("f").to_pylist()]
@@ -243,7 +244,8 @@ def keep_below(df: DataFrame, model: Model, limit: float, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for batch in batches:
-            below = [m.score(t) < limit for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield batch.filter(pa.array(below, pa.bool_()))
+            for part in text_slices(batch, text, SLICE_BYTES):
+                below = [m.score(t) < limit for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                yield part.filter(pa.array(below, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -735,6 +735,23 @@ def test_stages_keep_rows_without_ids_and_with_repeated_ids(sp, tmp_path):
     assert len(one) == 1 and got == Counter([(3, b), (5, a), (None, one[0]), (7, d), (9, e), (None, None), (None, " ")])
 
 
+def test_caches_of_the_pipeline_stay_small():
+    """Toxicity and sentencepiece start their caches anew early enough for two workers beside an executor's heap; results stay."""
+    import public_tokenizers
+
+    letters = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
+    tokens = toxicity.Tokens()
+    for a in range(0, len(letters), 1000):
+        assert tokens.of(" ".join(letters[a : a + 1000])) == {f for w in letters[a : a + 1000] for f in toxicity.features(w)}
+        assert len(tokens) <= 200_000
+    chunks = piece_codec.Chunks(public_tokenizers.path("piece_bpe_32k.model"))
+    first = chunks.tokens(chunks.slots(["aaaa baaa"])[0][0]).tolist()
+    for a in range(0, 160_000, 20_000):
+        chunks.slots([" ".join(letters[a : a + 20_000])])
+    assert chunks.tokens(chunks.slots(["aaaa baaa"])[0][0]).tolist() == first
+    assert len(chunks) < 150_000
+
+
 @given(st.lists(st.integers(0, 2**40)))
 def test_numbers_travel_in_few_bytes(numbers):
     x = np.array(numbers, np.int64)
