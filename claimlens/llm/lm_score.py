@@ -50,6 +50,8 @@ SCORE_ROWS = 4096
 BLOCK = 8192
 #: entries that a training task holds before it sends them
 HELD = 1_500_000
+#: texts whose tokens, tokens whose counts in their text, and contexts whose followers are worked out at once while a chunk is scored
+TOKEN_ROWS, COUNTED, FOLLOWED = 256, 1 << 17, 8192
 NODES = 1 << CLASS_BITS
 END, UNKNOWN, START = (U64(x) for x in (0x51A7E9C3B2D4F601, 0x7D3C0B5A9E8F1246, 0x2F1E4D3C5B6A7988))
 #: gates: bit position, how often the corpus (0, below 8, 8 and more) and the text (0, below 3, 3 and more) saw the context
@@ -74,6 +76,15 @@ def tokens(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, w.first + np.arange(len(w.first)), np.diff(offsets)
 
 
+def tokens_by_slices(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``tokens``, TOKEN_ROWS texts at a time, so that what is needed on the way stays small."""
+    found = [tokens(col.slice(a, TOKEN_ROWS)) for a in range(0, len(col), TOKEN_ROWS)]
+    if not found:
+        return tokens(col)
+    h, sizes, n_bytes = (np.concatenate(x) for x in zip(*[(h, np.diff(first), n) for h, first, n in found]))
+    return h, np.concatenate([[0], np.cumsum(sizes)]), n_bytes
+
+
 def before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The token before in the same text, or START."""
     out = np.empty_like(h)
@@ -102,7 +113,8 @@ def online_counts(context: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.nda
     at = np.argsort(context, kind="stable").astype(np.int32)
     cls = cls.astype(np.int32)
     new = np.ones(n, bool)
-    new[1:] = context[at][1:] != context[at][:-1]
+    context = context[at]
+    new[1:] = context[1:] != context[:-1]
     sizes = np.diff(np.append(np.flatnonzero(new), n))
     for k in range(CLASS_BITS):
         # entries at, in groups of so many
@@ -233,18 +245,25 @@ def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarra
         return np.zeros(0)
     first = np.searchsorted(text, np.arange(texts + 1))
     longest = np.argsort(-np.diff(first), kind="stable")
-    rank = np.empty(texts, np.int64)
+    whole = np.int32 if n < 2**31 else np.int64  # holds the number of a token
+    rank = np.empty(texts, whole)
     rank[longest] = np.arange(texts)
-    place = np.arange(n) - first[text]
+    place = np.arange(n, dtype=whole) - first.astype(whole)[text]
     starts = np.append(0, np.cumsum(np.bincount(place)))
-    at = starts[place] + rank[text]  # the texts that have a token at a place are the first ones by rank
-    order = np.empty(n, np.int64)
-    order[at] = np.arange(n)
-    cls, row = cls[order], row[order]
+    at = starts.astype(whole)[place] + rank[text]  # the texts that have a token at a place are the first ones by rank
+    del place
+    order = np.empty(n, whole)
+    order[at] = np.arange(n, dtype=whole)
     own1 = np.empty((2, n, CLASS_BITS), np.min_scalar_type(len(starts)))  # no count is larger than a text
-    for k, counts in enumerate(online_counts(text[order] << 32 | prev[order], cls)):
-        own1[0, :, k], own1[1, :, k] = counts
-    del place, order
+    u = 0
+    while u < texts:  # whole texts, as many as have about COUNTED tokens
+        v = max(u + 1, int(np.searchsorted(first, first[u] + COUNTED, side="right")) - 1)
+        some = slice(first[u], first[v])
+        for k, (n0, n1) in enumerate(online_counts(text[some].astype(np.int64) << 32 | prev[some], cls[some])):
+            own1[0, at[some], k], own1[1, at[some], k] = n0, n1
+        u = v
+    cls, row = cls[order], row[order]
+    del text, prev, order
     every = np.arange(NODES)
     base = np.stack([logit_of(*overall.counts(np.zeros(NODES, np.int64), every, k)) for k in range(CLASS_BITS)], axis=1)
     shifts = CLASS_BITS - np.arange(CLASS_BITS)
@@ -260,7 +279,7 @@ def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarra
     while t + 1 < len(starts):  # as many places as make a block of tokens
         to = max(t + 1, int(np.searchsorted(starts, starts[t] + BLOCK, side="right")) - 1)
         a, b = starts[t], starts[to]
-        c = cls[a:b]
+        c, after_row = cls[a:b].astype(np.int64), row[a:b].astype(np.int64)
         bit, came, p = bits[c], came_at[c].reshape(-1), np.empty((b - a) * CLASS_BITS)
         edges = ((starts[t : to + 1] - a) * CLASS_BITS).tolist()
         node = (nodes[c] + (np.arange(a, b) - np.repeat(starts[t:to], np.diff(starts[t : to + 1])))[:, None] * NODES).reshape(-1)
@@ -270,7 +289,7 @@ def bit_logs(cls: np.ndarray, text: np.ndarray, prev: np.ndarray, row: np.ndarra
             own0[node[u:v]] = seen0[u:v] + came[u:v]
         corpus1, text1 = np.empty((2, b - a, CLASS_BITS), np.float32), own1[:, a:b].astype(np.float32)
         for k in range(CLASS_BITS):
-            corpus1[0, :, k], corpus1[1, :, k] = after.counts(row[a:b], c, k)
+            corpus1[0, :, k], corpus1[1, :, k] = after.counts(after_row, c, k)
         x = np.empty((INPUTS, b - a, CLASS_BITS), np.float32)
         x[0], x[1], x[2], x[3], x[4] = base[c], logit_of(*corpus1), logit_of(seen0.real, seen0.imag).reshape(-1, CLASS_BITS), logit_of(*text1), 0.3
         known, seen = corpus1[0] + corpus1[1], text1[0] + text1[1]
@@ -301,18 +320,28 @@ class Model:
         self.rare = (once + 0.5) / (total + 1.0)  # share of types never seen before, as in the corpus
         self.overall = Followers(class_mass[None, :])
 
-    def score(self, h: np.ndarray, first: np.ndarray, count: np.ndarray, prev: np.ndarray, row: np.ndarray, after: Followers, batch: int) -> np.ndarray:
-        """log10 probability of each text. count: the tokens' counts in training; prev, row, batch: see ``bit_logs``."""
-        known = count > 0
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        unknown = np.concatenate([[0], np.cumsum(~known)])
-        place, new = np.arange(len(h)) - first[text], unknown[:-1] - unknown[first[text]]  # tokens and unknown ones earlier in the text
+    def score(self, at: np.ndarray, first: np.ndarray, cls_of: np.ndarray, count_of: np.ndarray, prev: np.ndarray, row: np.ndarray, after: Followers, batch: int) -> np.ndarray:
+        """log10 probability of each text. at: the type of each token, by its place in cls_of and count_of (the
+        types' classes and counts in training); prev, row, batch: see ``bit_logs``."""
+        known = (count_of > 0)[at]
+        whole = np.int32 if len(at) < 2**31 else np.int64  # holds the number of a token
+        begin = np.repeat(first[:-1].astype(whole), np.diff(first))
+        unknown = np.concatenate([np.zeros(1, whole), np.cumsum(~known, dtype=whole)])
+        new = unknown[:-1] - unknown[begin]  # unknown tokens earlier in the text
+        del unknown
+        place = np.arange(len(at), dtype=whole) - begin
         p_new = (new + 20 * self.rare) / (place + 20)
+        del new, place
         log = np.log(np.where(known, 1 - p_new, p_new))
-        cls = classes(h[known])
-        left = np.unique(text[known], return_inverse=True)[1] if known.any() else np.zeros(0, np.int64)
-        told = bit_logs(cls, left, prev[known], row[known], after, self.overall, batch)
-        log[known] += told + np.log((count[known] + 0.5) / self.class_mass[cls])
+        del p_new
+        begin = begin[known]  # each text has one of its own: it has its end at least
+        left = np.zeros(len(begin), whole)
+        np.cumsum(begin[1:] != begin[:-1], out=left[1:])
+        del begin
+        types, prev, row = at[known], prev[known], row[known]
+        told = bit_logs(cls_of[types], left, prev, row, after, self.overall, batch)
+        told += np.log((count_of + 0.5) / self.class_mass[cls_of])[types]
+        log[known] += told
         return np.add.reduceat(log, first[:-1]) / np.log(10)
 
 
@@ -443,33 +472,38 @@ def score(df: DataFrame, training: Column, text: str = "text", doc_id: str = "do
 
     def last(table: pa.Table, answers: pa.Table) -> pa.Table:
         model = shared.value
-        h, first, n_bytes = tokens(table.column("t"))
-        names, at = np.unique(np.append(h, START), return_inverse=True)
-        prev = np.append(at[-1], at[:-2]) if len(h) else at[:0]
+        h, first, n_bytes = tokens_by_slices(table.column("t"))
+        h = np.append(h, START)
+        names, at = np.unique(h, return_inverse=True)
+        del h
+        at = at.astype(np.int32 if len(names) < 2**31 else np.int64)
+        prev = np.append(at[-1], at[:-2]) if len(at) > 1 else at[:0]
         prev[first[:-1]], at = at[-1], at[:-1]
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])  # buckets ascend with the hash
         count_of, sizes, cls, n = (np.concatenate([grow(r[k]) for r in rows]) for k in ("c", "pn", "pc", "pk"))
         count_of, sizes = count_of.astype(np.int64), sizes.astype(np.int64)
         del rows
-        begin, ends = np.cumsum(sizes) - sizes, np.cumsum(n_bytes)
+        begin, ends, cls_of = np.cumsum(sizes) - sizes, np.cumsum(n_bytes), classes(names).astype(np.uint8)
+        base_of = np.log10((count_of + 0.5) / (model.total + 0.5 * (model.types + 1)))
         out, a = [], 0
         while a < table.num_rows:  # texts from a, before b
             b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SCORE_BYTES, side="right"))
             b = min(max(a + 1, b), a + SCORE_ROWS, table.num_rows)
             part, mine, edges = table.slice(a, b - a), slice(first[a], first[b]), first[a : b + 1] - first[a]
-            count, before_ = count_of[at[mine]], prev[mine]
-            base = np.log10((count + 0.5) / (model.total + 0.5 * (model.types + 1)))
-            base_score = np.add.reduceat(base, edges[:-1])  # each text on its own
+            types, before_ = at[mine], prev[mine]
+            base_score = np.add.reduceat(base_of[types], edges[:-1])  # each text on its own
+            known = np.add.reduceat((count_of > 0)[types], edges[:-1], dtype=np.int64)
             some = np.zeros(len(names), bool)
             some[before_] = True
             used = np.flatnonzero(some & (sizes > 0))
-            row_of = np.zeros(len(names), np.int64)  # row 0: nothing is known
+            row_of = np.zeros(len(names), at.dtype)  # row 0: nothing is known
             row_of[used] = np.arange(1, len(used) + 1)
             leaves = np.zeros((len(used) + 1, NODES), np.int32 if model.total < 2**31 else np.int64)
-            entries = spread(begin[used], sizes[used])
-            leaves[np.repeat(np.arange(1, len(used) + 1), sizes[used]), cls[entries]] = n[entries]
-            scores = model.score(h[mine], edges, count, before_, row_of[before_], Followers(leaves), batch)
-            known = np.add.reduceat((count > 0).astype(np.int64), edges[:-1])
+            for u in range(0, len(used), FOLLOWED):
+                some = used[u : u + FOLLOWED]
+                entries = spread(begin[some], sizes[some])
+                leaves[np.repeat(row_of[some], sizes[some]), cls[entries]] = n[entries]
+            scores = model.score(types, edges, cls_of, count_of, before_, row_of[before_], Followers(leaves), batch)
             out.append(pa.table({"doc_id": part.column("d"), "held_out": pa.compute.invert(part.column("train")), "n_tokens": pa.array(np.diff(edges), pa.int64()),
                                  "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([int(model.total)] * len(known), pa.int64()), "base_score": pa.array(base_score),
                                  "score": pa.array(scores), "bits_per_byte": pa.array(-scores * np.log2(10) / np.maximum(n_bytes[a:b], 1))}))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -510,6 +511,31 @@ def test_model_is_a_distribution():
     assert math.isclose(total, 1, rel_tol=1e-5)
 
 
+def test_scoring_holds_few_bytes_a_token():
+    """Counts within a text are worked out for some texts at a time; what is kept a token is narrow."""
+    rng = np.random.default_rng(1)
+    n = 400_000
+    cls, prev, text = rng.integers(0, lm_score.NODES, n), rng.integers(0, 500, n), np.repeat(np.arange(100), n // 100)
+    after = lm_score.Followers(rng.integers(0, 5, (500, lm_score.NODES)).astype(np.int32))
+    overall = lm_score.Followers(rng.random((1, lm_score.NODES)) * 50)
+    tracemalloc.start()
+    try:
+        lm_score.bit_logs(cls, text, prev, prev, after, overall, 0)
+        assert tracemalloc.get_traced_memory()[1] < 90 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_of_a_chunk_change_no_score(sp, monkeypatch):
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(["a", "b", "of", "é", "Word"]) for _ in range(rng.choice([0, 1, 7, 60])))) for k in range(40)] + [(41, None)]
+    df = sp.createDataFrame(rows, "doc_id long, text string")
+    got = bag(lm_score.score(df, F.col("doc_id") % 5 != 1, batch=0).collect())
+    for name in ("TOKEN_ROWS", "COUNTED", "FOLLOWED"):
+        monkeypatch.setattr(lm_score, name, 3)
+    assert bag(lm_score.score(df, F.col("doc_id") % 5 != 1, batch=0).collect()) == got
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, lm_score.NODES - 1)), max_size=60))
 def test_online_counts(entries):
