@@ -396,8 +396,9 @@ def mine(df: DataFrame, least: int, text: str = "text", lang: str = "lang") -> M
     answers, number = None, 0
     while True:
         number += 1
-        counts_of(number, answers).write.partitionBy("what").parquet(f"{folder}/pass={number}")
-        found = spark.read.schema(FOUND.replace("what int, ", "") + ", pass int, what int").option("basePath", folder).parquet(folder)
+        # one file a task, all kinds in it: making a file or folder may start a process (chmod) from the executor's JVM
+        counts_of(number, answers).write.parquet(f"{folder}/pass={number}")
+        found = spark.read.schema(f"{FOUND}, pass int").option("basePath", folder).parquet(folder)
         answers = found.where("what < 0").select("chunk", "what", "pass", "keys", "ids")
         if answers.where(F.col("pass") == number).limit(1).count() == 0:
             break

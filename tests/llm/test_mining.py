@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -252,6 +253,15 @@ def test_number_of_passes(sp, monkeypatch):
     assert m.passes == 1 and m.triples.count() == 4  # the sample was everything: the border holds
 
 
+def test_a_pass_makes_no_folder_by_kind(sp):
+    """A task writes one file, whatever kinds of phrases it found."""
+    m = phrase_mining.mine(sp.createDataFrame([("new york city new york city", "en")] * 20, "text string, lang string"), 10)
+    files = m.words.inputFiles()
+    assert files and not any("what=" in f for f in files)
+    assert {len(re.findall("/pass=", f)) for f in files} == {1}
+    assert (m.words.count(), m.pairs.count(), m.triples.count()) == (3, 3, 3)
+
+
 def test_no_texts(sp):
     assert phrase_mining.collocations(sp.createDataFrame([], "text string, lang string")).collect() == []
     assert phrase_mining.collocations(sp.createDataFrame([(None, None), ("one two", "en")], "text string, lang string")).collect() == []
